@@ -196,7 +196,7 @@ def grade_dates(talk: DataFrame, wanted: Column, salts: int = 16) -> DataFrame:
     at = F.struct("ts", "rev_id")
     salt = F.pmod(F.xxhash64("rev_id"), F.lit(salts))
     breaks = flagged.groupBy("page_id").agg(F.max(F.when(~F.col("has"), at)).alias("_break"))
-    spread = breaks.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).cast("long"))
+    spread = breaks.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
     joined = flagged.withColumn("_salt", salt).join(spread, on=["page_id", "_salt"], how="inner")
     after = F.col("has") & (F.col("_break").isNull() | (at > F.col("_break")))
     return joined.groupBy("page_id").agg(F.min(F.when(after, F.col("ts"))).alias("grade_ts"))

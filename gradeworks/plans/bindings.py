@@ -14,7 +14,7 @@ from gradeworks.operators import corpus
 from gradeworks.operators.features import (build_features, clean_records, stratified_split,
                                            temporal_holdout)
 from gradeworks.schemas import FEATURES, GRADES, K
-from gradeworks.session import staged
+from gradeworks.session import spread, staged
 
 AS_OF = "2024-01-31 00:00:00"
 CAP = 50
@@ -93,7 +93,7 @@ def members(spark: SparkSession, sf: str) -> DataFrame:
 def articles(spark: SparkSession, sf: str) -> DataFrame:
     """One article per document, with its grade, size and lists."""
     labels = table(spark, sf, "labels").select("doc_id", "quality")
-    docs = table(spark, sf, "documents").join(labels, on="doc_id", how="left")
+    docs = spread(table(spark, sf, "documents")).join(labels, on="doc_id", how="left")
     named = docs.select("doc_id", F.expr(TITLE).alias("title"), F.expr(RANK).alias("_rank"),
                         F.expr(WIKITEXT).alias("wikitext"))
     featured = F.when(F.col("doc_id") % 10 == 0, F.array(F.lit("Category:Featured articles"))).otherwise(

@@ -49,6 +49,13 @@ def write_table(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Repartition an input that arrives in fewer pieces than there are cores, as one small file
+    does; larger inputs pass through untouched."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 _staged: dict[tuple[str, str, str], DataFrame] = {}
 
 
