@@ -170,18 +170,6 @@ def throughput(df: DataFrame, rows: int) -> float:
     return (time.monotonic() - start) / max(rows, 1) * 1000
 
 
-def _draw_metrics(counts: np.ndarray) -> dict[str, float]:
-    cells = counts.reshape(K, K).astype(float)
-    n, diag = cells.sum(), np.diag(cells)
-    sides = cells.sum(0) + cells.sum(1)
-    gap = np.abs(np.subtract.outer(np.arange(K), np.arange(K)))
-    expected = (gap**2 * np.outer(cells.sum(1), cells.sum(0))).sum() / n
-    f1 = np.divide(2 * diag, sides, out=np.zeros(K), where=sides > 0)
-    return {"macro_f1": f1.mean(), "qwk": 1 - (gap**2 * cells).sum() / expected if expected else np.nan,
-            "within_one": cells[gap <= 1].sum() / n, "acc": diag.sum() / n,
-            "ordinal_mae": (gap * cells).sum() / n}
-
-
 def bootstrap_ci(df: DataFrame, y: str = "y", p: str = "pred", n_boot: int = 1000, seed: int = 42,
                  by: Sequence[str] = ()) -> DataFrame:
     """95% percentile intervals of five metrics. Resampling rows with replacement is a multinomial
@@ -193,7 +181,19 @@ def bootstrap_ci(df: DataFrame, y: str = "y", p: str = "pred", n_boot: int = 100
     schema = ", ".join([f"{f.name} {f.dataType.simpleString()}" for f in replicates.schema if f.name in keys]
                        + ["metric string", "value double"])
 
-    def draw(batches):
+    gap = np.abs(np.subtract.outer(np.arange(K), np.arange(K)))
+
+    def measure(counts) -> dict[str, float]:
+        cells = counts.reshape(gap.shape).astype(float)
+        n, diag = cells.sum(), np.diag(cells)
+        sides = cells.sum(0) + cells.sum(1)
+        chance = (gap**2 * np.outer(cells.sum(1), cells.sum(0))).sum() / n
+        f1 = np.divide(2 * diag, sides, out=np.zeros(len(diag)), where=sides > 0)
+        return {"macro_f1": f1.mean(), "qwk": 1 - (gap**2 * cells).sum() / chance if chance else np.nan,
+                "within_one": cells[gap <= 1].sum() / n, "acc": diag.sum() / n,
+                "ordinal_mae": (gap * cells).sum() / n}
+
+    def draw(batches):  # closes over values only, so tasks need no import of this package
         for pdf in batches:
             out = []
             for row in pdf.to_dict("records"):
@@ -201,7 +201,7 @@ def bootstrap_ci(df: DataFrame, y: str = "y", p: str = "pred", n_boot: int = 100
                 rng = np.random.default_rng([seed, int(row["b"])])
                 sample = rng.multinomial(weights.sum(), weights / weights.sum())
                 out += [{**{k: row[k] for k in keys}, "metric": m, "value": float(v)}
-                        for m, v in _draw_metrics(sample).items()]
+                        for m, v in measure(sample).items()]
             yield pd.DataFrame(out, columns=[*keys, "metric", "value"])
 
     draws = replicates.mapInPandas(draw, schema)

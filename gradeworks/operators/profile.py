@@ -7,12 +7,13 @@ from functools import reduce
 
 from pyspark.ml.classification import DecisionTreeClassifier
 from pyspark.ml.feature import VectorAssembler
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gradeworks.operators.ranking import (cumulative_counts, exact_quantiles, quantiles_of, spearman,
-                                          weighted_corr, average_rank)
+from gradeworks.operators.ranking import (average_rank, cumulative_counts, exact_quantiles, spearman,
+                                          weighted_corr)
 from gradeworks.schemas import GRADES, grade_rank
+from gradeworks.session import write_table
 
 TOP_N = 12
 MI_BINS = 20
@@ -74,14 +75,14 @@ def mutual_information(df: DataFrame, features: list[str], bins: int = MI_BINS,
 
 
 def mi_from_counts(joint: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
-    """MI from joint counts, as n log n sums over the joint, both margins and the total."""
-    def nlogn(by: list[str], name: str) -> DataFrame:
-        return (joint.groupBy(*keys, *by).agg(F.sum("n").alias("_n"))
-                .groupBy(*keys).agg(F.sum(F.col("_n") * F.log(F.col("_n"))).alias(name)))
-    parts = nlogn([x, y], "_xy").join(nlogn([x], "_x"), on=keys).join(nlogn([y], "_y"), on=keys)
-    total = joint.groupBy(*keys).agg(F.sum("n").alias("_t"))
-    mi = (F.col("_xy") - F.col("_x") - F.col("_y")) / F.col("_t") + F.log("_t")
-    return parts.join(total, on=keys).select(*keys, F.greatest(mi, F.lit(0.0)).alias("mi"))
+    """MI from joint counts. A group holds one row per (bin, grade), so its margins are windows
+    over a bounded group."""
+    def margin(*by: str) -> Column:
+        return F.sum("n").over(Window.partitionBy(*keys, *by)).cast("double")
+    cells = joint.select(*keys, F.col("n").cast("double").alias("n"), margin(x).alias("_x"),
+                         margin(y).alias("_y"), margin().alias("_t"))
+    term = F.col("n") / F.col("_t") * F.log(F.col("n") * F.col("_t") / (F.col("_x") * F.col("_y")))
+    return cells.groupBy(*keys).agg(F.greatest(F.sum(term), F.lit(0.0)).alias("mi"))
 
 
 def spearman_label(df: DataFrame, features: list[str], **kw) -> DataFrame:
@@ -99,7 +100,6 @@ def single_feature_accuracy(df: DataFrame, features: list[str], parallelism: int
 
     The fits share one prepared table; all predictions are then counted in one pass.
     """
-    from gradeworks.session import write_table
     filled = write_table(median_impute(df, features, **kw).select(
         F.col("grade_rank").cast("double").alias("y"), *features), "single-feature")
 
@@ -156,25 +156,31 @@ def corr_matrix(df: DataFrame, features: list[str], **kw) -> DataFrame:
     full = [c for c in features if gaps[c] == 0]
     pairs = [(a, b) for i, a in enumerate(features) for b in features[i + 1:]]
     dense = [(a, b) for a, b in pairs if a in full and b in full]
+    sparse = [p for p in pairs if p not in dense]
     parts = []
     if dense:
+        long = wide.select(*full).unpivot([], full, "feature", "value")
+        ranks = write_table(cumulative_counts(long, ["feature"], "value", **kw).select(
+            "feature", "value", average_rank().alias("_r")), "ranks")
         ranked = wide.select(*full)
         for c in full:
-            ranks = cumulative_counts(ranked, [], c, **kw).select(c, average_rank().alias(f"_r_{c}"))
-            ranked = ranked.join(ranks, on=c, how="inner")
-        names = [f"{a}|{b}" for a, b in dense]
+            one = ranks.filter(F.col("feature") == c).select(F.col("value").alias(c), F.col("_r").alias(f"_r_{c}"))
+            ranked = ranked.join(one, on=c, how="inner")
         sums = ranked.withColumn("_w", F.lit(1)).agg(
             *[weighted_corr(f"_r_{a}", f"_r_{b}", "_w").alias(f"{a}|{b}") for a, b in dense])
-        parts.append(sums.unpivot([], names, "pair", "spearman").select(
-            F.substring_index("pair", "|", 1).alias("x"), F.substring_index("pair", "|", -1).alias("y"),
-            "spearman"))
-    for a, b in pairs:
-        if (a, b) not in dense:
-            one = spearman(wide.select(a, b), [], a, b, **kw)
-            parts.append(one.select(F.lit(a).alias("x"), F.lit(b).alias("y"), "spearman"))
+        parts.append(sums.unpivot([], [f"{a}|{b}" for a, b in dense], "pair", "spearman"))
+    if sparse:
+        both = F.array(*[F.struct(F.lit(f"{a}|{b}").alias("pair"), F.col(a).alias("_x"), F.col(b).alias("_y"))
+                         for a, b in sparse])
+        again = wide.select(F.inline(F.filter(both, lambda s: s["_x"].isNotNull() & s["_y"].isNotNull())))
+        names = wide.sparkSession.createDataFrame([(f"{a}|{b}",) for a, b in sparse], "pair string")
+        found = spearman(again, ["pair"], "_x", "_y", **kw).select("pair", "spearman")
+        parts.append(names.join(found, on="pair", how="left"))
     ends = wide.agg(*[(F.min(c) < F.max(c)).alias(c) for c in features]).unpivot(
         [], features, "x", "varies")
-    upper = reduce(DataFrame.unionByName, parts).withColumn("spearman", F.round("spearman", 3))
+    upper = reduce(DataFrame.unionByName, parts).select(
+        F.substring_index("pair", "|", 1).alias("x"), F.substring_index("pair", "|", -1).alias("y"),
+        F.round("spearman", 3).alias("spearman"))
     diagonal = ends.select("x", F.col("x").alias("y"), F.when(F.col("varies"), 1.0).alias("spearman"))
     mirrored = upper.select(F.col("y").alias("x"), F.col("x").alias("y"), "spearman")
     return upper.unionByName(mirrored).unionByName(diagonal)

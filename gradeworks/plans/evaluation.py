@@ -219,7 +219,7 @@ def stability(spark, sf):
     return tidy(explain.stability(b.importance(spark, sf)))
 
 
-@query("X6_curve_auc", twin("""SELECT seed, round(sum((m + prev) / 2) / count(*), 6) AS auc FROM (SELECT seed, importance AS m,
+@query("X6_curve_auc", twin("""SELECT CAST(seed AS BIGINT) AS seed, round(sum((m + prev) / 2) / count(*), 6) AS auc FROM (SELECT seed, importance AS m,
     lag(importance) OVER (PARTITION BY seed ORDER BY CAST(substring(feature, 2) AS INT)) AS prev FROM importance) GROUP BY seed""", "importance"))
 def curve_auc(spark, sf):
     curve = b.importance(spark, sf).select("seed", F.expr("CAST(substring(feature, 2) AS INT)").alias("step"), F.col("importance").alias("macro_f1"))
