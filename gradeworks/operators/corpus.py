@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from gradeworks.functions.titles import class_mentions
 from gradeworks.operators.ranking import first_per_key, row_numbers, top_per_group
 from gradeworks.schemas import GRADES, RAW, grade_name, grade_rank
+from gradeworks.session import write_table
 
 # Bot accounts, tags of reverting edits, history cap, sampling sizes.
 BOT_USER = r"(?i)bot\b"
@@ -191,8 +192,8 @@ def grade_dates(talk: DataFrame, wanted: Column, salts: int = 16) -> DataFrame:
     pass joins on a salted key, so a page with very many revisions is spread over ``salts`` tasks.
     Null when the newest revision lacks the grade.
     """
-    flagged = talk.select("page_id", "rev_id", "ts",
-                          F.array_contains(class_mentions(F.col("text")), wanted).alias("has"))
+    has = F.array_contains(class_mentions(F.col("text")), wanted).alias("has")
+    flagged = write_table(talk.select("page_id", "rev_id", "ts", has), "class-flags")  # texts are read once
     at = F.struct("ts", "rev_id")
     salt = F.pmod(F.xxhash64("rev_id"), F.lit(salts))
     breaks = flagged.groupBy("page_id").agg(F.max(F.when(~F.col("has"), at)).alias("_break"))

@@ -15,7 +15,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gradeworks.functions.probability import argmax, confidence, expected_round
-from gradeworks.operators.ranking import exact_quantiles
 from gradeworks.schemas import K
 
 BINS = 10
@@ -205,6 +204,7 @@ def bootstrap_ci(df: DataFrame, y: str = "y", p: str = "pred", n_boot: int = 100
             yield pd.DataFrame(out, columns=[*keys, "metric", "value"])
 
     draws = replicates.mapInPandas(draw, schema)
-    ci = exact_quantiles(draws, [*keys, "metric"], "value", {"ci_lo": 0.025, "ci_hi": 0.975})
+    ci = draws.groupBy(*keys, "metric").agg(  # n_boot values per group
+        F.percentile("value", 0.025).alias("ci_lo"), F.percentile("value", 0.975).alias("ci_hi"))
     point = all_metrics(df, y, p, by).unpivot(keys, METRICS, "metric", "point")
     return point.join(ci, on=[*keys, "metric"])

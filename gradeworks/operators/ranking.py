@@ -1,12 +1,12 @@
 """Ranks, quantiles and row numbers that never put one whole group into one task.
 
-All of them rest on two ideas. Equal values are pre-aggregated before the shuffle, so a hot value
-is one row. The distinct values of a group are then cut into ranges of about ``per_range`` values;
-each range is ordered on its own and shifted by the number of rows in the ranges before it.
+A group of at most ``per_range`` rows is ordered by a plain window. Where a count finds a larger
+one, its values are cut into ranges; each range is ordered on its own and shifted by the number of
+rows in the ranges before it. A value frequent enough to be a cut point has a range of its own.
 
-The cut points come from one eager summary job and enter the plan as literals, so every branch
-of the plan (and every recomputed task) sees the same ranges. ``keys`` must name a bounded set of
-groups (features, grades, proxies): the summary holds one small array per group.
+Counts and cut points come from eager summary jobs and enter the plan as literals, so every branch
+of a plan and every recomputed task sees the same ranges. ``keys`` must name a bounded set of groups
+(features, grades, proxies): the summary holds one row with at most ``MAX_RANGES`` cuts per group.
 """
 
 from __future__ import annotations
@@ -18,38 +18,67 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 PER_RANGE = 1_000_000
-MAX_RANGES = 1000
-ACCURACY = 2000
+MAX_RANGES = 1024
+TIE_RANGES = 64
+CHUNK = 32
+ACCURACY = 5000
 
 
 def _cuts(df: DataFrame, keys: Sequence[str], cols: Sequence[str], per_range: int) -> DataFrame | None:
-    """One row per group with the inner cut points of each column, or None if no group needs any."""
-    probs = [i / MAX_RANGES for i in range(1, MAX_RANGES)]
-    aggs = [F.count("*").alias("_rows")]
-    aggs += [F.percentile_approx(c, probs, ACCURACY).alias(f"_q_{c}") for c in cols]
-    summary = df.groupBy(*keys).agg(*aggs).collect()
-    rows, wide = [], False
-    for r in summary:
-        ranges = min(MAX_RANGES, -(-r["_rows"] // per_range))
-        wide = wide or ranges > 1
-        picks = [round(i * MAX_RANGES / ranges) - 1 for i in range(1, ranges)]
-        rows.append(tuple(r[k] for k in keys)
-                    + tuple(sorted({r[f"_q_{c}"][i] for i in picks}) for c in cols))
-    if not wide:
+    """One row per group with the inner cut points of each column, or None if all groups are small.
+
+    The second column of ``cols`` breaks ties only and gets fewer ranges.
+    """
+    sizes = df.groupBy(*keys).agg(F.count("*").alias("_rows"))
+    largest = sizes.agg(F.max("_rows")).first()[0] or 0
+    if largest <= per_range:
         return None
+    widths = [MAX_RANGES, TIE_RANGES][:len(cols)]
+    aggs = [F.percentile_approx(c, [i / w for i in range(1, w)], ACCURACY).alias(c)
+            for c, w in zip(cols, widths)]
+    summary = df.groupBy(*keys).agg(F.count("*").alias("_rows"), *aggs).collect()
+    rows = []
+    for r in summary:
+        cells = []
+        for c, w in zip(cols, widths):
+            ranges = min(w, -(-r["_rows"] // per_range))
+            cuts = sorted({r[c][round(i * w / ranges) - 1] for i in range(1, ranges)})
+            cells += [cuts, cuts[CHUNK - 1::CHUNK]]
+        rows.append(tuple(r[k] for k in keys) + tuple(cells))
     fields = [df.schema[k] for k in keys]
-    fields += [T.StructField(f"_cuts_{c}", T.ArrayType(df.schema[c].dataType)) for c in cols]
+    for c in cols:
+        kind = T.ArrayType(df.schema[c].dataType)
+        fields += [T.StructField(f"_cuts_{c}", kind), T.StructField(f"_coarse_{c}", kind)]
     return df.sparkSession.createDataFrame(rows, T.StructType(fields))
 
 
-def _attach(df: DataFrame, cuts: DataFrame, keys: Sequence[str]) -> DataFrame:
-    # cut rows are literals made on the driver: groups x MAX_RANGES at most
-    small = F.broadcast(cuts)
-    return df.join(small, on=list(keys), how="inner")
+def _below(value: str) -> Column:
+    """Number of cuts below the value: whole chunks first, then inside one chunk."""
+    v = F.col(value)
+    chunks = F.size(F.filter(F.col(f"_coarse_{value}"), lambda c: c < v))
+    inside = F.slice(F.col(f"_cuts_{value}"), chunks * CHUNK + 1, F.lit(CHUNK))
+    return chunks * CHUNK + F.size(F.filter(inside, lambda c: c < v))
+
+
+def _is_cut(value: str) -> Column:
+    nxt = F.get(F.col(f"_cuts_{value}"), F.col("_below"))
+    return F.coalesce(nxt == F.col(value), F.lit(False))
+
 
+def _attach(df: DataFrame, small: DataFrame, on: Sequence[str]) -> DataFrame:
+    """Null-safe inner join with a side whose size the caller has bounded."""
+    right = small.select(*[F.col(c).alias(f"_r_{c}") if c in on else F.col(c) for c in small.columns])
+    match = F.lit(True)
+    for c in on:
+        match = match & F.col(c).eqNullSafe(F.col(f"_r_{c}"))
+    return df.join(F.broadcast(right), match, "inner").drop(*[f"_r_{c}" for c in on])
 
-def _below(cuts: str, value: str) -> Column:
-    return F.size(F.filter(F.col(cuts), lambda c: c < F.col(value)))
+
+def _ranged(df: DataFrame, cuts: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
+    """Add ``_range``: 2 * (cuts below), plus 1 for a value that is a cut itself."""
+    # the cuts were made on the driver: groups x MAX_RANGES values at most
+    placed = _attach(df, cuts, keys).withColumn("_below", _below(value))
+    return placed.withColumn("_range", 2 * F.col("_below") + _is_cut(value).cast("int")).drop("_below")
 
 
 def _keyed(df: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, list[str]]:
@@ -59,80 +88,71 @@ def _keyed(df: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, list[str]]:
     return df.withColumn("_all", F.lit(0)), ["_all"]
 
 
+def _shift(sizes: DataFrame, group: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """Rows before each range and in the whole group. The input has one row per range: at most
+    2 * MAX_RANGES * TIE_RANGES per group, so it is fit to broadcast."""
+    whole = Window.partitionBy(*group)
+    prior = whole.orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return (sizes.withColumn("_shift", F.sum("_rows").over(prior) - F.col("_rows"))
+            .withColumn("total", F.sum("_rows").over(whole)))
+
+
 def cumulative_counts(df: DataFrame, keys: Sequence[str], value: str, *,
                       per_range: int = PER_RANGE) -> DataFrame:
     """Per group and distinct non-null value: ``n`` rows, ``before`` rows with a smaller value,
-    ``total`` rows in the group."""
+    ``total`` rows in the group. Equal values meet before the shuffle, so a hot value is one row."""
     base, group = _keyed(df, keys)
-    counted = (
-        base.filter(F.col(value).isNotNull())
-        .groupBy(*group, value).agg(F.count("*").alias("n"))
-    )
-    cuts = _cuts(counted, group, [value], per_range)
+    present = base.filter(F.col(value).isNotNull()).select(*group, value)
+    counted = present.groupBy(*group, value).agg(F.count("*").alias("n"))
+    cuts = _cuts(present, group, [value], per_range)
     if cuts is None:
         inner = Window.partitionBy(*group).orderBy(value).rowsBetween(
             Window.unboundedPreceding, Window.currentRow)
         out = counted.withColumn("before", F.sum("n").over(inner) - F.col("n"))
         out = out.withColumn("total", F.sum("n").over(Window.partitionBy(*group)))
     else:
-        ranged = _attach(counted, cuts, group).withColumn("_range", _below(f"_cuts_{value}", value))
-        ranged = ranged.select(*group, "_range", value, "n")
+        ranged = _ranged(counted, cuts, group, value).select(*group, "_range", value, "n")
         inner = Window.partitionBy(*group, "_range").orderBy(value).rowsBetween(
             Window.unboundedPreceding, Window.currentRow)
-        shift = _range_shift(ranged.groupBy(*group, "_range").agg(F.sum("n").alias("_rows")),
-                             group, ["_range"])
-        out = (
-            ranged.withColumn("_upto", F.sum("n").over(inner))
-            .join(shift, on=[*group, "_range"], how="inner")
-            .withColumn("before", F.col("_shift") + F.col("_upto") - F.col("n"))
-        )
+        shift = _shift(ranged.groupBy(*group, "_range").agg(F.sum("n").alias("_rows")), group, ["_range"])
+        upto = ranged.withColumn("_upto", F.sum("n").over(inner))
+        out = _attach(upto, shift.drop("_rows"), [*group, "_range"]).withColumn(
+            "before", F.col("_shift") + F.col("_upto") - F.col("n"))
     return out.select(*keys, value, "n", "before", "total")
 
 
-def _range_shift(sizes: DataFrame, group: Sequence[str], order: Sequence[str]) -> DataFrame:
-    """Rows before each range and in the whole group; the input has at most one row per range."""
-    whole = Window.partitionBy(*group)
-    prior = whole.orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return (
-        sizes.withColumn("_shift", F.sum("_rows").over(prior) - F.col("_rows"))
-        .withColumn("total", F.sum("_rows").over(whole))
-        .drop("_rows")
-    )
-
-
 def row_numbers(df: DataFrame, keys: Sequence[str], order: str, tie: str, *,
-                per_range: int = PER_RANGE, number: str = "rn", total: str = "total") -> DataFrame:
+                per_range: int = PER_RANGE, number: str = "rn", total: str = "total",
+                only: tuple[Column, Column] | None = None) -> DataFrame:
     """Exact 1-based row number by (``order``, ``tie``) within each group, plus the group size.
 
-    ``order`` must not be null and ``tie`` must be unique per group; both numeric. A value of
-    ``order`` frequent enough to be a cut point gets a range of its own, which is split again by
-    ``tie``, so a group of equal values spreads out as well.
+    ``order`` must not be null and ``tie`` must be unique per group; both numeric. The range of a
+    frequent value is split again by ``tie``, so a group of equal values spreads out as well.
+    ``only`` = (first, last) keeps the row numbers in between, as columns over ``total``; ranges
+    outside are dropped before any row is shuffled.
     """
     base, group = _keyed(df, keys)
     cuts = _cuts(base, group, [order, tie], per_range)
+    first, last = only or (F.lit(1), F.col(total))
     if cuts is None:
         whole = Window.partitionBy(*group)
         out = base.withColumn(number, F.row_number().over(whole.orderBy(order, tie)).cast("long"))
         out = out.withColumn(total, F.count("*").over(whole))
-        return out.drop("_all")
-    c_order, c_tie = f"_cuts_{order}", f"_cuts_{tie}"
-    frequent = F.array_contains(c_order, F.col(order))
-    ranged = (
-        _attach(base, cuts, group)
-        .withColumn("_major", 2 * _below(c_order, order) + frequent.cast("int"))
-        .withColumn("_minor", F.when(frequent, _below(c_tie, tie)).otherwise(0))
-        .drop(c_order, c_tie)
-    )
-    place = [*group, "_major", "_minor"]
-    shift = _range_shift(ranged.groupBy(*place).agg(F.count("*").alias("_rows")),
-                         group, ["_major", "_minor"]).withColumnRenamed("total", total)
+        return out.filter(F.col(number).between(first, last)).drop("_all")
+    minor = F.when(F.col("_range") % 2 == 1, _below(tie)).otherwise(0)
+    ranged = _ranged(base, cuts, group, order).withColumn("_minor", minor).drop(
+        *[c for c in cuts.columns if c not in group])
+    place = [*group, "_range", "_minor"]
+    shift = _shift(ranged.groupBy(*place).agg(F.count("*").alias("_rows")), group,
+                   ["_range", "_minor"]).withColumnRenamed("total", total)
+    wanted = shift.filter((F.col("_shift") + 1 <= last) & (F.col("_shift") + F.col("_rows") >= first))
     inner = Window.partitionBy(*place).orderBy(order, tie)
     out = (
-        ranged.withColumn("_rn", F.row_number().over(inner))
-        .join(shift, on=place, how="inner")
-        .withColumn(number, F.col("_shift") + F.col("_rn"))
+        _attach(ranged, wanted.drop("_rows"), place)
+        .withColumn(number, F.col("_shift") + F.row_number().over(inner))
+        .filter(F.col(number).between(first, last))
     )
-    return out.drop("_all", "_major", "_minor", "_rn", "_shift")
+    return out.drop("_all", "_range", "_minor", "_shift")
 
 
 def top_per_group(df: DataFrame, keys: Sequence[str], orders: Sequence[Column], n: int, *,
@@ -161,13 +181,6 @@ def average_rank() -> Column:
     return F.col("before") + (F.col("n") + 1) / F.lit(2.0)
 
 
-def with_rank(df: DataFrame, keys: Sequence[str], value: str, name: str, **kw) -> DataFrame:
-    """Add the average rank of ``value`` within ``keys``. The value join is on a pre-aggregated
-    side with one row per value; adaptive skew handling splits a hot value on the other side."""
-    ranks = cumulative_counts(df, keys, value, **kw).select(*keys, value, average_rank().alias(name))
-    return df.join(ranks, on=[*keys, value], how="inner")
-
-
 def spearman(df: DataFrame, keys: Sequence[str], x: str, y: str, **kw) -> DataFrame:
     """Spearman correlation of ``x`` and ``y`` per group over pairwise complete rows."""
     pairs = (
@@ -180,7 +193,7 @@ def spearman(df: DataFrame, keys: Sequence[str], x: str, y: str, **kw) -> DataFr
         return cumulative_counts(complete, keys, v, **kw).select(*keys, v, average_rank().alias(name))
 
     joined = pairs.join(ranks(x, "_rx"), on=[*keys, x]).join(ranks(y, "_ry"), on=[*keys, y])
-    return joined.groupBy(*keys).agg(F.sum("_w").alias("n"),
+    return joined.groupBy(*keys).agg(F.coalesce(F.sum("_w"), F.lit(0)).alias("n"),
                                      weighted_corr("_rx", "_ry", "_w").alias("spearman"))
 
 
@@ -194,25 +207,46 @@ def weighted_corr(x: str, y: str, w: str) -> Column:
     return F.when((vx > 0) & (vy > 0), (n * sxy - sx * sy) / (F.sqrt(vx) * F.sqrt(vy)))
 
 
-def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: dict[str, float],
-                    **kw) -> DataFrame:
-    """Linear-interpolated exact quantiles per group, one column per entry of ``probs``."""
-    cc = cumulative_counts(df, keys, value, **kw)
-    return quantiles_of(cc, keys, value, probs)
-
+def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: dict[str, float], *,
+                    per_range: int = PER_RANGE) -> DataFrame:
+    """Linear-interpolated exact quantiles per group, one column per entry of ``probs``.
 
-def quantiles_of(cc: DataFrame, keys: Sequence[str], value: str, probs: dict[str, float]) -> DataFrame:
-    """Quantiles from a :func:`cumulative_counts` table."""
-    aggs = [F.max("total").alias("_total")]
+    Large groups are counted per range first; only the ranges that hold a wanted position are read
+    again, so the rows themselves are hardly shuffled.
+    """
+    base, group = _keyed(df, keys)
+    present = base.filter(F.col(value).isNotNull()).select(*group, F.col(value).cast("double").alias(value))
+    cuts = _cuts(present, group, [value], per_range)
+    if cuts is None:
+        return present.groupBy(*group).agg(
+            *[F.percentile(value, p).alias(name) for name, p in probs.items()]).drop("_all")
+    ranged = _ranged(present, cuts, group, value).select(*group, "_range", value)
+    shift = _shift(ranged.groupBy(*group, "_range").agg(F.count("*").alias("_rows")), group, ["_range"])
+
+    def sides(p: float) -> tuple[Column, Column]:
+        at = F.lit(p) * (F.col("total") - 1)
+        return F.floor(at), F.ceil(at)
+
+    ends = F.col("_shift") + F.col("_rows")
+    hit = F.lit(False)
+    for p in probs.values():
+        lo, hi = sides(p)
+        hit = hit | ((F.col("_shift") <= hi) & (lo < ends))
+    wanted = shift.filter(hit).drop("_rows")
+    counted = _attach(ranged, wanted, [*group, "_range"]).groupBy(
+        *group, "_range", "_shift", "total", value).agg(F.count("*").alias("n"))
+    inner = Window.partitionBy(*group, "_range").orderBy(value).rowsBetween(
+        Window.unboundedPreceding, Window.currentRow)
+    cc = counted.withColumn("before", F.col("_shift") + F.sum("n").over(inner) - F.col("n"))
+    picks = [F.max("total").alias("total")]
     for name, p in probs.items():
-        pos = F.lit(p) * (F.col("total") - 1)
-        for side, at in (("lo", F.floor(pos)), ("hi", F.ceil(pos))):
-            inside = (F.col("before") <= at) & (at < F.col("before") + F.col("n"))
-            aggs.append(F.max(F.when(inside, F.col(value).cast("double"))).alias(f"_{side}_{name}"))
-    found = cc.groupBy(*keys).agg(*aggs)
+        for side, at in zip(("lo", "hi"), sides(p)):
+            here = (F.col("before") <= at) & (at < F.col("before") + F.col("n"))
+            picks.append(F.max(F.when(here, F.col(value))).alias(f"_{side}_{name}"))
+    found = cc.groupBy(*group).agg(*picks)
     out = []
     for name, p in probs.items():
-        pos = F.lit(p) * (F.col("_total") - 1)
+        at = F.lit(p) * (F.col("total") - 1)
         lo, hi = F.col(f"_lo_{name}"), F.col(f"_hi_{name}")
-        out.append((lo + (hi - lo) * (pos - F.floor(pos))).alias(name))
+        out.append((lo + (hi - lo) * (at - F.floor(at))).alias(name))
     return found.select(*keys, *out)

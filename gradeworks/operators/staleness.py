@@ -62,15 +62,17 @@ def partial_spearman(df: DataFrame, x: str = "d", z: str = "days_since_edit", gi
 
 
 def review_buckets(df: DataFrame, key: str = "pageid", rows: int = BUCKET_ROWS, **kw) -> DataFrame:
-    """The highest, middle and lowest rows by distance, ties by key; needs three times ``rows`` rows."""
-    neg = df.withColumn("_neg", -F.col("d"))
-    numbered = row_numbers(neg, [], "_neg", key, number="_rn", total="_n", **kw)
-    mid = F.floor(F.col("_n") / 2) - rows // 2
-    bucket = (F.when(F.col("_rn") <= rows, "high")
-              .when(F.col("_rn") > F.col("_n") - rows, "low")
-              .when((F.col("_rn") > mid) & (F.col("_rn") <= mid + rows), "mid"))
-    return (numbered.withColumn("bucket", bucket).filter(F.col("bucket").isNotNull())
-            .withColumn("d", F.round("d", 3)).drop("_neg", "_rn", "_n"))
+    """The highest, middle and lowest rows by distance, ties by key; needs three times ``rows`` rows.
+
+    The ends are top-k sorts; for the middle only the ranges around it are numbered.
+    """
+    high = df.orderBy(F.col("d").desc(), key).limit(rows).withColumn("bucket", F.lit("high"))
+    low = df.orderBy("d", F.col(key).desc()).limit(rows).withColumn("bucket", F.lit("low"))
+    before = F.floor(F.col("_n") / 2) - rows // 2
+    mid = row_numbers(df.withColumn("_neg", -F.col("d")), [], "_neg", key, number="_rn", total="_n",
+                      only=(before + 1, before + rows), **kw)
+    mid = mid.select(*df.columns).withColumn("bucket", F.lit("mid"))
+    return high.unionByName(mid).unionByName(low).withColumn("d", F.round("d", 3))
 
 
 def preferred_model(models: DataFrame, selected: str) -> DataFrame:

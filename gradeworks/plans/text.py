@@ -13,7 +13,7 @@ from gradeworks.plans.shape import tidy
 from gradeworks.plans.twin_sql import TRIM, pattern, twin
 from gradeworks.schemas import CARRIED, FEATURES
 
-TEXT = F.col("wikitext")
+TEXT = "wikitext"
 
 
 def _names(names: str) -> str:
@@ -23,26 +23,26 @@ def _names(names: str) -> str:
 @query("T1_template_names", twin(f"""SELECT pageid, array_to_string(list_transform(regexp_extract_all(wikitext, {pattern(w.TEMPLATE_OPEN)}, 1),
     lambda x: regexp_replace(lower(trim(x, {TRIM})), '^template:', '')), '|') AS names FROM articles""", "articles"))
 def template_names(spark, sf):
-    return b.articles(spark, sf).select("pageid", F.array_join(w.template_names(TEXT), "|").alias("names"))
+    return b.articles(spark, sf).select("pageid", F.array_join(w.template_names(F.col(TEXT)), "|").alias("names"))
 
 
 @query("T2_strip_leak_templates", _names("names"))
 def strip_leak_templates(spark, sf):
-    return b.articles(spark, sf).select("pageid", F.array_join(w.keep_names(w.template_names(TEXT)), "|").alias("names"))
+    return b.articles(spark, sf).select("pageid", F.array_join(w.keep_names(w.template_names(F.col(TEXT))), "|").alias("names"))
 
 
 @query("T3_strip_leak_text", twin(f"""SELECT pageid, md5(regexp_replace(wikitext, {pattern(w.GRADE_BLOCK)}, '', 'g')) AS digest,
     length(regexp_replace(wikitext, {pattern(w.GRADE_BLOCK)}, '', 'g')) AS chars FROM articles""", "articles"))
 def strip_leak_text(spark, sf):
-    bare = w.strip_grade_blocks(TEXT)
+    bare = w.strip_grade_blocks(F.col(TEXT))
     return tidy(b.articles(spark, sf).select("pageid", F.md5(bare).alias("digest"), F.length(bare).alias("chars")))
 
 
-@query("T4_leak_position", twin(f"""SELECT count(*) AS n, median(CAST(at AS DOUBLE)) AS median_offset FROM (
-    SELECT strpos(wikitext, regexp_extract(wikitext, {pattern(w.GRADE_BLOCK)})) - 1 AS at FROM articles
+@query("T4_leak_position", twin(f"""SELECT count(*) AS n, median(CAST(o AS DOUBLE)) AS median_offset FROM (
+    SELECT strpos(wikitext, regexp_extract(wikitext, {pattern(w.GRADE_BLOCK)})) - 1 AS o FROM articles
     WHERE regexp_matches(wikitext, {pattern(w.GRADE_BLOCK)}))""", "articles"))
 def leak_position(spark, sf):
-    found = b.articles(spark, sf).select(w.grade_block_offset(TEXT).alias("at")).filter(F.col("at").isNotNull())
+    found = b.articles(spark, sf).select(w.grade_block_offset(F.col(TEXT)).alias("at")).filter(F.col("at").isNotNull())
     middle = exact_quantiles(found, [], "at", {"median_offset": 0.5}).withColumn("_k", F.lit(1))
     return found.agg(F.count("*").alias("n")).withColumn("_k", F.lit(1)).join(middle, on="_k", how="left").drop("_k")
 
@@ -70,7 +70,7 @@ _parsed("T8_headings", ["section_l2_n", "section_l3_n"])
 
 @query("T9_links", twin("SELECT pageid, array_to_string(targets, ';') AS targets FROM staged", "staged"))
 def links(spark, sf):
-    return b.articles(spark, sf).select("pageid", F.array_join(w.link_targets(TEXT), ";").alias("targets"))
+    return b.articles(spark, sf).select("pageid", F.array_join(w.link_targets(F.col(TEXT)), ";").alias("targets"))
 
 
 _parsed("T10_images_n", ["images_n"])

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from gradeworks.operators.ranking import first_per_key
 from gradeworks.schemas import RAW, grade_rank
 
 CORRUPT = "_corrupt_record"
@@ -56,10 +57,10 @@ def existing_keys(records: DataFrame, grade: str | None = None) -> DataFrame:
 
 
 def only_new(records: DataFrame, existing: DataFrame) -> DataFrame:
-    """Records whose key is not stored, one per key (the earliest fetched)."""
-    from gradeworks.operators.ranking import first_per_key
-    fresh = records.join(existing.select("pageid"), on="pageid", how="left_anti")
-    return first_per_key(fresh, ["pageid"], F.struct("fetch_ts", "revid"))
+    """Records whose key is not stored, one per key (the earliest fetched). Repeats are folded
+    before the join, so neither side brings a hot key to it."""
+    first = first_per_key(records, ["pageid"], F.struct("fetch_ts", "revid"))
+    return first.join(existing.select("pageid").distinct(), on="pageid", how="left_anti")
 
 
 def append_new(records: DataFrame, path: str) -> None:
