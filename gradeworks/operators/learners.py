@@ -67,6 +67,15 @@ def load_plugins(plugins: dict[str, Callable[[], object]]) -> dict[str, str]:
     return status
 
 
+def settle(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """Add a column whose expression the optimizer will not copy into later references.
+
+    A score is costly and read many times; as a generated column it is computed once per row, and
+    filters on it stay above it.
+    """
+    return df.select(*[c for c in df.columns if c != name], F.explode(F.array(value)).alias(name))
+
+
 def fit(kind: str, train: DataFrame, features: list[str], params: dict | None = None,
         seed: int = 42) -> Fitted:
     if kind not in BUILDERS:
@@ -103,7 +112,7 @@ def _simple(kind: str, estimator, train: DataFrame, features: list[str], scale:
     model = estimator.fit(data)
 
     def score(df: DataFrame) -> DataFrame:
-        out = model.transform(prepare.transform(df)).withColumn("p", _padded(F.col("_prob")))
+        out = settle(model.transform(prepare.transform(df)), "p", _padded(F.col("_prob")))
         return out.drop("_raw_x", "_x", "_prob", "_rawp", "_pred")
     return Fitted(kind, features, score, {"model": model, "prepare": prepare})
 
@@ -123,7 +132,7 @@ def _binary_scores(models: list, df: DataFrame, out: str) -> DataFrame:
         m.setFeaturesCol("_x").setProbabilityCol(f"_b{i}").setRawPredictionCol("").setPredictionCol("")
         df = m.transform(df)
     probs = [F.get(vector_to_array(F.col(f"_b{i}")), F.lit(1)) for i in range(len(models))]
-    return df.select(*keep, F.array(*probs).alias(out))
+    return settle(df, out, F.array(*probs)).select(*keep, out)
 
 
 def _boosted(kind: str, train: DataFrame, features: list[str], params: dict, seed: int,
@@ -138,7 +147,7 @@ def _boosted(kind: str, train: DataFrame, features: list[str], params: dict, see
         out = _binary_scores(models, prepare.transform(df), "_one")
         floor = F.transform("_one", lambda v: F.greatest(v, F.lit(1e-9)))
         full = F.concat(floor, F.array_repeat(F.lit(0.0), K - F.size("_one")))
-        return out.withColumn("p", normalise(full)).drop("_raw_x", "_x", "_one")
+        return settle(out, "p", normalise(full)).drop("_raw_x", "_x", "_one")
     return Fitted(kind, features, score, {"models": models, "prepare": prepare})
 
 
@@ -247,10 +256,10 @@ def _calibrated(train, features, params, seed) -> Fitted:
             for k, curve in enumerate(curves):
                 df = curve.transform(df.withColumn("_v", F.get("_pi", F.lit(k)))).drop("_v")
             calibrated = F.array(*[F.greatest(F.col(f"_c{k}"), F.lit(0.0)) + 1e-9 for k in range(K)])
-            df = df.withColumn(f"_f{i}", normalise(calibrated)).drop("_pi", *[f"_c{k}" for k in range(K)])
+            df = settle(df, f"_f{i}", normalise(calibrated)).drop("_pi", *[f"_c{k}" for k in range(K)])
         mean = F.array(*[sum(F.get(f"_f{i}", F.lit(k)) for i in range(len(parts))) / len(parts)
                          for k in range(K)])
-        return df.select(*keep, mean.alias("p"))
+        return settle(df, "p", mean).select(*keep, "p")
     return Fitted("calibrated_gbt", features, score, {"folds": parts})
 
 
@@ -271,7 +280,7 @@ def _ordinal(train, features, params, seed) -> Fitted:
 
     def score(df: DataFrame) -> DataFrame:
         out = _binary_scores(models, prepare.transform(df), "_gt")
-        return out.withColumn("p", cumulative_to_class(F.col("_gt"))).drop("_x", "_gt")
+        return settle(out, "p", cumulative_to_class(F.col("_gt"))).drop("_x", "_gt")
     return Fitted("ordinal_cumulative", features, score, {"models": models, "prepare": prepare})
 
 
