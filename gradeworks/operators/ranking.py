@@ -2,7 +2,7 @@
 
 A group of at most ``per_range`` rows is ordered by a plain window. Where a count finds a larger
 one, its values are cut into ranges; each range is ordered on its own and shifted by the number of
-rows in the ranges before it. A value frequent enough to be a cut point has a range of its own.
+rows in the ranges before it. A value frequent enough to fill a range has one of its own.
 
 Counts and cut points come from eager summary jobs and enter the plan as literals, so every branch
 of a plan and every recomputed task sees the same ranges. ``keys`` must name a bounded set of groups
@@ -11,6 +11,7 @@ of a plan and every recomputed task sees the same ranges. ``keys`` must name a b
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -18,37 +19,39 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 PER_RANGE = 1_000_000
-MAX_RANGES = 1024
-TIE_RANGES = 64
-CHUNK = 32
-ACCURACY = 5000
+MAX_RANGES = 4096
+CHUNK = 64
 
 
 def _cuts(df: DataFrame, keys: Sequence[str], cols: Sequence[str], per_range: int) -> DataFrame | None:
-    """One row per group with the inner cut points of each column, or None if all groups are small.
+    """Per group: the distinct inner cut points of the order column, those values that fill whole
+    ranges, and the cut points of the tie column if there is one. None if all groups are small.
 
-    The second column of ``cols`` breaks ties only and gets fewer ranges.
+    A value that fills ``m`` ranges is split by the tie column into about ``m`` pieces, so a group
+    has at most 2 * MAX_RANGES pieces however its values are distributed.
     """
     sizes = df.groupBy(*keys).agg(F.count("*").alias("_rows"))
     largest = sizes.agg(F.max("_rows")).first()[0] or 0
     if largest <= per_range:
         return None
-    widths = [MAX_RANGES, TIE_RANGES][:len(cols)]
-    aggs = [F.percentile_approx(c, [i / w for i in range(1, w)], ACCURACY).alias(c)
-            for c, w in zip(cols, widths)]
-    summary = df.groupBy(*keys).agg(F.count("*").alias("_rows"), *aggs).collect()
+    width = min(MAX_RANGES, -(-largest // per_range))
+    probs = [i / width for i in range(1, width)]
+    quantiles = [F.percentile_approx(c, probs, max(1000, 4 * width)).alias(c) for c in cols]
     rows = []
-    for r in summary:
+    for r in df.groupBy(*keys).agg(*quantiles).collect():
         cells = []
-        for c, w in zip(cols, widths):
-            ranges = min(w, -(-r["_rows"] // per_range))
-            cuts = sorted({r[c][round(i * w / ranges) - 1] for i in range(1, ranges)})
+        for c in cols:
+            cuts = sorted(set(r[c]))
             cells += [cuts, cuts[CHUNK - 1::CHUNK]]
-        rows.append(tuple(r[k] for k in keys) + tuple(cells))
+        spans = Counter(r[cols[0]])
+        hot = sorted(v for v, m in spans.items() if m > 1)
+        rows.append((*[r[k] for k in keys], *cells, hot, [-(-width // spans[v]) for v in hot]))
     fields = [df.schema[k] for k in keys]
     for c in cols:
         kind = T.ArrayType(df.schema[c].dataType)
         fields += [T.StructField(f"_cuts_{c}", kind), T.StructField(f"_coarse_{c}", kind)]
+    fields += [T.StructField("_hot", T.ArrayType(df.schema[cols[0]].dataType)),
+               T.StructField("_step", T.ArrayType(T.IntegerType()))]
     return df.sparkSession.createDataFrame(rows, T.StructType(fields))
 
 
@@ -60,11 +63,6 @@ def _below(value: str) -> Column:
     return chunks * CHUNK + F.size(F.filter(inside, lambda c: c < v))
 
 
-def _is_cut(value: str) -> Column:
-    nxt = F.get(F.col(f"_cuts_{value}"), F.col("_below"))
-    return F.coalesce(nxt == F.col(value), F.lit(False))
-
-
 def _attach(df: DataFrame, small: DataFrame, on: Sequence[str]) -> DataFrame:
     """Null-safe inner join with a side whose size the caller has bounded."""
     right = small.select(*[F.col(c).alias(f"_r_{c}") if c in on else F.col(c) for c in small.columns])
@@ -75,10 +73,11 @@ def _attach(df: DataFrame, small: DataFrame, on: Sequence[str]) -> DataFrame:
 
 
 def _ranged(df: DataFrame, cuts: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
-    """Add ``_range``: 2 * (cuts below), plus 1 for a value that is a cut itself."""
+    """Add ``_range``: 2 * (cuts below), plus 1 for a value that fills ranges of its own, and
+    ``_at``, the place of such a value in the list of them (0 for all others)."""
     # the cuts were made on the driver: groups x MAX_RANGES values at most
-    placed = _attach(df, cuts, keys).withColumn("_below", _below(value))
-    return placed.withColumn("_range", 2 * F.col("_below") + _is_cut(value).cast("int")).drop("_below")
+    placed = _attach(df, cuts, keys).withColumn("_at", F.array_position("_hot", F.col(value)))
+    return placed.withColumn("_range", 2 * _below(value) + (F.col("_at") > 0).cast("int"))
 
 
 def _keyed(df: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, list[str]]:
@@ -90,7 +89,7 @@ def _keyed(df: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, list[str]]:
 
 def _shift(sizes: DataFrame, group: Sequence[str], order: Sequence[str]) -> DataFrame:
     """Rows before each range and in the whole group. The input has one row per range: at most
-    2 * MAX_RANGES * TIE_RANGES per group, so it is fit to broadcast."""
+    2 * MAX_RANGES per group, so it is fit to broadcast."""
     whole = Window.partitionBy(*group)
     prior = whole.orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return (sizes.withColumn("_shift", F.sum("_rows").over(prior) - F.col("_rows"))
@@ -139,9 +138,10 @@ def row_numbers(df: DataFrame, keys: Sequence[str], order: str, tie: str, *,
         out = base.withColumn(number, F.row_number().over(whole.orderBy(order, tie)).cast("long"))
         out = out.withColumn(total, F.count("*").over(whole))
         return out.filter(F.col(number).between(first, last)).drop("_all")
-    minor = F.when(F.col("_range") % 2 == 1, _below(tie)).otherwise(0)
+    step = F.get("_step", (F.col("_at") - 1).cast("int"))
+    minor = F.when(F.col("_at") > 0, F.floor(_below(tie) / step)).otherwise(0)
     ranged = _ranged(base, cuts, group, order).withColumn("_minor", minor).drop(
-        *[c for c in cuts.columns if c not in group])
+        "_at", *[c for c in cuts.columns if c not in group])
     place = [*group, "_range", "_minor"]
     shift = _shift(ranged.groupBy(*place).agg(F.count("*").alias("_rows")), group,
                    ["_range", "_minor"]).withColumnRenamed("total", total)

@@ -35,15 +35,16 @@ PAYLOAD = T.StructType([T.StructField("query", T.StructType([
 
 
 def read_raw(spark: SparkSession, paths: str | Sequence[str], keep_corrupt: bool = False) -> DataFrame:
-    """Raw JSON-lines records with the declared schema. Blank lines are skipped; broken lines are
-    dropped, or kept as text in ``_corrupt_record``."""
+    """Raw JSON-lines records with the declared schema. Blank lines are skipped. Lines that are no
+    JSON are dropped, or kept as text in ``_corrupt_record``; a record with one field of another
+    type stays, with that field null."""
     schema = T.StructType([*RAW.fields, T.StructField(CORRUPT, T.StringType())])
     paths = [paths] if isinstance(paths, str) else list(paths)
     df = spark.read.schema(schema).option("mode", "PERMISSIVE").option(
         "columnNameOfCorruptRecord", CORRUPT).json(paths)
     if keep_corrupt:
         return df
-    return df.filter(F.col(CORRUPT).isNull()).drop(CORRUPT)
+    return df.filter(F.col(CORRUPT).isNull() | F.col("pageid").isNotNull()).drop(CORRUPT)
 
 
 def write_raw(df: DataFrame, path: str, mode: str = "append") -> None:

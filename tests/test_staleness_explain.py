@@ -78,7 +78,7 @@ def test_corr_matrix_pairs_complete_rows(labelled, per_range):
     got = {(r["x"], r["y"]): r["spearman"] for r in profile.corr_matrix(labelled, ["copy", "noise", "gaps"], per_range=per_range).collect()}
     pdf = labelled.toPandas()
     for (x, y), v in got.items():
-        both = pdf[[x, y]].dropna()
+        both = pdf.dropna(subset=[x, y])
         want = np.corrcoef(both[x].rank(), both[y].rank())[0, 1]
         assert v == pytest.approx(round(want, 3), abs=1.1e-3)
     assert len(got) == 9
