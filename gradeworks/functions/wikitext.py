@@ -57,6 +57,10 @@ PLAIN_TEXT_STEPS = (
     ]
 )
 
+# Named entities that stand for one character, the ampersand last.
+ENTITIES = [("&nbsp;", "\u00a0"), ("&ndash;", "\u2013"), ("&mdash;", "\u2014"), ("&quot;", '"'),
+            ("&lt;", "<"), ("&gt;", ">"), ("&amp;", "&")]
+
 
 def _count(text: Column, pattern: str) -> Column:
     return F.regexp_count(text, F.lit(pattern))
@@ -137,9 +141,11 @@ def has_infobox(names: Column) -> Column:
 
 
 def plain_text(text: Column) -> Column:
-    """Markup-free text: the fixed replacement chain, then a trim."""
+    """Markup-free text: the fixed replacement chain, then entities, then a trim."""
     for pattern, repl in PLAIN_TEXT_STEPS:
         text = F.regexp_replace(text, pattern, repl)
+    for entity, char in ENTITIES:
+        text = F.replace(text, F.lit(entity), F.lit(char))
     return F.trim(text, F.lit(SPACES))
 
 

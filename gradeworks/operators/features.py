@@ -159,11 +159,12 @@ def split_sizes(df: DataFrame) -> DataFrame:
     return df.groupBy("split").agg(F.count("*").alias("n"))
 
 
-def attach_split(features: DataFrame, assignment: DataFrame, order: Column | None = None) -> DataFrame:
-    """Inner join of features and split assignment, one row per page on both sides."""
-    one = first_per_key(assignment.select("pageid", "split"), ["pageid"],
-                        order if order is not None else F.col("split"))
-    feats = features.dropDuplicates(["pageid"])
+def attach_split(features: DataFrame, assignment: DataFrame) -> DataFrame:
+    """Inner join of features and split assignment. Both sides are folded to one row per page
+    first (the least row), so a page lands in exactly one split."""
+    rest = [c for c in features.columns if c != "pageid"]
+    feats = first_per_key(features, ["pageid"], F.struct(*rest))
+    one = assignment.groupBy("pageid").agg(F.min("split").alias("split"))
     return feats.join(one, on="pageid", how="inner")
 
 

@@ -10,7 +10,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gradeworks.operators.ranking import (average_rank, cumulative_counts, exact_quantiles, spearman,
+from gradeworks.operators.ranking import (cumulative_counts, exact_quantiles, rank_columns, spearman,
                                           weighted_corr)
 from gradeworks.schemas import GRADES, grade_rank
 from gradeworks.session import write_table
@@ -159,13 +159,7 @@ def corr_matrix(df: DataFrame, features: list[str], **kw) -> DataFrame:
     sparse = [p for p in pairs if p not in dense]
     parts = []
     if dense:
-        long = wide.select(*full).unpivot([], full, "feature", "value")
-        ranks = write_table(cumulative_counts(long, ["feature"], "value", **kw).select(
-            "feature", "value", average_rank().alias("_r")), "ranks")
-        ranked = wide.select(*full)
-        for c in full:
-            one = ranks.filter(F.col("feature") == c).select(F.col("value").alias(c), F.col("_r").alias(f"_r_{c}"))
-            ranked = ranked.join(one, on=c, how="inner")
+        ranked = rank_columns(wide.select(*full), full, **kw)
         sums = ranked.withColumn("_w", F.lit(1)).agg(
             *[weighted_corr(f"_r_{a}", f"_r_{b}", "_w").alias(f"{a}|{b}") for a, b in dense])
         parts.append(sums.unpivot([], [f"{a}|{b}" for a, b in dense], "pair", "spearman"))

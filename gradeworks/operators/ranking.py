@@ -18,6 +18,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from gradeworks.session import write_table
+
 PER_RANGE = 1_000_000
 MAX_RANGES = 4096
 CHUNK = 64
@@ -181,6 +183,22 @@ def average_rank() -> Column:
     return F.col("before") + (F.col("n") + 1) / F.lit(2.0)
 
 
+def rank_columns(df: DataFrame, cols: Sequence[str], **kw) -> DataFrame:
+    """Add ``_r_<col>``, the average rank over all rows, for columns without gaps.
+
+    All columns are ranked as one long table, written once. Each rank then joins back on its value:
+    one row per value on that side, and adaptive skew handling splits a hot value on the other.
+    """
+    wide = df.select(*df.columns)
+    long = df.select(*[F.col(c).cast("double").alias(c) for c in cols]).unpivot([], list(cols), "column", "value")
+    ranks = write_table(cumulative_counts(long, ["column"], "value", **kw).select(
+        "column", "value", average_rank().alias("rank")), "ranks")
+    for c in cols:
+        one = ranks.filter(F.col("column") == c).select(F.col("value").alias(c), F.col("rank").alias(f"_r_{c}"))
+        wide = wide.join(one, on=c, how="inner")
+    return wide
+
+
 def spearman(df: DataFrame, keys: Sequence[str], x: str, y: str, **kw) -> DataFrame:
     """Spearman correlation of ``x`` and ``y`` per group over pairwise complete rows."""
     pairs = (

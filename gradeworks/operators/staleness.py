@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gradeworks.functions.probability import expected_distance
-from gradeworks.operators.ranking import row_numbers, spearman
+from gradeworks.operators.ranking import rank_columns, row_numbers, spearman, weighted_corr
 from gradeworks.session import write_table
 
 PROXIES = ["age_days", "days_since_edit", "edits_90d", "edits"]
@@ -24,8 +24,9 @@ def with_distance(df: DataFrame, p: str = "p", y: str = "y") -> DataFrame:
 def proxy_correlations(df: DataFrame, proxies: Sequence[str] = PROXIES, **kw) -> DataFrame:
     """Spearman of the distance with each proxy; a missing proxy counts as 0."""
     wide = df.select("d", *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in proxies])
-    long = wide.unpivot(["d"], list(proxies), "proxy", "value")
-    return spearman(long, ["proxy"], "d", "value", **kw)
+    ranked = rank_columns(wide, ["d", *proxies], **kw).withColumn("_w", F.lit(1))
+    sums = ranked.agg(F.count("*").alias("n"), *[weighted_corr("_r_d", f"_r_{c}", "_w").alias(c) for c in proxies])
+    return sums.unpivot(["n"], list(proxies), "proxy", "spearman")
 
 
 def grade_age(df: DataFrame, dates: DataFrame, as_of: Column) -> DataFrame:

@@ -29,7 +29,7 @@ CASE WHEN doc_id % 10 = 0 THEN '{{Featured article}}' || chr(10) ELSE '' END
 || CASE WHEN doc_id % 10 = 5 THEN '{{ good article |date=May 2020}}' || chr(10) ELSE '' END
 || CASE WHEN doc_id % 7 = 0 THEN '{{Citation needed|date=May 2020}}' || chr(10) ELSE '' END
 || '==History==' || chr(10)
-|| 'Links [[Target ' || (doc_id % 11) || '|label]] and [[File:Pic ' || (doc_id % 5)
+|| 'Links &amp; pictures: [[Target ' || (doc_id % 11) || '|label]] and [[File:Pic ' || (doc_id % 5)
 || '.jpg|thumb|A [[small]] map]] and [http://example.org/' || doc_id || ' Example].' || chr(10)
 || '* item one' || chr(10)
 || CASE WHEN doc_id % 3 = 0 THEN '# item two' || chr(10) ELSE '' END

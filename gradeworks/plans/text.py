@@ -12,6 +12,7 @@ from gradeworks.plans.registry import query
 from gradeworks.plans.shape import tidy
 from gradeworks.plans.twin_sql import TRIM, pattern, twin
 from gradeworks.schemas import CARRIED, FEATURES
+from gradeworks.session import write_table
 
 TEXT = "wikitext"
 
@@ -233,12 +234,16 @@ SLICE = f"""WITH d AS (SELECT doc_id, quality, len(regexp_extract_all(text, '\\S
 
 @query("flagship_quality_by_split", SLICE)
 def flagship(spark, sf):
-    """Documents with labels: text counts, an exact stratified split, a profile per label and split."""
-    docs = b.spread(b.table(spark, sf, "documents").select("doc_id", "text"))
-    labelled = docs.join(b.table(spark, sf, "labels").select("doc_id", "quality"), on="doc_id")
+    """Documents with labels: text counts, an exact stratified split, a profile per label and split.
+
+    Texts are read once and shrink to three counts before anything is joined or shuffled.
+    """
     text = F.col("text")
-    counted = labelled.select("doc_id", "quality", w.word_count(text).alias("words"), w.sentence_count(text).alias("sentences"),
-                              F.length(w.lead(text)).alias("lead"))
-    parts = feats.stratified_split(counted, "quality", "doc_id")
+    docs = b.spread(b.table(spark, sf, "documents").select("doc_id", "text"))
+    counted = docs.select("doc_id", w.word_count(text).alias("words"), w.sentence_count(text).alias("sentences"),
+                          F.length(w.lead(text)).alias("lead"))
+    labels = b.table(spark, sf, "labels").select("doc_id", "quality")
+    narrow = write_table(counted.join(labels, on="doc_id"), "counts")
+    parts = feats.stratified_split(narrow, "quality", "doc_id")
     means = parts.groupBy("quality", "split").agg(F.count("*").alias("rows"), F.avg("words").alias("mean_words"), F.avg("lead").alias("mean_lead"))
     return tidy(means.join(exact_quantiles(parts, ["quality", "split"], "sentences", {"p50_sentences": 0.5}), on=["quality", "split"]))

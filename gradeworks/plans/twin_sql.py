@@ -21,6 +21,8 @@ def plain_text(col: str) -> str:
     for p, repl in w.PLAIN_TEXT_STEPS:
         repl = repl.replace("$1", "\\1").replace("\n", "' || chr(10) || '")
         col = f"regexp_replace({col}, {pattern(p)}, '{repl}', 'g')"
+    for entity, char in w.ENTITIES:
+        col = f"replace({col}, '{entity}', '{char}')"
     return f"trim({col}, ' ' || chr(9) || chr(10) || chr(13))"
 
 

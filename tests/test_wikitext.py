@@ -81,6 +81,11 @@ def test_sentences(spark, text, n):
     assert _value(spark, w.sentence_count, text) == n
 
 
+def test_entities(spark):
+    assert _value(spark, w.plain_text, "10&nbsp;km &amp;lt; A&ndash;B") == "10\u00a0km &lt; A\u2013B"
+    assert _value(spark, lambda t: w.word_count(w.plain_text(t)), "10&nbsp;km") == 2
+
+
 def test_template_names(spark):
     got = _value(spark, w.template_names, "{{ Template:Foo\n|a={{BAR}}}} {{baz|x}}")
     assert got == ["foo", "bar", "baz"]
