@@ -1,42 +1,48 @@
 """Classifiers over feature tables: one registry, one fitted form that adds probability arrays.
 
-A training table has the feature columns and an integer label ``y`` in 0..K-1. ``fit`` returns a
-:class:`Fitted`, whose ``score`` adds ``p``, an array of K class probabilities.
+A training table has the feature columns and an integer label ``y`` in 0..K-1 (and ``pageid`` where
+folds are cut). ``fit`` returns a :class:`Fitted`, whose ``score`` adds ``p``, an array of K class
+probabilities. A form says how the parts of a model make a score; ``save`` and ``load`` store the parts.
 """
 
 from __future__ import annotations
 
+import json
 import random
 from collections.abc import Callable, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
-from pyspark.ml import Pipeline
+from pyspark.ml import Model, Pipeline, PipelineModel
 from pyspark.ml.classification import (GBTClassifier, LogisticRegression,
                                        MultilayerPerceptronClassifier, OneVsRest,
                                        RandomForestClassifier)
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import IsotonicRegression
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gradeworks.functions.probability import (argmax, cumulative_to_class, normalise,
                                               soft_target_rows)
 from gradeworks.schemas import K
 
-Score = Callable[[DataFrame], DataFrame]
+Score = Callable[[dict, DataFrame], DataFrame]
+FORMS: dict[str, Score] = {}
 
 
 @dataclass
 class Fitted:
-    """A trained model: what it is and how it scores a table."""
+    """A trained model: its kind, its form, its inputs and its parts."""
 
     kind: str
+    form: str
     features: list[str]
-    score: Score
     parts: dict = field(default_factory=dict)
 
+    def score(self, df: DataFrame) -> DataFrame:
+        return FORMS[self.form](self.parts, df)
+
 
 Builder = Callable[[DataFrame, list[str], dict, int], Fitted]
 BUILDERS: dict[str, Builder] = {}
@@ -67,6 +73,14 @@ def load_plugins(plugins: dict[str, Callable[[], object]]) -> dict[str, str]:
     return status
 
 
+def form(name: str):
+    """Register how a form's parts score a table."""
+    def add(fn: Score) -> Score:
+        FORMS[name] = fn
+        return fn
+    return add
+
+
 def settle(df: DataFrame, name: str, value: Column) -> DataFrame:
     """Add a column whose expression the optimizer will not copy into later references.
 
@@ -110,11 +124,13 @@ def _simple(kind: str, estimator, train: DataFrame, features: list[str], scale:
     if weight:
         estimator = estimator.setWeightCol(weight)
     model = estimator.fit(data)
+    return Fitted(kind, "single", features, {"model": model, "prepare": prepare})
+
 
-    def score(df: DataFrame) -> DataFrame:
-        out = settle(model.transform(prepare.transform(df)), "p", _padded(F.col("_prob")))
-        return out.drop("_raw_x", "_x", "_prob", "_rawp", "_pred")
-    return Fitted(kind, features, score, {"model": model, "prepare": prepare})
+@form("single")
+def _score_single(parts: dict, df: DataFrame) -> DataFrame:
+    out = settle(parts["model"].transform(parts["prepare"].transform(df)), "p", _padded(F.col("_prob")))
+    return out.drop("_raw_x", "_x", "_prob", "_rawp", "_pred")
 
 
 def _gbt(params: dict, seed: int) -> GBTClassifier:
@@ -141,14 +157,15 @@ def _boosted(kind: str, train: DataFrame, features: list[str], params: dict, see
     prepare = _assembled(features, scale).fit(train)
     data = _training(prepare, train)
     ovr = OneVsRest(classifier=_gbt(params, seed), featuresCol="_x", labelCol="y", parallelism=K)
-    models = ovr.fit(data).models
+    return Fitted(kind, "per_class", features, {"models": ovr.fit(data).models, "prepare": prepare})
 
-    def score(df: DataFrame) -> DataFrame:
-        out = _binary_scores(models, prepare.transform(df), "_one")
-        floor = F.transform("_one", lambda v: F.greatest(v, F.lit(1e-9)))
-        full = F.concat(floor, F.array_repeat(F.lit(0.0), K - F.size("_one")))
-        return settle(out, "p", normalise(full)).drop("_raw_x", "_x", "_one")
-    return Fitted(kind, features, score, {"models": models, "prepare": prepare})
+
+@form("per_class")
+def _score_per_class(parts: dict, df: DataFrame) -> DataFrame:
+    out = _binary_scores(parts["models"], parts["prepare"].transform(df), "_one")
+    floor = F.transform("_one", lambda v: F.greatest(v, F.lit(1e-9)))
+    full = F.concat(floor, F.array_repeat(F.lit(0.0), K - F.size("_one")))
+    return settle(out, "p", normalise(full)).drop("_raw_x", "_x", "_one")
 
 
 def majority_class(train: DataFrame) -> DataFrame:
@@ -159,9 +176,12 @@ def majority_class(train: DataFrame) -> DataFrame:
 
 @register("majority")
 def _majority(train, features, params, seed) -> Fitted:
-    top = majority_class(train).first()["majority"]
-    onehot = F.array(*[F.lit(1.0 if k == top else 0.0) for k in range(K)])
-    return Fitted("majority", features, lambda df: df.withColumn("p", onehot), {"majority": top})
+    return Fitted("majority", "constant", features, {"grade": majority_class(train).first()["majority"]})
+
+
+@form("constant")
+def _score_constant(parts: dict, df: DataFrame) -> DataFrame:
+    return df.withColumn("p", F.array(*[F.lit(1.0 if k == parts["grade"] else 0.0) for k in range(K)]))
 
 
 def _log_uniform(rng: random.Random, lo: float, hi: float) -> float:
@@ -247,20 +267,23 @@ def _calibrated(train, features, params, seed) -> Fitted:
         return base, curves
 
     with ThreadPoolExecutor(folds) as pool:
-        parts = list(pool.map(one, range(folds)))
+        fitted = list(pool.map(one, range(folds)))
+    parts = {f"base{i}": base for i, (base, _) in enumerate(fitted)}
+    parts |= {f"curves{i}": curves for i, (_, curves) in enumerate(fitted)}
+    return Fitted("calibrated_gbt", "calibrated", features, {"folds": folds, **parts})
 
-    def score(df: DataFrame) -> DataFrame:
-        keep = df.columns
-        for i, (base, curves) in enumerate(parts):
-            df = base.score(df).withColumnRenamed("p", "_pi")
-            for k, curve in enumerate(curves):
-                df = curve.transform(df.withColumn("_v", F.get("_pi", F.lit(k)))).drop("_v")
-            calibrated = F.array(*[F.greatest(F.col(f"_c{k}"), F.lit(0.0)) + 1e-9 for k in range(K)])
-            df = settle(df, f"_f{i}", normalise(calibrated)).drop("_pi", *[f"_c{k}" for k in range(K)])
-        mean = F.array(*[sum(F.get(f"_f{i}", F.lit(k)) for i in range(len(parts))) / len(parts)
-                         for k in range(K)])
-        return settle(df, "p", mean).select(*keep, "p")
-    return Fitted("calibrated_gbt", features, score, {"folds": parts})
+
+@form("calibrated")
+def _score_calibrated(parts: dict, df: DataFrame) -> DataFrame:
+    keep, folds = df.columns, parts["folds"]
+    for i in range(folds):
+        df = parts[f"base{i}"].score(df).withColumnRenamed("p", "_pi")
+        for k, curve in enumerate(parts[f"curves{i}"]):
+            df = curve.transform(df.withColumn("_v", F.get("_pi", F.lit(k)))).drop("_v")
+        calibrated = F.array(*[F.greatest(F.col(f"_c{k}"), F.lit(0.0)) + 1e-9 for k in range(K)])
+        df = settle(df, f"_f{i}", normalise(calibrated)).drop("_pi", *[f"_c{k}" for k in range(K)])
+    mean = F.array(*[sum(F.get(f"_f{i}", F.lit(k)) for i in range(folds)) / folds for k in range(K)])
+    return settle(df, "p", mean).select(*keep, "p")
 
 
 @register("ordinal_cumulative", lambda r: {"depth": r.randint(3, 7), "iterations": r.randint(100, 600),
@@ -277,11 +300,13 @@ def _ordinal(train, features, params, seed) -> Fitted:
     with ThreadPoolExecutor(K - 1) as pool:
         models = list(pool.map(one, range(K - 1)))
     data.unpersist()
+    return Fitted("ordinal_cumulative", "cumulative", features, {"models": models, "prepare": prepare})
+
 
-    def score(df: DataFrame) -> DataFrame:
-        out = _binary_scores(models, prepare.transform(df), "_gt")
-        return settle(out, "p", cumulative_to_class(F.col("_gt"))).drop("_x", "_gt")
-    return Fitted("ordinal_cumulative", features, score, {"models": models, "prepare": prepare})
+@form("cumulative")
+def _score_cumulative(parts: dict, df: DataFrame) -> DataFrame:
+    out = _binary_scores(parts["models"], parts["prepare"].transform(df), "_gt")
+    return settle(out, "p", cumulative_to_class(F.col("_gt"))).drop("_x", "_gt")
 
 
 STACK_BASES = {"xgboost": {}, "lightgbm": {}, "histgb": {}, "random_forest": {"min_leaf": 2}}
@@ -296,15 +321,10 @@ def _stacking(train, features, params, seed) -> Fitted:
     meta_cols = [f"m_{b}_{k}" for b in bases for k in range(K)]
     folded = with_fold(train, folds, seed)
 
-    def add_base(df: DataFrame, name: str, model: Fitted) -> DataFrame:
-        scored = model.score(df)
-        cols = [F.get("p", F.lit(k)).alias(f"m_{name}_{k}") for k in range(K)]
-        return scored.select(*df.columns, *cols)
-
     def one(i: int) -> DataFrame:
         held = folded.filter(F.col("_fold") == i)
         for name, p in bases.items():
-            held = add_base(held, name, fit(name, folded.filter(F.col("_fold") != i), features, p, seed))
+            held = _add_base(held, name, fit(name, folded.filter(F.col("_fold") != i), features, p, seed))
         return held.select(*keep, *meta_cols)
 
     with ThreadPoolExecutor(folds) as pool:
@@ -313,14 +333,21 @@ def _stacking(train, features, params, seed) -> Fitted:
     for part in parts[1:]:
         stacked = stacked.unionByName(part)
     meta = fit("logreg", stacked, meta_cols, {"C": params.get("meta_C", 1.0)}, seed)
-    full = {name: fit(name, train, features, p, seed) for name, p in bases.items()}
+    full = {f"base_{name}": fit(name, train, features, p, seed) for name, p in bases.items()}
+    return Fitted("stacking", "stacked", features, {"bases": list(bases), "meta": meta, **full})
+
 
-    def score(df: DataFrame) -> DataFrame:
-        out = df
-        for name, model in full.items():
-            out = add_base(out, name, model)
-        return meta.score(out).drop(*meta_cols)
-    return Fitted("stacking", features, score, {"bases": full, "meta": meta})
+def _add_base(df: DataFrame, name: str, model: Fitted) -> DataFrame:
+    cols = [F.get("p", F.lit(k)).alias(f"m_{name}_{k}") for k in range(K)]
+    return model.score(df).select(*df.columns, *cols)
+
+
+@form("stacked")
+def _score_stacked(parts: dict, df: DataFrame) -> DataFrame:
+    out = df
+    for name in parts["bases"]:
+        out = _add_base(out, name, parts[f"base_{name}"])
+    return parts["meta"].score(out).select(*df.columns, "p")
 
 
 @register("distilled", lambda r: {"trees": r.randint(20, 60), "depth": r.randint(2, 5),
@@ -344,3 +371,36 @@ def fidelity(student: Fitted, df: DataFrame) -> DataFrame:
     taught = student.parts["teacher"].score(df).withColumn("_t", argmax(F.col("p"))).drop("p")
     both = student.score(taught)
     return both.agg(F.count("*").alias("n"), F.avg((argmax(F.col("p")) == F.col("_t")).cast("double")).alias("fidelity"))
+
+
+def save(fitted: Fitted, path: str, spark: SparkSession) -> None:
+    """Store a model under ``path``: its parts as saved Spark models, the rest as one JSON line."""
+    plain, kept = {}, {}
+    for name, part in fitted.parts.items():
+        if name == "teacher":
+            continue  # only needed to measure the student
+        if isinstance(part, Fitted):
+            save(part, f"{path}/{name}", spark)
+            kept[name] = "fitted"
+        elif isinstance(part, list) and part and isinstance(part[0], Model):
+            PipelineModel(stages=part).write().save(f"{path}/{name}")
+            kept[name] = "models"
+        elif isinstance(part, Model):
+            PipelineModel(stages=[part]).write().save(f"{path}/{name}")
+            kept[name] = "model"
+        else:
+            plain[name] = part
+    about = {"kind": fitted.kind, "form": fitted.form, "features": fitted.features, "plain": plain, "kept": kept}
+    spark.createDataFrame([(json.dumps(about),)], "value string").coalesce(1).write.text(f"{path}/about")
+
+
+def load(path: str, spark: SparkSession) -> Fitted:
+    about = json.loads(spark.read.text(f"{path}/about").first()["value"])
+    parts = dict(about["plain"])
+    for name, how in about["kept"].items():
+        if how == "fitted":
+            parts[name] = load(f"{path}/{name}", spark)
+        else:
+            stages = PipelineModel.load(f"{path}/{name}").stages
+            parts[name] = stages if how == "models" else stages[0]
+    return Fitted(about["kind"], about["form"], about["features"], parts)

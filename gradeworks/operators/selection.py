@@ -11,10 +11,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gradeworks.functions.probability import argmax, expected_round
-from gradeworks.operators.learners import SPACES, Fitted, fit
+from gradeworks.operators.learners import SPACES, Fitted, fit, save
 from gradeworks.operators.metrics import accuracy, macro_f1, qwk
 from gradeworks.operators.ranking import row_numbers
-from gradeworks.schemas import K
 
 # Model ladder, training seeds, margin of the second rung.
 RUNGS = {"rung0": ["majority", "logreg"],
@@ -47,9 +46,11 @@ def fit_score(kind: str, train: DataFrame, valid: DataFrame, features: list[str]
                     "wall_s": round(time.monotonic() - start, 2)}
 
 
-def runs_frame(spark, runs: Sequence[dict]) -> DataFrame:
-    names = [c.split(" ")[0] for c in RUN_SCHEMA.split(", ")]
-    return spark.createDataFrame([tuple(r[c] for c in names) for r in runs], RUN_SCHEMA)
+def runs_frame(spark, runs: Sequence[dict], extra: Sequence[str] = ()) -> DataFrame:
+    """Runs as a table, one row per fit; ``extra`` names further text fields."""
+    schema = ", ".join([RUN_SCHEMA, *[f"{c} string" for c in extra]])
+    names = [c.split(" ")[0] for c in schema.split(", ")]
+    return spark.createDataFrame([tuple(r[c] for c in names) for r in runs], schema)
 
 
 def param_search(kind: str, train: DataFrame, valid: DataFrame, features: list[str], trials: int = 5,
@@ -80,22 +81,22 @@ def select_best(candidates: DataFrame, margin: float = RUNG2_MARGIN) -> DataFram
     return per_rung.select("rung", "kind").unionByName(arm.select(F.lit("overall").alias("rung"), "kind"))
 
 
-def train_all(train: DataFrame, valid: DataFrame, features: list[str], configs: dict[str, tuple[str, dict]],
-              seeds: Sequence[int] = SEEDS, parallelism: int = 4) -> DataFrame:
-    """Every config with every seed; the result is a runs table."""
-    jobs = [(name, kind, params, s) for name, (kind, params) in configs.items() for s in seeds]
+def train_all(train: DataFrame, valid: DataFrame, features: list[str], configs: dict[str, tuple],
+              seeds: Sequence[int] = SEEDS, parallelism: int = 4, save_to: str | None = None) -> DataFrame:
+    """Every config with every seed; the result is a runs table. A config is (kind, settings) and
+    maybe its own feature list. With ``save_to`` the models are stored by config and seed."""
+    jobs = [(name, *c, s) for name, c in configs.items() for s in seeds]
 
     def one(job) -> dict:
-        name, kind, params, s = job
-        return {**fit_score(kind, train, valid, features, params, s)[1], "config": name}
+        name, kind, params, *own, s = job
+        fitted, row = fit_score(kind, train, valid, own[0] if own else features, params, s)
+        if save_to:
+            save(fitted, f"{save_to}/{name}_s{s}", train.sparkSession)
+        return {**row, "config": name}
 
     with ThreadPoolExecutor(parallelism) as pool:
         runs = list(pool.map(one, jobs))
-    frame = runs_frame(train.sparkSession, runs)
-    names = train.sparkSession.createDataFrame(
-        [(r["kind"], r["seed"], r["params"], r["config"]) for r in runs],
-        "kind string, seed int, params string, config string")
-    return frame.join(names.dropDuplicates(), on=["kind", "seed", "params"])
+    return runs_frame(train.sparkSession, runs, ["config"])
 
 
 def nested_sample(train: DataFrame, seed: int, label: str = "y", key: str = "pageid") -> DataFrame:

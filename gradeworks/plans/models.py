@@ -13,6 +13,7 @@ from gradeworks.functions.probability import argmax
 from gradeworks.operators import explain, learners, metrics, portable, selection, text_models
 from gradeworks.operators.profile import median_map
 from gradeworks.plans import bindings as b
+from gradeworks.plans.assembly import scratch
 from gradeworks.plans.registry import query
 from gradeworks.plans.shape import tidy
 from gradeworks.plans.twin_sql import twin
@@ -110,7 +111,8 @@ def select_best(spark, sf):
 
 
 CONFIGS = {"rung0_majority": ("majority", {}), "rung0_logreg": ("logreg", {"max_iter": 20}),
-           "rung1_rf": ("random_forest", FOREST)}
+           "rung1_rf": ("random_forest", FOREST), "rung1_catboost": ("catboost", SMALL),
+           "metadata_noH": ("random_forest", FOREST, [c for c in FEATURES if c not in HISTORY_LIKE])}
 
 
 @query("M16_train_all")
@@ -139,7 +141,6 @@ def _text_model(spark, sf) -> learners.Fitted:
     if key not in _fitted:
         train = _texts(spark, sf).filter(F.col("split") == "train")
         _fitted[key] = text_models.fit_text(train, "wikitext", buckets=1 << 10, max_iter=10)
-        _fitted[key].features = ["wikitext"]
     return _fitted[key]
 
 
@@ -178,13 +179,18 @@ def curve_bands(spark, sf):
 @query("M21_leak_ablation")
 def leak_ablation(spark, sf):
     fitted = _text_model(spark, sf)
-    on_text = learners.Fitted("text", ["text"], lambda df: fitted.score(df.withColumnRenamed("text", "wikitext")))
+    on_text = learners.Fitted("text", "text", ["text"], {**fitted.parts, "text": "text"})
     return tidy(text_models.leak_ablation(on_text, _texts(spark, sf).filter(F.col("split") == "test")))
 
 
 @query("M22_batch_score")
 def batch_score(spark, sf):
-    models = {k: model(spark, sf, *v) for k, v in {"majority": ("majority",), "forest": ("random_forest", FOREST)}.items()}
+    """Every stored model is loaded again and scores the test partition."""
+    store = scratch(spark, "models")
+    for name, settings in {"majority": ("majority",), "forest": ("random_forest", FOREST),
+                           "ordinal": ("ordinal_cumulative", SMALL)}.items():
+        learners.save(model(spark, sf, *settings), f"{store}/{name}", spark)
+    models = {name: learners.load(f"{store}/{name}", spark) for name in ("majority", "forest", "ordinal")}
     out = selection.batch_score(models, b.part_of(spark, sf, "test"))
     return out.withColumn("probs", F.array_join(F.transform("probs", lambda v: v.cast("string")), "|"))
 

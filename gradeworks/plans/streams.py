@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
 
 from gradeworks.plans import bindings as b
 from gradeworks.plans.assembly import raw_json, scratch

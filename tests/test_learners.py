@@ -31,8 +31,11 @@ def majority_f1(table):
 
 
 @pytest.mark.parametrize("kind", list(SETTINGS))
-def test_learner(kind, table, majority_f1):
-    scored = learners.fit(kind, table, COLS, SETTINGS[kind], 42).score(table).select("y", "p")
+def test_learner(kind, spark, table, majority_f1, tmp_path):
+    fitted = learners.fit(kind, table, COLS, SETTINGS[kind], 42)
+    learners.save(fitted, str(tmp_path / kind), spark)
+    scored = learners.load(str(tmp_path / kind), spark).score(table).select("y", "p")
+    assert scored.orderBy("y", "p").head(5) == fitted.score(table).select("y", "p").orderBy("y", "p").head(5)
     bad = F.abs(F.aggregate("p", F.lit(0.0), lambda a, v: a + v) - 1) > 1e-6
     odd = scored.filter(bad | (F.size("p") != K) | (F.array_min("p") < 0)).count()
     f1 = metrics.all_metrics(scored.withColumn("pred", argmax(F.col("p")))).first()["macro_f1"]
