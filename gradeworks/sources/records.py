@@ -12,6 +12,7 @@ from gradeworks.operators.ranking import first_per_key
 from gradeworks.schemas import RAW, grade_rank
 
 CORRUPT = "_corrupt_record"
+GRADE_DIR = "grade_dir"
 
 PAGE = T.StructType([
     T.StructField("pageid", T.LongType()),
@@ -34,22 +35,26 @@ PAYLOAD = T.StructType([T.StructField("query", T.StructType([
     T.StructField("pages", T.MapType(T.StringType(), PAGE))]))])
 
 
-def read_raw(spark: SparkSession, paths: str | Sequence[str], keep_corrupt: bool = False) -> DataFrame:
+def read_raw(spark: SparkSession, paths: str | Sequence[str], keep_corrupt: bool = False,
+             grade: str | None = None) -> DataFrame:
     """Raw JSON-lines records with the declared schema. Blank lines are skipped. Lines that are no
     JSON are dropped, or kept as text in ``_corrupt_record``; a record with one field of another
-    type stays, with that field null."""
+    type stays, with that field null. In a store written by :func:`write_raw`, ``grade`` reads that
+    grade's folder only."""
     schema = T.StructType([*RAW.fields, T.StructField(CORRUPT, T.StringType())])
     paths = [paths] if isinstance(paths, str) else list(paths)
     df = spark.read.schema(schema).option("mode", "PERMISSIVE").option(
         "columnNameOfCorruptRecord", CORRUPT).json(paths)
+    if grade is not None:
+        df = df.filter(F.col(GRADE_DIR if GRADE_DIR in df.columns else "label") == grade)
     if keep_corrupt:
-        return df
-    return df.filter(F.col(CORRUPT).isNull() | F.col("pageid").isNotNull()).drop(CORRUPT)
+        return df.select(*RAW.names, CORRUPT)
+    return df.filter(F.col(CORRUPT).isNull() | F.col("pageid").isNotNull()).select(*RAW.names)
 
 
 def write_raw(df: DataFrame, path: str, mode: str = "append") -> None:
     """One folder per grade, so a grade's records prune by path."""
-    df.withColumn("grade_dir", F.col("label")).write.mode(mode).partitionBy("grade_dir").json(path)
+    df.withColumn(GRADE_DIR, F.col("label")).write.mode(mode).partitionBy(GRADE_DIR).json(path)
 
 
 def existing_keys(records: DataFrame, grade: str | None = None) -> DataFrame:

@@ -39,6 +39,10 @@ def test_append_skips_stored_keys(spark, tmp_path):
     got = records.read_raw(spark, store)
     assert sorted((r["pageid"], r["label"]) for r in got.collect()) == [(1, "B"), (2, "B"), (3, "B")]
     assert records.existing_keys(got, "B").count() == 3
+    one = records.read_raw(spark, store, grade="B")
+    assert one.schema.names == RAW.names and one.count() == 3
+    assert "PartitionFilters: [isnotnull(grade_dir" in one._jdf.queryExecution().toString()
+    assert records.read_raw(spark, store, grade="FA").count() == 0
 
 
 def test_frozen(spark, tmp_path):
