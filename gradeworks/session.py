@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
 
+_own_dir: dict[str, str] = {}
+
 
 def build_session(app: str = "gradeworks", master: str | None = None,
                   shuffle_partitions: int | None = None) -> SparkSession:
@@ -32,13 +34,12 @@ def build_session(app: str = "gradeworks", master: str | None = None,
 def shared_dir(spark: SparkSession) -> str:
     """The cluster's shared folder; a temporary one only for a local master that names none."""
     path = spark.conf.get(CHECKPOINT_KEY, None) or spark.sparkContext.getConf().get(CHECKPOINT_KEY)
+    path = path or _own_dir.get(spark.sparkContext.applicationId)
     if path:
         return path.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError(f"set {CHECKPOINT_KEY} to a folder every executor can reach")
-    path = tempfile.mkdtemp(prefix="gradeworks-")
-    spark.conf.set(CHECKPOINT_KEY, path)
-    return path
+    return _own_dir.setdefault(spark.sparkContext.applicationId, tempfile.mkdtemp(prefix="gradeworks-"))
 
 
 def write_table(df: DataFrame, name: str) -> DataFrame:
