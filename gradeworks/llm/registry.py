@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from gradeworks.llm import quality_rules, twins
+from gradeworks.llm import packing, quality_rules, sharding, twins
 
 
 def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -16,8 +17,21 @@ def op2_quality_rules(spark: SparkSession, sf: str) -> DataFrame:
     return quality_rules.judge(_table(spark, sf, "documents"))
 
 
+def op5_sharding(spark: SparkSession, sf: str) -> DataFrame:
+    """All documents in 16 shards of near equal bytes, equal texts together."""
+    placed = sharding.shard(_table(spark, sf, "documents"))
+    return placed.withColumn("law", F.lit("bytes")).withColumn("grown_shard", F.lit(None).cast("int"))
+
+
+def op7_packing(spark: SparkSession, sf: str) -> DataFrame:
+    """All documents in sequences of at most 2048 tokens."""
+    return packing.pack(_table(spark, sf, "documents"))
+
+
 QUERIES = {
     "op2_quality_rules": op2_quality_rules,
+    "op5_sharding": op5_sharding,
+    "op7_packing": op7_packing,
 }
 
 TWINS = {
