@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gradeworks.llm import packing, quality_rules, sharding, twins
+from gradeworks.llm import ngram_join, packing, quality_rules, sharding, twins
 
 
 def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -23,6 +23,11 @@ def op5_sharding(spark: SparkSession, sf: str) -> DataFrame:
     return placed.withColumn("law", F.lit("bytes")).withColumn("grown_shard", F.lit(None).cast("int"))
 
 
+def op6_ngram_jaccard_join(spark: SparkSession, sf: str) -> DataFrame:
+    """Components of documents whose 3-word shingles have a Jaccard coefficient of 0.9 or more."""
+    return ngram_join.join_components(_table(spark, sf, "documents"))
+
+
 def op7_packing(spark: SparkSession, sf: str) -> DataFrame:
     """All documents in sequences of at most 2048 tokens."""
     return packing.pack(_table(spark, sf, "documents"))
@@ -31,6 +36,7 @@ def op7_packing(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES = {
     "op2_quality_rules": op2_quality_rules,
     "op5_sharding": op5_sharding,
+    "op6_ngram_jaccard_join": op6_ngram_jaccard_join,
     "op7_packing": op7_packing,
 }
 
