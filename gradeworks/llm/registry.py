@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gradeworks.llm import ngram_join, packing, quality_rules, sharding, twins
+from gradeworks.llm import ngram_join, packing, quality_rules, sharding, suffix_dedup, twins
 
 
 def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -33,11 +33,18 @@ def op7_packing(spark: SparkSession, sf: str) -> DataFrame:
     return packing.pack(_table(spark, sf, "documents"))
 
 
+def op8_suffix_array_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    """What remains of every document without 50-byte strings that start in an earlier one."""
+    done = suffix_dedup.remove_repeats(_table(spark, sf, "documents"), suffix_dedup.sha256)
+    return done.select("row.doc_id", "n_bytes", "n_removed", "n_spans", F.col("kept").alias("kept_sha256"))
+
+
 QUERIES = {
     "op2_quality_rules": op2_quality_rules,
     "op5_sharding": op5_sharding,
     "op6_ngram_jaccard_join": op6_ngram_jaccard_join,
     "op7_packing": op7_packing,
+    "op8_suffix_array_dedup": op8_suffix_array_dedup,
 }
 
 TWINS = {
