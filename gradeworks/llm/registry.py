@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gradeworks.llm import ngram_join, packing, quality_rules, sharding, suffix_dedup, twins
+from gradeworks.llm import decontamination, html_text, ngram_join, packing, quality_rules, sharding, suffix_dedup, twins
 
 
 def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -39,12 +39,24 @@ def op8_suffix_array_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return done.select("row.doc_id", "n_bytes", "n_removed", "n_spans", F.col("kept").alias("kept_sha256"))
 
 
+def op9_decontamination(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents that hold benchmark items, with scores and overlaps."""
+    return decontamination.find_leaks(_table(spark, sf, "documents"), _table(spark, sf, "benchmark"))
+
+
+def op10_html_extraction(spark: SparkSession, sf: str) -> DataFrame:
+    """The main text of every page."""
+    return html_text.extract(_table(spark, sf, "pages"))
+
+
 QUERIES = {
     "op2_quality_rules": op2_quality_rules,
     "op5_sharding": op5_sharding,
     "op6_ngram_jaccard_join": op6_ngram_jaccard_join,
     "op7_packing": op7_packing,
     "op8_suffix_array_dedup": op8_suffix_array_dedup,
+    "op9_decontamination": op9_decontamination,
+    "op10_html_extraction": op10_html_extraction,
 }
 
 TWINS = {
