@@ -221,3 +221,12 @@ def join_components(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     full = index.filter("n > 0").join(named, ["high", "low"]).select("key", "n", "component_id")
     none = index.filter("n = 0").select("key", "n", F.col("key").alias("component_id"))
     return full.union(none).select(F.col("key").alias(key), F.col("n").alias("n_shingles"), "component_id")
+
+
+def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of the smallest key of each component, with all columns; rows without shingles stay, and so do
+    all rows of null key. Rows that repeat a kept key are one document and stay together."""
+    found = join_components(docs, key, text, width, percent)
+    gone = found.filter(~F.col(key).eqNullSafe(F.col("component_id")) & F.col(key).isNotNull())
+    gone = write_table(gone.select(F.col(key).alias("gone_key")).distinct(), "near-copies")
+    return docs.join(gone, docs[key] == gone["gone_key"], "left_anti")

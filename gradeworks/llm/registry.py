@@ -2,16 +2,56 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gradeworks.llm import decontamination, html_text, ngram_join, packing, quality_rules, sharding, suffix_dedup, twins
+from gradeworks.llm import chat, decontamination, html_text, ngram_join, packing, quality_rules, sharding, suffix_dedup, token_counts, twins, warc
+from gradeworks.session import shared_dir, write_table
 
 
 def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def _folder(spark: SparkSession, name: str) -> str:
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def op1_warc(spark: SparkSession, sf: str) -> DataFrame:
+    """All pages written to archives and read back through the index."""
+    folder = _folder(spark, "warc")
+    pages = _table(spark, sf, "pages")
+    index = warc.write_archives(pages, folder)
+    back = warc.read_records(index, folder, payloads=False)
+    kind = pages.schema["page_id"].dataType
+    return back.select(F.col("key").cast(kind).alias("page_id"), "payload_bytes", "payload_digest", "record_type",
+                       F.col("refers_to").cast(kind).alias("refers_to"))
+
+
+def op3_chat_formatting(spark: SparkSession, sf: str) -> DataFrame:
+    """Maximal conversations, rendered."""
+    return chat.format_chats(_table(spark, sf, "conversations"))
+
+
+def op4_token_counts(spark: SparkSession, sf: str) -> DataFrame:
+    """Totals after loading all documents (delivered twice), deleting exact copies and counting a closing
+    id in every remaining document."""
+    counts = write_table(token_counts.count_tokens(_table(spark, sf, "documents")), "token-counts")
+    rollup = token_counts.TokenRollup(spark, _folder(spark, "rollup"))
+    copies = write_table(token_counts.copies(counts), "token-copies")
+    rollup.commit("load", token_counts.inserted(counts))
+    rollup.commit("load", token_counts.inserted(counts))
+    rollup.commit("copies", token_counts.deleted(copies))
+    longer = token_counts.inserted(counts).withColumn("old_tokens", F.col("new_tokens")).withColumn(
+        "new_tokens", F.col("new_tokens") + 1)
+    taken_back = token_counts.deleted(copies).withColumn("new_tokens", F.col("old_tokens")).withColumn(
+        "old_tokens", F.col("old_tokens") + 1)
+    rollup.commit("closing", longer.unionByName(taken_back))
+    return rollup.totals()
+
+
 def op2_quality_rules(spark: SparkSession, sf: str) -> DataFrame:
     """Measures and verdict of every document."""
     return quality_rules.judge(_table(spark, sf, "documents"))
@@ -50,7 +90,10 @@ def op10_html_extraction(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_warc": op1_warc,
     "op2_quality_rules": op2_quality_rules,
+    "op3_chat_formatting": op3_chat_formatting,
+    "op4_token_counts": op4_token_counts,
     "op5_sharding": op5_sharding,
     "op6_ngram_jaccard_join": op6_ngram_jaccard_join,
     "op7_packing": op7_packing,
@@ -60,5 +103,7 @@ QUERIES = {
 }
 
 TWINS = {
+    "op1_warc": twins.OP1,
     "op2_quality_rules": twins.OP2,
+    "op3_chat_formatting": twins.OP3,
 }

@@ -353,7 +353,7 @@ def _body_hash(text: str) -> Column:
 
 def remove_repeats(docs: DataFrame, digest: Callable[[bytes], str], key: str = "doc_id", text: str = "text",
                    length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """Every row (as struct ``row``) with ``n_bytes``, ``n_removed``, ``n_spans`` and ``kept``, what ``digest``
+    """Every row (as struct ``row``, without its text) with ``has_text``, ``n_bytes``, ``n_removed``, ``n_spans`` and ``kept``, what ``digest``
     makes of the remaining bytes."""
     found = repeated_ranges(docs, key, text, length, gram).groupBy("key", "body_hash").agg(
         F.collect_list(F.struct("start", "windows")).alias("found"))
@@ -361,8 +361,8 @@ def remove_repeats(docs: DataFrame, digest: Callable[[bytes], str], key: str = "
         F.struct(*[c for c in docs.columns if c != text]).alias("row"), F.col(text).alias("body"),
         F.coalesce(F.col(key).cast("long"), F.lit(_LAST)).alias("key"), _body_hash(text).alias("body_hash"))
     kind = rows.schema["row"].dataType.simpleString()
-    return rows.join(found, ["key", "body_hash"], "left").select("row", "body", "found").mapInArrow(
-        _cut(length, digest, ["row"]), f"row {kind}, n_bytes long, n_removed long, n_spans long, kept string")
+    return rows.join(found, ["key", "body_hash"], "left").select("row", F.isnotnull("body").alias("has_text"), "body", "found").mapInArrow(
+        _cut(length, digest, ["row", "has_text"]), f"row {kind}, has_text boolean, n_bytes long, n_removed long, n_spans long, kept string")
 
 
 def sha256(data: bytes) -> str:
@@ -372,3 +372,12 @@ def sha256(data: bytes) -> str:
 def readable(data: bytes) -> str:
     """The kept bytes as text; characters that lost a part of their bytes go."""
     return data.decode("utf-8", "ignore")
+
+
+def clean(docs: DataFrame, key: str = "doc_id", text: str = "text", chars: str = "n_chars") -> DataFrame:
+    """All columns with what remains of ``text`` and its length in ``chars`` (where there is such a column); rows
+    that lose everything go, rows that had no text stay."""
+    done = remove_repeats(docs, readable, key, text).filter("n_removed < n_bytes or n_bytes = 0")
+    left = F.when((F.col("n_removed") > 0) | F.col("has_text"), F.col("kept"))
+    new = {text: left, chars: F.char_length(left).cast("long")}
+    return done.select(*[new.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns])

@@ -2,6 +2,24 @@
 
 from __future__ import annotations
 
+OP1 = """
+WITH p AS (
+  SELECT page_id, encode(coalesce(html, '')) AS payload FROM pages
+), bits AS (
+  SELECT page_id, octet_length(payload)::BIGINT AS payload_bytes, sha1(payload) AS hash,
+    bit::VARCHAR AS b FROM (SELECT *, unhex(sha1(payload))::BIT AS bit FROM p)
+), named AS (
+  SELECT page_id, payload_bytes, max(page_id) OVER (PARTITION BY hash) AS response,
+    array_to_string([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + list_sum([
+      (substr(b, 5 * k + j + 1, 1) = '1')::INT * (16 >> j) for j in range(0, 5)])::INT, 1) for k in range(0, 32)], '') AS payload_digest
+  FROM bits
+)
+SELECT page_id, payload_bytes, payload_digest,
+  CASE WHEN page_id = response THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id = response THEN NULL ELSE response END AS refers_to
+FROM named
+"""
+
 OP2 = r"""
 WITH d AS (
   SELECT doc_id, coalesce(text, '') AS t,
@@ -41,3 +59,23 @@ SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
     AND 100 * (word_chars - kept_chars) <= 30 * word_chars AS kept
 FROM m
 """
+
+OP3 = """
+WITH t AS (
+  SELECT DISTINCT conv_id, turn, role, text FROM conversations
+), said AS (
+  SELECT *, row_number() OVER w AS pos, count(*) OVER (PARTITION BY conv_id) AS n,
+    string_agg(md5(concat_ws('|', role IS NULL, coalesce(role, ''), text IS NULL, coalesce(text, ''))), '')
+      OVER (w ROWS UNBOUNDED PRECEDING) AS prefix
+  FROM t WINDOW w AS (PARTITION BY conv_id ORDER BY turn, role, text)
+), last AS (
+  SELECT prefix, min(conv_id) AS conv_id, count(*) AS copies FROM said WHERE pos = n GROUP BY prefix
+), kept AS (
+  SELECT conv_id, copies FROM last
+  WHERE NOT EXISTS (SELECT 1 FROM said WHERE said.pos < said.n AND said.prefix = last.prefix)
+)
+SELECT conv_id, turn // 1024 AS part, count(*) AS n_turns, any_value(copies) AS copies,
+  string_agg('<|im_start|>' || coalesce(role, 'unknown') || chr(10) || replace(coalesce(text, ''), '<|', '< |')
+    || '<|im_end|>' || chr(10), '' ORDER BY pos) AS text
+FROM said JOIN kept USING (conv_id) GROUP BY conv_id, turn // 1024
+"""
