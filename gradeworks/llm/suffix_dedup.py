@@ -71,9 +71,9 @@ def _gram_hashes(data: np.ndarray, gram: int) -> np.ndarray:
     return _mixed(total[:len(data) - gram + 1])
 
 
-def runs(data: bytes, length: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts, window counts and anchor hashes of the runs of ``data`` (at most SEGMENT windows)."""
-    raw = np.frombuffer(data, "uint8")
+def runs(raw: np.ndarray, ends: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts, window counts and anchor hashes of the runs of the texts that stand one after another in
+    ``raw`` (at most 2**24 bytes) and end at ``ends``. No window crosses an end."""
     hashes = _gram_hashes(raw, gram)
     least = (hashes & ~_POSITION) | np.arange(len(hashes), dtype="uint64")
     width, have = length - gram + 1, 1
@@ -82,20 +82,47 @@ def runs(data: bytes, length: int, gram: int) -> tuple[np.ndarray, np.ndarray, n
         least = np.minimum(least[:len(least) - step], least[step:])
         have += step
     anchors = (least & _POSITION).astype("int64")
+    for k in range(1, length):  # no window starts so near to an end
+        at = ends - k
+        anchors[at[(at >= 0) & (at < len(anchors))]] = -1
     starts = np.flatnonzero(np.append(True, anchors[1:] != anchors[:-1]))
-    return starts, np.diff(np.append(starts, len(anchors))), hashes[anchors[starts]]
+    counts = np.diff(np.append(starts, len(anchors)))
+    real = anchors[starts] >= 0
+    return starts[real], counts[real], hashes[anchors[starts[real]]]
 
 
-def segments(data: bytes, length: int) -> Iterator[tuple[int, bytes]]:
-    """Overlapping parts of ``data`` that hold each window once."""
-    for start in range(0, len(data) - length + 1, SEGMENT):
-        yield start, data[start:start + SEGMENT + length - 1]
+def gathered(texts: pa.Array, length: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """The bytes of ``texts`` in stretches of about SEGMENT: bytes, ends of the parts, their rows and their
+    offsets. A text longer than that is cut into parts that overlap, so each window is in one part."""
+    parts, size = [], 0
+
+    def joined() -> tuple:
+        raw = np.frombuffer(b"".join(p[2] for p in parts), "uint8")
+        return raw, np.cumsum([len(p[2]) for p in parts]), np.array([p[0] for p in parts]), np.array([p[1] for p in parts])
+
+    for row, data in enumerate(_bytes(texts)):
+        for offset in range(0, len(data) - length + 1, SEGMENT):
+            parts.append((row, offset, data[offset:offset + SEGMENT + length - 1]))
+            size += len(parts[-1][2])
+            if size >= SEGMENT:
+                yield joined()
+                parts, size = [], 0
+    if parts:
+        yield joined()
 
 
 def _bytes(column: pa.Array) -> list[bytes]:
     return [b"" if t is None else t for t in column.cast(pa.binary()).to_pylist()]
 
 
+def _repeats(first: np.ndarray) -> np.ndarray:
+    """Places of the values that occur twice or more, ordered by value."""
+    order = np.argsort(first)
+    value = first[order]
+    new = np.append(True, value[1:] != value[:-1])
+    return order[~(new & np.append(new[1:], True))]
+
+
 _RANGES = ["key", "body_hash", "start", "windows"]
 _RANGE_TYPES = "key long, body_hash long, start long, windows long"
 _PACKED = ["bucket", "known", "docs", "bodies", "doc", "places", "counts", "anchors", "contents"]
@@ -127,13 +154,14 @@ def _sampled(length: int, gram: int, buckets: int):
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             parts = []
-            for row, data in enumerate(_bytes(batch.column("body"))):
-                for offset, part in segments(data, length):
-                    starts, counts, hashes = runs(part, length, gram)
-                    ends = (starts + counts + length - 1).tolist()
-                    contents = np.fromiter((xxhash.xxh3_64_intdigest(part[a:b]) for a, b in zip(
-                        starts.tolist(), ends, strict=True)), "uint64", len(starts))
-                    parts.append((np.full(len(starts), row), starts + offset, counts, hashes, contents))
+            for raw, ends, rows, offsets in gathered(batch.column("body"), length):
+                starts, counts, hashes = runs(raw, ends, length, gram)
+                data = raw.tobytes()
+                contents = np.fromiter((xxhash.xxh3_64_intdigest(data[a:b]) for a, b in zip(
+                    starts.tolist(), (starts + counts + length - 1).tolist(), strict=True)), "uint64", len(starts))
+                part = np.searchsorted(ends, starts, side="right")
+                begin = np.append(0, ends[:-1])[part]
+                parts.append((rows[part], starts - begin + offsets[part], counts, hashes, contents))
             if not parts:
                 continue
             c = dict(zip(("row", "start", "count", "anchor", "content"),
@@ -141,11 +169,12 @@ def _sampled(length: int, gram: int, buckets: int):
             c["keys"] = batch.column("key").fill_null(_LAST).to_numpy()
             c["bodies"] = batch.column("body_hash").to_numpy()
             owner = c["keys"][c["row"]]
-            order = np.lexsort((owner, c["content"], c["anchor"]))
-            fresh = np.append(True, (np.diff(c["anchor"][order]) != 0) | (np.diff(c["content"][order]) != 0))
-            first = np.empty(len(order), "int64")
-            first[order] = owner[order][np.flatnonzero(fresh)][np.cumsum(fresh) - 1]
-            gone = owner > first
+            gone = np.zeros(len(owner), bool)
+            order = _repeats(c["anchor"])
+            if len(order):
+                order = order[np.lexsort((owner[order], c["content"][order], c["anchor"][order]))]
+                fresh = np.append(True, (np.diff(c["anchor"][order]) != 0) | (np.diff(c["content"][order]) != 0))
+                gone[order] = owner[order] > owner[order][np.flatnonzero(fresh)][np.cumsum(fresh) - 1]
             out = []
             bucket = ((c["anchor"] >> np.uint64(16)) % np.uint64(buckets)).astype("int64")
             stay = np.flatnonzero(~gone)
@@ -191,7 +220,10 @@ def _settled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             continue
         parts = [(*unpacked(r), _unplaned(r["anchors"], 6), _unplaned(r["contents"], 5)) for r in rows]
         keys, bodies, start, count, anchor, content = map(np.concatenate, zip(*parts, strict=True))
-        order = np.lexsort((keys, content, anchor))
+        order = _repeats(anchor)
+        if not len(order):
+            continue
+        order = order[np.lexsort((keys[order], content[order], anchor[order]))]
         keys, bodies, start, count, anchor, content = (
             x[order] for x in (keys, bodies, start, count, anchor, content))
         new_anchor = np.append(True, np.diff(anchor) != 0)
@@ -255,49 +287,55 @@ def _contexts(length: int):
     return read
 
 
-def repeated_windows(pieces: list[bytes], keys: np.ndarray, length: int) -> Iterator[tuple[int, int, int]]:
-    """(piece, first window, windows) of each run of windows that also start in a piece of a smaller key."""
-    text = np.frombuffer(b"\x00".join(pieces) + b"\x00", "uint8").astype("int16") + 1
-    sizes = np.array([len(p) for p in pieces])
-    heads = np.cumsum(sizes + 1) - sizes - 1
-    text[heads + sizes] = 0
-    order = suffix_order(text, length)
-    owner = np.repeat(np.arange(len(pieces)), sizes + 1)
+def repeated_windows(pieces: pa.BinaryArray, keys: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Piece, first window and number of windows of each run of windows that also start in a piece of a
+    smaller key."""
+    edges = np.frombuffer(pieces.buffers()[1], "int32")[pieces.offset:pieces.offset + len(pieces) + 1].astype("int64")
+    sizes = np.diff(edges)
+    owner = np.repeat(np.arange(len(sizes)), sizes + 1)
+    heads = edges[:-1] - edges[0] + np.arange(len(sizes))
+    text = np.zeros(len(owner), "int16")  # a separator ends each piece
+    inner = np.ones(len(owner), bool)
+    inner[heads + sizes] = False
+    text[inner] = np.frombuffer(pieces.buffers()[2], "uint8")[edges[0]:edges[-1]].astype("int16") + 1
     place = np.arange(len(text)) - heads[owner]
+    order = suffix_order(text, length)
     order = order[(place + length <= sizes[owner])[order]]
-    if not len(order):
-        return
-    group = np.cumsum(~common_runs(text, order, length)) - 1
-    least = np.minimum.reduceat(keys[owner[order]], np.flatnonzero(np.diff(group, prepend=-1)))
-    gone = np.zeros(len(text), bool)
-    gone[order] = keys[owner[order]] > least[group]
-    edges = np.flatnonzero(np.diff(np.concatenate([[0], gone, [0]]).astype("int8")))
-    for a, b in zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True):
-        yield int(owner[a]), int(place[a]), b - a
+    gone = np.zeros(len(text) + 2, bool)
+    if len(order):
+        group = np.cumsum(~common_runs(text, order, length)) - 1
+        least = np.minimum.reduceat(keys[owner[order]], np.flatnonzero(np.diff(group, prepend=-1)))
+        gone[1 + order] = keys[owner[order]] > least[group]
+    turns = np.flatnonzero(gone[1:] != gone[:-1])
+    a, b = turns[::2], turns[1::2]
+    return owner[a], place[a], b - a
 
 
 def _induced(length: int):
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows: list[dict] = []
-        size = 0
-
-        def solved() -> pa.RecordBatch:
-            open_ = [r for r in rows if r["piece"] is not None]
-            hit = [(r["key"], r["body_hash"], r["start"], r["windows"]) for r in rows if r["piece"] is None]
-            if len(open_) > 1:
-                keys = np.array([r["key"] for r in open_], "int64")
-                for i, a, n in repeated_windows([r["piece"] for r in open_], keys, length):
-                    hit.append((open_[i]["key"], open_[i]["body_hash"], open_[i]["start"] + a, n))
-            columns = list(zip(*hit, strict=True)) if hit else [()] * 4
-            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=_RANGES)
-
-        for _, group in _grouped(batches, "gathering"):
-            rows += group
-            size += sum(len(r["piece"] or b"") + 1 for r in group)
-            if size > _GATHER:
-                yield solved()
-                rows, size = [], 0
-        yield solved()
+        held: list[pa.RecordBatch] = []
+
+        def solved(batch: pa.RecordBatch) -> pa.RecordBatch:
+            known = batch.filter(batch.column("piece").is_null())
+            open_ = batch.filter(batch.column("piece").is_valid())
+            keys, bodies, start = (open_.column(c).to_numpy() for c in _RANGES[:3])
+            piece, first, n = repeated_windows(open_.column("piece"), keys, length) if len(keys) > 1 else ([], 0, [])
+            columns = [keys[piece], bodies[piece], start[piece] + first, n] if len(piece) else [np.empty(0, "int64")] * 4
+            return pa.RecordBatch.from_arrays(
+                [pa.array(np.concatenate([known.column(name).to_numpy(), x])) for name, x in zip(_RANGES, columns, strict=True)],
+                names=_RANGES)
+
+        for batch in batches:
+            held.append(batch)
+            if sum(b.column("piece").nbytes for b in held) > _GATHER:
+                whole = pa.concat_batches(held)
+                gathering = whole.column("gathering").to_numpy()
+                cut = int(np.searchsorted(gathering, gathering[-1]))  # the last one may go on
+                if cut:
+                    yield solved(whole.slice(0, cut))
+                held = [whole.slice(cut)]
+        if held:
+            yield solved(pa.concat_batches(held))
 
     return read
 
