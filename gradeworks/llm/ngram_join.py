@@ -1,19 +1,22 @@
 """Similarity join of documents on the Jaccard coefficient of their word n-grams.
 
-T-occurrence search in three steps, each exact:
+T-occurrence search, with the search space cut into families first; every step is exact:
 
 1. Documents with equal shingle sets form a class, and classes are joined instead of documents.
-2. The inverted index. Two sets of similarity ``percent`` share a shingle of their prefixes in any common
-   order of shingles. The order used puts a fixed sixth of the hash space first, by rising length of the
-   inverted lists there, so prefixes hold the shortest lists. Only prefixes are listed, and a
-   class whose prefix is made of lists of its own drops out. What shares a prefix list forms a family.
-3. Inside a family DivideSkip: for each set the short lists are merged and counted, the longest ``L`` are
-   set aside, what occurs ``T - L`` times is probed in them by binary search, and a pair is kept if its
-   exact overlap reaches the bound. Pairs that already hang together are not looked at again. Families
-   are cut into blocks by hash and each pair of blocks is one task's work, so no family has to fit in one.
-
-The links found span every component; ``components`` follows them. Shingles are compared by 64-bit hashes
-and classes by 128 bits.
+2. Families. Two sets of the required similarity differ in at most d shingles. Their shingles are dealt by
+   hash into more than d groups, so one group is equal in both. Sizes have classes of ratio sqrt(2), each with its
+   d; a set near its class's end is also dealt for the next. Hashes of whole groups go, packed, to buckets, which
+   keep those that occur twice. Sets with an equal group are then compared by their parity sketches (one bit
+   for each shingle or so): two sketches differ in no more bits than the sets differ in shingles, so a pair with
+   more differing bits than that cannot be similar. What remains connected is a family.
+3. Inside a family DivideSkip: for each set the short inverted lists are merged and counted, the longest ``L``
+   are set aside, what occurs ``T - L`` times is probed in them by binary search, and a pair is kept if its
+   exact overlap reaches the bound. Pairs that already hang together are not looked at again. Lists of
+   equal groups and families are cut into blocks by hash, and each pair of blocks is one task's work, so none
+   has to fit in one task.
+
+The links found span every component; ``components`` follows them. Shingles and groups are compared by 64-bit
+hashes and classes by 128 bits. ``percent`` must be 71 or more (one size class to the next).
 
 Defined results: a text without words, also null or empty, has no shingles and links with nothing; a text
 with fewer words than a shingle is one shingle; repeated rows are members of one class and null ids count as
@@ -23,6 +26,7 @@ gives an empty table. Only ``key`` and ``text`` are read, so other columns canno
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,7 +39,8 @@ from gradeworks.llm.components import components
 from gradeworks.session import write_table
 
 BLOCK = 96
-_FIRST = np.uint64((1 << 64) // 6)
+LIST_BLOCK = 256
+BUCKET_BYTES = 32 << 20
 _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9))
 
 
@@ -59,37 +64,160 @@ def shingles(text: str | None, width: int) -> np.ndarray:
     return np.unique(out)
 
 
-def prefix_length(n: int, percent: int) -> int:
-    return n - (n * percent + 99) // 100 + 1
+def size_classes(n: int, percent: int) -> list[int]:
+    """The size classes in which a set of ``n`` shingles can meet a partner."""
+    j = math.ceil(2 * math.log2(n) - 1e-9)
+    return [j, j + 1] if n * 100 > percent * 2 ** (j / 2) * (1 - 1e-9) else [j]
 
 
-def _index(width: int, percent: int):
+def group_hashes(s: np.ndarray, size_class: int, percent: int) -> np.ndarray:
+    """Hashes of the groups of sorted set ``s``. Similar sets of the class have at least one in common."""
+    apart = int(2 * 2 ** (size_class / 2) * (100 - percent) / (100 + percent) + 1e-9)
+    groups = apart + 1 + -(-(apart + 1) // 12)
+    dealt = ((s >> np.uint64(32)) * np.uint64(groups)) >> np.uint64(32)
+    heads = np.flatnonzero(np.append(True, dealt[1:] != dealt[:-1]))
+    sums = np.add.reduceat(_mixed(s), heads)
+    names = dealt[heads]
+    if groups - len(heads) > groups - apart - 1:  # else one of the equal groups is not empty
+        empty = np.setdiff1d(np.arange(groups, dtype="uint64"), names)
+        names, sums = np.append(names, empty), np.append(sums, np.zeros(len(empty), "uint64"))
+    return _mixed(sums + _mixed(names * np.uint64(64) + np.uint64(size_class)))
+
+
+def sketch(s: np.ndarray) -> bytes:
+    """Parities of the shingles in as many cells as the power of two from their number on, 64 at least."""
+    cells = max(64, 1 << (len(s) - 1).bit_length())
+    odd = np.bincount(((s * _MIX[1]) >> np.uint64(20)).astype("int64") & (cells - 1), minlength=cells) & 1
+    return np.packbits(odd.astype("uint8"), bitorder="little").tobytes()
+
+
+def _planes(values: np.ndarray, width: int) -> bytes:
+    """Numbers as byte planes, low bytes first, which compress well."""
+    return values.astype("<u8").view("uint8").reshape(-1, 8)[:, :width].T.tobytes()
+
+
+def _unplaned(raw: bytes, width: int) -> np.ndarray:
+    planes = np.frombuffer(raw, "uint8").reshape(width, -1)
+    out = np.zeros((planes.shape[1], 8), "uint8")
+    out[:, :width] = planes.T
+    return out.reshape(-1).view("<u8")
+
+
+_ROW = ["key", "body_hash", "n", "high", "low", "sketch"]
+_SENT = ["bucket", *_ROW, "nodes", "owners", "groups"]
+
+
+def _index(width: int, percent: int, buckets: int):
+    """A row for each document, and the group hashes of each batch's distinct sets packed by bucket."""
+
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes, high, low, spare, lists = [], [], [], [], []
+            sizes, high, low, sketches, owners, hashes = [], [], [], [], [], []
+            nodes: dict[int, int] = {}
             for text in batch.column("body").to_pylist():
                 s = shingles(text, width)
                 n = len(s)
                 signature = xxhash.xxh3_128_intdigest(s.tobytes())
+                node = (signature >> 64) - (1 << 63)
                 sizes.append(n)
-                high.append((signature >> 64) - (1 << 63))
+                high.append(node)
                 low.append((signature & ((1 << 64) - 1)) - (1 << 63))
-                # A smaller set can reach the similarity with its equals only.
-                p = prefix_length(n, percent) if n * (100 - percent) >= percent else 0
-                m = max(p, int(np.searchsorted(s, _FIRST))) if p else 0
-                spare.append(m - p)
-                lists.append(s[:m].view("int64"))
-            offsets = np.concatenate([[0], np.cumsum([len(x) for x in lists])]).astype("int32")
-            flat = np.concatenate(lists) if lists else np.empty(0, "int64")
+                joins = n * (100 - percent) >= percent  # a smaller set can reach the similarity with its equals only
+                sketches.append(sketch(s) if joins else None)
+                if joins and node not in nodes:
+                    nodes[node] = len(nodes)
+                    for j in size_classes(n, percent):
+                        found = group_hashes(s, j, percent)
+                        hashes.append(found)
+                        owners.append(np.full(len(found), nodes[node]))
+            rows = batch.num_rows
+            numbers = pa.array(high, pa.int64())
+            yield pa.RecordBatch.from_arrays(
+                [pa.array((np.array(low, "int64") & 0x7FFFFFFF) % buckets, pa.int64()), batch.column("key"), batch.column("body_hash"),
+                 pa.array(sizes, pa.int64()), numbers, pa.array(low, pa.int64()), pa.array(sketches, pa.binary()),
+                 *(pa.nulls(rows, pa.binary()) for _ in range(3))], names=_SENT)
+            if not hashes:
+                continue
+            hashes, owners = np.concatenate(hashes), np.concatenate(owners)
+            names = np.array(list(nodes), "int64")
+            bucket = ((hashes >> np.uint64(16)) % np.uint64(buckets)).astype("int64")
+            order = np.argsort(bucket, kind="stable")
+            out = []
+            for some in np.split(order, np.flatnonzero(np.diff(bucket[order])) + 1):
+                mine, at = np.unique(owners[some], return_inverse=True)
+                out.append((int(bucket[some[0]]), names[mine].tobytes(), _planes(at, 4), _planes(hashes[some], 6)))
+            columns = list(zip(*out, strict=True))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("key"), batch.column("body_hash"), pa.array(sizes, pa.int64()),
-                 pa.array(high, pa.int64()), pa.array(low, pa.int64()), pa.array(spare, pa.int64()),
-                 pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))],
-                names=["key", "body_hash", "n", "high", "low", "spare", "tokens"])
+                [pa.array(columns[0], pa.int64()), *(pa.nulls(len(out), batch.schema.field("key").type if c == "key" else (
+                    pa.binary() if c == "sketch" else pa.int64())) for c in _ROW), *(pa.array(c, pa.binary()) for c in columns[1:])],
+                names=_SENT)
 
     return read
 
 
+def _equal_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The documents' rows, and (``group``, ``high``) of every group hash that different sets have."""
+
+    def lists(bucket: int, rows: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
+        nodes = np.concatenate([np.frombuffer(r[0], "int64")[_unplaned(r[1], 4).astype("int64")] for r in rows])
+        group = np.concatenate([_unplaned(r[2], 6) for r in rows])
+        order = np.argsort(group)
+        new = np.append(True, np.diff(group[order]) != 0)
+        order = order[~(new & np.append(new[1:], True))]
+        order = order[np.lexsort((nodes[order], group[order]))]
+        nodes, group = nodes[order], group[order]
+        fresh = np.append(True, (np.diff(nodes) != 0) | (np.diff(group) != 0))[:len(nodes)]
+        nodes, group = nodes[fresh], group[fresh]
+        new = np.append(True, np.diff(group) != 0)[:len(group)]
+        several = ~(new & np.append(new[1:], True)[:len(group)])
+        return _mixed(group[several] + np.uint64(bucket * 0x9E3779B97F4A7C15 % (1 << 64))).view("int64"), nodes[several]
+
+    def made(schema: pa.Schema, bucket: int, rows: list[tuple]) -> pa.RecordBatch:
+        group, nodes = lists(bucket, rows)
+        by_name = {"group": pa.array(group), "high": pa.array(nodes)}
+        return pa.RecordBatch.from_arrays(
+            [by_name.get(c, pa.nulls(len(nodes), schema.field(c).type if c != "group" else pa.int64())) for c in ["group", *_ROW]],
+            names=["group", *_ROW])
+
+    now, rows, schema = None, [], None
+    for batch in batches:
+        schema = batch.schema
+        plain = batch.filter(batch.column("nodes").is_null())
+        yield pa.RecordBatch.from_arrays(
+            [pa.nulls(plain.num_rows, pa.int64()), *(plain.column(c) for c in _ROW)], names=["group", *_ROW])
+        packed = batch.filter(batch.column("nodes").is_valid())
+        for bucket, *row in zip(*(packed.column(c).to_pylist() for c in ("bucket", "nodes", "owners", "groups")), strict=True):
+            if bucket != now and rows:
+                yield made(schema, now, rows)
+                rows = []
+            now = bucket
+            rows.append(tuple(row))
+    if rows:
+        yield made(schema, now, rows)
+
+
+def compatible_links(nodes: np.ndarray, sides: np.ndarray, sizes: np.ndarray, sketches: list[bytes], percent: int) -> list[tuple[int, int]]:
+    """Links that span the pairs whose sketches do not rule them out."""
+    least = min(map(len, sketches))
+    bits = np.zeros((len(sketches), least), "uint8")
+    for i, raw in enumerate(sketches):  # a longer sketch folds to the parities of fewer cells
+        bits[i] = np.bitwise_xor.reduce(np.frombuffer(raw, "uint8").reshape(-1, least), axis=0)
+    bits = bits.view("uint64")
+    crossing = sides.min() != sides.max()
+    root, found = np.arange(len(nodes)), []
+    for x in range(len(nodes) - 1):
+        others = np.flatnonzero(root != root[x])
+        others = others[others > x]
+        if crossing:
+            others = others[sides[others] != sides[x]]
+        apart = np.bitwise_count(bits[others] ^ bits[x]).sum(axis=1, dtype="int64")
+        for y in others[apart * (100 + percent) <= (sizes[others] + sizes[x]) * (100 - percent)].tolist():
+            if root[y] != root[x]:
+                found.append((int(nodes[x]), int(nodes[y])))
+                root[root == root[y]] = root[x]
+    return found
+
+
 def _whole_sets(width: int):
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -149,73 +277,93 @@ def divide_skip(nodes: list[int], sides: list[int], sets: list[np.ndarray], perc
     return found
 
 
-def _search(percent: int):
-    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def links(group: dict) -> list[tuple[int, int]]:
-            if len(group) < 2:
-                return []
-            sides, sets = zip(*group.values(), strict=True)
-            return divide_skip(list(group), list(sides), [np.frombuffer(s, "uint64") for s in sets], percent)
+def _by_cell(names: list[str], columns: list[str], links):
+    """Links of each cell (rows with equal ``names``, sorted)."""
 
-        now, group = None, {}
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, rows = None, []
         for batch in batches:
             found = []
-            columns = (batch.column(c).to_pylist() for c in ("family", "i", "j", "row", "block", "shingles"))
-            for family, i, j, row, block, sets in zip(*columns, strict=True):
-                if (family, i, j) != now:
-                    found += links(group)
-                    now, group = (family, i, j), {}
-                group[row] = (block, sets)
-            yield pa.RecordBatch.from_pydict(
-                {"u": pa.array([x[0] for x in found], pa.int64()), "v": pa.array([x[1] for x in found], pa.int64())})
-        found = links(group)
-        yield pa.RecordBatch.from_pydict(
-            {"u": pa.array([x[0] for x in found], pa.int64()), "v": pa.array([x[1] for x in found], pa.int64())})
+            cells = zip(*(batch.column(c).to_pylist() for c in names), strict=True)
+            for cell, *row in zip(cells, *(batch.column(c).to_pylist() for c in columns), strict=True):
+                if cell != now:
+                    found += links(rows) if len(rows) > 1 else []
+                    now, rows = cell, []
+                rows.append(row)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], names=["u", "v"])
+        found = links(rows) if len(rows) > 1 else []
+        yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], names=["u", "v"])
 
     return read
 
 
-def _families(index: DataFrame, classes: DataFrame) -> DataFrame:
-    """``row`` and ``family`` of every class that shares a prefix list with another."""
-    listed = index.filter(F.size("tokens") > 0).join(classes.select("row"), "row").select(
-        "row", "spare", F.explode("tokens").alias("token"))
-    lists = listed.groupBy("token").agg(F.count("*").alias("length")).filter("length > 1")
-    shared = listed.join(lists, "token").groupBy("row", "spare").agg(
-        F.sort_array(F.collect_list(F.struct("length", "token"))).alias("lists"))
-    prefixes = write_table(shared.filter(F.size("lists") > F.col("spare")).select(
-        "row", F.explode(F.slice("lists", F.lit(1), F.size("lists") - F.col("spare").cast("int"))).alias("x")).select(
-        "row", F.col("x.token").alias("token")), "prefixes")
-    hubs = prefixes.groupBy("token").agg(F.min("row").alias("hub"), F.count("*").alias("c")).filter("c > 1")
-    near = prefixes.join(hubs, "token").filter("row <> hub").select("row", "hub")
-    return components(near, "row", "hub").select(
-        F.col("node").alias("row"), F.col("component").alias("family"))
-
-
-def join_components(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 3,
-                    percent: int = 90, block: int = BLOCK) -> DataFrame:
+def _sketched(percent: int):
+    def links(rows: list) -> list[tuple[int, int]]:
+        nodes, sides, sizes, sketches = zip(*rows, strict=True)
+        return compatible_links(np.array(nodes), np.array(sides), np.array(sizes), list(sketches), percent)
+
+    return _by_cell(["group", "i", "j"], ["high", "block", "n", "sketch"], links)
+
+
+def _searched(percent: int):
+    def links(rows: list) -> list[tuple[int, int]]:
+        rows = list({r[0]: r for r in rows}.values())  # repeated rows of one id and text
+        if len(rows) < 2:
+            return []
+        nodes, sides, sets = zip(*rows, strict=True)
+        return divide_skip(list(nodes), list(sides), [np.frombuffer(s, "uint64") for s in sets], percent)
+
+    return _by_cell(["family", "i", "j"], ["row", "block", "shingles"], links)
+
+
+def _cells(rows: DataFrame, group: str, name: str, block: int) -> DataFrame:
+    """Each row in the cells of its block: a group of b blocks has a cell for each pair of them."""
+    sizes = rows.groupBy(group).agg(F.ceil(F.count("*") / block).alias("blocks")).filter("blocks > 1")
+    split = rows.join(sizes, group, "left").withColumn("blocks", F.coalesce("blocks", F.lit(1).cast("long")))
+    split = split.withColumn("block", F.pmod(F.xxhash64(name), "blocks"))
+    return split.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).withColumn(
+        "i", F.least("block", "other")).withColumn("j", F.greatest("block", "other")).drop("other", "blocks")
+
+
+def _families(made: DataFrame, percent: int, block: int) -> DataFrame:
+    """``node`` and ``component`` of every set that may be similar to another."""
+    sketches = made.filter("group is null and sketch is not null").groupBy("high").agg(
+        F.first("n").alias("n"), F.first("sketch").alias("sketch"))
+    cells = _cells(made.filter("group is not null").select("group", "high"), "group", "high", block).join(sketches, "high")
+    return components(cells.select("group", "i", "j", "high", "block", "n", "sketch").repartition("group", "i", "j").sortWithinPartitions(
+        "group", "i", "j").mapInArrow(_sketched(percent), "u long, v long"))
+
+
+def join_components(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 3, percent: int = 90,
+                    block: int = BLOCK, list_block: int = LIST_BLOCK) -> DataFrame:
     """Key, ``n_shingles`` and ``component_id`` (the smallest key reachable by links) of every row."""
     kind = docs.schema[key].dataType.simpleString()
+    total = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
+    buckets = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // BUCKET_BYTES))
     bodies = docs.select(F.col(key).alias("key"), F.xxhash64(text).alias("body_hash"), F.col(text).alias("body"))
-    index = bodies.mapInArrow(
-        _index(width, percent), f"key {kind}, body_hash long, n long, high long, low long, spare long, tokens array<long>")
-    index = write_table(index.withColumn("row", F.monotonically_increasing_id()), "ngram-index")
-    classes = write_table(index.filter("n > 0").groupBy("high", "low").agg(
-        F.min("key").alias("least"), F.min("row").alias("row")), "ngram-classes")
-    families = write_table(_families(index, classes), "ngram-families")
-    blocks = families.groupBy("family").agg(F.ceil(F.count("*") / block).alias("blocks"))
-    members = families.join(blocks, "family").join(index.select("row", "key", "body_hash"), "row").withColumn(
-        "block", F.pmod(F.xxhash64("row"), "blocks"))
-    same = bodies["key"].eqNullSafe(members["key"]) & (bodies["body_hash"] == members["body_hash"])
-    sets = bodies.join(members.select("key", "body_hash", "row", "family", "block", "blocks"), same).select(
-        "body", "row", "family", "block", "blocks").mapInArrow(
-        _whole_sets(width), "row long, family long, block long, blocks long, shingles binary")
-    cells = sets.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).select(
-        "family", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"),
-        "row", "block", "shingles")
+    row = f"key {kind}, body_hash long, n long, high long, low long, sketch binary"
+    sent = bodies.mapInArrow(
+        _index(width, percent, buckets), f"bucket long, {row}, nodes binary, owners binary, groups binary")
+    made = write_table(sent.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(
+        _equal_groups, f"group long, {row}"), "ngram-index")
+    index = made.filter("group is null").select("key", "body_hash", "n", "high", "low")
+    classes = index.filter("n > 0").groupBy("high", "low").agg(
+        F.min("key").alias("least"), F.min(F.struct("key", "body_hash")).alias("at"))
+    classes = write_table(classes.withColumn("row", F.monotonically_increasing_id()), "ngram-classes")
+    families = write_table(_families(made, percent, list_block), "ngram-families")
+    members = families.join(classes, F.col("node") == F.col("high")).select(
+        F.col("at.key").alias("m_key"), F.col("at.body_hash").alias("m_hash"), "row", F.col("component").alias("family"))
+    members = write_table(_cells(members, "family", "row", block), "ngram-members")
+    wanted = members.select("m_key", "m_hash", "row").distinct()
+    sets = bodies.join(wanted, F.col("key").eqNullSafe(F.col("m_key")) & (F.col("body_hash") == F.col("m_hash"))).select(
+        "row", "body").mapInArrow(_whole_sets(width), "row long, shingles binary")
+    cells = members.select("family", "i", "j", "row", "block").join(sets, "row").select(
+        "family", "i", "j", "row", "block", "shingles")
     links = write_table(cells.repartition("family", "i", "j").sortWithinPartitions("family", "i", "j").mapInArrow(
-        _search(percent), "u long, v long"), "ngram-links")
-    rooted = classes.join(components(links).withColumnRenamed("node", "row"), "row", "left").withColumn(
-        "root", F.coalesce("component", "row"))
+        _searched(percent), "u long, v long"), "ngram-links")
+    rooted = classes.select("row", "high", "low", "least").join(
+        components(links).withColumnRenamed("node", "row"), "row", "left").withColumn("root", F.coalesce("component", "row"))
     names = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     named = rooted.join(names, "root").select("high", "low", "component_id")
     full = index.filter("n > 0").join(named, ["high", "low"]).select("key", "n", "component_id")

@@ -45,7 +45,7 @@ def pairs(docs):
 
 def test_join_matches_brute_force(edge, nothing, tables):
     assert got(edge) == brute(pairs(edge), 3, 90)
-    assert got(tables["documents"], width=5, percent=80, block=3) == brute(pairs(tables["documents"]), 5, 80)
+    assert got(tables["documents"], width=5, percent=80, block=3, list_block=2) == brute(pairs(tables["documents"]), 5, 80)
     assert got(nothing) == []
 
 
@@ -60,7 +60,7 @@ def test_chains_of_near_copies_in_blocks(spark):
             rows.append((int(rng.integers(10 ** 9)), " ".join(words)))
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     for percent in (80, 90):
-        assert got(docs, percent=percent, block=4) == brute(rows, 3, percent)
+        assert got(docs, percent=percent, block=4, list_block=5) == brute(rows, 3, percent)
 
 
 @pytest.mark.parametrize("percent", [80, 90])
@@ -92,6 +92,28 @@ def test_divide_skip_finds_the_components(percent):
         assert all(find(a) == find(b) for a, b in links)
 
 
+@pytest.mark.parametrize("percent", [71, 80, 90])
+def test_similar_sets_share_a_group_and_pass_the_sketches(percent):
+    rng = np.random.default_rng(percent)
+    for n in [*range(3, 40), 100, 317, 1000]:
+        for _ in range(12):
+            a = rng.integers(0, 1 << 63, n, dtype="uint64")
+            gone, new = rng.integers(0, n // 3 + 1), rng.integers(0, n // 3 + 1)
+            b = np.unique(np.append(a[gone:], rng.integers(0, 1 << 63, new, dtype="uint64")))
+            a = np.unique(a)
+            shared = len(np.intersect1d(a, b))
+            if shared * 100 < percent * (len(a) + len(b) - shared) or len(a) * (100 - percent) < percent:
+                continue
+            if shared == len(a) == len(b) or len(b) * (100 - percent) < percent:
+                continue
+            hashes = [{int(h) for j in ngram_join.size_classes(len(s), percent) for h in ngram_join.group_hashes(s, j, percent)}
+                      for s in (a, b)]
+            assert hashes[0] & hashes[1]
+            links = ngram_join.compatible_links(np.array([1, 2]), np.array([0, 0]), np.array([len(a), len(b)]),
+                                                [ngram_join.sketch(a), ngram_join.sketch(b)], percent)
+            assert links == [(1, 2)]
+
+
 def test_components_of_long_chains(spark):
     links = [(i, i + 1) for i in range(100, 160)] + [(3, 900), (900, 7), (7, 7), (None, 4)] + [(5, 1000 + i) for i in range(50)]
     found = {r["node"]: r["component"] for r in components(spark.createDataFrame(links, "u long, v long")).collect()}
