@@ -1,8 +1,9 @@
 """Wiki markup to counts and plain text, as native column expressions.
 
 Patterns avoid look-around and keep ``\\n`` as the only line end (flag ``d``); ``(?U)`` makes
-white space Unicode-aware. Nested braces and links are removed innermost first, a fixed number
-of times, so depth is bounded by ``TEMPLATE_DEPTH`` and ``LINK_DEPTH``.
+white space Unicode-aware. Comments are cut out and the markup inside ``nowiki`` is masked before
+templates, references and headings are read. Nested braces and links are removed innermost first,
+as many times as the row's own nesting is deep.
 """
 
 from __future__ import annotations
@@ -17,11 +18,15 @@ CLEANUP_KEYWORDS = ["cleanup", "citation needed", "clarify", "dubious", "dispute
                     "original research", "unreferenced", "weasel", "vague", "update",
                     "expand section", "copyedit", "fact", "pov"]
 
-TEMPLATE_DEPTH = 4
-LINK_DEPTH = 2
 LEAD_CHARS = 500
 SPACES = " \t\n\r"
 
+# Markup inside nowiki stands as private characters until the plain text is done.
+MARKUP = "{}[]|='<>*#:;!"
+MASK = "".join(chr(0xE000 + i) for i in range(len(MARKUP)))
+ARGUMENT_OPEN = chr(0xE020)
+
+# The patterns that decide what is counted.
 TEMPLATE_OPEN = r"\{\{\s*([^|{}]+)"
 ICON_BLOCK = r"(?i)\{\{\s*(?:template:)?(?:featured article|good article)\s*(?:\|[^{}]*)?\}\}"
 GRADE_BLOCK = (r"(?i)\{\{\s*(?:featured (?:article|list)|good article|ga icon|fa icon)"
@@ -40,22 +45,21 @@ ISBN = r"(?i)\bisbn(?:1[03])?\s*="
 WORD = r"(?U)\S+"
 SENTENCE = r"(?U)[.!?]+(?:\s+[A-Z]|\s*$)"
 
-_LINK_PASS = [
-    (r"(?i)\[\[\s*(?:file|image|category):[^\[\]]*\]\]", ""),
-    (r"\[\[(?:[^\[\]|]*\|)?([^\[\]]*)\]\]", "$1"),
+COMMENT = r"(?s)<!--.*?-->"
+NOWIKI = r"(?i)</?nowiki\s*>"
+EMPTY_NOWIKI = r"(?i)<nowiki\s*/>"
+ARGUMENT = r"\{\{\{[^{}|]*(?:\|([^{}]*))?\}\}\}"
+TEMPLATE = r"\{\{[^{}]*\}\}"
+HIDDEN_LINK = r"(?i)\[\[\s*(?:file|image|category):[^\[\]]*\]\]"
+SHOWN_LINK = r"\[\[(?:[^\[\]|]*\|)?([^\[\]]*)\]\]"
+REF_BLOCK = r"(?is)<ref\b[^>]*?(?:/>|>.*?</ref>)"
+LAST_STEPS = [
+    (r"(?i)\[https?://[^\s\]]+\s*([^\]]*)\]", "$1"),
+    (r"(?md)^=+[ \t]*([^=\n].*?)[ \t]*=+[ \t]*$", "$1"),
+    (r"'{2,}", ""),
+    (r"<[^<>]+>", ""),
+    (r"\n{3,}", "\n\n"),
 ]
-PLAIN_TEXT_STEPS = (
-    [(r"(?s)<!--.*?-->", ""), (r"(?is)<ref\b[^>]*?(?:/>|>.*?</ref>)", "")]
-    + [(r"\{\{[^{}]*\}\}", "")] * TEMPLATE_DEPTH
-    + _LINK_PASS * LINK_DEPTH
-    + [
-        (r"(?i)\[https?://[^\s\]]+\s*([^\]]*)\]", "$1"),
-        (r"(?md)^=+[ \t]*([^=\n].*?)[ \t]*=+[ \t]*$", "$1"),
-        (r"'{2,}", ""),
-        (r"<[^<>]+>", ""),
-        (r"\n{3,}", "\n\n"),
-    ]
-)
 
 # Named entities that stand for one character, the ampersand last.
 ENTITIES = [("&nbsp;", "\u00a0"), ("&ndash;", "\u2013"), ("&mdash;", "\u2014"), ("&quot;", '"'),
@@ -70,8 +74,30 @@ def _all(text: Column, pattern: str, group: int) -> Column:
     return F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
 
 
+def visible(text: Column) -> Column:
+    """Text without comments, the markup inside ``nowiki`` masked."""
+    bare = F.regexp_replace(text, COMMENT, "")
+    parts = F.split(F.regexp_replace(bare, EMPTY_NOWIKI, ""), NOWIKI)
+    masked = F.transform(parts, lambda x, i: F.when(i % 2 == 1, F.translate(x, MARKUP, MASK)).otherwise(x))
+    return F.when(F.contains(F.lower(bare), F.lit("<nowiki")), F.array_join(masked, "")).otherwise(bare)
+
+
+def nesting(text: Column, opening: str, closing: str) -> Column:
+    """How deep the pairs of marks are nested in a row, unmatched closing marks aside."""
+    marks = _all(text, f"{opening}|{closing}", 0)
+    start = F.struct(F.lit(0).alias("now"), F.lit(0).alias("top"))
+
+    def step(s: Column, mark: Column) -> Column:
+        now = F.greatest(F.lit(0), s["now"] + F.when(mark.rlike(opening), 1).otherwise(-1))
+        return F.struct(now.alias("now"), F.greatest(s["top"], now).alias("top"))
+
+    return F.aggregate(marks, start, step, lambda s: s["top"])
+
+
 def template_names(text: Column) -> Column:
-    """Normalised names of all templates, nested ones included."""
+    """Normalised names of all templates, nested ones included; ``{{{arguments}}}`` are none."""
+    text = F.replace(text, F.lit("{{{"), F.lit(ARGUMENT_OPEN))
+
     def norm(x: Column) -> Column:
         return F.regexp_replace(F.lower(F.trim(x, F.lit(SPACES))), "^template:", "")
     return F.transform(_all(text, TEMPLATE_OPEN, 1), norm)
@@ -141,12 +167,26 @@ def has_infobox(names: Column) -> Column:
 
 
 def plain_text(text: Column) -> Column:
-    """Markup-free text: the fixed replacement chain, then entities, then a trim."""
-    for pattern, repl in PLAIN_TEXT_STEPS:
-        text = F.regexp_replace(text, pattern, repl)
+    """Markup-free text of :func:`visible` text: references and templates go, an argument becomes its
+    default, a link its label; then the fixed replacements, entities and a trim."""
+    def inner_braces(t: Column, _: Column) -> Column:
+        return F.regexp_replace(F.regexp_replace(t, ARGUMENT, "$1"), TEMPLATE, "")
+
+    def inner_links(t: Column, _: Column) -> Column:
+        return F.regexp_replace(F.regexp_replace(t, HIDDEN_LINK, ""), SHOWN_LINK, "$1")
+
+    def passes(depth: Column) -> Column:
+        return F.array_repeat(F.lit(0), depth)
+
+    out = F.regexp_replace(text, REF_BLOCK, "")
+    out = F.aggregate(passes(nesting(text, r"\{\{", r"\}\}")), out, inner_braces)
+    out = F.aggregate(passes(nesting(text, r"\[\[", r"\]\]")), out, inner_links)
+    for pattern, repl in LAST_STEPS:
+        out = F.regexp_replace(out, pattern, repl)
+    out = F.translate(out, MASK, MARKUP)
     for entity, char in ENTITIES:
-        text = F.replace(text, F.lit(entity), F.lit(char))
-    return F.trim(text, F.lit(SPACES))
+        out = F.replace(out, F.lit(entity), F.lit(char))
+    return F.trim(out, F.lit(SPACES))
 
 
 def lead(text: Column, chars: int = LEAD_CHARS) -> Column:
@@ -179,10 +219,12 @@ def parse_articles(df: DataFrame, text: str = "wikitext", categories: str = "cat
     raw = F.coalesce(F.col(text), F.lit(""))
     staged = (
         df.withColumn("_raw", raw)
-        .withColumns({"_names": keep_names(template_names(F.col("_raw"))),
-                      "_bare": strip_icon_blocks(F.col("_raw")),
+        .withColumn("_seen", visible(F.col("_raw")))
+        .withColumns({"_names": keep_names(template_names(F.col("_seen"))),
+                      "_bare": strip_icon_blocks(F.col("_seen")),
                       "_targets": link_targets(F.col("_raw"))})
-        .withColumns({"clean_text": plain_text(F.col("_bare")), "refs_raw": ref_bodies(F.col("_bare"))})
+        .withColumns({"clean_text": plain_text(F.col("_bare")), "refs_raw": F.transform(
+            ref_bodies(F.col("_bare")), lambda r: F.translate(r, MASK, MARKUP))})
     )
     names, targets, body = F.col("_names"), F.col("_targets"), F.col("clean_text")
     return staged.withColumns({
@@ -205,4 +247,4 @@ def parse_articles(df: DataFrame, text: str = "wikitext", categories: str = "cat
         "refs_distinct": distinct_ref_count(F.col("refs_raw")),
         "doi_n": _count(F.col("_raw"), DOI),
         "isbn_n": _count(F.col("_raw"), ISBN),
-    }).drop("_raw", "_names", "_bare", "_targets")
+    }).drop("_raw", "_seen", "_names", "_bare", "_targets")

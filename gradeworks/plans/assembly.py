@@ -53,7 +53,10 @@ def raw_scan(spark, sf):
 
 @query("A2_existing_keys", twin("SELECT pageid FROM records WHERE label = 'GA'", "records"))
 def existing_keys(spark, sf):
-    return records.existing_keys(records.read_raw(spark, raw_json(spark, sf)), "GA")
+    """Keys of one grade, from that grade's folder of the store."""
+    store = scratch(spark, "store")
+    records.write_raw(records.read_raw(spark, raw_json(spark, sf)), store)
+    return records.existing_keys(records.read_raw(spark, store, grade="GA"))
 
 
 @query("A3_append_new", twin("SELECT pageid, label, CAST(bytes AS BIGINT) AS bytes FROM records", "records"))
@@ -93,7 +96,7 @@ def frozen_sink(spark, sf):
 
 
 def _fingerprint_sql(name: str, columns: list[str]) -> str:
-    text = "concat_ws('|', " + ", ".join(f"coalesce(CAST({c} AS VARCHAR), '~')" for c in columns) + ")"
+    text = "concat_ws(';', " + ", ".join(f"coalesce(length(CAST({c} AS VARCHAR)) || ':' || CAST({c} AS VARCHAR), '-')" for c in columns) + ")"
     return f"""SELECT '{name}' AS name, count(*) AS rows, CAST({len(columns)} AS BIGINT) AS cols,
         CAST(sum(CAST('0x' || substring(md5({text}), 1, 12) AS BIGINT)) AS VARCHAR) AS fingerprint FROM {name}"""
 
@@ -223,10 +226,10 @@ def class_categories(spark, sf):
         SELECT *, row_number() OVER (PARTITION BY category ORDER BY member_id) AS rn FROM members) m
     JOIN (SELECT category, row_number() OVER (ORDER BY md5('42' || category), category) AS cat_order FROM (
         SELECT DISTINCT category FROM members WHERE NOT contains(category, '-importance'))) o USING (category)
-    WHERE cat_order <= 10)) WHERE seen = 1""", "members"))
+    WHERE cat_order <= 80)) WHERE seen = 1""", "members"))
 def round_robin_sample(spark, sf):
     members = b.members(spark, sf)
-    order = corpus.category_order(corpus.class_categories(members, "B"), 42, keep=10)
+    order = corpus.category_order(corpus.class_categories(members, "B"), 42)
     return tidy(corpus.round_robin(members, order))
 
 
@@ -376,7 +379,7 @@ def semi_texts(spark, sf):
 
 @query("J6_join_revid", twin("SELECT s.pageid, s.label, i.revid FROM splits s LEFT JOIN interim i USING (pageid) WHERE s.split = 'test'", "splits", "interim"))
 def join_revid(spark, sf):
-    revs = b.interim(spark, sf).select("pageid", "revid").dropDuplicates(["pageid"])
+    revs = feats.first_per_key(b.interim(spark, sf).select("pageid", "revid"), ["pageid"], F.col("revid"))
     return b.split_table(spark, sf).filter(F.col("split") == "test").select("pageid", "label").join(revs, on="pageid", how="left")
 
 

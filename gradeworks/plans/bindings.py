@@ -17,26 +17,28 @@ from gradeworks.schemas import FEATURES, GRADES, K
 from gradeworks.session import spread, staged
 
 AS_OF = "2024-01-31 00:00:00"
-CAP = 50
-RECENT_DAYS = 7
-PAGES = 150  # an article borrows the history of page ``doc_id % PAGES``
+CAP = corpus.HISTORY_CAP
+RECENT_DAYS = 90
+EVENT_TIME = "ts - INTERVAL '30' DAY * (event_id % 7)"  # the events' month, spread over seven
 
 WIKITEXT = """
 CASE WHEN doc_id % 10 = 0 THEN '{{Featured article}}' || chr(10) ELSE '' END
-|| '{{Infobox text' || chr(10) || '| source = ' || source || chr(10)
-|| '| lang = {{lang|' || lang || '}}' || chr(10) || '}}' || chr(10)
+|| '{{Infobox volume' || chr(10) || '| shelf = ' || source || chr(10)
+|| '| tongue = {{lang|' || lang || '}}' || chr(10) || '| spine = {{{colour|brown}}}' || chr(10) || '}}' || chr(10)
 || text || chr(10) || chr(10)
-|| CASE WHEN doc_id % 10 = 5 THEN '{{ good article |date=May 2020}}' || chr(10) ELSE '' END
-|| CASE WHEN doc_id % 7 = 0 THEN '{{Citation needed|date=May 2020}}' || chr(10) ELSE '' END
-|| '==History==' || chr(10)
-|| 'Links &amp; pictures: [[Target ' || (doc_id % 11) || '|label]] and [[File:Pic ' || (doc_id % 5)
-|| '.jpg|thumb|A [[small]] map]] and [http://example.org/' || doc_id || ' Example].' || chr(10)
-|| '* item one' || chr(10)
-|| CASE WHEN doc_id % 3 = 0 THEN '# item two' || chr(10) ELSE '' END
-|| CASE WHEN doc_id % 4 = 0 THEN '{| class="wikitable"' || chr(10) || '| a || b' || chr(10) || '|}' || chr(10) ELSE '' END
-|| 'Fact.<ref>{{cite web |url=http://x.org |doi=10.1/' || (doc_id % 3) || '}}</ref> More<ref name="a/b" />.' || chr(10)
-|| CASE WHEN doc_id % 2 = 0 THEN '<!-- note -->Book<ref>plain isbn=978-' || (doc_id % 9) || '</ref>.' || chr(10) ELSE '' END
-|| '===Early===' || chr(10) || repeat(chr(39), 3) || 'Bold' || repeat(chr(39), 3) || ' end.' || chr(10)
+|| CASE WHEN doc_id % 10 = 5 THEN '{{ good article |when=June}}' || chr(10) ELSE '' END
+|| CASE WHEN doc_id % 7 = 0 THEN '{{Unreferenced section|from=June}}' || chr(10) ELSE '' END
+|| '== Contents ==' || chr(10)
+|| 'Shelves &amp; racks: the [[Shelf ' || (doc_id % 11) || '|long shelf]], [[Image:Rack ' || (doc_id % 5)
+|| '.png|right|Built by [[Carpenter|a [[wood]] worker]]]] or [https://library.example/' || doc_id || ' its register]. Painted {{{paint|green}}}.' || chr(10)
+|| '* oak' || chr(10)
+|| CASE WHEN doc_id % 3 = 0 THEN '# pine' || chr(10) ELSE '' END
+|| CASE WHEN doc_id % 4 = 0 THEN '{| class="plain"' || chr(10) || '! wood' || chr(10) || '|}' || chr(10) ELSE '' END
+|| CASE WHEN doc_id % 6 = 0 THEN 'Deep {{a|{{b|{{c|{{d|{{e|{{f|down}}}}}}}}}}}} ends.' || chr(10) ELSE '' END
+|| CASE WHEN doc_id % 8 = 0 THEN '<nowiki>{{no template}} [[no link]] <ref>no</ref></nowiki> stays.' || chr(10) ELSE '' END
+|| 'Dust.<ref>{{cite book |title=Wood |doi=10.5/' || (doc_id % 3) || '}}</ref> Wax<ref name="w/x" />.' || chr(10)
+|| CASE WHEN doc_id % 2 = 0 THEN '<!-- {{hidden}} <ref>gone</ref>' || chr(10) || '== out ==' || chr(10) || '-->Glue<ref>printed isbn=979-' || (doc_id % 9) || '</ref>.' || chr(10) ELSE '' END
+|| '=== Lower shelf ===' || chr(10) || repeat(chr(39), 3) || 'Heavy' || repeat(chr(39), 3) || ' books.' || chr(10)
 || '[[Category:Topic ' || (doc_id % 13) || ']]' || chr(10)
 || CASE WHEN doc_id % 10 = 0 THEN '[[Category:Featured articles]]' ELSE '' END
 """
@@ -58,18 +60,28 @@ def as_of():
     return F.lit(AS_OF).cast("timestamp")
 
 
+def event_time():
+    return F.expr(EVENT_TIME).cast("timestamp")
+
+
+def page_of(spark: SparkSession, sf: str, key: str):
+    """The page whose history an article borrows: all pages are used, however many there are."""
+    pages = table(spark, sf, "events").agg(F.max("user_id")).first()[0]
+    return F.col(key) % F.lit(pages + 1)
+
+
 def revisions(spark: SparkSession, sf: str) -> DataFrame:
     tags = F.when(F.col("event_type") == "error", F.array(F.lit("mw-undo"))).otherwise(
         F.array().cast("array<string>"))
     return table(spark, sf, "events").select(
         F.col("user_id").alias("page_id"), F.col("event_id").alias("rev_id"),
-        F.col("ts").cast("timestamp").alias("ts"), F.expr(EDITOR).alias("editor"),
+        event_time().alias("ts"), F.expr(EDITOR).alias("editor"),
         (F.col("event_type") == "view").alias("anon"), tags.alias("tags"))
 
 
 def pageviews(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "events").groupBy(
-        F.col("user_id").alias("page_id"), F.col("ts").cast("date").alias("day")).agg(
+        F.col("user_id").alias("page_id"), event_time().cast("date").alias("day")).agg(
         F.count("*").alias("views"))
 
 
@@ -104,7 +116,7 @@ def articles(spark: SparkSession, sf: str) -> DataFrame:
         F.get(F.array(*[F.lit(g) for g in GRADES]), F.col("_rank")).alias("label"),
         (F.col("doc_id") * 7 + 1).alias("revid"), "wikitext",
         F.octet_length("wikitext").cast("long").alias("bytes"),
-        F.concat(topic, featured).alias("categories"), (F.col("doc_id") % PAGES).alias("page_id"))
+        F.concat(topic, featured).alias("categories"), page_of(spark, sf, "doc_id").alias("page_id"))
 
 
 def history(spark: SparkSession, sf: str) -> DataFrame:
@@ -115,29 +127,47 @@ def views(spark: SparkSession, sf: str) -> DataFrame:
     return corpus.pageviews_mean(pages(spark, sf), pageviews(spark, sf), as_of().cast("date"))
 
 
-def raw_records(spark: SparkSession, sf: str) -> DataFrame:
-    """The 22-field records, dates as text; some are missing or unreadable on purpose."""
-    counts = ["edits", "editors", "anon_n", "bot_n", "reverted_n", "edits_90d"]
-    joined = (articles(spark, sf)
-              .join(history(spark, sf).drop("created"), on="page_id", how="left")
-              .join(views(spark, sf), on="page_id", how="left"))
+HISTORY = ["edits", "editors", "anon_n", "bot_n", "reverted_n", "edits_90d"]
+
+
+def _record(articles: DataFrame, history: list) -> DataFrame:
+    """The 22 fields, dates as text; some are missing or unreadable on purpose."""
     day = "yyyy-MM-dd'T'HH:mm:ss'Z'"
     born = F.date_format(F.date_add(F.lit("2015-01-01").cast("date"), (F.col("pageid") % 3000).cast("int")), day)
     last = F.date_format(F.date_sub(F.lit("2024-01-30").cast("date"), (F.col("pageid") % 400).cast("int")), day)
     none = F.array().cast("array<string>")
-    return joined.select(
+    return articles.select(
         "pageid", "title", F.array(F.array(F.lit("P"), F.col("label"))).alias("project_classes"), "label",
         F.lit(1).cast("long").alias("n_projects"), F.lit(0).cast("long").alias("n_disagree"), "revid",
-        "wikitext", "bytes", none.alias("protection"), "categories", none.alias("templates"),
-        F.coalesce("pageviews_90d_mean", F.lit(0.0)).alias("pageviews_90d_mean"),
-        *[F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in counts],
+        "wikitext", "bytes", none.alias("protection"), "categories", none.alias("templates"), *history,
         F.when(F.col("pageid") % 41 != 0, born).alias("created"),
         F.when(F.col("pageid") % 17 == 0, "unknown").otherwise(last).alias("last_edit"),
         F.lit("2024-01-31T00:00:00Z").alias("fetch_ts"))
 
 
+def _history_columns() -> list:
+    return [F.coalesce("pageviews_90d_mean", F.lit(0.0)).alias("pageviews_90d_mean"),
+            *[F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in HISTORY]]
+
+
+def _with_history(spark: SparkSession, sf: str, rows: DataFrame) -> DataFrame:
+    return (rows.join(history(spark, sf).drop("created"), on="page_id", how="left")
+            .join(views(spark, sf), on="page_id", how="left"))
+
+
+def raw_records(spark: SparkSession, sf: str) -> DataFrame:
+    return _record(_with_history(spark, sf, articles(spark, sf)), _history_columns())
+
+
 def interim(spark: SparkSession, sf: str) -> DataFrame:
-    return staged(spark, sf, "interim", lambda: clean_records(raw_records(spark, sf)))
+    """Texts are parsed where they are read; only the parsed fields meet history and views."""
+    def build() -> DataFrame:
+        unknown = [F.lit(0.0).alias("pageviews_90d_mean"), *[F.lit(0).cast("long").alias(c) for c in HISTORY]]
+        parsed = clean_records(_record(articles(spark, sf), unknown))
+        rest = parsed.drop("pageviews_90d_mean", *HISTORY).withColumn("page_id", page_of(spark, sf, "pageid"))
+        known = _with_history(spark, sf, rest).withColumns(dict(zip(["pageviews_90d_mean", *HISTORY], _history_columns(), strict=True)))
+        return known.select(*parsed.columns)
+    return staged(spark, sf, "interim", build)
 
 
 def features(spark: SparkSession, sf: str) -> DataFrame:
@@ -184,10 +214,12 @@ def predictions_one(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def scored_pages(spark: SparkSession, sf: str) -> DataFrame:
-    """Predictions beside the features of the document with the same key."""
+    """Features of every document beside the prediction of its vector; vectors serve in turn."""
     from gradeworks.operators.staleness import with_distance
-    one = with_distance(predictions_one(spark, sf)).select("pageid", "y", "d")
-    return one.join(features(spark, sf), on="pageid", how="inner")
+    one = with_distance(predictions_one(spark, sf)).select(F.col("pageid").alias("_vec"), "y", "d")
+    vectors = table(spark, sf, "embeddings").agg(F.max("vec_id")).first()[0] + 1
+    rows = features(spark, sf).withColumn("_vec", F.col("pageid") % F.lit(vectors))
+    return rows.join(one, on="_vec", how="inner").drop("_vec")
 
 
 def importance(spark: SparkSession, sf: str) -> DataFrame:

@@ -263,16 +263,17 @@ def spearman_proxies_p(spark, sf):
     return staleness.with_p_values(staleness.proxy_correlations(b.scored_pages(spark, sf)))
 
 
-GRADED = """(SELECT s.pageid, s.d, date_part('day', TIMESTAMP '2024-01-31' - g.ts) AS age FROM scored s LEFT JOIN (
+GRADED = """(SELECT s.pageid, s.d, date_part('day', TIMESTAMP '2024-01-31' - g.ts) AS age FROM (
+    SELECT *, pageid % (SELECT max(user_id) + 1 FROM events) AS page_id FROM scored) s LEFT JOIN (
     SELECT page_id, min(ts) FILTER (WHERE ga AND (last_break IS NULL OR (ts, rev_id) > last_break)) AS ts FROM (
     SELECT *, max((ts, rev_id)) FILTER (WHERE NOT ga) OVER (PARTITION BY page_id) AS last_break FROM (
-    SELECT user_id AS page_id, event_id AS rev_id, ts, value < 12 AS ga FROM events)) GROUP BY page_id) g ON g.page_id = s.pageid % 150)"""
+    SELECT user_id AS page_id, event_id AS rev_id, ts, value < 12 AS ga FROM events)) GROUP BY page_id) g ON g.page_id = s.page_id)"""
 
 
 def _aged(spark, sf):
     from gradeworks.operators.corpus import grade_dates
     dates = grade_dates(b.talk_texts(spark, sf), F.lit("GA"))
-    pages = b.scored_pages(spark, sf).select("pageid", "d", (F.col("pageid") % b.PAGES).alias("page_id"))
+    pages = b.scored_pages(spark, sf).select("pageid", "d", b.page_of(spark, sf, "pageid").alias("page_id"))
     per_page = pages.join(dates, on="page_id", how="left").select("pageid", "grade_ts")
     return staleness.grade_age(pages, per_page, b.as_of())
 

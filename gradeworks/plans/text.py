@@ -10,38 +10,38 @@ from gradeworks.operators.ranking import exact_quantiles
 from gradeworks.plans import bindings as b
 from gradeworks.plans.registry import query
 from gradeworks.plans.shape import tidy
-from gradeworks.plans.twin_sql import TRIM, pattern, twin
+from gradeworks.plans.twin_sql import twin
 from gradeworks.schemas import CARRIED, FEATURES
 from gradeworks.session import write_table
 
 TEXT = "wikitext"
+GRADE_BLOCK = r"'(?i)\{\{\s*(?:featured (?:article|list)|good article|ga icon|fa icon)\s*(?:\|[^}]*)?\}\}'"
 
 
 def _names(names: str) -> str:
     return twin(f"SELECT pageid, array_to_string({names}, '|') AS names FROM staged", "staged")
 
 
-@query("T1_template_names", twin(f"""SELECT pageid, array_to_string(list_transform(regexp_extract_all(wikitext, {pattern(w.TEMPLATE_OPEN)}, 1),
-    lambda x: regexp_replace(lower(trim(x, {TRIM})), '^template:', '')), '|') AS names FROM articles""", "articles"))
+@query("T1_template_names", _names("all_names"))
 def template_names(spark, sf):
-    return b.articles(spark, sf).select("pageid", F.array_join(w.template_names(F.col(TEXT)), "|").alias("names"))
+    return b.articles(spark, sf).select("pageid", F.array_join(w.template_names(w.visible(F.col(TEXT))), "|").alias("names"))
 
 
 @query("T2_strip_leak_templates", _names("names"))
 def strip_leak_templates(spark, sf):
-    return b.articles(spark, sf).select("pageid", F.array_join(w.keep_names(w.template_names(F.col(TEXT))), "|").alias("names"))
+    return b.articles(spark, sf).select("pageid", F.array_join(w.keep_names(w.template_names(w.visible(F.col(TEXT)))), "|").alias("names"))
 
 
-@query("T3_strip_leak_text", twin(f"""SELECT pageid, md5(regexp_replace(wikitext, {pattern(w.GRADE_BLOCK)}, '', 'g')) AS digest,
-    length(regexp_replace(wikitext, {pattern(w.GRADE_BLOCK)}, '', 'g')) AS chars FROM articles""", "articles"))
+@query("T3_strip_leak_text", twin(f"""SELECT pageid, md5(regexp_replace(wikitext, {GRADE_BLOCK}, '', 'g')) AS digest,
+    length(regexp_replace(wikitext, {GRADE_BLOCK}, '', 'g')) AS chars FROM articles""", "articles"))
 def strip_leak_text(spark, sf):
     bare = w.strip_grade_blocks(F.col(TEXT))
     return tidy(b.articles(spark, sf).select("pageid", F.md5(bare).alias("digest"), F.length(bare).alias("chars")))
 
 
 @query("T4_leak_position", twin(f"""SELECT count(*) AS n, median(CAST(o AS DOUBLE)) AS median_offset FROM (
-    SELECT strpos(wikitext, regexp_extract(wikitext, {pattern(w.GRADE_BLOCK)})) - 1 AS o FROM articles
-    WHERE regexp_matches(wikitext, {pattern(w.GRADE_BLOCK)}))""", "articles"))
+    SELECT strpos(wikitext, regexp_extract(wikitext, {GRADE_BLOCK})) - 1 AS o FROM articles
+    WHERE regexp_matches(wikitext, {GRADE_BLOCK}))""", "articles"))
 def leak_position(spark, sf):
     found = b.articles(spark, sf).select(w.grade_block_offset(F.col(TEXT)).alias("at")).filter(F.col("at").isNotNull())
     middle = exact_quantiles(found, [], "at", {"median_offset": 0.5}).withColumn("_k", F.lit(1))
@@ -159,13 +159,13 @@ for _i, _name in enumerate(FEATURES, start=1):
         _feature(_i, _name)
 
 
-@query("F31_top_editor_share", twin("""SELECT pageid, CAST(NULL AS DOUBLE) AS top_editor_share, round(share, 6) AS from_revisions FROM features
-    LEFT JOIN (SELECT page_id, max(n) / sum(n) AS share FROM (SELECT page_id, editor, count(*) AS n FROM revisions GROUP BY ALL) GROUP BY page_id)
-    ON page_id = pageid % 150""", "features", "revisions"))
+@query("F31_top_editor_share", twin("""SELECT pageid, CAST(NULL AS DOUBLE) AS top_editor_share, round(share, 6) AS from_revisions FROM (
+    SELECT *, pageid % (SELECT max(user_id) + 1 FROM events) AS own_page FROM features) LEFT JOIN (SELECT page_id, max(n) / sum(n) AS share FROM (SELECT page_id, editor, count(*) AS n FROM revisions GROUP BY ALL) GROUP BY page_id)
+    ON page_id = own_page""", "features", "revisions"))
 def editor_share(spark, sf):
     from gradeworks.operators.corpus import top_editor_share
     share = top_editor_share(b.revisions(spark, sf)).select("page_id", F.col("top_editor_share").alias("from_revisions"))
-    df = feats.build_features(b.interim(spark, sf), ["top_editor_share"]).withColumn("page_id", F.col("pageid") % b.PAGES)
+    df = feats.build_features(b.interim(spark, sf), ["top_editor_share"]).withColumn("page_id", b.page_of(spark, sf, "pageid"))
     return tidy(df.join(share, on="page_id", how="left"), "pageid", "top_editor_share", "from_revisions")
 
 
@@ -223,7 +223,7 @@ def split_sizes(spark, sf):
 
 
 SLICE = f"""WITH d AS (SELECT doc_id, quality, len(regexp_extract_all(text, '\\S+')) AS words,
-    greatest(1, len(regexp_extract_all(text, {pattern(w.SENTENCE)}))) AS sentences, length(substring(text, 1, 500)) AS lead
+    greatest(1, len(regexp_extract_all(text, '[.!?]+(?:\\s+[A-Z]|\\s*$)'))) AS sentences, length(substring(text, 1, 500)) AS lead
     FROM documents JOIN labels USING (doc_id)),
     s AS (SELECT *, row_number() OVER (PARTITION BY quality ORDER BY substring(md5('42:' || doc_id), 1, 8), doc_id) AS rn,
         count(*) OVER (PARTITION BY quality) AS n FROM d),

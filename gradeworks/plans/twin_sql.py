@@ -2,38 +2,49 @@
 
 from __future__ import annotations
 
-from gradeworks.functions import wikitext as w
 from gradeworks.plans import bindings as b
 from gradeworks.schemas import FEATURES, GRADES
 
 
-def pattern(p: str) -> str:
-    """A pattern as a SQL literal for an RE2 engine: flags that only Java knows are dropped."""
-    p = p.replace("(?md)", "(?m)").replace("(?U)", "")
-    return "'" + p.replace("'", "''") + "'"
+# The markup rules once more, written for this engine: what a page shows, names and counts.
+NL = "' || chr(10) || '"
+MASKED = "'{}[]|=''<>*#:;!', '" + "".join(chr(57344 + i) for i in range(14)) + "'"
+UNMASKED = "'" + "".join(chr(57344 + i) for i in range(14)) + "', '{}[]|=''<>*#:;!'"
+SEEN = f"""array_to_string(list_transform(regexp_split_to_array(regexp_replace(regexp_replace(wikitext, '(?s)<!--.*?-->', '', 'g'),
+    '(?i)<nowiki\\s*/>', '', 'g'), '(?i)</?nowiki\\s*>'), lambda x, i: CASE WHEN i % 2 = 0 THEN translate(x, {MASKED}) ELSE x END), '')"""
 
 
-def count_of(col: str, p: str) -> str:
-    return f"len(regexp_extract_all({col}, {pattern(p)}))"
+def rounds(col: str, marks: str, body: str) -> str:
+    """``body`` of ``t`` as often as ``col`` holds ``marks``, from the inside out."""
+    turns = f"list_transform(range(len(regexp_extract_all(bare, '{marks}'))), lambda i: '')"
+    return f"list_reduce(list_prepend({col}, {turns}), lambda t, turn: {body})"
 
 
-def plain_text(col: str) -> str:
-    for p, repl in w.PLAIN_TEXT_STEPS:
-        repl = repl.replace("$1", "\\1").replace("\n", "' || chr(10) || '")
-        col = f"regexp_replace({col}, {pattern(p)}, '{repl}', 'g')"
-    for entity, char in w.ENTITIES:
-        col = f"replace({col}, '{entity}', '{char}')"
-    return f"trim({col}, ' ' || chr(9) || chr(10) || chr(13))"
+def count_of(col: str, pattern: str) -> str:
+    return f"len(regexp_extract_all({col}, '{pattern}'))"
+
+
+def plain_text() -> str:
+    text = r"regexp_replace(bare, '(?is)<ref\b[^>]*?(?:/>|>.*?</ref>)', '', 'g')"
+    text = rounds(text, r"\{\{", r"regexp_replace(regexp_replace(t, '\{\{\{[^{}|]*(?:\|([^{}]*))?\}\}\}', '\1', 'g'), '\{\{[^{}]*\}\}', '', 'g')")
+    text = rounds(text, r"\[\[", r"regexp_replace(regexp_replace(t, '(?i)\[\[\s*(?:file|image|category):[^\[\]]*\]\]', '', 'g'), '\[\[(?:[^\[\]|]*\|)?([^\[\]]*)\]\]', '\1', 'g')")
+    for find, put in ((r"(?i)\[https?://[^\s\]]+\s*([^\]]*)\]", r"\1"), (r"(?m)^=+[ \t]*([^=\n].*?)[ \t]*=+[ \t]*$", r"\1"),
+                      ("''{2,}", ""), ("<[^<>]+>", ""), (r"\n{3,}", NL + NL)):
+        text = f"regexp_replace({text}, '{find}', '{put}', 'g')"
+    text = f"translate({text}, {UNMASKED})"
+    for name, char in (("nbsp", "\u00a0"), ("ndash", "\u2013"), ("mdash", "\u2014"), ("quot", '"'), ("lt", "<"), ("gt", ">"), ("amp", "&")):
+        text = f"replace({text}, '&{name};', '{char}')"
+    return f"trim({text}, {TRIM})"
 
 
 TRIM = "' ' || chr(9) || chr(10) || chr(13)"
 GRADE_LIST = "[" + ", ".join(f"'{g}'" for g in GRADES) + "]"
-ICONS = "(" + ", ".join(f"'{t}'" for t in w.ICON_TEMPLATES) + ")"
-LABEL_CATS = "(" + ", ".join(f"'{t}'" for t in w.LABEL_CATEGORIES) + ")"
-CLEANUP = " OR ".join(f"contains(x, '{k}')" for k in w.CLEANUP_KEYWORDS)
+ICONS = "('featured article', 'good article')"
+LABEL_CATS = "('category:featured articles', 'category:good articles')"
+CLEANUP = r"""regexp_matches(x, 'cleanup|citation needed|clarify|dubious|disputed|original research|unreferenced|weasel|vague|update|expand section|copyedit|fact|pov')"""
 
 CTES: dict[str, str] = {}
-CTES["revisions"] = f"""SELECT user_id AS page_id, event_id AS rev_id, ts, {b.EDITOR} AS editor,
+CTES["revisions"] = f"""SELECT user_id AS page_id, event_id AS rev_id, {b.EVENT_TIME} AS ts, {b.EDITOR} AS editor,
     event_type = 'view' AS anon, event_type = 'error' AS reverted FROM events"""
 CTES["newest"] = f"""SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY ts DESC, rev_id DESC) AS rn
     FROM revisions) WHERE rn <= {b.CAP}"""
@@ -43,13 +54,13 @@ CTES["history"] = f"""SELECT page_id, count(*) AS edits, count(DISTINCT editor)
     count(*) FILTER (WHERE reverted) AS reverted_n,
     count(*) FILTER (WHERE ts >= TIMESTAMP '{b.AS_OF}' - INTERVAL {b.RECENT_DAYS} DAY) AS edits_90d,
     min(ts) AS created FROM newest GROUP BY page_id"""
-CTES["pageviews"] = "SELECT user_id AS page_id, CAST(ts AS DATE) AS day, count(*) AS views FROM events GROUP BY ALL"
+CTES["pageviews"] = f"SELECT user_id AS page_id, CAST({b.EVENT_TIME} AS DATE) AS day, count(*) AS views FROM events GROUP BY ALL"
 CTES["views"] = f"""SELECT p.page_id, coalesce(avg(v.views), 0) AS pageviews_90d_mean
     FROM (SELECT DISTINCT user_id AS page_id FROM events) p
     LEFT JOIN pageviews v ON v.page_id = p.page_id AND v.day BETWEEN CAST(TIMESTAMP '{b.AS_OF}' AS DATE) - 90
         AND CAST(TIMESTAMP '{b.AS_OF}' AS DATE) - 1 GROUP BY p.page_id"""
 CTES["articles"] = f"""SELECT doc_id AS pageid, {b.TITLE} AS title, {b.RANK} AS grade_rank,
-    {GRADE_LIST}[{b.RANK} + 1] AS label, doc_id * 7 + 1 AS revid, {b.WIKITEXT} AS wikitext, doc_id % {b.PAGES} AS page_id,
+    {GRADE_LIST}[{b.RANK} + 1] AS label, doc_id * 7 + 1 AS revid, {b.WIKITEXT} AS wikitext, doc_id % (SELECT max(user_id) + 1 FROM events) AS page_id,
     CASE WHEN doc_id % 10 = 0 THEN ['Category:Topic ' || (doc_id % 13), 'Category:Featured articles']
         ELSE ['Category:Topic ' || (doc_id % 13)] END AS categories
     FROM documents LEFT JOIN labels USING (doc_id)"""
@@ -61,28 +72,30 @@ CTES["records"] = """SELECT a.*, strlen(a.wikitext) AS bytes, 1 AS n_projects, 0
     coalesce(h.bot_n, 0) AS bot_n, coalesce(h.reverted_n, 0) AS reverted_n, coalesce(h.edits_90d, 0) AS edits_90d,
     coalesce(v.pageviews_90d_mean, 0) AS pageviews_90d_mean
     FROM articles a LEFT JOIN history h USING (page_id) LEFT JOIN views v USING (page_id)"""
-CTES["staged"] = f"""SELECT *, list_filter(list_transform(regexp_extract_all(wikitext, {pattern(w.TEMPLATE_OPEN)}, 1),
-        lambda x: regexp_replace(lower(trim(x, {TRIM})), '^template:', '')), lambda x: x NOT IN {ICONS}) AS names,
-    regexp_replace(wikitext, {pattern(w.ICON_BLOCK)}, '', 'g') AS bare,
-    regexp_extract_all(wikitext, {pattern(w.LINK)}, 1) AS targets FROM records"""
-CTES["plain"] = f"""SELECT *, {plain_text('bare')} AS clean_text,
-    list_transform(regexp_extract_all(bare, {pattern(w.REF)}, 1), lambda x: coalesce(x, '')) AS refs_raw FROM staged"""
+CTES["seen"] = f"SELECT *, {SEEN} AS seen FROM records"
+CTES["staged"] = f"""SELECT *, list_filter(all_names, lambda x: x NOT IN {ICONS}) AS names,
+    regexp_replace(seen, '(?i)\\{{\\{{\\s*(?:template:)?(?:featured|good) article\\s*(?:\\|[^{{}}]*)?\\}}\\}}', '', 'g') AS bare,
+    regexp_extract_all(wikitext, '\\[\\[([^\\]|]+)', 1) AS targets FROM (
+    SELECT *, list_transform(regexp_extract_all(replace(seen, '{{{{{{', chr(57376)), '\\{{\\{{\\s*([^|{{}}]+)', 1),
+        lambda x: regexp_replace(lower(trim(x, {TRIM})), '^template:', '')) AS all_names FROM seen)"""
+CTES["plain"] = f"""SELECT *, {plain_text()} AS clean_text,
+    list_transform(regexp_extract_all(bare, '(?is)<ref\\b[^>]*?(?:/>|>(.*?)</ref>)', 1), lambda x: translate(coalesce(x, ''), {UNMASKED})) AS refs_raw FROM staged"""
 CTES["interim"] = f"""SELECT pageid, title, label, grade_rank, bytes, revid, n_projects, n_disagree, created, last_edit,
     fetch_ts, edits, editors, anon_n, bot_n, reverted_n, edits_90d, pageviews_90d_mean, clean_text,
-    substring(clean_text, 1, 500) AS lead_text, {count_of('clean_text', w.WORD)} AS word_count,
-    CASE WHEN clean_text = '' THEN 0 ELSE greatest(1, {count_of('clean_text', w.SENTENCE)}) END AS sentence_count,
-    {count_of('bare', w.HEADING2)} AS section_l2_n, {count_of('bare', w.HEADING3)} AS section_l3_n,
+    substring(clean_text, 1, 500) AS lead_text, {count_of('clean_text', r'[^\s\p{Z}]+')} AS word_count,
+    CASE WHEN clean_text = '' THEN 0 ELSE greatest(1, {count_of('clean_text', r'[.!?]+(?:[\s\p{Z}]+[A-Z]|[\s\p{Z}]*$)')}) END AS sentence_count,
+    {count_of('bare', r'(?m)^==[^=]([^\n]*[^=])?==[ \t]*$')} AS section_l2_n, {count_of('bare', r'(?m)^===[^=]([^\n]*[^=])?===[ \t]*$')} AS section_l3_n,
     len(list_filter(names, lambda x: starts_with(x, 'infobox'))) > 0 AS infobox,
-    len(list_filter(targets, lambda x: regexp_matches(x, {pattern(w.MEDIA)}))) AS images_n,
-    {count_of('wikitext', w.TABLE)} AS tables_n,
-    len(list_filter(targets, lambda x: NOT regexp_matches(x, {pattern(w.MEDIA)}) AND NOT regexp_matches(x, {pattern(w.CATEGORY)}))) AS wikilinks_n,
-    {count_of('wikitext', w.EXTLINK)} AS extlinks_n, {count_of('wikitext', w.LIST_LINE)} AS lists_n,
+    len(list_filter(targets, lambda x: regexp_matches(x, '(?i)^\\s*(file|image):'))) AS images_n,
+    {count_of('wikitext', r'\{\|')} AS tables_n,
+    len(list_filter(targets, lambda x: NOT regexp_matches(x, '(?i)^\\s*(file|image|category):'))) AS wikilinks_n,
+    {count_of('wikitext', r'(?i)\[https?://[^\s\]]+')} AS extlinks_n, {count_of('wikitext', r'(?m)^[*#:;]+\s*\S')} AS lists_n,
     len(list_filter(names, lambda x: {CLEANUP})) AS cleanup_tags_n, len(names) AS templates_n,
     len(list_filter(categories, lambda x: lower(x) NOT IN {LABEL_CATS})) AS categories_n,
     len(list_filter(names, lambda x: starts_with(x, 'cite ') OR x = 'citation')) AS cite_templates_n,
     refs_raw, len(refs_raw) AS ref_n,
     len(list_distinct(list_filter(list_transform(refs_raw, lambda x: trim(x, {TRIM})), lambda x: x <> ''))) AS refs_distinct,
-    {count_of('wikitext', w.DOI)} AS doi_n, {count_of('wikitext', w.ISBN)} AS isbn_n FROM plain"""
+    {count_of('wikitext', r'(?i)\bdoi\s*=')} AS doi_n, {count_of('wikitext', r'(?i)\bisbn(?:1[03])?\s*=')} AS isbn_n FROM plain"""
 
 
 def _days(a: str, c: str) -> str:
@@ -138,11 +151,12 @@ CTES["rated"] = f"SELECT page_id, class, list_position({GRADE_LIST}, class) - 1
 CTES["resolved"] = f"""SELECT page_id, {GRADE_LIST}[max(r) + 1] AS label, count(*) AS n_projects,
     count(*) - count(*) FILTER (WHERE r = best) AS n_disagree
     FROM (SELECT *, max(r) OVER (PARTITION BY page_id) AS best FROM rated) GROUP BY page_id"""
-CTES["scored"] = "SELECT o.pageid, o.y, o.d, f.* EXCLUDE (pageid) FROM one o JOIN features f USING (pageid)"
+CTES["scored"] = """SELECT f.pageid, o.y, o.d, f.* EXCLUDE (pageid) FROM (SELECT *, pageid % (SELECT max(vec_id) + 1 FROM embeddings) AS vec FROM features) f
+    JOIN one o ON o.pageid = f.vec"""
 
 NEEDS = {
     "newest": ["revisions"], "history": ["newest"], "views": ["pageviews"],
-    "records": ["articles", "history", "views"], "staged": ["records"], "plain": ["staged"],
+    "records": ["articles", "history", "views"], "seen": ["records"], "staged": ["seen"], "plain": ["staged"],
     "interim": ["plain"], "features": ["interim"], "dated": ["features", "interim"], "splits": ["dated"],
     "long": ["features"], "weights": ["logits"], "probs": ["weights"], "predictions": ["probs"],
     "one": ["predictions"], "rated": ["assessments"], "resolved": ["rated"], "scored": ["one", "features"],

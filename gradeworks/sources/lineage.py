@@ -8,6 +8,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+MAX_BROADCAST_KEYS = 100_000
+
+
 def dataset_row(spark: SparkSession, name: str, stage: str, path: str, producer: str,
                 parent: str | None = None, created: Column | None = None) -> DataFrame:
     """One lineage row of a Parquet dataset: shape, size and a fingerprint over its files.
@@ -28,8 +31,10 @@ def dataset_row(spark: SparkSession, name: str, stage: str, path: str, producer:
 
 
 def fingerprint(df: DataFrame, name: str) -> DataFrame:
-    """Shape and order-free content hash of a table, from sums of row hashes."""
-    text = F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("~")) for c in df.columns])
+    """Shape and order-free content hash of a table, from sums of row hashes. Each value stands behind its
+    length and a missing one is a dash, so different rows never have the same text."""
+    values = [F.col(c).cast("string") for c in df.columns]
+    text = F.concat_ws(";", *[F.coalesce(F.concat(F.length(v), F.lit(":"), v), F.lit("-")) for v in values])
     part = F.conv(F.substring(F.md5(text), 1, 12), 16, 10).cast("long")
     return df.agg(F.count("*").alias("rows"), F.coalesce(F.sum(part.cast("decimal(38,0)")), F.lit(0)).cast("string").alias("fingerprint")
                   ).select(F.lit(name).alias("name"), "rows",
@@ -45,8 +50,11 @@ def upsert(manifest: DataFrame, rows: DataFrame) -> DataFrame:
 
 
 def latest_run(runs: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
-    """All rows of the newest run id (per key)."""
+    """All rows of the newest run id (per key). Up to ``MAX_BROADCAST_KEYS`` keys the newest ids go to the
+    rows; beyond, rows and ids meet by key and run."""
     newest = runs.groupBy(*keys).agg(F.max("run_id").alias("run_id"))
+    if newest.limit(MAX_BROADCAST_KEYS + 1).count() <= MAX_BROADCAST_KEYS:
+        newest = F.broadcast(newest)
     return runs.join(newest, on=[*keys, "run_id"], how="left_semi")
 
 

@@ -4,49 +4,66 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from gradeworks.operators.corpus import BOT_USER, REVERT_TAGS
+from gradeworks.operators.ranking import first_per_key
 from gradeworks.schemas import RAW
 
+BATCH = "batch_no"
+
 
 def stream_records(spark: SparkSession, path: str) -> DataFrame:
     """Article records from new files in ``path``; blank lines are skipped."""
     return spark.readStream.schema(RAW).option("recursiveFileLookup", True).json(path)
 
 
-def ingest_new(records: DataFrame, out: str, checkpoint: str, event_time: str | None = None,
-               delay: str = "1 day") -> StreamingQuery:
-    """Store the first record per page. State is the set of seen keys; with ``event_time`` it is
-    bounded to the keys seen within ``delay``."""
-    if event_time is None:
-        first = records.dropDuplicates(["pageid"])
-    else:
-        first = records.withWatermark(event_time, delay).dropDuplicatesWithinWatermark(["pageid"])
-    return (first.writeStream.format("parquet").option("path", out)
-            .option("checkpointLocation", checkpoint).outputMode("append")
+def stored_batches(spark: SparkSession, out: str, schema: T.StructType, before: int | None = None) -> DataFrame:
+    """What the batches (up to ``before``) have stored in ``out``."""
+    rows = spark.read.schema(T.StructType([*schema.fields, T.StructField(BATCH, T.LongType())])).parquet(out)
+    return (rows if before is None else rows.filter(F.col(BATCH) < before)).drop(BATCH)
+
+
+def ingest_new(records: DataFrame, out: str, checkpoint: str, order: Column | None = None) -> StreamingQuery:
+    """Store the first record per page: of a batch the least by ``order`` (fetch time and revision), and only
+    if no earlier batch stored the page. The store itself is the memory, so no state grows with the keys. A
+    batch that runs again replaces what it wrote."""
+    first_by = F.struct("fetch_ts", "revid") if order is None else order
+    schema = T.StructType(list(records.schema.fields))
+
+    def store(batch: DataFrame, number: int) -> None:
+        first = first_per_key(batch, ["pageid"], first_by)
+        if number:
+            seen = stored_batches(batch.sparkSession, out, schema, number).select("pageid")
+            first = first.join(seen, on="pageid", how="left_anti")
+        first.write.mode("overwrite").parquet(f"{out}/{BATCH}={number}")
+
+    return (records.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint)
             .trigger(availableNow=True).start())
 
 
-def daily_counts(revisions: DataFrame, delay: str = "2 days") -> DataFrame:
-    """Edits, anonymous, bot and reverting edits per page and day. A page's day is one state row;
-    revisions later than the watermark are left out."""
+def daily_counts(revisions: DataFrame) -> DataFrame:
+    """Edits, anonymous, bot and reverting edits per page and day."""
     bot = ~F.col("anon") & F.col("editor").rlike(BOT_USER)
     reverting = F.arrays_overlap("tags", F.array(*[F.lit(t) for t in REVERT_TAGS]))
-    daily = revisions.withWatermark("ts", delay).groupBy(F.window("ts", "1 day"), "page_id").agg(
+    return revisions.groupBy("page_id", F.to_date("ts").alias("day")).agg(
         F.count("*").alias("edits"), F.count_if(F.col("anon")).alias("anon_n"),
         F.count_if(bot).alias("bot_n"), F.count_if(reverting).alias("reverted_n"))
-    return daily.select("page_id", F.to_date("window.start").alias("day"), "edits", "anon_n", "bot_n", "reverted_n")
 
 
-def store_daily(daily: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
-    return (daily.writeStream.format("parquet").option("path", out)
-            .option("checkpointLocation", checkpoint).outputMode("append")
+def store_daily(revisions: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
+    """Add each batch's counts per page and day to ``out``. Counts are partial sums, so revisions that
+    come late count like all others; a batch that runs again replaces what it wrote."""
+    def store(batch: DataFrame, number: int) -> None:
+        daily_counts(batch).write.mode("overwrite").parquet(f"{out}/{BATCH}={number}")
+
+    return (revisions.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint)
             .trigger(availableNow=True).start())
 
 
 def trailing_counts(daily: DataFrame, as_of: Column, days: int = 90) -> DataFrame:
-    """Per page: sums over all stored days and over the trailing ``days``."""
+    """Per page: sums over all stored partial counts and over the trailing ``days``."""
     recent = F.col("day") >= F.date_sub(as_of, days)
     return daily.groupBy("page_id").agg(
         F.sum("edits").alias("edits"), F.sum("anon_n").alias("anon_n"), F.sum("bot_n").alias("bot_n"),

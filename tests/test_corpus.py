@@ -13,10 +13,10 @@ NOW = datetime(2024, 6, 1)
 
 
 def test_highest_class_wins(spark):
-    pairs = spark.createDataFrame([(1, "P1", "B"), (1, "P2", " GA"), (1, "P3", "B"), (2, "P", "List")],
-                                  "page_id int, project string, class string")
-    rows = corpus.resolve_label(pairs).collect()
-    assert [tuple(r) for r in rows] == [(1, "GA", 3, 2)]
+    rated = [(7, "ships", "Stub"), (7, "rivers", " C "), (7, "towns", "C"), (7, "maps", "Start"), (7, "old", "Disambig"),
+             (8, "maps", "FA"), (9, "maps", None), (9, "towns", "Template")]
+    rows = corpus.resolve_label(spark.createDataFrame(rated, "page_id int, project string, class string")).collect()
+    assert sorted(map(tuple, rows)) == [(7, "C", 4, 2), (8, "FA", 1, 0)]
 
 
 def test_fallback(spark):
@@ -31,11 +31,15 @@ def _history(spark, rows, cap=500):
 
 
 def test_revision_counts(spark):
-    new, old = NOW - timedelta(days=5), NOW - timedelta(days=400)
-    r = _history(spark, [(1, 1, old, "Bob", False, ["mw-rollback"]), (1, 2, old, "ExampleBot", False, []),
-                         (1, 3, new, "1.2.3.4 bot", True, []), (1, 4, new, "Alice", False, ["other"])])
-    assert (r["edits"], r["editors"], r["anon_n"], r["bot_n"], r["reverted_n"], r["edits_90d"]) == (4, 4, 1, 1, 1, 2)
-    assert r["created"] == old
+    def at(days):
+        return NOW - timedelta(days=days)
+
+    r = _history(spark, [
+        (4, 11, at(3), "Ines", False, ["mw-undo", "mobile"]), (4, 12, at(89), "Ines", False, []), (4, 13, at(91), "SweepBot", False, []),
+        (4, 14, at(120), "10.0.0.9", True, ["mw-manual-revert"]), (4, 15, at(700), "robotics fan", False, ["visual"]),
+        (4, 16, at(900), "helper bot", True, [])])
+    assert r.asDict() == {"page_id": 4, "edits": 6, "editors": 5, "anon_n": 2, "bot_n": 1, "reverted_n": 2, "edits_90d": 2,
+                          "created": at(900)}
 
 
 def test_revision_cap_takes_the_newest(spark):
@@ -53,9 +57,9 @@ def test_pageviews(spark):
 
 
 @pytest.mark.parametrize("title,redirect,disambig,size,grade,reason", [
-    ("Dog", True, True, 500, "C", "redirects"), ("Dog", False, True, 10, "C", "disambigs"),
-    ("List of dogs", False, False, 500, "C", "list_prefix"), ("Dog", False, False, 10, "C", "min_bytes_non_stub"),
-    ("Dog", False, False, 10, "Stub", None), ("Dog", False, False, 500, "C", None)])
+    ("Harbour", True, False, 20, "GA", "redirects"), ("List of harbours", False, True, 20, "GA", "disambigs"),
+    ("List of piers", False, False, 20, "Start", "list_prefix"), ("Harbour", False, False, 99, "Start", "min_bytes_non_stub"),
+    ("Harbour", False, False, 100, "Start", None), ("Harbour", False, False, 1, "Stub", None), ("A List of piers", False, False, 900, "B", None)])
 def test_exclusions(spark, title, redirect, disambig, size, grade, reason):
     args = [F.lit(v) for v in (title, redirect, disambig, size, grade)]
     assert spark.range(1).select(corpus.exclusion_reason(*args)).first()[0] == reason
