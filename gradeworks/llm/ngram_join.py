@@ -132,8 +132,9 @@ def _index(width: int, percent: int, buckets: int):
                         owners.append(np.full(len(found), nodes[node]))
             rows = batch.num_rows
             numbers = pa.array(high, pa.int64())
+            spread = (np.arange(rows) + low[0] % buckets if rows else np.empty(0, "int64")) % buckets  # any bucket will do
             yield pa.RecordBatch.from_arrays(
-                [pa.array((np.array(low, "int64") & 0x7FFFFFFF) % buckets, pa.int64()), batch.column("key"), batch.column("body_hash"),
+                [pa.array(spread, pa.int64()), batch.column("key"), batch.column("body_hash"),
                  pa.array(sizes, pa.int64()), numbers, pa.array(low, pa.int64()), pa.array(sketches, pa.binary()),
                  *(pa.nulls(rows, pa.binary()) for _ in range(3))], names=_SENT)
             if not hashes:
