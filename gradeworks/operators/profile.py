@@ -186,8 +186,13 @@ def median_by_grade(df: DataFrame, features: list[str], **kw) -> DataFrame:
 
 
 def notes_summary(df: DataFrame, summary: DataFrame) -> DataFrame:
-    """Row and grade counts, the three strongest features and the worst missingness, as one row."""
-    rows = df.agg(F.count("*").alias("rows"), F.count_distinct("label").alias("grades"))
+    """Row and grade counts, rows per grade in grade order, the three strongest features and the worst
+    missingness, as one row."""
+    counts = df.groupBy("grade_rank", "label").agg(F.count("*").alias("n"))  # one row per grade
+    line = F.concat("label", F.lit(": "), F.col("n").cast("string"))
+    each = F.sort_array(F.collect_list(F.struct("grade_rank", line.alias("t"))))
+    rows = counts.agg(F.sum("n").alias("rows"), F.count_distinct("label").alias("grades"),
+                      F.array_join(F.transform(each, lambda g: g["t"]), ", ").alias("per_grade"))
     # the summary has one row per feature
     place = F.struct(-F.col("mi"), F.col("feature"))
     feats = summary.agg(

@@ -11,7 +11,6 @@ from gradeworks.plans.shape import tidy
 from gradeworks.plans.twin_sql import twin
 from gradeworks.schemas import FEATURES, GRADES, HISTORY_LIKE
 
-PAIRED = ["bytes", "words", "sentences", "lead_length", "age_days", "edits"]
 CONTENT = [f for f in FEATURES if f not in HISTORY_LIKE]
 
 FILLED = """filled AS MATERIALIZED (SELECT pageid, grade_rank, feature, coalesce(value, quantile_cont(value, 0.5) OVER (PARTITION BY feature), 0) AS value FROM long)"""
@@ -36,10 +35,11 @@ def feature_stats(spark, sf):
     return tidy(profile.feature_stats(b.features(spark, sf), FEATURES))
 
 
-@query("E2_median_impute", _with(FILLED, "SELECT pageid, round(max(CASE WHEN feature = 'age_days' THEN value END), 6) AS age_days, round(max(CASE WHEN feature = 'days_since_edit' THEN value END), 6) AS days_since_edit, round(max(CASE WHEN feature = 'top_editor_share' THEN value END), 6) AS top_editor_share FROM filled GROUP BY pageid"))
+@query("E2_median_impute", _with(FILLED, "SELECT pageid, " + ", ".join(
+    f"round(max(CASE WHEN feature = '{f}' THEN value END), 6) AS {f}" for f in FEATURES) + " FROM filled GROUP BY pageid"))
 def median_impute(spark, sf):
-    return tidy(profile.median_impute(b.features(spark, sf), ["age_days", "days_since_edit", "top_editor_share"]),
-                "pageid", "age_days", "days_since_edit", "top_editor_share")
+    df = b.features(spark, sf).select("pageid", *[F.col(f).cast("double").alias(f) for f in FEATURES])
+    return tidy(profile.median_impute(df, FEATURES), "pageid", *FEATURES)
 
 
 @query("E3_mutual_information", _with(f"{FILLED},\n{MI}", "SELECT feature, round(mi, 6) + 0 AS mi FROM mi"))
@@ -66,13 +66,21 @@ def single_feature_accuracy(spark, sf):
 def leakage_suspects(spark, sf):
     """A copy of the grade is planted among the features; it has to be found."""
     planted = b.features(spark, sf).withColumn("planted", F.col("grade_rank").cast("double"))
-    return tidy(profile.leakage_suspects(profile.single_feature_accuracy(planted, ["words", "edits", "planted"])))
+    return tidy(profile.leakage_suspects(profile.single_feature_accuracy(planted, [*FEATURES, "planted"])))
 
 
-@query("E8_summary_topn", _with(f"{FILLED},\n{MI},\n{SPEAR}", "SELECT feature, round(mi, 6) + 0 AS mi, round(spearman, 6) + 0 AS spearman FROM mi JOIN sp USING (feature) ORDER BY round(mi, 9) DESC, feature LIMIT 12"))
+MISSING = "miss AS (SELECT feature, avg(CASE WHEN value IS NULL THEN 1 ELSE 0 END) AS m FROM long GROUP BY feature)"
+
+
+@query("E8_summary_topn", _with(f"{FILLED},\n{MI},\n{SPEAR},\n{MISSING}", """SELECT feature, round(mi, 6) + 0 AS mi, round(spearman, 6) + 0 AS spearman,
+    round(m, 6) AS missing_frac FROM mi JOIN sp USING (feature) JOIN miss USING (feature) ORDER BY round(mi, 9) DESC, feature LIMIT 12"""))
 def summary_topn(spark, sf):
-    summary = profile.feature_summary(b.features(spark, sf), FEATURES, with_accuracy=False)
-    return tidy(profile.summary_top(summary.withColumn("mi", F.round("mi", 9))), "feature", "mi", "spearman")
+    """The accuracy column, which needs trees, is in E6."""
+    df = b.features(spark, sf)
+    summary = profile.feature_summary(df, FEATURES, with_accuracy=False)
+    if "missing_frac" not in summary.columns:
+        summary = summary.join(profile.missing_fraction(df, FEATURES), on="feature")
+    return tidy(profile.summary_top(summary.withColumn("mi", F.round("mi", 9))), "feature", "mi", "spearman", "missing_frac")
 
 
 @query("E9_class_balance", twin("SELECT grade, CAST(g AS BIGINT) AS grade_rank, count(f.pageid) AS n FROM (VALUES "
@@ -81,19 +89,18 @@ def class_balance(spark, sf):
     return tidy(profile.class_balance(b.features(spark, sf)))
 
 
-def _corr_sql() -> str:
-    parts = []
-    for x in PAIRED:
-        for y in PAIRED:
-            parts.append(f"""SELECT '{x}' AS x, '{y}' AS y, CASE WHEN min(rx) < max(rx) AND min(ry) < max(ry) THEN round(corr(rx, ry), 3) + 0 END AS spearman FROM (
-                SELECT rank() OVER (ORDER BY {x}) + (count(*) OVER (PARTITION BY {x}) - 1) / 2 AS rx, rank() OVER (ORDER BY {y}) + (count(*) OVER (PARTITION BY {y}) - 1) / 2 AS ry
-                FROM features WHERE {x} IS NOT NULL AND {y} IS NOT NULL)""")
-    return " UNION ALL ".join(parts)
-
-
-@query("E10_corr_matrix", twin(_corr_sql(), "features"))
+@query("E10_corr_matrix", _with(f"""{FILLED},\n{MI}, top AS (SELECT feature FROM mi ORDER BY round(mi, 9) DESC, feature LIMIT 12),
+    held AS (SELECT pageid, feature, value FROM long JOIN top USING (feature) WHERE value IS NOT NULL),
+    pairs AS (SELECT x.feature AS x, y.feature AS y, x.value AS vx, y.value AS vy FROM held x JOIN held y USING (pageid)),
+    placed AS (SELECT x, y, rank() OVER (PARTITION BY x, y ORDER BY vx) + (count(*) OVER (PARTITION BY x, y, vx) - 1) / 2 AS rx,
+        rank() OVER (PARTITION BY x, y ORDER BY vy) + (count(*) OVER (PARTITION BY x, y, vy) - 1) / 2 AS ry FROM pairs)""",
+       "SELECT x, y, CASE WHEN min(rx) < max(rx) AND min(ry) < max(ry) THEN round(corr(rx, ry), 3) + 0 END AS spearman FROM placed GROUP BY x, y"))
 def corr_matrix(spark, sf):
-    return tidy(profile.corr_matrix(b.features(spark, sf), PAIRED))
+    """Among the twelve features of largest mutual information with the grade."""
+    df = b.features(spark, sf)
+    ranked = profile.mutual_information(df, FEATURES).withColumn("mi", F.round("mi", 9))
+    top = [r["feature"] for r in ranked.orderBy(F.desc("mi"), "feature").limit(12).collect()]
+    return tidy(profile.corr_matrix(df, top))
 
 
 @query("E11_median_by_grade", twin("SELECT feature, label AS grade, round(quantile_cont(value, 0.5), 6) AS median FROM long WHERE value IS NOT NULL GROUP BY feature, label", "long"))
@@ -101,8 +108,8 @@ def median_by_grade(spark, sf):
     return tidy(profile.median_by_grade(b.features(spark, sf), FEATURES))
 
 
-@query("E12_notes_summary", _with(f"""{FILLED},\n{MI}, miss AS (SELECT feature, avg(CASE WHEN value IS NULL THEN 1 ELSE 0 END) AS m FROM long GROUP BY feature)""",
-       """SELECT (SELECT count(*) FROM features) AS "rows", (SELECT count(DISTINCT label) FROM features) AS grades,
+@query("E12_notes_summary", _with(f"{FILLED},\n{MI},\n{MISSING}", """SELECT (SELECT count(*) FROM features) AS "rows", (SELECT count(DISTINCT label) FROM features) AS grades,
+    (SELECT string_agg(label || ': ' || n, ', ' ORDER BY grade_rank) FROM (SELECT label, grade_rank, count(*) AS n FROM features GROUP BY ALL)) AS per_grade,
     (SELECT string_agg(feature, ', ' ORDER BY round(mi, 9) DESC, feature) FROM (SELECT * FROM mi ORDER BY round(mi, 9) DESC, feature LIMIT 3)) AS top3,
     (SELECT feature FROM miss ORDER BY m DESC, feature LIMIT 1) AS worst_missing, (SELECT round(max(m), 6) FROM miss) AS worst_missing_frac"""))
 def notes_summary(spark, sf):
