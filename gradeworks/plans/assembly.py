@@ -18,9 +18,9 @@ from gradeworks.plans.shape import tidy
 from gradeworks.plans.twin_sql import GRADE_LIST, twin
 from gradeworks.schemas import GRADES
 from gradeworks.sources import lineage, records
-from gradeworks.session import shared_dir
+from gradeworks.session import input_state, shared_dir
 
-_paths: dict[tuple[str, str], str] = {}
+_paths: dict[tuple, str] = {}
 
 
 def scratch(spark: SparkSession, name: str) -> str:
@@ -29,7 +29,7 @@ def scratch(spark: SparkSession, name: str) -> str:
 
 def raw_json(spark: SparkSession, sf: str) -> str:
     """The records as JSON lines with blank lines, some of them written twice."""
-    key = (spark.sparkContext.applicationId, sf)
+    key = (spark.sparkContext.applicationId, sf, input_state(spark, sf))
     if key not in _paths:
         path = scratch(spark, "raw")
         df = b.raw_records(spark, sf)

@@ -18,6 +18,7 @@ from gradeworks.plans.registry import query
 from gradeworks.plans.shape import tidy
 from gradeworks.plans.twin_sql import twin
 from gradeworks.schemas import FEATURES, GRADES, HISTORY_LIKE
+from gradeworks.session import input_state
 from gradeworks.plans.evaluation import ACC, MACRO, WITHIN
 
 SMALL = {"iterations": 4, "depth": 3}
@@ -27,7 +28,7 @@ _fitted: dict = {}
 
 def model(spark, sf, kind: str, params: dict | None = None, seed: int = 42) -> learners.Fitted:
     """A learner fitted on the training partition, kept for the session."""
-    key = (spark.sparkContext.applicationId, sf, kind, str(params), seed)
+    key = (spark.sparkContext.applicationId, sf, input_state(spark, sf), kind, str(params), seed)
     if key not in _fitted:
         _fitted[key] = learners.fit(kind, b.part_of(spark, sf, "train"), FEATURES, params, seed)
     return _fitted[key]

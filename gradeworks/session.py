@@ -57,12 +57,23 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
-_staged: dict[tuple[str, str, str], DataFrame] = {}
+def input_state(spark: SparkSession, folder: str) -> tuple:
+    """Name, change time and size of each table in ``folder``: differs once a table is written anew."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not files.exists(path):
+        return ()
+    return tuple(sorted((s.getPath().getName(), s.getModificationTime(), files.getContentSummary(s.getPath()).getLength())
+                        for s in files.listStatus(path)))
+
+
+_staged: dict[tuple, DataFrame] = {}
 
 
 def staged(spark: SparkSession, scope: str, name: str, build: Callable[[], DataFrame]) -> DataFrame:
-    """Table ``name`` of input ``scope``, written once per application and re-read afterwards."""
-    key = (spark.sparkContext.applicationId, scope, name)
+    """Table ``name`` made from the tables in folder ``scope``, written once per application and state of
+    the input, and re-read afterwards."""
+    key = (spark.sparkContext.applicationId, scope, name, input_state(spark, scope))
     if key not in _staged:
         _staged[key] = write_table(build(), name)
     return _staged[key]
