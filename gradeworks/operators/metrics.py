@@ -19,6 +19,7 @@ from gradeworks.schemas import K
 
 BINS = 10
 MIN_BIN_ROWS = 3
+DRAWS = 50
 MIN_HOLDOUT_ROWS = 10
 METRICS = ["macro_f1", "qwk", "within_one", "acc", "ordinal_mae"]
 
@@ -172,36 +173,40 @@ def throughput(df: DataFrame, rows: int) -> float:
 def bootstrap_ci(df: DataFrame, y: str = "y", p: str = "pred", n_boot: int = 1000, seed: int = 42,
                  by: Sequence[str] = ()) -> DataFrame:
     """95% percentile intervals of five metrics. Resampling rows with replacement is a multinomial
-    draw over confusion cells, so the rows are read once and each replicate costs 36 numbers."""
+    draw over confusion cells, so the rows are read once and each replicate costs 36 numbers. Replicates
+    are drawn and measured ``DRAWS`` at a time, spread over tasks."""
     ordered = F.sort_array(F.collect_list(F.struct("y", "pred", "n")))  # always K*K cells
     cells = confusion(df, y, p, by).groupBy(*by).agg(ordered["n"].alias("cells"))
-    replicates = cells.select(*by, "cells", F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1))).alias("b"))
-    keys = list(by)
+    blocks = -(-n_boot // DRAWS)
+    replicates = cells.select(*by, "cells", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("b")).repartition("b")
+    keys, block_size = list(by), DRAWS
     schema = ", ".join([f"{f.name} {f.dataType.simpleString()}" for f in replicates.schema if f.name in keys]
                        + ["metric string", "value double"])
 
     gap = np.abs(np.subtract.outer(np.arange(K), np.arange(K)))
 
-    def measure(counts) -> dict[str, float]:
-        cells = counts.reshape(gap.shape).astype(float)
-        n, diag = cells.sum(), np.diag(cells)
-        sides = cells.sum(0) + cells.sum(1)
-        chance = (gap**2 * np.outer(cells.sum(1), cells.sum(0))).sum() / n
-        f1 = np.divide(2 * diag, sides, out=np.zeros(len(diag)), where=sides > 0)
-        return {"macro_f1": f1.mean(), "qwk": 1 - (gap**2 * cells).sum() / chance if chance else np.nan,
-                "within_one": cells[gap <= 1].sum() / n, "acc": diag.sum() / n,
-                "ordinal_mae": (gap * cells).sum() / n}
+    def measure(counts) -> dict:
+        cells = counts.reshape(-1, *gap.shape).astype(float)
+        n, diag = cells.sum((1, 2)), np.diagonal(cells, axis1=1, axis2=2)
+        rated, given = cells.sum(2), cells.sum(1)
+        f1 = np.divide(2 * diag, rated + given, out=np.zeros(diag.shape), where=rated + given > 0)
+        chance = np.einsum("bi,ij,bj->b", rated, gap**2, given) / n
+        error = (cells * gap**2).sum((1, 2))
+        kappa = 1 - np.divide(error, chance, out=np.full(len(n), np.nan), where=chance > 0)
+        return {"macro_f1": f1.mean(1), "qwk": kappa, "within_one": (cells * (gap <= 1)).sum((1, 2)) / n,
+                "acc": diag.sum(1) / n, "ordinal_mae": (cells * gap).sum((1, 2)) / n}
 
     def draw(batches):  # closes over values only, so tasks need no import of this package
         for pdf in batches:
-            out = []
-            for row in pdf.to_dict("records"):
-                weights = np.asarray(row["cells"], dtype=np.int64)
-                rng = np.random.default_rng([seed, int(row["b"])])
-                sample = rng.multinomial(weights.sum(), weights / weights.sum())
-                out += [{**{k: row[k] for k in keys}, "metric": m, "value": float(v)}
-                        for m, v in measure(sample).items()]
-            yield pd.DataFrame(out, columns=[*keys, "metric", "value"])
+            parts = [pd.DataFrame({k: [] for k in [*keys, "metric", "value"]})]
+            for at in range(len(pdf)):
+                row = pdf.iloc[at]
+                weights, block = np.asarray(row["cells"], dtype=np.int64), int(row["b"])
+                rng = np.random.default_rng([seed, block])
+                size = min(block_size, n_boot - block * block_size)
+                found = measure(rng.multinomial(weights.sum(), weights / weights.sum(), size=size))
+                parts += [pd.DataFrame({**{k: row[k] for k in keys}, "metric": m, "value": v}) for m, v in found.items()]
+            yield pd.concat(parts[1:] or parts)[[*keys, "metric", "value"]]
 
     draws = replicates.mapInPandas(draw, schema)
     ci = draws.groupBy(*keys, "metric").agg(  # n_boot values per group

@@ -139,17 +139,21 @@ def json_side_table(spark, sf):
     return b.features(spark, sf).select("pageid", "label").join(side, on="pageid", how="left")
 
 
-REVIEW = """SELECT pageid, CAST(y AS BIGINT) AS y, round(d, 3) AS d, CASE WHEN rn <= 20 THEN 'high' WHEN rn > n - 20 THEN 'low' ELSE 'mid' END AS bucket
-    FROM (SELECT *, row_number() OVER (ORDER BY d DESC, pageid) AS rn, count(*) OVER () AS n FROM one)
-    WHERE rn <= 20 OR rn > n - 20 OR (rn > floor(n / 2) - 10 AND rn <= floor(n / 2) + 10)"""
+REVIEW = """SELECT r.pageid, a.title, a.label AS human_grade, r.y, r.d, r.bucket FROM (
+    SELECT pageid, CAST(y AS BIGINT) AS y, round(d, 3) AS d, CASE WHEN rn <= 20 THEN 'high' WHEN rn > n - 20 THEN 'low' ELSE 'mid' END AS bucket
+    FROM (SELECT *, row_number() OVER (ORDER BY d DESC, pageid) AS rn, count(*) OVER () AS n FROM scored)
+    WHERE rn <= 20 OR rn > n - 20 OR (rn > floor(n / 2) - 10 AND rn <= floor(n / 2) + 10)) r JOIN articles a USING (pageid)"""
 
 
-@query("A10_csv_sink", twin(REVIEW, "one"))
+@query("A10_csv_sink", twin(REVIEW, "scored", "articles"))
 def csv_sink(spark, sf):
+    """The review sheet with what a reader needs to judge each page."""
     path = scratch(spark, "review")
-    scored = staleness.with_distance(b.predictions_one(spark, sf)).select("pageid", "y", "d")
-    records.write_csv(staleness.review_buckets(scored), path)
-    return spark.read.schema("pageid long, y long, d double, bucket string").option("header", True).csv(path)
+    sheet = staleness.review_buckets(b.scored_pages(spark, sf).select("pageid", "y", "d"))  # sixty rows
+    named = b.articles(spark, sf).select("pageid", "title", F.col("label").alias("human_grade"))
+    records.write_csv(named.join(F.broadcast(sheet), on="pageid").select("pageid", "title", "human_grade", "y", "d", "bucket"), path)
+    return spark.read.schema("pageid long, title string, human_grade string, y long, d double, bucket string").option(
+        "header", True).csv(path)
 
 
 @query("A11_merge_external_rows", twin("""SELECT config, count(*) AS n, round(avg(CAST(y = pred AS DOUBLE)), 6) AS acc,

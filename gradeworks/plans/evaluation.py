@@ -184,6 +184,14 @@ def results_table(spark, sf):
     return tidy(metrics.results_table(b.predictions(spark, sf)))
 
 
+@query("V14_results_interval")
+def results_interval(spark, sf):
+    """The result rows with the bootstrap interval of macro-F1."""
+    df = b.predictions(spark, sf)
+    ci = metrics.bootstrap_ci(df, by=CONFIG).filter(F.col("metric") == "macro_f1").select("config", "ci_lo", "ci_hi")
+    return tidy(metrics.results_table(df).join(ci, on="config"))
+
+
 @query("V15_headline", twin(f"""SELECT config, round(macro_f1, 4) AS macro_f1, round(qwk_argmax, 4) + 0 AS qwk, round(ece, 4) AS ece,
     config = (SELECT config FROM {RESULTS} ORDER BY macro_f1 DESC, config DESC LIMIT 1) AS is_best FROM {RESULTS}""", "predictions"))
 def headline(spark, sf):
