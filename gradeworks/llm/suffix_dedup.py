@@ -38,8 +38,8 @@ from gradeworks.session import write_table
 
 LENGTH = 50
 GRAM = 24
-SEGMENT = 1 << 22
-BUCKET_BYTES = 32 << 20
+SEGMENT = 1 << 20
+BUCKET_BYTES = 16 << 20
 MANY_RUNS = 64
 _GATHER = 4 << 20
 _LAST = (1 << 63) - 1
