@@ -41,7 +41,9 @@ GRAM = 24
 SEGMENT = 1 << 20
 BUCKET_BYTES = 16 << 20
 MANY_RUNS = 64
-_GATHER = 4 << 20
+_FLUSH = 8 << 20  # bytes of text whose runs are folded and packed at once
+_GATHER = 1 << 20  # bytes put in suffix order at once
+_ROWS = 20_000  # rows handed on at once
 _LAST = (1 << 63) - 1
 _POSITION = np.uint64((1 << 24) - 1)
 
@@ -151,9 +153,42 @@ def _sampled(length: int, gram: int, buckets: int):
                 _planes(c["start"][some], 5), _planes(c["count"][some], 5 if known else 1),
                 b"" if known else _planes(c["anchor"][some], 6), b"" if known else _planes(c["content"][some], 5))
 
+    def folded(parts: list[tuple], keys: np.ndarray, bodies: np.ndarray) -> pa.RecordBatch:
+        c = dict(zip(("row", "start", "count", "anchor", "content"),
+                     map(np.concatenate, zip(*parts, strict=True)), strict=True))
+        parts.clear()
+        c["keys"], c["bodies"] = keys, bodies
+        owner = keys[c["row"]]
+        gone = np.zeros(len(owner), bool)
+        order = _repeats(c["anchor"])
+        if len(order):
+            order = order[np.lexsort((owner[order], c["content"][order], c["anchor"][order]))]
+            fresh = np.append(True, (np.diff(c["anchor"][order]) != 0) | (np.diff(c["content"][order]) != 0))
+            gone[order] = owner[order] > owner[order][np.flatnonzero(fresh)][np.cumsum(fresh) - 1]
+        out = []
+        bucket = ((c["anchor"] >> np.uint64(16)) % np.uint64(buckets)).astype("int64")
+        stay = np.flatnonzero(~gone)
+        stay = stay[np.argsort(bucket[stay], kind="stable")]
+        for some in np.split(stay, np.flatnonzero(np.diff(bucket[stay])) + 1):
+            if len(some):
+                out.append(packed(some, int(bucket[some[0]]), False, c))
+        gone = np.flatnonzero(gone)
+        if len(gone):  # neighbouring runs make one range
+            ends = c["start"] + c["count"]
+            apart = (np.diff(c["row"][gone]) != 0) | (c["start"][gone][1:] != ends[gone][:-1])
+            heads = gone[np.append(True, apart)]
+            c["count"][heads] = ends[gone[np.append(apart, True)]] - c["start"][heads]
+            out.append(packed(heads, int(bodies[c["row"][heads[0]]] % buckets), True, c))
+        columns = list(zip(*out, strict=True))
+        return pa.RecordBatch.from_arrays(
+            [pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.bool_()),
+             *(pa.array(x, pa.binary()) for x in columns[2:])], names=_PACKED)
+
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            parts = []
+            keys = batch.column("key").fill_null(_LAST).to_numpy()
+            bodies = batch.column("body_hash").to_numpy()
+            parts, size = [], 0
             for raw, ends, rows, offsets in gathered(batch.column("body"), length):
                 starts, counts, hashes = runs(raw, ends, length, gram)
                 data = raw.tobytes()
@@ -162,37 +197,12 @@ def _sampled(length: int, gram: int, buckets: int):
                 part = np.searchsorted(ends, starts, side="right")
                 begin = np.append(0, ends[:-1])[part]
                 parts.append((rows[part], starts - begin + offsets[part], counts, hashes, contents))
-            if not parts:
-                continue
-            c = dict(zip(("row", "start", "count", "anchor", "content"),
-                         map(np.concatenate, zip(*parts, strict=True)), strict=True))
-            c["keys"] = batch.column("key").fill_null(_LAST).to_numpy()
-            c["bodies"] = batch.column("body_hash").to_numpy()
-            owner = c["keys"][c["row"]]
-            gone = np.zeros(len(owner), bool)
-            order = _repeats(c["anchor"])
-            if len(order):
-                order = order[np.lexsort((owner[order], c["content"][order], c["anchor"][order]))]
-                fresh = np.append(True, (np.diff(c["anchor"][order]) != 0) | (np.diff(c["content"][order]) != 0))
-                gone[order] = owner[order] > owner[order][np.flatnonzero(fresh)][np.cumsum(fresh) - 1]
-            out = []
-            bucket = ((c["anchor"] >> np.uint64(16)) % np.uint64(buckets)).astype("int64")
-            stay = np.flatnonzero(~gone)
-            stay = stay[np.argsort(bucket[stay], kind="stable")]
-            for some in np.split(stay, np.flatnonzero(np.diff(bucket[stay])) + 1):
-                if len(some):
-                    out.append(packed(some, int(bucket[some[0]]), False, c))
-            gone = np.flatnonzero(gone)
-            if len(gone):  # neighbouring runs make one range
-                ends = c["start"] + c["count"]
-                apart = (np.diff(c["row"][gone]) != 0) | (c["start"][gone][1:] != ends[gone][:-1])
-                heads = gone[np.append(True, apart)]
-                c["count"][heads] = ends[gone[np.append(apart, True)]] - c["start"][heads]
-                out.append(packed(heads, int(c["bodies"][0] % buckets), True, c))
-            columns = list(zip(*out, strict=True))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.bool_()),
-                 *(pa.array(x, pa.binary()) for x in columns[2:])], names=_PACKED)
+                size += len(raw)
+                if size >= _FLUSH:
+                    yield folded(parts, keys, bodies)
+                    size = 0
+            if parts:
+                yield folded(parts, keys, bodies)
 
     return read
 
@@ -254,35 +264,52 @@ def _grouped(batches: Iterator[pa.RecordBatch], name: str) -> Iterator[tuple[int
         yield now, rows
 
 
+def _listed(column: pa.Array, names: list[str]) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Ends of the rows' lists in the flat fields of a list of structs; a missing list is empty."""
+    flat = column.flatten()
+    ends = np.cumsum(column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
+    return ends, [flat.field(n).to_numpy(zero_copy_only=False) for n in names]
+
+
 def _contexts(length: int):
-    """The bytes of open runs. Those of anchors with many runs go window by window, folded within the batch;
-    ranges that folding finds have no ``piece``."""
+    """The bytes of open runs. Those of anchors with many runs go window by window, folded as far as they are
+    read together; ranges that folding finds have no ``piece``."""
+
+    def made(out: list[tuple], single: dict[bytes, list]) -> pa.RecordBatch:
+        for piece, places in single.items():
+            least = min(places)[0]
+            h = xxhash.xxh3_64_intdigest(piece) - (1 << 63)
+            for key, body_hash, w in places:
+                if key == least:
+                    out.append((h, key, body_hash, w, 1, piece))
+                else:
+                    out.append((body_hash ^ w, key, body_hash, w, 1, None))
+        columns = list(zip(*out, strict=True)) if out else [()] * 6
+        return pa.RecordBatch.from_arrays(
+            [*(pa.array(c, pa.int64()) for c in columns[:5]), pa.array(columns[5], pa.binary())],
+            names=["gathering", *_RANGES, "piece"])
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out, single = [], {}
-            found = batch.column("found").to_pylist()
-            columns = (batch.column("key").to_pylist(), batch.column("body_hash").to_pylist(), _bytes(batch.column("body")))
-            for key, body_hash, data, items in zip(*columns, found, strict=True):
-                for item in items:
-                    a, n = item["start"], item["windows"]
-                    if item["many"]:
+            out, single, size = [], {}, 0
+            ends, fields = _listed(batch.column("found"), ["start", "windows", "anchor", "many"])
+            first = 0
+            rows = zip(batch.column("key").to_pylist(), batch.column("body_hash").to_pylist(), _bytes(batch.column("body")),
+                       ends.tolist(), strict=True)
+            for key, body_hash, data, end in rows:
+                for a, n, anchor, many in zip(*(f[first:end].tolist() for f in fields), strict=True):
+                    if many:
                         for w in range(a, a + n):
                             single.setdefault(data[w:w + length], []).append((key, body_hash, w))
+                        size += n
                     else:
-                        out.append((item["anchor"], key, body_hash, a, n, data[a:a + n + length - 1]))
-            for piece, places in single.items():
-                least = min(places)[0]
-                h = xxhash.xxh3_64_intdigest(piece) - (1 << 63)
-                for key, body_hash, w in places:
-                    if key == least:
-                        out.append((h, key, body_hash, w, 1, piece))
-                    else:
-                        out.append((body_hash ^ w, key, body_hash, w, 1, None))
-            columns = list(zip(*out, strict=True)) if out else [()] * 6
-            yield pa.RecordBatch.from_arrays(
-                [*(pa.array(c, pa.int64()) for c in columns[:5]), pa.array(columns[5], pa.binary())],
-                names=["gathering", *_RANGES, "piece"])
+                        out.append((anchor, key, body_hash, a, n, data[a:a + n + length - 1]))
+                        size += 1
+                first = end
+                if size > _ROWS:
+                    yield made(out, single)
+                    out, single, size = [], {}, 0
+            yield made(out, single)
 
     return read
 
@@ -345,19 +372,19 @@ def _cut(length: int, digest: Callable[[bytes], str], carried: list[str]):
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = []
-            for data, found in zip(_bytes(batch.column("body")), batch.column("found").to_pylist(), strict=True):
-                if not found:
+            made, first = [], 0
+            ends, (starts, windows) = _listed(batch.column("found"), ["start", "windows"])
+            for data, end in zip(_bytes(batch.column("body")), ends.tolist(), strict=True):
+                if first == end:
                     made.append((len(data), 0, 0, digest(data)))
                     continue
-                turn = np.zeros(len(data) + 1, "int64")
-                for r in found:
-                    if r["start"] < len(data):
-                        turn[r["start"]] += 1
-                        turn[min(r["start"] + r["windows"] + length - 1, len(data))] -= 1
+                size = len(data)
+                turn = np.bincount(np.minimum(starts[first:end], size), minlength=size + 1)
+                turn -= np.bincount(np.minimum(starts[first:end] + windows[first:end] + length - 1, size), minlength=size + 1)
+                first = end
                 keep = np.cumsum(turn[:-1]) == 0
                 spans = int((~keep[:1]).sum() + (keep[:-1] & ~keep[1:]).sum())
-                made.append((len(data), int((~keep).sum()), spans, digest(np.frombuffer(data, "uint8")[keep].tobytes())))
+                made.append((size, int((~keep).sum()), spans, digest(np.frombuffer(data, "uint8")[keep].tobytes())))
             columns = list(zip(*made, strict=True)) if made else [()] * 4
             yield pa.RecordBatch.from_arrays(
                 [*(batch.column(c) for c in carried), *(pa.array(c, pa.int64()) for c in columns[:3]),
