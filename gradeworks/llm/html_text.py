@@ -40,11 +40,12 @@ DROPPED = frozenset(
     "embed video audio map menu dialog title".split())
 DROPPED_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog form menu menubar".split())
 DROPPED_NAMES = frozenset(
-    "ad ads advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner cookie cookies consent gdpr "
-    "notice notices notification popup modal overlay newsletter subscribe subscription signup login sidebar aside comment "
+    "ad ads adv advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner cookie cookies consent gdpr "
+    "notice notices notification alert popup modal overlay newsletter subscribe subscription signup login sidebar aside comment "
     "comments disqus replies reply responses share sharing social related recommended breadcrumb breadcrumbs menu nav navbar "
     "navigation footer header masthead toolbar widget pagination pager skip hidden".split())
 LISTS = frozenset("ul ol dl div section table tbody tr".split())
+LAYOUT = frozenset("no has with without".split())  # "with-sidebar" says how a page is laid out
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: What a start tag closes if it is still open, up to the nearest element that holds such parts.
 CLOSES = {
@@ -81,8 +82,11 @@ def _dropped(tag: str, attrs: str) -> bool:
         return False
     for name, a, b, c in _ATTR.findall(attrs):
         name, value = name.lower(), (a or b or c).lower()
-        if name in ("class", "id") and not DROPPED_NAMES.isdisjoint(re.split(r"[^a-z]+", value)):
-            return True
+        if name in ("class", "id"):
+            for word in value.split():
+                parts = re.split(r"[^a-z]+", word)
+                if not DROPPED_NAMES.isdisjoint(parts) and LAYOUT.isdisjoint(parts):
+                    return True
         if name == "role" and value.strip() in DROPPED_ROLES or name == "hidden":
             return True
         if name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none", value):

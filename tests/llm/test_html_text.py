@@ -34,6 +34,8 @@ def test_pages_of_the_table(tables):
     (f"<article><h1>T</h1><div><p>{P}<p>short.</div><form>x<input></form><div class='cookie-notice'>We use</div></article>"
      "<aside>more</aside>", f"T\n{TEXT}\nshort."),
     (f"<ul><li><a href=1>one</a><li><a href=2>two</a></ul><p>{P}", TEXT),
+    (f"<div class='page with-sidebar no-comments'><p>{P}<p>{P}</div><div id=user-comments><p>{P}</div><div class='x ad-box'>buy</div>",
+     f"{TEXT}\n{TEXT}"),
     ("<article><p>&lt;b&gt; &#233;&#x1F600;&nbsp;x</p><p hidden>no</p></article>", "<b> é😀 x"),
 ])
 def test_main_text(page, text):
