@@ -120,6 +120,7 @@ def deleted(counts: DataFrame) -> DataFrame:
 
 
 def copies(counts: DataFrame) -> DataFrame:
-    """The counted rows whose text a row of smaller key has too."""
-    first = counts.groupBy("digest").agg(F.min("key").alias("first"), F.count("*").alias("c")).filter("c > 1")
-    return counts.join(first, "digest").filter(F.col("first").isNotNull() & ~F.col("key").eqNullSafe(F.col("first"))).drop("first", "c")
+    """The counted rows whose text a row of smaller key has too: all but the rows of the least key of each text.
+    Rows meet that key by key and text, so a text with many copies is dealt evenly."""
+    first = counts.groupBy("digest").agg(F.min("key").alias("first")).withColumnRenamed("digest", "first_digest")
+    return counts.join(first, counts["key"].eqNullSafe(first["first"]) & (counts["digest"] == first["first_digest"]), "left_anti")
