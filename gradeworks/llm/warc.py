@@ -36,6 +36,7 @@ from gradeworks.session import write_table
 MAX_ARCHIVE_BYTES = 1 << 30
 GAP = 64 << 10
 MAX_READ = 8 << 20
+TASK_BYTES = 64 << 20
 _LEVEL = 3
 _INDEX = ["file", "offset", "length", "key", "url", "digest", "record_type"]
 _DATE = "2024-01-01T00:00:00Z"
@@ -177,5 +178,7 @@ def _reader(folder: str, payloads: bool):
 def read_records(index: DataFrame, folder: str, payloads: bool = True) -> DataFrame:
     """The records that the rows of ``index`` name, in any selection."""
     columns = "key string, url string, record_type string, refers_to string, payload_bytes long, payload_digest string"
-    ordered = index.select("file", "offset", "length").repartitionByRange("file", "offset").sortWithinPartitions("file", "offset")
+    total = index.agg(F.sum("length")).first()[0] or 0
+    tasks = max(index.sparkSession.sparkContext.defaultParallelism, -(-total // TASK_BYTES))  # by bytes to read, not by index rows
+    ordered = index.select("file", "offset", "length").repartitionByRange(tasks, "file", "offset").sortWithinPartitions("file", "offset")
     return ordered.mapInArrow(_reader(folder, payloads), columns + ", payload binary" * payloads)
