@@ -6,7 +6,8 @@ rows in the ranges before it. A value frequent enough to fill a range has one of
 
 Counts and cut points come from eager summary jobs and enter the plan as literals, so every branch
 of a plan and every recomputed task sees the same ranges. ``keys`` must name a bounded set of groups
-(features, grades, proxies): the summary holds one row with at most ``MAX_RANGES`` cuts per group.
+(features, grades, proxies): the summary holds one row per group, with at most ``MAX_RANGES`` cuts for one
+group and ``MAX_CUTS`` for all.
 """
 
 from __future__ import annotations
@@ -22,6 +23,7 @@ from gradeworks.session import write_table
 
 PER_RANGE = 1_000_000
 MAX_RANGES = 4096
+MAX_CUTS = 200_000
 CHUNK = 64
 
 
@@ -29,18 +31,21 @@ def _cuts(df: DataFrame, keys: Sequence[str], cols: Sequence[str], per_range: in
     """Per group: the distinct inner cut points of the order column, those values that fill whole
     ranges, and the cut points of the tie column if there is one. None if all groups are small.
 
+    Only groups of more than ``per_range`` rows get cuts, together at most ``MAX_CUTS`` of them.
     A value that fills ``m`` ranges is split by the tie column into about ``m`` pieces, so a group
     has at most 2 * MAX_RANGES pieces however its values are distributed.
     """
-    sizes = df.groupBy(*keys).agg(F.count("*").alias("_rows"))
-    largest = sizes.agg(F.max("_rows")).first()[0] or 0
-    if largest <= per_range:
+    sizes = df.groupBy(*keys).agg(F.count("*").alias("_rows")).collect()  # the groups are a bounded set
+    large = [r for r in sizes if r["_rows"] > per_range]
+    if not large:
         return None
-    width = min(MAX_RANGES, -(-largest // per_range))
+    width = min(MAX_RANGES, max(2, MAX_CUTS // len(large)), -(-max(r["_rows"] for r in large) // per_range))
     probs = [i / width for i in range(1, width)]
     quantiles = [F.percentile_approx(c, probs, max(1000, 4 * width)).alias(c) for c in cols]
+    names = T.StructType([df.schema[k] for k in keys])
+    only = df.sparkSession.createDataFrame([tuple(r[k] for k in keys) for r in large], names)
     rows = []
-    for r in df.groupBy(*keys).agg(*quantiles).collect():
+    for r in _attach(df, only, keys).groupBy(*keys).agg(*quantiles).collect():
         cells = []
         for c in cols:
             cuts = sorted(set(r[c]))
@@ -48,6 +53,8 @@ def _cuts(df: DataFrame, keys: Sequence[str], cols: Sequence[str], per_range: in
         spans = Counter(r[cols[0]])
         hot = sorted(v for v, m in spans.items() if m > 1)
         rows.append((*[r[k] for k in keys], *cells, hot, [-(-width // spans[v]) for v in hot]))
+    # a small group is one range
+    rows += [(*[r[k] for k in keys], *([[]] * (2 * len(cols) + 2))) for r in sizes if r["_rows"] <= per_range]
     fields = [df.schema[k] for k in keys]
     for c in cols:
         kind = T.ArrayType(df.schema[c].dataType)
