@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from gradeworks.functions.probability import (argmax, cumulative_to_class, normalise,
                                               soft_target_rows)
 from gradeworks.schemas import K
+from gradeworks.session import write_table
 
 Score = Callable[[dict, DataFrame], DataFrame]
 FORMS: dict[str, Score] = {}
@@ -137,7 +138,7 @@ def _gbt(params: dict, seed: int) -> GBTClassifier:
     return GBTClassifier(featuresCol="_x", labelCol="y", maxIter=params.get("iterations", 20),
                          maxDepth=params.get("depth", 4), stepSize=params.get("learning_rate", 0.1),
                          subsamplingRate=params.get("subsample", 1.0), seed=seed,
-                         maxBins=params.get("bins", 32), checkpointInterval=-1)
+                         maxBins=params.get("bins", 32), checkpointInterval=10)
 
 
 def _binary_scores(models: list, df: DataFrame, out: str) -> DataFrame:
@@ -261,8 +262,10 @@ def _calibrated(train, features, params, seed) -> Fitted:
         held = base.score(folded.filter(F.col("_fold") == i)).select("y", "p").persist()
         curves = []
         for k in range(K):
-            data = held.select(F.get("p", F.lit(k)).alias("_v"), (F.col("y") == k).cast("double").alias("_t"))
-            curves.append(IsotonicRegression(featuresCol="_v", labelCol="_t", predictionCol=f"_c{k}").fit(data))
+            score, hit = F.get("p", F.lit(k)).alias("_v"), (F.col("y") == k).cast("double")
+            # rows of one score count as one point of their mean, which leaves the curve as it is
+            data = held.groupBy(score).agg(F.avg(hit).alias("_t"), F.count("*").cast("double").alias("_w"))
+            curves.append(IsotonicRegression(featuresCol="_v", labelCol="_t", weightCol="_w", predictionCol=f"_c{k}").fit(data))
         held.unpersist()
         return base, curves
 
@@ -332,6 +335,7 @@ def _stacking(train, features, params, seed) -> Fitted:
     stacked = parts[0]
     for part in parts[1:]:
         stacked = stacked.unionByName(part)
+    stacked = write_table(stacked, "stacked")  # the meta learner reads it many times
     meta = fit("logreg", stacked, meta_cols, {"C": params.get("meta_C", 1.0)}, seed)
     full = {f"base_{name}": fit(name, train, features, p, seed) for name, p in bases.items()}
     return Fitted("stacking", "stacked", features, {"bases": list(bases), "meta": meta, **full})
@@ -357,8 +361,8 @@ def _distilled(train, features, params, seed) -> Fitted:
     teacher_params = params.get("teacher", {})
     teacher = fit("histgb", train, features, {"depth": 6, **teacher_params}, seed)
     soft = teacher.score(train)
-    rows = soft_target_rows(soft, "p", "y", params.get("alpha", 0.7)).select(
-        *features, F.col("target").alias("y"), "weight")
+    rows = write_table(soft_target_rows(soft, "p", "y", params.get("alpha", 0.7)).select(
+        *features, F.col("target").alias("y"), "weight"), "soft-targets")
     student = fit("random_forest", rows, features,
                   {"trees": params.get("trees", 40), "depth": params.get("depth", 4), "weight": "weight"}, seed)
     student.kind = "distilled"
