@@ -35,6 +35,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gradeworks.llm.lean import lean
+
 LEAST_SCORE = 0.5
 LEAST_OVERLAP = 0.8
 WIDTH = 5
@@ -236,7 +238,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str
                         pa.int64()) if item_kind == "bigint" else pa.array(cols[1]), *(pa.array(c, pa.float64()) for c in cols[2:])],
                     names=["key", "item", "score", "question_overlap", "answer_overlap", "overlap"])
 
-        part = docs.select(F.col(key).alias("key"), F.col(text).alias("body")).mapInArrow(search, columns)
+        part = docs.select(F.col(key).alias("key"), F.col(text).alias("body")).mapInArrow(lean(search), columns)
         found = part if found is None else found.union(part)
     return found.select(F.col("key").alias(key), F.col("item").alias(item_key), "score", "question_overlap",
                         "answer_overlap", "overlap")
@@ -257,5 +259,5 @@ def clean(docs: DataFrame, items: DataFrame, text: str = "text", item_key: str =
 
         row: Column = F.struct("*").alias("row")
         tagged = docs.select(row, F.col(text).alias("body"))
-        docs = tagged.mapInArrow(keep, f"row {tagged.schema['row'].dataType.simpleString()}").select("row.*")
+        docs = tagged.mapInArrow(lean(keep), f"row {tagged.schema['row'].dataType.simpleString()}").select("row.*")
     return docs

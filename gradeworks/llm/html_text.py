@@ -30,6 +30,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gradeworks.llm.lean import lean
+
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript iframe xmp noembed noframes".split())
 INLINE = frozenset(
@@ -280,5 +282,5 @@ def extract(pages: DataFrame, key: str = "page_id", url: str = "url", page: str
     """Key, url, ``text`` and ``n_chars`` of every page."""
     rows = pages.select(F.col(key).alias("key"), F.col(url).alias("address"), F.col(page).alias("page"))
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
-    done = rows.mapInArrow(_extracted, f"key {kinds['key']}, address {kinds['address']}, text string, n_chars long")
+    done = rows.mapInArrow(lean(_extracted), f"key {kinds['key']}, address {kinds['address']}, text string, n_chars long")
     return done.select(F.col("key").alias(key), F.col("address").alias(url), "text", "n_chars")

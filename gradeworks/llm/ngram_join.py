@@ -36,6 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gradeworks.llm.components import components
+from gradeworks.llm.lean import lean
 from gradeworks.session import write_table
 
 BLOCK = 96
@@ -333,7 +334,7 @@ def _families(made: DataFrame, percent: int, block: int) -> DataFrame:
         F.first("n").alias("n"), F.first("sketch").alias("sketch"))
     cells = _cells(made.filter("group is not null").select("group", "high"), "group", "high", block).join(sketches, "high")
     return components(cells.select("group", "i", "j", "high", "block", "n", "sketch").repartition("group", "i", "j").sortWithinPartitions(
-        "group", "i", "j").mapInArrow(_sketched(percent), "u long, v long"))
+        "group", "i", "j").mapInArrow(lean(_sketched(percent)), "u long, v long"))
 
 
 def join_components(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 3, percent: int = 90,
@@ -345,9 +346,9 @@ def join_components(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     bodies = docs.select(F.col(key).alias("key"), F.xxhash64(text).alias("body_hash"), F.col(text).alias("body"))
     row = f"key {kind}, body_hash long, n long, high long, low long, sketch binary"
     sent = bodies.mapInArrow(
-        _index(width, percent, buckets), f"bucket long, {row}, nodes binary, owners binary, groups binary")
+        lean(_index(width, percent, buckets)), f"bucket long, {row}, nodes binary, owners binary, groups binary")
     made = write_table(sent.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(
-        _equal_groups, f"group long, {row}"), "ngram-index")
+        lean(_equal_groups), f"group long, {row}"), "ngram-index")
     index = made.filter("group is null").select("key", "body_hash", "n", "high", "low")
     classes = index.filter("n > 0").groupBy("high", "low").agg(
         F.min("key").alias("least"), F.min(F.struct("key", "body_hash")).alias("at"))
@@ -358,11 +359,11 @@ def join_components(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     members = write_table(_cells(members, "family", "row", block), "ngram-members")
     wanted = members.select("m_key", "m_hash", "row").distinct()
     sets = bodies.join(wanted, F.col("key").eqNullSafe(F.col("m_key")) & (F.col("body_hash") == F.col("m_hash"))).select(
-        "row", "body").mapInArrow(_whole_sets(width), "row long, shingles binary")
+        "row", "body").mapInArrow(lean(_whole_sets(width)), "row long, shingles binary")
     cells = members.select("family", "i", "j", "row", "block").join(sets, "row").select(
         "family", "i", "j", "row", "block", "shingles")
     links = write_table(cells.repartition("family", "i", "j").sortWithinPartitions("family", "i", "j").mapInArrow(
-        _searched(percent), "u long, v long"), "ngram-links")
+        lean(_searched(percent)), "u long, v long"), "ngram-links")
     rooted = classes.select("row", "high", "low", "least").join(
         components(links).withColumnRenamed("node", "row"), "row", "left").withColumn("root", F.coalesce("component", "row"))
     names = rooted.groupBy("root").agg(F.min("least").alias("component_id"))

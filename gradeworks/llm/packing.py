@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gradeworks.llm.lean import lean
 from gradeworks.llm.numbering import number_rows
 from gradeworks.llm.tokens import VOCABULARY, encoder
 from gradeworks.session import write_table
@@ -120,7 +121,7 @@ def pack(docs: DataFrame, key: str = "doc_id", text: str = "text", limit: int =
     columns = f"key {kind}, start long, length long, ids_crc32 long, doc_tokens long"
     pieces = write_table(docs.select(
         F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("body")).mapInArrow(
-        _pieces(limit, closing, vocabulary), columns), "pack-pieces")
+        lean(_pieces(limit, closing, vocabulary)), columns), "pack-pieces")
     counts = pieces.groupBy("length").agg(F.count("*").alias("group_rows"))  # at most ``limit`` rows
     histogram = {r["length"]: r["group_rows"] for r in counts.collect()}
     table = slots(spread_lengths(histogram, limit))

@@ -34,6 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gradeworks.llm.induced import common_runs, suffix_order
+from gradeworks.llm.lean import lean
 from gradeworks.session import write_table
 
 LENGTH = 50
@@ -399,16 +400,16 @@ def repeated_ranges(docs: DataFrame, key: str, text: str, length: int = LENGTH,
     total = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
     buckets = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // BUCKET_BYTES))
     bodies = docs.select(F.col(key).cast("long").alias("key"), _body_hash(text).alias("body_hash"), F.col(text).alias("body"))
-    packed = bodies.mapInArrow(_sampled(length, gram, buckets), _PACKED_TYPES)
+    packed = bodies.mapInArrow(lean(_sampled(length, gram, buckets)), _PACKED_TYPES)
     settled = write_table(packed.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(
-        _settled, _RANGE_TYPES + ", anchor long, many boolean"), "suffix-settled")
+        lean(_settled), _RANGE_TYPES + ", anchor long, many boolean"), "suffix-settled")
     wanted = settled.filter("anchor is not null").groupBy("key", "body_hash").agg(
         F.collect_list(F.struct("start", "windows", "anchor", "many")).alias("found"))
     named = bodies.withColumn("key", F.coalesce("key", F.lit(_LAST)))
     contexts = named.join(wanted, ["key", "body_hash"]).mapInArrow(
-        _contexts(length), "gathering long, " + _RANGE_TYPES + ", piece binary")
+        lean(_contexts(length)), "gathering long, " + _RANGE_TYPES + ", piece binary")
     induced = write_table(contexts.repartition("gathering").sortWithinPartitions("gathering").mapInArrow(
-        _induced(length), _RANGE_TYPES), "suffix-induced")
+        lean(_induced(length)), _RANGE_TYPES), "suffix-induced")
     return settled.filter("anchor is null").select(*_RANGES).union(induced)
 
 
@@ -427,7 +428,7 @@ def remove_repeats(docs: DataFrame, digest: Callable[[bytes], str], key: str = "
         F.coalesce(F.col(key).cast("long"), F.lit(_LAST)).alias("key"), _body_hash(text).alias("body_hash"))
     kind = rows.schema["row"].dataType.simpleString()
     return rows.join(found, ["key", "body_hash"], "left").select("row", F.isnotnull("body").alias("has_text"), "body", "found").mapInArrow(
-        _cut(length, digest, ["row", "has_text"]), f"row {kind}, has_text boolean, n_bytes long, n_removed long, n_spans long, kept string")
+        lean(_cut(length, digest, ["row", "has_text"])), f"row {kind}, has_text boolean, n_bytes long, n_removed long, n_spans long, kept string")
 
 
 def sha256(data: bytes) -> str:

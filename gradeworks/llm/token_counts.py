@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gradeworks.llm.lean import lean
 from gradeworks.llm.tokens import VOCABULARY, encoder
 
 KEYS = ["source", "lang", "tokenizer"]
@@ -105,7 +106,7 @@ def count_tokens(docs: DataFrame, key: str = "doc_id", text: str = "text", sourc
     rows = docs.select(F.col(key).alias("key"), F.col(source).cast("string").alias("source"),
                        F.col(lang).cast("string").alias("lang"), F.unhex(F.md5(body)).alias("digest"), body.alias("body"))
     counted = rows.mapInArrow(
-        _counted(vocabulary), f"key {kind}, source string, lang string, digest binary, tokens long, words long")
+        lean(_counted(vocabulary)), f"key {kind}, source string, lang string, digest binary, tokens long, words long")
     pair = F.array(F.struct(F.lit(vocabulary).alias("tokenizer"), "tokens"),
                    F.struct(F.lit(WORDS).alias("tokenizer"), F.col("words").alias("tokens")))
     return counted.select("key", "source", "lang", "digest", F.inline(pair))

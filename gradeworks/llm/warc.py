@@ -31,6 +31,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gradeworks.llm.lean import lean
 from gradeworks.session import write_table
 
 MAX_ARCHIVE_BYTES = 1 << 30
@@ -130,7 +131,7 @@ def write_archives(pages: DataFrame, folder: str, key: str = "page_id", url: str
     marked = rows.join(revisits, rows["key"].eqNullSafe(revisits["k"]) & (rows["hash"] == revisits["h"]), "left").select(
         F.col("key").cast("string"), "url", "payload", F.col("response").cast("string").alias("refers_to"))
     return write_table(marked.mapInArrow(
-        _writer(folder, max_bytes), "file string, offset long, length long, key string, url string, digest string, "
+        lean(_writer(folder, max_bytes)), "file string, offset long, length long, key string, url string, digest string, "
         "record_type string"), "warc-index")
 
 
