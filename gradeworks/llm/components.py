@@ -41,7 +41,7 @@ def components(links: DataFrame, u: str = "u", v: str = "v") -> DataFrame:
     cut by written tables. Null ends and loops are dropped; an empty table gives an empty table.
     """
     edges = links.select(F.greatest(u, v).cast("long").alias("a"), F.least(u, v).cast("long").alias("b")).filter("a > b")
-    edges = write_table(edges.mapInArrow(_contracted, "a long, b long"), "links")
+    edges = write_table(edges.mapInArrow(_contracted, "a long, b long").distinct(), "links")
     while True:
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m"))
