@@ -15,11 +15,12 @@ from gradeworks.operators.learners import SPACES, Fitted, fit, save
 from gradeworks.operators.metrics import accuracy, macro_f1, qwk
 from gradeworks.operators.ranking import row_numbers
 
-# Model ladder, training seeds, margin of the second rung.
+# Model ladder, training seeds, sample sizes per grade, margin of the second rung.
 RUNGS = {"rung0": ["majority", "logreg"],
          "rung1": ["xgboost", "lightgbm", "catboost", "histgb", "random_forest"],
          "rung2": ["mlp"]}
 SEEDS = [7, 42, 1337]
+LEVELS = [25, 50, 75, 100, 125]
 RUNG2_MARGIN = 0.01
 RUN_SCHEMA = ("kind string, seed int, params string, n long, val_macro_f1 double, val_acc double, "
               "val_qwk_argmax double, val_qwk_regress_round double, val_macro_f1_regress_round double, "
@@ -81,6 +82,21 @@ def select_best(candidates: DataFrame, margin: float = RUNG2_MARGIN) -> DataFram
     return per_rung.select("rung", "kind").unionByName(arm.select(F.lit("overall").alias("rung"), "kind"))
 
 
+def tune(train: DataFrame, valid: DataFrame, features: list[str], rungs: dict[str, list[str]] = RUNGS) -> tuple[dict[str, dict], str]:
+    """Settings by kind, from each kind's own search (the first rung keeps its own), and the best arm."""
+    settings, rows = {}, []
+    for rung, kinds in rungs.items():
+        for kind in kinds:
+            if rung == "rung0":
+                settings[kind], runs = {}, [fit_score(kind, train, valid, features)[1]]
+            else:
+                settings[kind], runs = param_search(kind, train, valid, features)
+            chosen = max(runs, key=lambda r: r["val_macro_f1"])
+            rows.append((rung, kind, chosen["val_macro_f1"], chosen["wall_s"]))
+    candidates = train.sparkSession.createDataFrame(rows, "rung string, kind string, val_macro_f1 double, wall_s double")
+    return settings, select_best(candidates).filter("rung = 'overall'").first()["kind"]
+
+
 def train_all(train: DataFrame, valid: DataFrame, features: list[str], configs: dict[str, tuple],
               seeds: Sequence[int] = SEEDS, parallelism: int = 4, save_to: str | None = None) -> DataFrame:
     """Every config with every seed; the result is a runs table. A config is (kind, settings) and

@@ -1,6 +1,7 @@
 """Registered queries: learners, selection, text arm and model explanations.
 
-Settings are small so that a run stays short; the learners read the whole training partition.
+Learners run with the package's own settings on the whole training partition; searches, folds, seeds and levels
+are those of the operators.
 """
 
 from __future__ import annotations
@@ -21,8 +22,6 @@ from gradeworks.schemas import FEATURES, GRADES, HISTORY_LIKE
 from gradeworks.session import input_state
 from gradeworks.plans.evaluation import ACC, MACRO, WITHIN
 
-SMALL = {"iterations": 4, "depth": 3}
-FOREST = {"trees": 10, "depth": 5}
 _fitted: dict = {}
 
 
@@ -39,10 +38,10 @@ def _scored(spark, sf, fitted: learners.Fitted):
     return fitted.score(test).select("pageid", "y", "p", "temporal_holdout")
 
 
-def _learner(name: str, kind: str, params: dict) -> None:
+def _learner(name: str, kind: str) -> None:
     @query(name)
     def run(spark, sf):
-        df = _scored(spark, sf, model(spark, sf, kind, params)).withColumn("config", F.lit(kind))
+        df = _scored(spark, sf, model(spark, sf, kind)).withColumn("config", F.lit(kind))
         return tidy(metrics.results_table(df))
 
 
@@ -52,26 +51,26 @@ def majority(spark, sf):
     return tidy(_scored(spark, sf, model(spark, sf, "majority")).select("pageid", argmax(F.col("p")).alias("pred")))
 
 
-_learner("M2_logreg", "logreg", {"C": 1.0, "max_iter": 40})
+_learner("M2_logreg", "logreg")
 for _kind in learners.BOOSTERS:
-    _learner(f"M3_boosted_{_kind}", _kind, SMALL)
-_learner("M4_random_forest", "random_forest", FOREST)
-_learner("M5_mlp", "mlp", {"width": 16, "layers": 2, "max_iter": 30})
-_learner("M6_calibrated_gbt", "calibrated_gbt", SMALL)
-_learner("M7_scaled_gbt", "scaled_gbt", SMALL)
-_learner("M8_ordinal_cumulative", "ordinal_cumulative", SMALL)
-_learner("M9_stacking", "stacking", {"folds": 3, "bases": {"xgboost": SMALL, "random_forest": FOREST}})
+    _learner(f"M3_boosted_{_kind}", _kind)
+_learner("M4_random_forest", "random_forest")
+_learner("M5_mlp", "mlp")
+_learner("M6_calibrated_gbt", "calibrated_gbt")
+_learner("M7_scaled_gbt", "scaled_gbt")
+_learner("M8_ordinal_cumulative", "ordinal_cumulative")
+_learner("M9_stacking", "stacking")
 
 
 @query("M10_distilled")
 def distilled(spark, sf):
-    student = model(spark, sf, "distilled", {**FOREST, "teacher": SMALL})
+    student = model(spark, sf, "distilled")
     return tidy(learners.fidelity(student, b.part_of(spark, sf, "test")))
 
 
 @query("M11_portable_scorer")
 def portable_scorer(spark, sf):
-    student = model(spark, sf, "distilled", {**FOREST, "teacher": SMALL})
+    student = model(spark, sf, "distilled")
     column = portable.forest_column(portable.export_nodes(student, spark), FEATURES)
     return tidy(portable.verify(student, column, b.part_of(spark, sf, "test")))
 
@@ -82,7 +81,7 @@ def plugin_registry(spark, sf):
     def broken():
         raise ImportError("no such learner")
     plugin = SimpleNamespace(KIND="two_level", build=lambda train, cols, params, seed: learners.BUILDERS["random_forest"](
-        train, cols, {"trees": 3, "depth": 2}, seed))
+        train, cols, {"depth": 2, **params}, seed))
     status = learners.load_plugins({"two_level": lambda: plugin, "absent": broken})
     rows = spark.createDataFrame(list(status.items()), "plugin string, status string").withColumn("_k", F.lit(1))
     scored = _scored(spark, sf, model(spark, sf, "two_level")).withColumn("pred", argmax(F.col("p")))
@@ -93,14 +92,14 @@ def plugin_registry(spark, sf):
 @query("M13_param_search")
 def param_search(spark, sf):
     train, valid = b.part_of(spark, sf, "train"), b.part_of(spark, sf, "val")
-    _, runs = selection.param_search("random_forest", train, valid, FEATURES, trials=3, limits={"trees": 10, "depth": 6})
+    _, runs = selection.param_search("random_forest", train, valid, FEATURES)
     return tidy(selection.runs_frame(spark, runs).drop("wall_s"))
 
 
 @query("M14_fit_score")
 def fit_score(spark, sf):
     train, valid = b.part_of(spark, sf, "train"), b.part_of(spark, sf, "val")
-    _, row = selection.fit_score("random_forest", train, valid, FEATURES, FOREST)
+    _, row = selection.fit_score("random_forest", train, valid, FEATURES)
     return tidy(selection.runs_frame(spark, [row]))
 
 
@@ -111,23 +110,28 @@ def select_best(spark, sf):
     return selection.select_best(b.candidates(spark, sf))
 
 
-CONFIGS = {"rung0_majority": ("majority", {}), "rung0_logreg": ("logreg", {"max_iter": 20}),
-           "rung1_rf": ("random_forest", FOREST), "rung1_catboost": ("catboost", SMALL),
-           "metadata_noH": ("random_forest", FOREST, [c for c in FEATURES if c not in HISTORY_LIKE])}
+CONFIGS = {"rung0_majority": "majority", "rung0_logreg": "logreg", "rung1_xgboost": "xgboost", "rung1_lightgbm": "lightgbm",
+           "rung1_catboost": "catboost", "rung1_histgb": "histgb", "rung1_rf": "random_forest", "rung2_mlp": "mlp",
+           "custom_calibrated_gbt": "calibrated_gbt", "custom_gboost_demo": "scaled_gbt", "custom_ordinal_coral": "ordinal_cumulative",
+           "custom_stack_meta": "stacking", "custom_wikilite": "distilled"}
 
 
 @query("M16_train_all")
 def train_all(spark, sf):
-    runs = selection.train_all(b.part_of(spark, sf, "train"), b.part_of(spark, sf, "val"), FEATURES, CONFIGS)
-    return tidy(runs.drop("wall_s", "params"))
+    """Every config with the settings its own search chose; the best arm once more without the history features."""
+    train, valid = b.part_of(spark, sf, "train"), b.part_of(spark, sf, "val")
+    settings, best = selection.tune(train, valid, FEATURES)
+    configs = {name: (kind, settings.get(kind, {})) for name, kind in CONFIGS.items()}
+    configs["metadata_noH"] = (best, settings[best], [c for c in FEATURES if c not in HISTORY_LIKE])
+    return tidy(selection.train_all(train, valid, FEATURES, configs).drop("wall_s", "params"))
 
 
 @query("M17_train_one")
 def train_one(spark, sf):
-    """A short search on one config, then a refit with the chosen settings."""
+    """A search on one config, then a refit with the chosen settings."""
     train, valid = b.part_of(spark, sf, "train"), b.part_of(spark, sf, "val")
-    best, _ = selection.param_search("random_forest", train, valid, FEATURES, trials=2, limits={"trees": 8, "depth": 5})
-    runs = selection.train_all(train, valid, FEATURES, {"rung1_rf": ("random_forest", best)}, seeds=[42])
+    best, _ = selection.param_search("random_forest", train, valid, FEATURES)
+    runs = selection.train_all(train, valid, FEATURES, {"rung1_rf": ("random_forest", best)})
     return tidy(runs.drop("wall_s"))
 
 
@@ -141,7 +145,7 @@ def _text_model(spark, sf) -> learners.Fitted:
     key = (spark.sparkContext.applicationId, sf, "text")
     if key not in _fitted:
         train = _texts(spark, sf).filter(F.col("split") == "train")
-        _fitted[key] = text_models.fit_text(train, "wikitext", buckets=1 << 10, max_iter=10)
+        _fitted[key] = text_models.fit_text(train, "wikitext")
     return _fitted[key]
 
 
@@ -158,14 +162,14 @@ def text_arm(spark, sf):
 @query("M19_fusion")
 def fusion(spark, sf):
     fused, cols = text_models.fuse(b.model_table(spark, sf), _logits(spark, sf), HISTORY_LIKE)
-    fitted = text_models.fit_fusion(fused, cols, "catboost", "train", SMALL)
+    fitted = text_models.fit_fusion(fused, cols)
     return tidy(text_models.prediction_table(fitted.score(fused.filter(F.col("split") == "test"))))
 
 
 @query("M20_learning_curve")
 def learning_curve(spark, sf):
     parts = [b.part_of(spark, sf, s) for s in ("train", "val", "test")]
-    return tidy(selection.learning_curve(*parts, FEATURES, "random_forest", [10, 40], [7, 42], {"trees": 5, "depth": 4}))
+    return tidy(selection.learning_curve(*parts, FEATURES, "random_forest", selection.LEVELS, selection.SEEDS))
 
 
 @query("M20_curve_bands", """SELECT CAST(label AS BIGINT) AS n_per_grade, count(*) AS seeds, round(avg(CAST(embedding[1] AS DOUBLE)), 6) + 0 AS mean_f1,
@@ -186,12 +190,11 @@ def leak_ablation(spark, sf):
 
 @query("M22_batch_score")
 def batch_score(spark, sf):
-    """Every stored model is loaded again and scores the test partition."""
+    """The model of every config is stored, loaded again and scores the test partition."""
     store = scratch(spark, "models")
-    for name, settings in {"majority": ("majority",), "forest": ("random_forest", FOREST),
-                           "ordinal": ("ordinal_cumulative", SMALL)}.items():
-        learners.save(model(spark, sf, *settings), f"{store}/{name}", spark)
-    models = {name: learners.load(f"{store}/{name}", spark) for name in ("majority", "forest", "ordinal")}
+    for name, kind in CONFIGS.items():
+        learners.save(model(spark, sf, kind), f"{store}/{name}", spark)
+    models = {name: learners.load(f"{store}/{name}", spark) for name in CONFIGS}
     out = selection.batch_score(models, b.part_of(spark, sf, "test"))
     return out.withColumn("probs", F.array_join(F.transform("probs", lambda v: v.cast("string")), "|"))
 
@@ -221,7 +224,7 @@ def pca_space(spark, sf):
 
 @query("X1_global_importance")
 def global_importance(spark, sf):
-    forest = model(spark, sf, "random_forest", FOREST)
+    forest = model(spark, sf, "random_forest")
     permuted = explain.permutation_importance(forest, b.part_of(spark, sf, "val"), FEATURES)
     tree = explain.tree_importance(forest, spark).withColumnRenamed("importance", "impurity")
     return tidy(permuted.join(tree, on="feature"))
@@ -233,7 +236,7 @@ def _order(spark, sf, forest) -> list[str]:
 
 
 def _curve(spark, sf, insert: bool):
-    forest = model(spark, sf, "random_forest", FOREST)
+    forest = model(spark, sf, "random_forest")
     med = median_map(b.part_of(spark, sf, "train"), FEATURES)
     return explain.ablation_curve(forest, b.part_of(spark, sf, "val"), _order(spark, sf, forest), med, insert)
 
@@ -250,11 +253,11 @@ def insertion_curve(spark, sf):
 
 @query("X7_per_grade_top5")
 def per_grade_top5(spark, sf):
-    return tidy(explain.per_grade_top(model(spark, sf, "xgboost", SMALL), spark))
+    return tidy(explain.per_grade_top(model(spark, sf, "xgboost"), spark))
 
 
 @query("X9_local_attribution")
 def local_attribution(spark, sf):
-    forest = model(spark, sf, "random_forest", FOREST)
+    forest = model(spark, sf, "random_forest")
     med = median_map(b.part_of(spark, sf, "train"), FEATURES)
     return tidy(explain.local_attribution(forest, b.part_of(spark, sf, "test"), med))
