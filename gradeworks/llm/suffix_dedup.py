@@ -18,8 +18,8 @@ only a sample of the suffixes is exchanged and the rest follows from it:
 Defined results: a null text counts as empty; texts shorter than ``length`` lose nothing; rows that repeat
 an id never make each other lose text; a null id comes after all others, and rows of null id are one
 document in this sense; an empty table gives an empty table. Only ``key`` (an integer column) and ``text``
-are read, so other columns cannot clash. Runs are compared by 88 bits and more of two hashes, open runs by
-their bytes.
+are read, so other columns cannot clash. Runs around one anchor are compared by 128 bits of a hash of their
+bytes, open runs by their bytes.
 """
 
 from __future__ import annotations
@@ -128,9 +128,11 @@ def _repeats(first: np.ndarray) -> np.ndarray:
 
 _RANGES = ["key", "body_hash", "start", "windows"]
 _RANGE_TYPES = "key long, body_hash long, start long, windows long"
-_PACKED = ["bucket", "known", "docs", "bodies", "doc", "places", "counts", "anchors", "contents"]
+_PACKED = ["bucket", "known", "docs", "bodies", "doc", "places", "counts", "anchors", "contents", "seconds"]
 _PACKED_TYPES = ("bucket long, known boolean, docs binary, bodies binary, doc binary, places binary, counts binary, "
-                 "anchors binary, contents binary")
+                 "anchors binary, contents binary, seconds binary")
+
+_HASHES = [("anchor", 6), ("content", 8), ("second", 8)]  # bytes kept of each; the two words of the content together tell runs apart
 
 
 def _planes(values: np.ndarray, width: int) -> bytes:
@@ -152,10 +154,10 @@ def _sampled(length: int, gram: int, buckets: int):
         mine, at = np.unique(c["row"][some], return_inverse=True)
         return (bucket, known, c["keys"][mine].tobytes(), c["bodies"][mine].tobytes(), _planes(at, 4),
                 _planes(c["start"][some], 5), _planes(c["count"][some], 5 if known else 1),
-                b"" if known else _planes(c["anchor"][some], 6), b"" if known else _planes(c["content"][some], 5))
+                *(b"" if known else _planes(c[name][some], width) for name, width in _HASHES))
 
     def folded(parts: list[tuple], keys: np.ndarray, bodies: np.ndarray) -> pa.RecordBatch:
-        c = dict(zip(("row", "start", "count", "anchor", "content"),
+        c = dict(zip(("row", "start", "count", "anchor", "content", "second"),
                      map(np.concatenate, zip(*parts, strict=True)), strict=True))
         parts.clear()
         c["keys"], c["bodies"] = keys, bodies
@@ -163,8 +165,8 @@ def _sampled(length: int, gram: int, buckets: int):
         gone = np.zeros(len(owner), bool)
         order = _repeats(c["anchor"])
         if len(order):
-            order = order[np.lexsort((owner[order], c["content"][order], c["anchor"][order]))]
-            fresh = np.append(True, (np.diff(c["anchor"][order]) != 0) | (np.diff(c["content"][order]) != 0))
+            order = order[np.lexsort((owner[order], c["second"][order], c["content"][order], c["anchor"][order]))]
+            fresh = np.append(True, np.any([np.diff(c[name][order]) != 0 for name, _ in _HASHES], axis=0))
             gone[order] = owner[order] > owner[order][np.flatnonzero(fresh)][np.cumsum(fresh) - 1]
         out = []
         bucket = ((c["anchor"] >> np.uint64(16)) % np.uint64(buckets)).astype("int64")
@@ -193,11 +195,12 @@ def _sampled(length: int, gram: int, buckets: int):
             for raw, ends, rows, offsets in gathered(batch.column("body"), length):
                 starts, counts, hashes = runs(raw, ends, length, gram)
                 data = raw.tobytes()
-                contents = np.fromiter((xxhash.xxh3_64_intdigest(data[a:b]) for a, b in zip(
-                    starts.tolist(), (starts + counts + length - 1).tolist(), strict=True)), "uint64", len(starts))
+                digests = b"".join([xxhash.xxh3_128_digest(data[a:b]) for a, b in zip(
+                    starts.tolist(), (starts + counts + length - 1).tolist(), strict=True)])
+                contents = np.frombuffer(digests, "<u8").reshape(-1, 2)
                 part = np.searchsorted(ends, starts, side="right")
                 begin = np.append(0, ends[:-1])[part]
-                parts.append((rows[part], starts - begin + offsets[part], counts, hashes, contents))
+                parts.append((rows[part], starts - begin + offsets[part], counts, hashes, contents[:, 0], contents[:, 1]))
                 size += len(raw)
                 if size >= _FLUSH:
                     yield folded(parts, keys, bodies)
@@ -229,16 +232,16 @@ def _settled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = [r for r in rows if not r["known"]]
         if not rows:
             continue
-        parts = [(*unpacked(r), _unplaned(r["anchors"], 6), _unplaned(r["contents"], 5)) for r in rows]
-        keys, bodies, start, count, anchor, content = map(np.concatenate, zip(*parts, strict=True))
+        parts = [(*unpacked(r), *(_unplaned(r[f"{name}s"], width) for name, width in _HASHES)) for r in rows]
+        keys, bodies, start, count, anchor, content, second = map(np.concatenate, zip(*parts, strict=True))
         order = _repeats(anchor)
         if not len(order):
             continue
-        order = order[np.lexsort((keys[order], content[order], anchor[order]))]
-        keys, bodies, start, count, anchor, content = (
-            x[order] for x in (keys, bodies, start, count, anchor, content))
+        order = order[np.lexsort((keys[order], second[order], content[order], anchor[order]))]
+        keys, bodies, start, count, anchor, content, second = (
+            x[order] for x in (keys, bodies, start, count, anchor, content, second))
         new_anchor = np.append(True, np.diff(anchor) != 0)
-        new_run = new_anchor | np.append(True, np.diff(content) != 0)
+        new_run = new_anchor | np.append(True, (np.diff(content) != 0) | (np.diff(second) != 0))
         group, run = np.cumsum(new_anchor) - 1, np.cumsum(new_run) - 1
         heads = np.flatnonzero(new_anchor)
         several = (np.minimum.reduceat(keys, heads) != np.maximum.reduceat(keys, heads))[group]
