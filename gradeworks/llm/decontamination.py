@@ -10,7 +10,9 @@ where the bound reaches the least score. Nothing above the threshold is lost by
 
 Retrieved items are verified word by word: the share of the runs of ``width`` words of the item's question
 (its words up to the last question mark, or its first half), of its answer (the rest) and of the whole
-that occur in the passage. A pair leaks if the whole reaches ``least_overlap``.
+that occur in the passage. A pair leaks if the whole reaches ``least_overlap``, or if the question alone does and has
+at least twice ``width`` words. For that an item's weights are divided by those of its question instead of the
+whole, so a passage that holds the question scores 1 in retrieval as well; the reported score is the item's.
 
 Passages are stretches of twice the longest item's words, half overlapping, so an item always lies inside
 one. Documents stay where they are; the index goes to every task. It is collected in parts of at most
@@ -84,6 +86,8 @@ class Index:
     items: np.ndarray
     impacts: np.ndarray
     parts: list[tuple[set, set, set]]
+    asked: list[bool]  # per item: whether its question alone can leak
+    scale: np.ndarray  # per item: from the scores of retrieval to those of the item
 
 
 def build_index(rows: list[tuple], width: int = WIDTH, least_score: float = LEAST_SCORE) -> Index:
@@ -95,10 +99,16 @@ def build_index(rows: list[tuple], width: int = WIDTH, least_score: float = LEAS
     df = Counter(w for c in counts for w in c)
     terms = {w: i for i, w in enumerate(df)}
     lists: list[list[tuple[int, float]]] = [[] for _ in terms]
+    questions = [halves(t)[0] for _, t in rows]
+    asked = [len(q) >= 2 * width for q in questions]
+    scale = np.ones(n)
     for item, c in enumerate(counts):
         norm = K1 * (1 - B + B * len(texts[item]) / mean)
         weight = {w: math.log(1 + (n - df[w] + 0.5) / (df[w] + 0.5)) * f * (K1 + 1) / (f + norm) for w, f in c.items()}
         total = sum(weight.values())
+        if asked[item]:
+            scale[item] = sum(weight[w] for w in set(questions[item])) / total
+            total *= scale[item]
         for w, x in weight.items():
             lists[terms[w]].append((item, x / total))
     maxima = [{} for _ in lists]
@@ -117,7 +127,7 @@ def build_index(rows: list[tuple], width: int = WIDTH, least_score: float = LEAS
         [r[0] for r in rows], terms, max(map(len, texts), default=0), spread, spread == 0,
         ends([len(m) for m in maxima]), np.array([b for m in maxima for b in m], "int64"),
         np.array([x for m in maxima for x in m.values()]), ends([len(x) for x in lists]),
-        np.array([i for x in lists for i, _ in x], "int64"), np.array([v for x in lists for _, v in x]), parts)
+        np.array([i for x in lists for i, _ in x], "int64"), np.array([v for x in lists for _, v in x]), parts, asked, scale)
 
 
 def _expanded(terms: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -188,9 +198,12 @@ def leaks_of(index: Index, texts: list[str | None], width: int, least_score: flo
                 short = next((len(x) for x in part if len(x) < width), 0)
                 own = runs if not short else set(zip(*(words[start + k:start + 2 * stretch] for k in range(short)), strict=False))
                 shares.append(len(part & own) / len(part) if part else 0.0)
-            if shares[2] >= least_overlap and (shares[2], score) > best.get((row, item), ((0.0, 0.0),))[0]:
-                best[row, item] = ((shares[2], score), shares)
-        for (row, item), ((_, score), shares) in best.items():
+            score *= float(index.scale[item])
+            whole = shares[2] >= least_overlap and score >= least_score - 1e-9
+            rank = (whole, shares[2] if whole else shares[0], score)
+            if (whole or index.asked[item] and shares[0] >= least_overlap) and rank > best.get((row, item), ((),))[0]:
+                best[row, item] = (rank, shares)
+        for (row, item), ((_, _, score), shares) in best.items():
             yield row, index.ids[item], score, *shares
 
     for row, text in enumerate(texts):

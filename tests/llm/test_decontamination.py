@@ -47,6 +47,20 @@ def test_edges(spark, edge, nothing):
     assert dc.clean(nothing, items).collect() == [] and dc.clean(edge, items.limit(0)).count() == edge.count()
 
 
+def test_a_question_alone_leaks(spark):
+    word = lambda name, n: " ".join(f"{name}{k}" for k in range(n))
+    items = items_table(spark, [(1, f"{word('q', 12)}? {word('a', 12)}"), (2, f"{word('r', 10)}? {word('b', 60)}"),
+                                (3, f"{word('s', 9)}? {word('c', 9)}")])
+    docs = spark.createDataFrame([(1, f"before {word('q', 12)} and then quite another answer"), (2, f"{word('x', 30)} {word('r', 10)}"),
+                                  (3, word("s", 9)), (4, word("a", 12)), (5, f"{word('q', 12)} {word('a', 12)}"), (6, word("q", 8))],
+                                 "doc_id long, text string")
+    got = {(r["doc_id"], r["item_id"]): r for r in dc.find_leaks(docs, items).collect()}
+    assert set(got) == {(1, 1), (2, 2), (5, 1)}
+    assert [got[k]["question_overlap"] for k in sorted(got)] == [1.0, 1.0, 1.0] and got[2, 2]["overlap"] < 0.2
+    assert got[2, 2]["score"] < 0.5 and abs(got[5, 1]["score"] - 1) < 1e-9
+    assert {r["doc_id"] for r in dc.clean(docs, items).collect()} == {3, 4, 6}
+
+
 def test_an_index_in_parts_finds_the_same(tables, monkeypatch):
     docs, items = tables["documents"], tables["benchmark"]
     whole = {(r["doc_id"], r["item_id"]) for r in dc.find_leaks(docs, items).collect()}
