@@ -7,7 +7,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gradeworks.llm import chat, decontamination, html_text, ngram_join, packing, quality_rules, sharding, suffix_dedup, token_counts, twins, warc
+from gradeworks.llm import (chat, decontamination, divergence, filter_audit, html_text, line_dedup, ngram_join, packing, quality_rules, sharding,
+                            suffix_dedup, token_counts, twins, warc)
 from gradeworks.session import shared_dir, write_table
 
 
@@ -89,6 +90,22 @@ def op10_html_extraction(spark: SparkSession, sf: str) -> DataFrame:
     return html_text.extract(_table(spark, sf, "pages"))
 
 
+def op11_line_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    """Every document without the long lines that stand in five documents or more."""
+    done = line_dedup.drop_lines(_table(spark, sf, "documents"), suffix_dedup.sha256)
+    return done.select("row.doc_id", "n_lines", "n_dropped", F.col("kept").alias("kept_sha256"))
+
+
+def op12_source_divergence(spark: SparkSession, sf: str) -> DataFrame:
+    """How far the sources of each language are from each other, and the terms that mark each."""
+    return divergence.audit(_table(spark, sf, "documents"))
+
+
+def op13_filter_interaction(spark: SparkSession, sf: str) -> DataFrame:
+    """What five filters remove in every order."""
+    return filter_audit.audit(_table(spark, sf, "documents"), _table(spark, sf, "labels"))
+
+
 QUERIES = {
     "op1_warc": op1_warc,
     "op2_quality_rules": op2_quality_rules,
@@ -100,10 +117,16 @@ QUERIES = {
     "op8_suffix_array_dedup": op8_suffix_array_dedup,
     "op9_decontamination": op9_decontamination,
     "op10_html_extraction": op10_html_extraction,
+    "op11_line_dedup": op11_line_dedup,
+    "op12_source_divergence": op12_source_divergence,
+    "op13_filter_interaction": op13_filter_interaction,
 }
 
 TWINS = {
     "op1_warc": twins.OP1,
     "op2_quality_rules": twins.OP2,
     "op3_chat_formatting": twins.OP3,
+    "op11_line_dedup": twins.OP11,
+    "op12_source_divergence": twins.OP12,
+    "op13_filter_interaction": twins.OP13,
 }
