@@ -1,5 +1,6 @@
 import html
 import re
+import time
 
 import pytest
 
@@ -42,6 +43,36 @@ def test_main_text(page, text):
     assert html_text.main_text(page) == text
 
 
+LINKED = "".join(f"<li><a href=/{i}>Reference number {i} with its title</a>" for i in range(6))
+REFERENCES = "\n".join(f"Reference number {i} with its title" for i in range(6))
+
+
+@pytest.mark.parametrize(("page", "text"), [
+    (f"<body><article><h1>T</h1><p>{P}<ul>{LINKED}</ul></article></body>", f"T\n{TEXT}\n{REFERENCES}"),
+    (f"<body><div class='content sidebar-left'><p>{P}<p>{P}</div></body>", f"{TEXT}\n{TEXT}"),
+    (f"<body><form action=x><input><div><p>{P}<p>{P}</div></form></body>", f"{TEXT}\n{TEXT}"),
+    (f"<article><p>{P}<section id=responses><h2>Responses</h2><p>{P}</section></article>", f"{TEXT}\nResponses\n{TEXT}"),
+    (f"<article><p>{P}<section id=social-history><h2>Social history</h2><p>{P}</section></article>", f"{TEXT}\nSocial history\n{TEXT}"),
+    (f"<article><p>{P}<div class=related-work><p>{P}</div></article>", f"{TEXT}\n{TEXT}"),
+    (f"<body><header><h1>Site</h1></header><article><header><h1>T</h1></header><p>{P}</article></body>", f"T\n{TEXT}"),
+    (f"<body><div id=page class=widget><article><p>{P}</article><div id=comments>" + f"<article class=comment><p>{P}</article>" * 5 + "</div></div></body>", TEXT),
+    (f"<body><div><p>{P}</div><section class=comments>" + f"<p>{P}" * 9 + "</section></body>", TEXT),
+    (f"<article><p>{P}<div class=share-buttons><a href=1>A</a> <a href=2>B</a></div><aside>{P}</aside><footer>f</footer></article>", TEXT),
+    (f"<body><div class=wrap><p>{P}<h2>Sources</h2><ul>{LINKED}</ul></div></body>", f"{TEXT}\nSources\n{REFERENCES}"),
+    ("<body><div class=cookie-notice>all there is</div></body>", "all there is"),
+])
+def test_article_text_is_not_lost(page, text):
+    assert html_text.main_text(page) == text
+
+
+def test_deep_open_tags_take_linear_time():
+    for make in (lambda n: "<b>" * n + "</x>" * n, lambda n: "<span>" * n + "<h1>x" * n, lambda n: "<b><div>" + "<i>" * n + "</b>" * n,
+                 lambda n: "<ul>" + "<li><b>" * n, lambda n: "<table><tr>" + "<td><i>" * n, lambda n: "<p><i>" * n):
+        started = time.process_time()
+        html_text.main_text(make(8000))
+        assert time.process_time() - started < 1.0
+
+
 def test_awkward_pages_take_linear_time():
     for page in ("<div>" * 20000 + "x", "<p>a" * 20000, "<" * 50000, "<a b=\"" * 2000, "</p>" * 20000, "<a " * 20000, "<!--" * 20000):
         assert len(html_text.main_text(page)) <= len(page)
