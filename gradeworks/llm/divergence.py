@@ -39,7 +39,7 @@ from gradeworks.session import write_table
 MIN_DOCS = 3
 TOP_TERMS = 200
 UNIT = 1_000_000_000  # fixed value: what all shares of a source add up to, about
-FOLD_ENTRIES = 300_000  # terms counted in a task before they are handed on
+FOLD_ENTRIES = 1_000_000  # terms counted in a task before they are handed on: about 150 MB
 _ROWS = 50_000
 _CELLS = 1 << 18  # cells compared at once
 _ID = ["lang", "digest", "second"]

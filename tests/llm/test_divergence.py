@@ -73,11 +73,18 @@ def test_blocks_and_folds_of_any_size(monkeypatch):
                                          "source": ["a", "b", "c"] * 4, "p": list(range(10, 22)), "p0": [3, 4, 5] * 4})
     texts_ = pa.RecordBatch.from_pydict({"lang": ["en", "fr"] * 5, "source": ["a", "a", "b"] * 3 + ["c"], "body": [f"one two {'x' * i} two" for i in range(10)]})
 
+    def summed(batches, keys, value):
+        out = Counter()
+        for b in batches:
+            for r in b.to_pylist():
+                out[tuple(r[k] for k in keys)] += r[value]
+        return out
+
     def pairs(batches):
-        return sum((Counter({(r["lang"], r["source"], r["item"]): r["value"]}) for b in divergence._both(iter(batches)) for r in b.to_pylist()), Counter())
+        return summed(divergence._both(iter(batches)), ("lang", "source", "item"), "value")
 
     def folds(batches):
-        return sum((Counter({tuple(r[c] for c in ("lang", "source", "digest")): r["n"]}) for b in divergence._folded(64)(iter(batches)) for r in b.to_pylist()), Counter())
+        return summed(divergence._folded(64)(iter(batches)), ("lang", "source", "digest"), "n")
 
     want = pairs([sample]), folds([texts_])
     for name, size in (("_CELLS", 4), ("FOLD_ENTRIES", 5), ("_ROWS", 3)):
