@@ -74,10 +74,9 @@ def permutation_importance(model: Fitted, df: DataFrame, features: list[str], re
 
 
 def tree_importance(model: Fitted, spark) -> DataFrame:
-    """Impurity importance of a tree model; the mean over its parts for one-per-class boosters."""
-    parts = model.parts.get("models") or [model.parts["model"]]
-    rows = [(c, float(sum(m.featureImportances[i] for m in parts) / len(parts)))
-            for i, c in enumerate(model.features)]
+    """Impurity importance of a forest; for boosters the mean share of the gain over their outputs."""
+    shares = model.parts["forest"].importance().mean(axis=0) if "forest" in model.parts else model.parts["model"].featureImportances
+    rows = [(c, float(shares[i])) for i, c in enumerate(model.features)]
     return spark.createDataFrame(rows, "feature string, importance double")
 
 
@@ -118,9 +117,9 @@ def curve_auc(curve: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
 
 
 def per_grade_top(model: Fitted, spark, n: int = PER_GRADE_TOP) -> DataFrame:
-    """The strongest features of each grade's own booster."""
-    rows = [(k, c, float(m.featureImportances[i])) for k, m in enumerate(model.parts["models"])
-            for i, c in enumerate(model.features)]
+    """The strongest features of each grade's own trees."""
+    rows = [(k, c, float(v)) for k, shares in enumerate(model.parts["forest"].importance())
+            for c, v in zip(model.features, shares, strict=True)]
     table = spark.createDataFrame(rows, "grade_rank int, feature string, importance double")
     return top_per_group(table, ["grade_rank"], [F.col("importance").desc(), F.col("feature")], n,
                          spread=F.col("feature"))

@@ -11,20 +11,22 @@ import json
 import random
 from collections.abc import Callable, Sequence
 from concurrent.futures import ThreadPoolExecutor
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
+from weakref import WeakKeyDictionary
 
+import numpy as np
+import pandas as pd
 from pyspark.ml import Model, Pipeline, PipelineModel
-from pyspark.ml.classification import (GBTClassifier, LogisticRegression,
-                                       MultilayerPerceptronClassifier, OneVsRest,
-                                       RandomForestClassifier)
+from pyspark.ml.classification import LogisticRegression, MultilayerPerceptronClassifier, RandomForestClassifier
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gradeworks.functions.probability import (argmax, cumulative_to_class, normalise,
-                                              soft_target_rows)
+from gradeworks.functions.probability import argmax, cumulative_to_class, soft_target_rows
+from gradeworks.operators import boosting
+from gradeworks.operators.boosting import Forest, Lane
+from gradeworks.operators.isotonic import curves_of
 from gradeworks.schemas import K
 from gradeworks.session import write_table
 
@@ -134,39 +136,61 @@ def _score_single(parts: dict, df: DataFrame) -> DataFrame:
     return out.drop("_raw_x", "_x", "_prob", "_rawp", "_pred")
 
 
-def _gbt(params: dict, seed: int) -> GBTClassifier:
-    return GBTClassifier(featuresCol="_x", labelCol="y", maxIter=params.get("iterations", 20),
-                         maxDepth=params.get("depth", 4), stepSize=params.get("learning_rate", 0.1),
-                         subsamplingRate=params.get("subsample", 1.0), seed=seed,
-                         maxBins=params.get("bins", 32), checkpointInterval=10)
+# Rounds, rates and limits of the four boosters with one role, each with a growth rule of its own.
+BOOSTERS = {
+    "xgboost": Lane(rounds=100, rate=0.3, growth="depth", depth=6, l2=1.0, min_weight=1.0),
+    "lightgbm": Lane(rounds=100, rate=0.1, growth="leaves", leaves=31, depth=1 << 20, l2=0.0, min_rows=20),
+    "catboost": Lane(rounds=1000, rate=0.1, growth="levels", depth=6, l2=3.0),
+    "histgb": Lane(rounds=100, rate=0.1, growth="leaves", leaves=31, depth=1 << 20, l2=0.0, min_rows=20),
+}
+SCALED = Lane(rounds=200, rate=0.1, growth="depth", depth=3, l2=0.0)
+ORDINAL = Lane(rounds=300, rate=0.05, growth="leaves", leaves=31, depth=1 << 20, l2=0.0, min_rows=20, thresholds=True)
+CALIBRATED = replace(BOOSTERS["histgb"], rounds=300, depth=6)
+TEACHER = CALIBRATED
+_SETTINGS = {"iterations": "rounds", "learning_rate": "rate", "depth": "depth", "leaves": "leaves", "subsample": "sample"}
 
 
-def _binary_scores(models: list, df: DataFrame, out: str) -> DataFrame:
-    """Add ``out``: the positive-class probability of each binary model, as one array."""
-    keep = df.columns
-    for i, m in enumerate(models):
-        m = m.copy()
-        m.setFeaturesCol("_x").setProbabilityCol(f"_b{i}").setRawPredictionCol("").setPredictionCol("")
-        df = m.transform(df)
-    probs = [F.get(vector_to_array(F.col(f"_b{i}")), F.lit(1)) for i in range(len(models))]
-    return settle(df, out, F.array(*probs)).select(*keep, out)
+def lane_of(base: Lane, params: dict, seed: int) -> Lane:
+    """``base`` with the settings that ``params`` names."""
+    return replace(base, seed=seed, **{_SETTINGS[k]: v for k, v in params.items() if k in _SETTINGS})
 
 
-def _boosted(kind: str, train: DataFrame, features: list[str], params: dict, seed: int,
-             scale: bool = False) -> Fitted:
-    """One binary booster per grade; their probabilities are normalised to sum to one."""
-    prepare = _assembled(features, scale).fit(train)
-    data = _training(prepare, train)
-    ovr = OneVsRest(classifier=_gbt(params, seed), featuresCol="_x", labelCol="y", parallelism=K)
-    return Fitted(kind, "per_class", features, {"models": ovr.fit(data).models, "prepare": prepare})
+_binned: WeakKeyDictionary = WeakKeyDictionary()
+
+
+def binned(train: DataFrame, features: Sequence[str], folds: Sequence[tuple[int, int]] = (), target: str | None = None) -> boosting.Binned:
+    """The table of bins of ``train``, made once for all that fit on the same DataFrame. ``folds`` are (number, seed)."""
+    known = _binned.setdefault(train, {})
+    key = (tuple(features), tuple(folds), target)
+    if key not in known:
+        df = train
+        for i, (n, seed) in enumerate(folds):
+            df = with_fold(df, n, seed, name=f"_fold{i}")
+        known[key] = boosting.binned(df, features, K, target=target, folds=[f"_fold{i}" for i in range(len(folds))])
+    return known[key]
+
+
+def _inputs(features: Sequence[str]) -> Column:
+    return F.struct(*[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(f"x{i}") for i, c in enumerate(features)])
+
 
+def scored_by(features: Sequence[str], made: Callable[[list[np.ndarray]], np.ndarray]) -> Column:
+    """An array column: what ``made`` makes of the features' columns, row by row."""
+    @F.pandas_udf("array<double>")
+    def run(x: pd.DataFrame) -> pd.Series:
+        return pd.Series(list(made([x[c].to_numpy(float) for c in x.columns])))
+    return run(_inputs(features))
 
-@form("per_class")
-def _score_per_class(parts: dict, df: DataFrame) -> DataFrame:
-    out = _binary_scores(parts["models"], parts["prepare"].transform(df), "_one")
-    floor = F.transform("_one", lambda v: F.greatest(v, F.lit(1e-9)))
-    full = F.concat(floor, F.array_repeat(F.lit(0.0), K - F.size("_one")))
-    return settle(out, "p", normalise(full)).drop("_raw_x", "_x", "_one")
+
+def _boosted(kind: str, train: DataFrame, features: list[str], lane: Lane) -> Fitted:
+    """All classes' trees in one model; its scores go through a softmax."""
+    forest = boosting.train(binned(train, features), [lane])[0]
+    return Fitted(kind, "trees", features, {"forest": forest, "columns": features})
+
+
+@form("trees")
+def _score_trees(parts: dict, df: DataFrame) -> DataFrame:
+    return settle(df, "p", scored_by(parts["columns"], parts["forest"].probabilities))
 
 
 def majority_class(train: DataFrame) -> DataFrame:
@@ -193,39 +217,37 @@ def _log_uniform(rng: random.Random, lo: float, hi: float) -> float:
 def _logreg(train, features, params, seed) -> Fitted:
     # the penalty of a per-row mean loss: 1 / (C * n)
     n = params.get("n_rows") or train.count()
-    est = LogisticRegression(family="multinomial", maxIter=params.get("max_iter", 100),
+    est = LogisticRegression(family="multinomial", maxIter=params.get("max_iter", 2000),
                              regParam=1.0 / (params.get("C", 1.0) * max(n, 1)), standardization=False)
     return _simple("logreg", est, train, features, scale=True)
 
 
-# Presets that stand for four boosters with one role.
-BOOSTERS = {
-    "xgboost": {"depth": 6, "learning_rate": 0.1, "subsample": 0.9, "iterations": 40},
-    "lightgbm": {"depth": 5, "learning_rate": 0.1, "iterations": 40},
-    "catboost": {"depth": 6, "learning_rate": 0.05, "iterations": 60},
-    "histgb": {"depth": 5, "learning_rate": 0.1, "iterations": 40, "bins": 255},
-}
+def _rate(rng: random.Random, lo: float = 0.01) -> float:
+    return _log_uniform(rng, lo, 0.3)
 
 
-def _booster_space(rng: random.Random) -> dict:
-    return {"depth": rng.randint(3, 10), "learning_rate": _log_uniform(rng, 0.01, 0.3),
-            "iterations": rng.randint(100, 800)}
+_BOOSTER_SPACES = {
+    "xgboost": lambda r: {"depth": r.randint(3, 10), "learning_rate": _rate(r), "iterations": r.randint(100, 800), "subsample": r.uniform(0.5, 1.0)},
+    "lightgbm": lambda r: {"leaves": r.randint(15, 255), "learning_rate": _rate(r), "iterations": r.randint(100, 800)},
+    "catboost": lambda r: {"depth": r.randint(4, 10), "learning_rate": _rate(r), "iterations": r.randint(100, 800)},
+    "histgb": lambda r: {"depth": r.randint(3, 10), "learning_rate": _rate(r), "iterations": r.randint(100, 600)},
+}
 
 
-def _register_booster(kind: str, preset: dict) -> None:
-    @register(kind, _booster_space)
+def _register_booster(kind: str, base: Lane) -> None:
+    @register(kind, _BOOSTER_SPACES[kind])
     def build(train, features, params, seed) -> Fitted:
-        return _boosted(kind, train, features, {**preset, **params}, seed)
+        return _boosted(kind, train, features, lane_of(base, params, seed))
 
 
-for _kind, _preset in BOOSTERS.items():
-    _register_booster(_kind, _preset)
+for _kind, _lane in BOOSTERS.items():
+    _register_booster(_kind, _lane)
 
 
-@register("scaled_gbt", lambda r: {"iterations": r.randint(100, 600), "depth": r.randint(2, 6),
-                                   "learning_rate": _log_uniform(r, 0.01, 0.3)})
+@register("scaled_gbt", lambda r: {"iterations": r.randint(100, 600), "depth": r.randint(2, 6), "learning_rate": _rate(r)})
 def _scaled_gbt(train, features, params, seed) -> Fitted:
-    return _boosted("scaled_gbt", train, features, {"iterations": 200, "depth": 3, **params}, seed, scale=True)
+    """A booster behind a scaler; bins follow the order of values, so scaling changes nothing and is left out."""
+    return _boosted("scaled_gbt", train, features, lane_of(SCALED, params, seed))
 
 
 @register("random_forest", lambda r: {"trees": r.randint(200, 800), "depth": r.randint(5, 30),
@@ -240,117 +262,121 @@ def _random_forest(train, features, params, seed) -> Fitted:
 @register("mlp", lambda r: {"width": r.choice([64, 128, 256]), "layers": r.randint(2, 3)})
 def _mlp(train, features, params, seed) -> Fitted:
     layers = [len(features)] + [params.get("width", 64)] * params.get("layers", 2) + [K]
-    est = MultilayerPerceptronClassifier(layers=layers, maxIter=params.get("max_iter", 100), seed=seed)
+    est = MultilayerPerceptronClassifier(layers=layers, maxIter=params.get("max_iter", 400), seed=seed)
     return _simple("mlp", est, train, features, scale=True)
 
 
-def with_fold(df: DataFrame, folds: int, seed: int, key: str = "pageid") -> DataFrame:
-    return df.withColumn("_fold", F.pmod(F.xxhash64(F.lit(seed), F.col(key)), F.lit(folds)).cast("int"))
+def with_fold(df: DataFrame, folds: int, seed: int, key: str = "pageid", name: str = "_fold") -> DataFrame:
+    return df.withColumn(name, F.pmod(F.xxhash64(F.lit(seed), F.col(key)), F.lit(folds)).cast("int"))
 
 
-@register("calibrated_gbt", lambda r: {"depth": r.randint(3, 10), "iterations": r.randint(100, 500),
-                                       "learning_rate": _log_uniform(r, 0.02, 0.3)})
-def _calibrated(train, features, params, seed) -> Fitted:
-    """Per fold: boosters on the other folds, one isotonic curve per grade on the fold. The folds'
-    calibrated probabilities are averaged."""
-    folds = params.pop("folds", 3)
-    params = {"depth": 6, "learning_rate": 0.1, "iterations": 40, **params}
-    folded = with_fold(train, folds, seed)
+def _held_out(df: DataFrame, features: list[str], folds: int, forests: list[Forest]) -> DataFrame:
+    """``p`` of each row from the forest that left its fold (``_fold``) out."""
+    def made(columns: list[np.ndarray]) -> np.ndarray:
+        fold, x = columns[-1], columns[:-1]
+        out = np.zeros((len(fold), K))
+        for i in range(folds):
+            mine = fold == i
+            if mine.any():
+                out[mine] = forests[i].probabilities([c[mine] for c in x])
+        return out
+    return settle(df, "p", scored_by([*features, "_fold"], made))
+
 
-    def one(i: int):
-        base = _boosted("calibrated_gbt", folded.filter(F.col("_fold") != i), features, params, seed)
-        held = base.score(folded.filter(F.col("_fold") == i)).select("y", "p").persist()
-        curves = []
-        for k in range(K):
-            score, hit = F.get("p", F.lit(k)).alias("_v"), (F.col("y") == k).cast("double")
-            # rows of one score count as one point of their mean, which leaves the curve as it is
-            data = held.groupBy(score).agg(F.avg(hit).alias("_t"), F.count("*").cast("double").alias("_w"))
-            curves.append(IsotonicRegression(featuresCol="_v", labelCol="_t", weightCol="_w", predictionCol=f"_c{k}").fit(data))
-        held.unpersist()
-        return base, curves
-
-    with ThreadPoolExecutor(folds) as pool:
-        fitted = list(pool.map(one, range(folds)))
-    parts = {f"base{i}": base for i, (base, _) in enumerate(fitted)}
-    parts |= {f"curves{i}": curves for i, (_, curves) in enumerate(fitted)}
-    return Fitted("calibrated_gbt", "calibrated", features, {"folds": folds, **parts})
+@register("calibrated_gbt", lambda r: {"depth": r.randint(3, 10), "iterations": r.randint(100, 500), "learning_rate": _rate(r, 0.02)})
+def _calibrated(train, features, params, seed) -> Fitted:
+    """Per fold: a booster on the other folds, one isotonic curve per grade on the fold. The folds' calibrated
+    probabilities are averaged."""
+    folds = params.get("folds", 3)
+    table = binned(train, features, [(folds, seed)])
+    forests = boosting.train(table, [replace(lane_of(CALIBRATED, params, seed), held=(0, i)) for i in range(folds)])
+    held = _held_out(with_fold(train, folds, seed), features, folds, forests).select("_fold", "y", F.posexplode("p").alias("k", "v"))
+    points = held.select((F.col("_fold") * K + F.col("k")).alias("curve"), "v", (F.col("y") == F.col("k")).cast("double").alias("t"))
+    curves = curves_of(points, "curve", "v", "t")
+    return Fitted("calibrated_gbt", "calibrated", features, {
+        "folds": folds, "columns": features, "curves": [curves.get(c, [[0.0], [0.0]]) for c in range(folds * K)],
+        **{f"forest{i}": f for i, f in enumerate(forests)}})
 
 
 @form("calibrated")
 def _score_calibrated(parts: dict, df: DataFrame) -> DataFrame:
-    keep, folds = df.columns, parts["folds"]
-    for i in range(folds):
-        df = parts[f"base{i}"].score(df).withColumnRenamed("p", "_pi")
-        for k, curve in enumerate(parts[f"curves{i}"]):
-            df = curve.transform(df.withColumn("_v", F.get("_pi", F.lit(k)))).drop("_v")
-        calibrated = F.array(*[F.greatest(F.col(f"_c{k}"), F.lit(0.0)) + 1e-9 for k in range(K)])
-        df = settle(df, f"_f{i}", normalise(calibrated)).drop("_pi", *[f"_c{k}" for k in range(K)])
-    mean = F.array(*[sum(F.get(f"_f{i}", F.lit(k)) for i in range(folds)) / folds for k in range(K)])
-    return settle(df, "p", mean).select(*keep, "p")
-
-
-@register("ordinal_cumulative", lambda r: {"depth": r.randint(3, 7), "iterations": r.randint(100, 600),
-                                           "learning_rate": _log_uniform(r, 0.02, 0.3)})
-def _ordinal(train, features, params, seed) -> Fitted:
-    """K-1 binary boosters on ``y > k``, recombined into class probabilities."""
-    params = {"iterations": 40, "depth": 5, "learning_rate": 0.05, **params}
-    prepare = _assembled(features).fit(train)
-    data = _training(prepare, train).persist()
+    folds, curves = parts["folds"], [np.array(c) for c in parts["curves"]]
+    forests = [parts[f"forest{i}"] for i in range(folds)]
 
-    def one(k: int):
-        return _gbt(params, seed).fit(data.withColumn("y", (F.col("y") > k).cast("double")))
+    def made(columns: list[np.ndarray]) -> np.ndarray:
+        total = 0.0
+        for i, forest in enumerate(forests):
+            p = forest.probabilities(columns)
+            q = np.stack([np.interp(p[:, k], *curves[i * K + k]) for k in range(K)], axis=1)
+            sums = q.sum(axis=1, keepdims=True)
+            total = total + np.where(sums > 0, q / np.where(sums > 0, sums, 1.0), 1.0 / K)
+        return total / folds
+    return settle(df, "p", scored_by(parts["columns"], made))
 
-    with ThreadPoolExecutor(K - 1) as pool:
-        models = list(pool.map(one, range(K - 1)))
-    data.unpersist()
-    return Fitted("ordinal_cumulative", "cumulative", features, {"models": models, "prepare": prepare})
+
+@register("ordinal_cumulative", lambda r: {"leaves": r.randint(15, 127), "learning_rate": _rate(r, 0.02), "iterations": r.randint(100, 600)})
+def _ordinal(train, features, params, seed) -> Fitted:
+    """One output per ``y > k``, recombined into class probabilities."""
+    forest = boosting.train(binned(train, features), [lane_of(ORDINAL, params, seed)])[0]
+    return Fitted("ordinal_cumulative", "cumulative", features, {"forest": forest, "columns": features})
 
 
 @form("cumulative")
 def _score_cumulative(parts: dict, df: DataFrame) -> DataFrame:
-    out = _binary_scores(parts["models"], parts["prepare"].transform(df), "_gt")
-    return settle(out, "p", cumulative_to_class(F.col("_gt"))).drop("_x", "_gt")
+    out = settle(df, "_gt", scored_by(parts["columns"], parts["forest"].probabilities))
+    return settle(out, "p", cumulative_to_class(F.col("_gt"))).drop("_gt")
 
 
-STACK_BASES = {"xgboost": {}, "lightgbm": {}, "histgb": {}, "random_forest": {"min_leaf": 2}}
+# The settings of the stacked learners.
+STACK_BASES = {"xgboost": {"iterations": 300, "depth": 6, "learning_rate": 0.1, "subsample": 0.9}, "lightgbm": {"iterations": 300, "leaves": 63},
+               "histgb": {"iterations": 300}, "random_forest": {"trees": 400, "min_leaf": 2}}
 
 
 @register("stacking", lambda r: {"meta_C": _log_uniform(r, 0.05, 10)})
 def _stacking(train, features, params, seed) -> Fitted:
-    """Base learners give out-of-fold probabilities; a logistic meta learner combines them."""
-    folds = params.get("folds", 5)
-    bases = params.get("bases", STACK_BASES)
-    keep = ["pageid", "y"]
-    meta_cols = [f"m_{b}_{k}" for b in bases for k in range(K)]
-    folded = with_fold(train, folds, seed)
+    """Base learners give out-of-fold probabilities; a logistic meta learner combines them.
 
-    def one(i: int) -> DataFrame:
-        held = folded.filter(F.col("_fold") == i)
-        for name, p in bases.items():
-            held = _add_base(held, name, fit(name, folded.filter(F.col("_fold") != i), features, p, seed))
-        return held.select(*keep, *meta_cols)
-
-    with ThreadPoolExecutor(folds) as pool:
-        parts = list(pool.map(one, range(folds)))
-    stacked = parts[0]
-    for part in parts[1:]:
-        stacked = stacked.unionByName(part)
-    stacked = write_table(stacked, "stacked")  # the meta learner reads it many times
+    The boosters of all folds and of the whole table are lanes of one training.
+    """
+    folds, bases = params.get("folds", 5), params.get("bases", STACK_BASES)
+    boosters = [b for b in bases if b in BOOSTERS]
+    others = [b for b in bases if b not in BOOSTERS]
+    folded = with_fold(train, folds, seed)
+    lanes = [replace(lane_of(BOOSTERS[b], bases[b], seed), held=None if i == folds else (0, i)) for b in boosters for i in range(folds + 1)]
+    with ThreadPoolExecutor(1 + (folds + 1) * len(others)) as pool:
+        grown = pool.submit(lambda: boosting.train(binned(train, features, [(folds, seed)]), lanes) if lanes else [])
+        rest = {(b, i): pool.submit(fit, b, train if i == folds else folded.filter(F.col("_fold") != i), features, bases[b], seed)
+                for b in others for i in range(folds + 1)}
+        forests, models = grown.result(), {k: v.result() for k, v in rest.items()}
+    by_base = {b: forests[n * (folds + 1):(n + 1) * (folds + 1)] for n, b in enumerate(boosters)}
+
+    def one_base(df: DataFrame, b: str) -> DataFrame:
+        if b in by_base:
+            scored = _held_out(df, features, folds, by_base[b][:folds])
+        else:
+            parts = [models[b, i].score(df.filter(F.col("_fold") == i)) for i in range(folds)]
+            scored = parts[0]
+            for part in parts[1:]:
+                scored = scored.unionByName(part)
+            scored = write_table(scored, "stacked")
+        return scored.select(*df.columns, *[F.get("p", F.lit(k)).alias(f"m_{b}_{k}") for k in range(K)])
+
+    stacked = folded.select("pageid", "y", "_fold", *features)
+    for b in [*others, *boosters]:
+        stacked = one_base(stacked, b)
+    meta_cols = [f"m_{b}_{k}" for b in bases for k in range(K)]
+    stacked = write_table(stacked.select("pageid", "y", *meta_cols), "stacked")  # the meta learner reads it many times
     meta = fit("logreg", stacked, meta_cols, {"C": params.get("meta_C", 1.0)}, seed)
-    full = {f"base_{name}": fit(name, train, features, p, seed) for name, p in bases.items()}
+    full = {f"base_{b}": models[b, folds] if b in others else Fitted(b, "trees", features, {"forest": by_base[b][folds], "columns": features}) for b in bases}
     return Fitted("stacking", "stacked", features, {"bases": list(bases), "meta": meta, **full})
 
 
-def _add_base(df: DataFrame, name: str, model: Fitted) -> DataFrame:
-    cols = [F.get("p", F.lit(k)).alias(f"m_{name}_{k}") for k in range(K)]
-    return model.score(df).select(*df.columns, *cols)
-
-
 @form("stacked")
 def _score_stacked(parts: dict, df: DataFrame) -> DataFrame:
     out = df
     for name in parts["bases"]:
-        out = _add_base(out, name, parts[f"base_{name}"])
+        model = parts[f"base_{name}"]
+        out = model.score(out).select(*out.columns, *[F.get("p", F.lit(k)).alias(f"m_{name}_{k}") for k in range(K)])
     return parts["meta"].score(out).select(*df.columns, "p")
 
 
@@ -358,8 +384,7 @@ def _score_stacked(parts: dict, df: DataFrame) -> DataFrame:
                                   "alpha": 0.3 + 0.6 * r.random()})
 def _distilled(train, features, params, seed) -> Fitted:
     """A strong booster teaches a small forest through weighted soft-target rows."""
-    teacher_params = params.get("teacher", {})
-    teacher = fit("histgb", train, features, {"depth": 6, **teacher_params}, seed)
+    teacher = _boosted("histgb", train, features, lane_of(TEACHER, params.get("teacher", {}), seed))
     soft = teacher.score(train)
     rows = write_table(soft_target_rows(soft, "p", "y", params.get("alpha", 0.7)).select(
         *features, F.col("target").alias("y"), "weight"), "soft-targets")
@@ -386,9 +411,9 @@ def save(fitted: Fitted, path: str, spark: SparkSession) -> None:
         if isinstance(part, Fitted):
             save(part, f"{path}/{name}", spark)
             kept[name] = "fitted"
-        elif isinstance(part, list) and part and isinstance(part[0], Model):
-            PipelineModel(stages=part).write().save(f"{path}/{name}")
-            kept[name] = "models"
+        elif isinstance(part, Forest):
+            part.save(spark, f"{path}/{name}")
+            kept[name] = "forest"
         elif isinstance(part, Model):
             PipelineModel(stages=[part]).write().save(f"{path}/{name}")
             kept[name] = "model"
@@ -404,7 +429,8 @@ def load(path: str, spark: SparkSession) -> Fitted:
     for name, how in about["kept"].items():
         if how == "fitted":
             parts[name] = load(f"{path}/{name}", spark)
+        elif how == "forest":
+            parts[name] = Forest.load(spark, f"{path}/{name}")
         else:
-            stages = PipelineModel.load(f"{path}/{name}").stages
-            parts[name] = stages if how == "models" else stages[0]
+            parts[name] = PipelineModel.load(f"{path}/{name}").stages[0]
     return Fitted(about["kind"], about["form"], about["features"], parts)

@@ -7,6 +7,7 @@ each metric is one partial aggregate whatever the size or skew of the groups.
 from __future__ import annotations
 
 import time
+import uuid
 from collections.abc import Sequence
 
 import numpy as np
@@ -170,6 +171,33 @@ def throughput(df: DataFrame, rows: int) -> float:
     return (time.monotonic() - start) / max(rows, 1) * 1000
 
 
+def measured_cost(df: DataFrame, rows: int, group: str) -> tuple[float, float]:
+    """Seconds per 1000 rows to compute ``df`` in full: by the clock, and summed over the tasks of its jobs, which
+    run under the job group ``group``."""
+    sc = df.sparkSession.sparkContext
+    sc.setJobGroup(group, group)
+    try:
+        wall = throughput(df, rows)
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+    tracker, store = sc.statusTracker(), sc._jsc.sc().statusStore()
+    jobs = [tracker.getJobInfo(j) for j in tracker.getJobIdsForGroup(group)]
+    stages = {s for job in jobs if job for s in job.stageIds}
+    busy = sum(store.lastStageAttempt(s).executorRunTime() for s in stages)
+    return wall, busy / 1000 / max(rows, 1) * 1000
+
+
+def model_costs(models: dict, df: DataFrame) -> DataFrame:
+    """``infer_s_per_1k`` and ``task_s_per_1k`` of each model over ``df``, from a second run of its scoring."""
+    spark, rows = df.sparkSession, df.count()
+    made = []
+    for name, model in models.items():
+        scored = model.score(df).select("p")
+        throughput(scored, rows)  # the first run pays for code and workers
+        made.append((name, *measured_cost(scored, rows, f"cost-{name}-{uuid.uuid4().hex}")))
+    return spark.createDataFrame(made, "config string, infer_s_per_1k double, task_s_per_1k double")
+
+
 def bootstrap_ci(df: DataFrame, y: str = "y", p: str = "pred", n_boot: int = 1000, seed: int = 42,
                  by: Sequence[str] = ()) -> DataFrame:
     """95% percentile intervals of five metrics. Resampling rows with replacement is a multinomial

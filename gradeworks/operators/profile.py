@@ -2,21 +2,19 @@
 
 from __future__ import annotations
 
-from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
-from pyspark.ml.classification import DecisionTreeClassifier
-from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gradeworks.operators.ranking import (cumulative_counts, exact_quantiles, rank_columns, spearman,
+from gradeworks.operators.ranking import (cumulative_counts, exact_quantiles, rank_columns, running_sums, spearman,
                                           weighted_corr)
-from gradeworks.schemas import GRADES, grade_rank
+from gradeworks.schemas import GRADES, K, grade_rank
 from gradeworks.session import write_table
 
 TOP_N = 12
 MI_BINS = 20
+TREE_DEPTH = 3
 LEAK_ACCURACY = 0.80
 # What must not turn up as a feature or in clean text.
 FORBIDDEN = ["talk_page", "assessment", "featured article", "good article", "grade"]
@@ -95,29 +93,40 @@ def missing_fraction(df: DataFrame, features: list[str]) -> DataFrame:
     return long.groupBy("feature").agg(F.avg(F.col("value").isNull().cast("int")).alias("missing_frac"))
 
 
-def single_feature_accuracy(df: DataFrame, features: list[str], parallelism: int = 8, **kw) -> DataFrame:
-    """Training accuracy of a depth-3 tree that sees one feature only.
+def best_cuts(counts: DataFrame, keys: list[str], classes: list[str], **kw) -> DataFrame:
+    """Per group the cut between two values that leaves the least Gini impurity, of equals the most even one, then the
+    lowest, from class counts per distinct value. Groups of one class or one value have none."""
+    sums = running_sums(counts, keys, "value", classes, **kw)
 
-    The fits share one prepared table; all predictions are then counted in one pass.
+    def purity(part) -> Column:
+        squares = reduce(lambda a, b: a + b, [part(c) * part(c) for c in classes])
+        return squares.cast("double") / reduce(lambda a, b: a + b, [part(c) for c in classes])
+    left, every = (lambda c: F.col(f"upto_{c}")), (lambda c: F.col(f"all_{c}"))
+    total = reduce(lambda a, b: a + b, [every(c) for c in classes])
+    mixed = reduce(lambda a, b: a & b, [every(c) != total for c in classes])
+    rest = reduce(lambda a, b: a + b, [every(c) - left(c) for c in classes])
+    cut = sums.filter(mixed & (rest > 0)).withColumn("_s", purity(left) + purity(lambda c: every(c) - left(c)))
+    return cut.groupBy(*keys).agg(F.max_by("value", F.struct(F.col("_s"), -F.abs(total - 2 * rest), -F.col("value"))).alias("cut"))
+
+
+def single_feature_accuracy(df: DataFrame, features: list[str], depth: int = TREE_DEPTH, **kw) -> DataFrame:
+    """Training accuracy of the Gini tree of depth 3 that sees one feature only.
+
+    All features' trees grow together, level by level, from class counts per distinct value.
     """
-    filled = write_table(median_impute(df, features, **kw).select(
-        F.col("grade_rank").cast("double").alias("y"), *features), "single-feature")
-
-    def fit(c: str):
-        one = VectorAssembler(inputCols=[c], outputCol=f"_x_{c}").transform(filled.select("y", c))
-        tree = DecisionTreeClassifier(featuresCol=f"_x_{c}", labelCol="y", maxDepth=3, maxBins=256,
-                                      seed=42, predictionCol=f"_p_{c}", rawPredictionCol="",
-                                      probabilityCol="")
-        return c, tree.fit(one)
-
-    with ThreadPoolExecutor(parallelism) as pool:
-        models = list(pool.map(fit, features))
-    scored = filled
-    for c, model in models:
-        scored = VectorAssembler(inputCols=[c], outputCol=f"_x_{c}").transform(scored)
-        scored = model.transform(scored).drop(f"_x_{c}")
-    hits = scored.agg(*[F.avg((F.col(f"_p_{c}") == F.col("y")).cast("int")).alias(c) for c in features])
-    return hits.unpivot([], features, "feature", "single_feature_acc")
+    filled = median_impute(df, features, **kw)
+    classes = [f"n{k}" for k in range(K)]
+    counts = long_features(filled, features, ["grade_rank"]).groupBy("feature", "value").agg(
+        *[F.count_if(F.col("grade_rank") == k).alias(c) for k, c in enumerate(classes)])
+    nodes = write_table(counts.withColumn("node", F.lit(0).cast("long")), "single-feature")
+    for level in range(depth):
+        cuts = best_cuts(nodes, ["feature", "node"], classes, **kw)  # 2 ** level rows for each feature
+        side = F.coalesce((F.col("value") > F.col("cut")).cast("long"), F.lit(0))
+        nodes = write_table(nodes.join(F.broadcast(cuts), ["feature", "node"], "left").withColumn(
+            "node", F.col("node") * 2 + side).drop("cut"), f"single-feature-{level}")
+    leaves = nodes.groupBy("feature", "node").agg(*[F.sum(c).alias(c) for c in classes])
+    best, total = F.greatest(*[F.col(c) for c in classes]), reduce(lambda a, b: a + b, [F.col(c) for c in classes])
+    return leaves.groupBy("feature").agg((F.sum(best).cast("double") / F.sum(total)).alias("single_feature_acc"))
 
 
 def leakage_suspects(accuracy: DataFrame, threshold: float = LEAK_ACCURACY) -> DataFrame:

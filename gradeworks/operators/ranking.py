@@ -129,6 +129,27 @@ def cumulative_counts(df: DataFrame, keys: Sequence[str], value: str, *,
     return out.select(*keys, value, "n", "before", "total")
 
 
+def running_sums(df: DataFrame, keys: Sequence[str], value: str, columns: Sequence[str], *,
+                 per_range: int = PER_RANGE) -> DataFrame:
+    """Add ``upto_<c>``, the sum of each column over the rows of the group up to this value, and ``all_<c>``, that of
+    the whole group. ``value`` is distinct in a group and not null."""
+    whole = Window.partitionBy(*keys)
+    cuts = _cuts(df, keys, [value], per_range)
+    if cuts is None:
+        inner = whole.orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        return df.withColumns({f"upto_{c}": F.sum(c).over(inner) for c in columns} | {f"all_{c}": F.sum(c).over(whole) for c in columns})
+    ranged = _ranged(df, cuts, keys, value).select(*df.columns, "_range")
+    sizes = ranged.groupBy(*keys, "_range").agg(*[F.sum(c).alias(c) for c in columns])
+    before = whole.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    shift = sizes.select(*keys, "_range", *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"_before_{c}") for c in columns],
+                         *[F.sum(c).over(whole).alias(f"all_{c}") for c in columns])
+    inner = Window.partitionBy(*keys, "_range").orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    upto = ranged.withColumns({f"upto_{c}": F.sum(c).over(inner) for c in columns})
+    out = _attach(upto, shift, [*keys, "_range"])
+    return out.withColumns({f"upto_{c}": F.col(f"upto_{c}") + F.col(f"_before_{c}") for c in columns}).drop(
+        "_range", *[f"_before_{c}" for c in columns])
+
+
 def row_numbers(df: DataFrame, keys: Sequence[str], order: str, tie: str, *,
                 per_range: int = PER_RANGE, number: str = "rn", total: str = "total",
                 only: tuple[Column, Column] | None = None) -> DataFrame:

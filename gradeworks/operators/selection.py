@@ -2,18 +2,23 @@
 
 from __future__ import annotations
 
+import math
 import random
 import time
 from collections.abc import Sequence
 from concurrent.futures import ThreadPoolExecutor
+from dataclasses import replace
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gradeworks.functions.probability import argmax, expected_round
-from gradeworks.operators.learners import SPACES, Fitted, fit, save
+from gradeworks.functions.probability import argmax, expected_distance, expected_grade, expected_index, expected_round
+from gradeworks.operators import boosting
+from gradeworks.operators.boosting import Forest
+from gradeworks.operators.learners import BOOSTERS, SPACES, Fitted, binned, fit, lane_of, save
 from gradeworks.operators.metrics import accuracy, macro_f1, qwk
 from gradeworks.operators.ranking import row_numbers
+from gradeworks.schemas import grade_name
 
 # Model ladder, training seeds, sample sizes per grade, margin of the second rung.
 RUNGS = {"rung0": ["majority", "logreg"],
@@ -27,14 +32,18 @@ RUN_SCHEMA = ("kind string, seed int, params string, n long, val_macro_f1 double
               "wall_s double")
 
 
+MEASURES = ["val_macro_f1", "val_acc", "val_qwk_argmax", "val_qwk_regress_round", "val_macro_f1_regress_round"]
+
+
+def _measures(y: Column, a: Column, r: Column, suffix: str = "") -> list[Column]:
+    found = [macro_f1(y, a), accuracy(y, a), qwk(y, a), qwk(y, r), macro_f1(y, r)]
+    return [f.alias(f"{name}{suffix}") for name, f in zip(MEASURES, found, strict=True)]
+
+
 def validation_row(fitted: Fitted, valid: DataFrame):
     """Both decision rules on a labelled table, as one aggregated row."""
     scored = fitted.score(valid).select("y", argmax(F.col("p")).alias("a"), expected_round(F.col("p")).alias("r"))
-    y, a, r = F.col("y"), F.col("a"), F.col("r")
-    return scored.agg(F.count("*").alias("n"), macro_f1(y, a).alias("val_macro_f1"),
-                      accuracy(y, a).alias("val_acc"), qwk(y, a).alias("val_qwk_argmax"),
-                      qwk(y, r).alias("val_qwk_regress_round"),
-                      macro_f1(y, r).alias("val_macro_f1_regress_round")).first()
+    return scored.agg(F.count("*").alias("n"), *_measures(F.col("y"), F.col("a"), F.col("r"))).first()
 
 
 def fit_score(kind: str, train: DataFrame, valid: DataFrame, features: list[str],
@@ -54,20 +63,68 @@ def runs_frame(spark, runs: Sequence[dict], extra: Sequence[str] = ()) -> DataFr
     return spark.createDataFrame([tuple(r[c] for c in names) for r in runs], schema)
 
 
-def param_search(kind: str, train: DataFrame, valid: DataFrame, features: list[str], trials: int = 5,
-                 seed: int = 42, limits: dict | None = None, parallelism: int = 4) -> tuple[dict, list[dict]]:
-    """Seeded random search on a fixed validation table; ``limits`` caps integer settings."""
+TRIALS = 5  # fixed value: settings tried by a search
+HALVING_RUNGS = (0.25, 0.5, 1.0)
+
+
+def drawn_settings(kind: str, trials: int = TRIALS, seed: int = 42) -> list[dict]:
+    """The settings that a search tries, drawn from the kind's space."""
     rng = random.Random(seed)
     space = SPACES.get(kind, lambda r: {})
-    tried = [space(rng) for _ in range(trials)]
-    for p in tried:
-        p.update({k: min(p[k], v) for k, v in (limits or {}).items() if k in p})
-    with ThreadPoolExecutor(parallelism) as pool:
-        runs = list(pool.map(lambda p: fit_score(kind, train, valid, features, p, seed)[1], tried))
-    best = max(range(trials), key=lambda i: (runs[i]["val_macro_f1"], -i))
+    return [space(rng) for _ in range(trials)]
+
+
+def param_search(kind: str, train: DataFrame, valid: DataFrame, features: list[str], trials: int = TRIALS,
+                 seed: int = 42, parallelism: int = 4, halving: bool = True) -> tuple[dict, list[dict]]:
+    """Seeded random search on a fixed validation table.
+
+    Boosters are searched by successive halving: the trials share the table of bins and are compared on all validation
+    rows after a quarter and half of their rounds; the better half goes on from its own trees. ``halving=False``
+    gives every trial all of its rounds. Other kinds always try all settings in full.
+    """
+    tried = drawn_settings(kind, trials, seed)
+    if kind in BOOSTERS:
+        runs = boosted_trials(kind, tried, train, valid, features, seed, HALVING_RUNGS if halving else (1.0,))
+    else:
+        with ThreadPoolExecutor(parallelism) as pool:
+            runs = list(pool.map(lambda p: fit_score(kind, train, valid, features, p, seed)[1], tried))
+    best = max(range(trials), key=lambda i: (runs[i]["share"] if "share" in runs[i] else 1.0, runs[i]["val_macro_f1"], -i))
     return tried[best], runs
 
 
+def boosted_trials(kind: str, tried: list[dict], train: DataFrame, valid: DataFrame, features: list[str], seed: int,
+                   rungs: Sequence[float]) -> list[dict]:
+    """A run per trial as of the last rung that it reached (``share`` of its rounds)."""
+    start = time.monotonic()
+    table = binned(train, features)
+    lanes = [lane_of(BOOSTERS[kind], p, seed) for p in tried]
+    forests: dict[int, Forest] = {}
+    runs: list[dict] = [{} for _ in tried]
+    live = list(range(len(tried)))
+    for share in rungs:
+        cut = [replace(lanes[i], rounds=max(1, math.ceil(lanes[i].rounds * share))) for i in live]
+        grown = boosting.train(table, cut, [forests[i] for i in live] if forests else None)
+        forests = dict(zip(live, grown, strict=True))
+        found = validation_rows({i: Fitted(kind, "trees", features, {"forest": f, "columns": features}) for i, f in forests.items()}, valid)
+        for i in live:
+            runs[i] = {"kind": kind, "seed": seed, "params": str(sorted(tried[i].items())), **found[i], "share": share,
+                       "wall_s": round(time.monotonic() - start, 2)}
+        ranked = sorted(live, key=lambda i: (-runs[i]["val_macro_f1"], i))
+        live = sorted(ranked[:max(1, -(-len(live) // 2))])
+    return runs
+
+
+def validation_rows(models: dict[int, Fitted], valid: DataFrame) -> dict[int, dict]:
+    """Both decision rules for several models, one pass over the rows."""
+    scored = valid
+    for i, m in models.items():
+        scored = m.score(scored).withColumn(f"_a{i}", argmax(F.col("p"))).withColumn(f"_r{i}", expected_round(F.col("p"))).drop("p")
+    y = F.col("y")
+    measures = [x for i in models for x in _measures(y, F.col(f"_a{i}"), F.col(f"_r{i}"), f"_{i}")]
+    row = scored.agg(F.count("*").alias("n"), *measures).first()
+    return {i: {"n": row["n"], **{name: row[f"{name}_{i}"] for name in MEASURES}} for i in models}
+
+
 def select_best(candidates: DataFrame, margin: float = RUNG2_MARGIN) -> DataFrame:
     """Best kind per rung by macro-F1 to 3 decimals, then speed; the overall arm is rung 2 only if
     it leads rung 1 by ``margin``."""
@@ -84,16 +141,21 @@ def select_best(candidates: DataFrame, margin: float = RUNG2_MARGIN) -> DataFram
 
 def tune(train: DataFrame, valid: DataFrame, features: list[str], rungs: dict[str, list[str]] = RUNGS) -> tuple[dict[str, dict], str]:
     """Settings by kind, from each kind's own search (the first rung keeps its own), and the best arm."""
-    settings, rows = {}, []
-    for rung, kinds in rungs.items():
-        for kind in kinds:
-            if rung == "rung0":
-                settings[kind], runs = {}, [fit_score(kind, train, valid, features)[1]]
-            else:
-                settings[kind], runs = param_search(kind, train, valid, features)
-            chosen = max(runs, key=lambda r: r["val_macro_f1"])
-            rows.append((rung, kind, chosen["val_macro_f1"], chosen["wall_s"]))
-    candidates = train.sparkSession.createDataFrame(rows, "rung string, kind string, val_macro_f1 double, wall_s double")
+    def one(job: tuple[str, str]) -> tuple[dict, tuple]:
+        rung, kind = job
+        if rung == "rung0":
+            best, runs = {}, [fit_score(kind, train, valid, features)[1]]
+        else:
+            best, runs = param_search(kind, train, valid, features)
+        chosen = max((r for r in runs if r.get("share", 1.0) == 1.0), key=lambda r: r["val_macro_f1"])
+        return best, (rung, kind, chosen["val_macro_f1"], chosen["wall_s"])
+
+    binned(train, features)  # made once, before the searches start side by side
+    jobs = [(rung, kind) for rung, kinds in rungs.items() for kind in kinds]
+    with ThreadPoolExecutor(len(jobs)) as pool:
+        done = list(pool.map(one, jobs))
+    settings = {kind: best for (_, kind), (best, _) in zip(jobs, done, strict=True)}
+    candidates = train.sparkSession.createDataFrame([row for _, row in done], "rung string, kind string, val_macro_f1 double, wall_s double")
     return settings, select_best(candidates).filter("rung = 'overall'").first()["kind"]
 
 
@@ -130,12 +192,12 @@ def learning_curve(train: DataFrame, valid: DataFrame, test: DataFrame, features
         part = nested_sample(train, seed).filter(F.col("_rn") <= n).drop("_rn")
         fitted, row = fit_score(kind, part, valid, features, params, seed)
         on_test = validation_row(fitted, test)
-        return (n, seed, row["val_macro_f1"], on_test["val_macro_f1"], on_test["val_qwk_argmax"])
+        return (n, seed, part.count(), row["val_macro_f1"], on_test["val_macro_f1"], on_test["val_qwk_argmax"], row["wall_s"])
 
     with ThreadPoolExecutor(4) as pool:
         rows = list(pool.map(one, [(s, n) for s in seeds for n in levels]))
     return train.sparkSession.createDataFrame(
-        rows, "n_per_grade int, seed int, val_macro_f1 double, test_macro_f1 double, test_qwk double")
+        rows, "n_per_grade int, seed int, n_train long, val_macro_f1 double, test_macro_f1 double, test_qwk double, wall_s double")
 
 
 def curve_bands(runs: DataFrame) -> DataFrame:
@@ -146,18 +208,17 @@ def curve_bands(runs: DataFrame) -> DataFrame:
 
 
 def score_with(models: dict[str, Fitted], df: DataFrame) -> DataFrame:
-    """The rows scored by every model, stacked under ``config``."""
-    out = None
-    for name, model in models.items():
-        part = model.score(df).withColumn("config", F.lit(name))
-        out = part if out is None else out.unionByName(part)
-    return out
+    """The rows scored by every model, stacked under ``config``: one read, a column per model, then one row per column."""
+    keep = df.columns
+    wide = df
+    for i, model in enumerate(models.values()):
+        wide = model.score(wide).withColumnRenamed("p", f"_p{i}").select(*keep, *[f"_p{j}" for j in range(i + 1)])
+    each = F.array(*[F.struct(F.lit(name).alias("config"), F.col(f"_p{i}").alias("p")) for i, name in enumerate(models)])
+    return wide.select(*keep, F.inline(each))
 
 
 def batch_score(models: dict[str, Fitted], df: DataFrame, grade: str = "y") -> DataFrame:
     """Opinion of every model on every row: probabilities, grade, expected grade, staleness."""
-    from gradeworks.functions.probability import expected_distance, expected_grade, expected_index
-    from gradeworks.schemas import grade_name
     p = F.col("p")
     return score_with(models, df).select(
         "pageid", "config", F.transform(p, lambda v: F.round(v, 4)).alias("probs"),

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import uuid
 
+import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from gradeworks.functions.titles import class_mentions, normalise_title
 from gradeworks.operators import corpus
@@ -17,7 +19,7 @@ from gradeworks.plans.registry import query
 from gradeworks.plans.shape import tidy
 from gradeworks.plans.twin_sql import GRADE_LIST, twin
 from gradeworks.schemas import GRADES
-from gradeworks.sources import lineage, records
+from gradeworks.sources import json_object, lineage, records
 from gradeworks.session import input_state, shared_dir
 
 _paths: dict[tuple, str] = {}
@@ -95,27 +97,34 @@ def frozen_sink(spark, sf):
     return feats.split_sizes(spark.read.parquet(path)).withColumn("second_refused", F.lit(refused))
 
 
-def _fingerprint_sql(name: str, columns: list[str]) -> str:
+def _manifest_sql(name: str, columns: list[str]) -> str:
     text = "concat_ws(';', " + ", ".join(f"coalesce(length(CAST({c} AS VARCHAR)) || ':' || CAST({c} AS VARCHAR), '-')" for c in columns) + ")"
-    return f"""SELECT '{name}' AS name, count(*) AS rows, CAST({len(columns)} AS BIGINT) AS cols,
-        CAST(sum(CAST('0x' || substring(md5({text}), 1, 12) AS BIGINT)) AS VARCHAR) AS fingerprint FROM {name}"""
+    sums = ", ".join(f"CAST(sum(CAST('0x' || substring(d, {1 + 15 * i}, 15) AS BIGINT)) AS VARCHAR)" for i in range(4))
+    stage, parent = MANIFEST[name]
+    return f"""SELECT '{name}' AS name, '{stage}' AS stage, count(*) AS rows, CAST({len(columns)} AS BIGINT) AS cols, true AS has_bytes,
+        sha256(concat_ws(',', CAST(count(*) AS VARCHAR), {sums})) AS sha256, 'make {name}' AS producer_target, {f"'{parent}'" if parent else 'NULL'} AS parent
+        FROM (SELECT sha256({text}) AS d FROM {name})"""
 
 
 FINGERPRINTED = {"labels": ["doc_id", "quality", "toxic"], "nation": ["n_nationkey", "n_name", "n_regionkey"],
                  "documents": ["doc_id", "text", "lang", "source", "n_chars"],
                  "conversations": ["conv_id", "turn", "role", "text"]}
+MANIFEST = {"labels": ("graded", "documents"), "nation": ("raw", None), "documents": ("raw", None), "conversations": ("raw", None)}
 
 
-@query("A7_dataset_manifest", " UNION ALL ".join(_fingerprint_sql(n, c) for n, c in FINGERPRINTED.items()))
+@query("A7_dataset_manifest", " UNION ALL ".join(_manifest_sql(n, c) for n, c in FINGERPRINTED.items()))
 def dataset_manifest(spark, sf):
+    """Lineage rows of four datasets; two of them replace older ones. Paths and sizes differ from machine to machine."""
     def rows(names, stamp):
         out = None
         for n in names:
-            one = lineage.fingerprint(b.table(spark, sf, n).select(*FINGERPRINTED[n]), n).withColumn("created", F.lit(stamp))
+            stage, parent = MANIFEST[n]
+            one = lineage.dataset_row(spark, n, stage, f"{sf}/{n}.parquet", f"make {n}", parent, F.lit(stamp), FINGERPRINTED[n])
             out = one if out is None else out.unionByName(one)
         return out
-    stale = rows(["labels", "nation"], "2024-01-01").withColumn("fingerprint", F.lit("stale"))
-    return lineage.upsert(stale, rows(list(FINGERPRINTED), "2024-01-02")).drop("created")
+    stale = rows(["labels", "nation"], "2024-01-01").withColumn("sha256", F.lit("stale"))
+    manifest = lineage.upsert(stale, rows(list(FINGERPRINTED), "2024-01-02"))
+    return manifest.withColumn("has_bytes", F.col("bytes") > 0).drop("created", "path", "bytes")
 
 
 @query("A8_latest_run", """SELECT event_type, CAST(CAST(ts AS DATE) AS VARCHAR) AS run_id, event_id, round(value, 6) AS value FROM (
@@ -129,13 +138,25 @@ def latest_run(spark, sf):
 @query("A9_json_side_table", twin("""SELECT f.pageid, f.label, CASE WHEN pageid % 4 <> 0 THEN 'Grade ' || (pageid % 5) END AS grade,
     CASE WHEN pageid % 4 <> 0 THEN 'T' || pageid END AS title FROM features f""", "features"))
 def json_side_table(spark, sf):
-    from pyspark.sql import types as T
+    """Entries by article, as objects of many entries in a few files; every fourth one sits under a key of another page."""
     record = T.StructType([T.StructField("title", T.StringType()), T.StructField("grade", T.StringType())])
-    # an entry per article; every fourth one sits under a key of another page
-    lines = b.table(spark, sf, "documents").select(F.expr(
-        "'{\"' || CASE WHEN doc_id % 4 = 0 THEN -1 - doc_id ELSE doc_id END || '\": {\"title\": \"T' || doc_id || '\", \"grade\": \"Grade ' || (doc_id % 5) || '\"}}'"
+    entries = b.table(spark, sf, "documents").select(F.expr(
+        "'\"' || CASE WHEN doc_id % 4 = 0 THEN -1 - doc_id ELSE doc_id END || '\": {\"title\": \"T' || doc_id || '\", \"grade\": \"Grade ' || (doc_id % 5) || '\"}'"
     ).alias("value"))
-    side = records.side_table(lines, F.col("value"), record)
+
+    def one_object(batches):  # opened, entry by entry, closed: a partition's rows become one object
+        last = None
+        yield pa.RecordBatch.from_pydict({"value": ["{"]})
+        for batch in batches:
+            values = batch.column("value").to_pylist()
+            if values:
+                yield pa.RecordBatch.from_pydict({"value": [*([] if last is None else [last + ","]), *[v + "," for v in values[:-1]]]}, pa.schema([("value", pa.string())]))
+                last = values[-1]
+        yield pa.RecordBatch.from_pydict({"value": [last or "", "}"]})
+
+    path = scratch(spark, "side-table")
+    entries.mapInArrow(one_object, "value string").write.text(path)
+    side = json_object.read_object(spark, path, record)
     return b.features(spark, sf).select("pageid", "label").join(side, on="pageid", how="left")
 
 

@@ -198,15 +198,6 @@ def headline(spark, sf):
     return metrics.headline(metrics.results_table(b.predictions(spark, sf)))
 
 
-@query("V16_throughput")
-def throughput(spark, sf):
-    """Seconds per 1000 rows of the whole metric table, measured."""
-    df = b.predictions(spark, sf)
-    rows = df.count()
-    cost = metrics.throughput(df, rows)
-    return df.groupBy("config").agg(F.count("*").alias("n"), F.lit(float(cost)).alias("infer_s_per_1k"))
-
-
 @query("V17_holdout_vs_test", twin(f"SELECT config, round(macro_f1, 4) AS test_f1, round(temporal_holdout_f1, 4) AS temporal_f1 FROM {RESULTS} WHERE temporal_holdout_f1 IS NOT NULL", "predictions"))
 def holdout_vs_test(spark, sf):
     return metrics.holdout_vs_test(metrics.results_table(b.predictions(spark, sf)))

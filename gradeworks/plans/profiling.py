@@ -57,12 +57,43 @@ def missing_fraction(spark, sf):
     return tidy(profile.missing_fraction(b.features(spark, sf), FEATURES))
 
 
-@query("E6_single_feature_accuracy")
+CLASSES = [f"n{k}" for k in range(len(GRADES))]
+
+
+def _level(i: int) -> str:
+    """The nodes of the trees after one more split, from class counts per feature, node and value."""
+    running = ", ".join(f"sum({c}) OVER (PARTITION BY feature, node ORDER BY value) AS l{c}, sum({c}) OVER (PARTITION BY feature, node) AS a{c}" for c in CLASSES)
+
+    def purity(part: str) -> str:
+        each = [part.format(c=c) for c in CLASSES]
+        return f"CAST({' + '.join(f'{x} * {x}' for x in each)} AS DOUBLE) / ({' + '.join(each)})"
+    total = " + ".join(f"a{c}" for c in CLASSES)
+    mixed = " AND ".join(f"a{c} <> {total}" for c in CLASSES)
+    rest = " + ".join(f"(a{c} - l{c})" for c in CLASSES)
+    return f"""sums{i} AS MATERIALIZED (SELECT *, {running} FROM nodes{i}),
+    cuts{i} AS MATERIALIZED (SELECT feature, node, value AS cut FROM (SELECT *, row_number() OVER (PARTITION BY feature, node ORDER BY s DESC, abs({total} - 2 * ({rest})), value) AS rn FROM (
+        SELECT *, {purity('l{c}')} + {purity('(a{c} - l{c})')} AS s FROM sums{i} WHERE {mixed} AND {rest} > 0)) WHERE rn = 1),
+    nodes{i + 1} AS MATERIALIZED (SELECT feature, value, node * 2 + coalesce(CAST(value > cut AS INT), 0) AS node, {', '.join(CLASSES)} FROM nodes{i} LEFT JOIN cuts{i} USING (feature, node))"""
+
+
+def _trees(filled: str = "filled") -> str:
+    counts = ", ".join(f"CAST(count(*) FILTER (WHERE grade_rank = {k}) AS BIGINT) AS {c}" for k, c in enumerate(CLASSES))
+    return f"""nodes0 AS MATERIALIZED (SELECT feature, value, 0 AS node, {counts} FROM {filled} GROUP BY feature, value),
+    {", ".join(_level(i) for i in range(profile.TREE_DEPTH))},
+    acc AS (SELECT feature, CAST(sum(greatest({', '.join(CLASSES)})) AS DOUBLE) / sum({' + '.join(CLASSES)}) AS acc FROM (
+        SELECT feature, node, {', '.join(f'sum({c}) AS {c}' for c in CLASSES)} FROM nodes{profile.TREE_DEPTH} GROUP BY feature, node) GROUP BY feature)"""
+
+
+PLANTED = """planted AS (SELECT feature, value, grade_rank FROM filled UNION ALL
+    SELECT 'planted', CAST(grade_rank AS DOUBLE), grade_rank FROM filled WHERE feature = 'bytes')"""
+
+
+@query("E6_single_feature_accuracy", _with(f"{FILLED},\n{_trees()}", "SELECT feature, round(acc, 6) AS single_feature_acc FROM acc"))
 def single_feature_accuracy(spark, sf):
     return tidy(profile.single_feature_accuracy(b.features(spark, sf), FEATURES))
 
 
-@query("E7_leakage_suspects")
+@query("E7_leakage_suspects", _with(f"{FILLED},\n{PLANTED},\n{_trees('planted')}", f"SELECT feature, round(acc, 6) AS single_feature_acc FROM acc WHERE acc >= {profile.LEAK_ACCURACY}"))
 def leakage_suspects(spark, sf):
     """A copy of the grade is planted among the features; it has to be found."""
     planted = b.features(spark, sf).withColumn("planted", F.col("grade_rank").cast("double"))
@@ -72,15 +103,12 @@ def leakage_suspects(spark, sf):
 MISSING = "miss AS (SELECT feature, avg(CASE WHEN value IS NULL THEN 1 ELSE 0 END) AS m FROM long GROUP BY feature)"
 
 
-@query("E8_summary_topn", _with(f"{FILLED},\n{MI},\n{SPEAR},\n{MISSING}", """SELECT feature, round(mi, 6) + 0 AS mi, round(spearman, 6) + 0 AS spearman,
-    round(m, 6) AS missing_frac FROM mi JOIN sp USING (feature) JOIN miss USING (feature) ORDER BY round(mi, 9) DESC, feature LIMIT 12"""))
+@query("E8_summary_topn", _with(f"{FILLED},\n{MI},\n{SPEAR},\n{MISSING},\n{_trees()}", """SELECT feature, round(mi, 6) + 0 AS mi, round(spearman, 6) + 0 AS spearman,
+    round(m, 6) AS missing_frac, round(acc, 6) AS single_feature_acc FROM mi JOIN sp USING (feature) JOIN miss USING (feature) JOIN acc USING (feature)
+    ORDER BY round(mi, 9) DESC, feature LIMIT 12"""))
 def summary_topn(spark, sf):
-    """The accuracy column, which needs trees, is in E6."""
-    df = b.features(spark, sf)
-    summary = profile.feature_summary(df, FEATURES, with_accuracy=False)
-    if "missing_frac" not in summary.columns:
-        summary = summary.join(profile.missing_fraction(df, FEATURES), on="feature")
-    return tidy(profile.summary_top(summary.withColumn("mi", F.round("mi", 9))), "feature", "mi", "spearman", "missing_frac")
+    summary = profile.feature_summary(b.features(spark, sf), FEATURES)
+    return tidy(profile.summary_top(summary.withColumn("mi", F.round("mi", 9))), "feature", "mi", "spearman", "missing_frac", "single_feature_acc")
 
 
 @query("E9_class_balance", twin("SELECT grade, CAST(g AS BIGINT) AS grade_rank, count(f.pageid) AS n FROM (VALUES "

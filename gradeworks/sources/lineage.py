@@ -11,19 +11,42 @@ from pyspark.sql import functions as F
 MAX_BROADCAST_KEYS = 100_000
 
 
-def dataset_row(spark: SparkSession, name: str, stage: str, path: str, producer: str,
-                parent: str | None = None, created: Column | None = None) -> DataFrame:
-    """One lineage row of a Parquet dataset: shape, size and a fingerprint over its files.
+def row_text(df: DataFrame) -> Column:
+    """A row as text: each value stands behind its length and a missing one is a dash, so different rows never have the
+    same text."""
+    values = [F.col(c).cast("string") for c in df.columns]
+    return F.concat_ws(";", *[F.coalesce(F.concat(F.length(v), F.lit(":"), v), F.lit("-")) for v in values])
+
+
+def _part(digest: Column, i: int, width: int) -> Column:
+    return F.conv(F.substring(digest, 1 + i * width, width), 16, 10).cast("decimal(38,0)")
+
+
+def content_hash(df: DataFrame) -> DataFrame:
+    """``rows`` and ``sha256`` of a table whatever the order and files of its rows: four sums over the parts of each
+    row's SHA-256 are hashed once more. Sums are partial aggregates, so tables and files may have any size."""
+    digest = F.sha2(row_text(df), 256)
+    sums = df.select(digest.alias("_d")).agg(F.count("*").alias("rows"), *[
+        F.coalesce(F.sum(_part(F.col("_d"), i, _DIGITS)), F.lit(0)).cast("string").alias(f"_s{i}") for i in range(_PARTS)])
+    return sums.select("rows", F.sha2(F.concat_ws(",", F.col("rows").cast("string"), *[F.col(f"_s{i}") for i in range(_PARTS)]), 256).alias("sha256"))
+
 
-    Row count comes from Parquet footers; each file is hashed in its own task.
-    """
+_PARTS, _DIGITS = 4, 15
+
+
+def stored_bytes(spark: SparkSession, path: str) -> DataFrame:
+    """``bytes`` of the Parquet files at ``path``, from what Spark knows of the files it reads."""
+    files = spark.read.parquet(path).select("_metadata.file_path", "_metadata.file_size").distinct()
+    return files.agg(F.coalesce(F.sum("file_size"), F.lit(0)).alias("bytes"))
+
+
+def dataset_row(spark: SparkSession, name: str, stage: str, path: str, producer: str, parent: str | None = None,
+                created: Column | None = None, columns: Sequence[str] | None = None) -> DataFrame:
+    """One lineage row of a Parquet dataset: shape, size, content hash, and where it comes from."""
     data = spark.read.parquet(path)
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option(
-        "pathGlobFilter", "*.parquet").load(path).select("path", "length", F.sha2("content", 256).alias("h"))
-    digest = F.sha2(F.array_join(F.sort_array(F.collect_list("h")), ""), 256)  # one hash per file
-    size = files.agg(F.coalesce(F.sum("length"), F.lit(0)).alias("bytes"), digest.alias("sha256"))
-    return size.withColumn("_k", F.lit(1)).join(
-        data.agg(F.count("*").alias("rows")).withColumn("_k", F.lit(1)), on="_k").select(
+    data = data.select(*columns) if columns else data
+    one = content_hash(data).withColumn("_k", F.lit(1)).join(stored_bytes(spark, path).withColumn("_k", F.lit(1)), on="_k")
+    return one.select(
         F.lit(name).alias("name"), F.lit(stage).alias("stage"), F.lit(path).alias("path"), "rows",
         F.lit(len(data.columns)).cast("long").alias("cols"), "bytes", "sha256",
         (created if created is not None else F.current_timestamp()).alias("created"),
@@ -31,11 +54,8 @@ def dataset_row(spark: SparkSession, name: str, stage: str, path: str, producer:
 
 
 def fingerprint(df: DataFrame, name: str) -> DataFrame:
-    """Shape and order-free content hash of a table, from sums of row hashes. Each value stands behind its
-    length and a missing one is a dash, so different rows never have the same text."""
-    values = [F.col(c).cast("string") for c in df.columns]
-    text = F.concat_ws(";", *[F.coalesce(F.concat(F.length(v), F.lit(":"), v), F.lit("-")) for v in values])
-    part = F.conv(F.substring(F.md5(text), 1, 12), 16, 10).cast("long")
+    """Shape and order-free content hash of a table, from sums of row hashes."""
+    part = F.conv(F.substring(F.md5(row_text(df)), 1, 12), 16, 10).cast("long")
     return df.agg(F.count("*").alias("rows"), F.coalesce(F.sum(part.cast("decimal(38,0)")), F.lit(0)).cast("string").alias("fingerprint")
                   ).select(F.lit(name).alias("name"), "rows",
                            F.lit(len(df.columns)).cast("long").alias("cols"), "fingerprint")

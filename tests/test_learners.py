@@ -10,7 +10,7 @@ from gradeworks.schemas import K
 SMALL = {"iterations": 3, "depth": 3}
 COLS = ["a", "b", "c"]
 SETTINGS = {"logreg": {"max_iter": 30}, "random_forest": {"trees": 8, "depth": 5}, "mlp": {"width": 8, "max_iter": 40},
-            "xgboost": SMALL, "ordinal_cumulative": SMALL, "calibrated_gbt": {**SMALL, "folds": 2},
+            "xgboost": SMALL, "ordinal_cumulative": {"iterations": 20, "leaves": 8, "learning_rate": 0.3}, "calibrated_gbt": {**SMALL, "folds": 2},
             "stacking": {"folds": 2, "bases": {"random_forest": {"trees": 5, "depth": 4}, "histgb": SMALL}},
             "distilled": {"trees": 8, "depth": 4, "teacher": SMALL}}
 
@@ -67,12 +67,35 @@ def test_unknown_learner(table):
         learners.fit("nope", table, COLS)
 
 
-def test_search_is_seeded(table):
+def test_search_is_seeded(table, monkeypatch):
     train, valid = table.filter("pageid < 600"), table.filter("pageid >= 600")
-    limits = {"trees": 5, "depth": 4}
-    best, runs = selection.param_search("random_forest", train, valid, COLS, trials=2, limits=limits)
-    again, _ = selection.param_search("random_forest", train, valid, COLS, trials=2, limits=limits)
-    assert best == again and len(runs) == 2 and 0 <= runs[0]["val_macro_f1"] <= 1
+    assert selection.drawn_settings("mlp", 3) == selection.drawn_settings("mlp", 3)
+    assert {k for p in selection.drawn_settings("xgboost") for k in p} == {"depth", "learning_rate", "iterations", "subsample"}
+    tried = [{"iterations": n, "depth": d} for n, d in ((4, 1), (8, 3), (12, 2), (8, 1), (4, 2))]
+    runs = selection.boosted_trials("xgboost", tried, train, valid, COLS, 42, selection.HALVING_RUNGS)
+    again = selection.boosted_trials("xgboost", tried, train, valid, COLS, 42, selection.HALVING_RUNGS)
+    def plain(rs):
+        return [{k: v for k, v in r.items() if k != "wall_s"} for r in rs]
+    assert plain(runs) == plain(again) and sorted(r["share"] for r in runs) == [0.25, 0.25, 0.5, 1.0, 1.0]
+    full = selection.boosted_trials("xgboost", tried, train, valid, COLS, 42, (1.0,))
+    for r, f, p in zip(runs, full, tried, strict=True):  # a trial that went all the way has the trees of a full fit
+        if r["share"] == 1.0:
+            assert abs(r["val_macro_f1"] - f["val_macro_f1"]) < 1e-9
+            alone = selection.fit_score("xgboost", train, valid, COLS, p)[1]
+            assert abs(alone["val_qwk_regress_round"] - r["val_qwk_regress_round"]) < 1e-9
+    monkeypatch.setattr(selection, "drawn_settings", lambda *a: tried)
+    best, _ = selection.param_search("xgboost", train, valid, COLS, halving=False)
+    assert best == tried[max(range(5), key=lambda i: (full[i]["val_macro_f1"], -i))]
+
+
+def test_batch_score_reads_once(table):
+    models = {k: learners.fit(k, table, COLS, SETTINGS.get(k)) for k in ("majority", "xgboost", "random_forest", "calibrated_gbt")}
+    out = selection.batch_score(models, table)
+    assert out.count() == 4 * table.count()
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("InMemoryRelation") == 1
+    alone = selection.batch_score({"xgboost": models["xgboost"]}, table)
+    assert out.filter("config = 'xgboost'").exceptAll(alone).count() == 0
 
 
 def test_selection_needs_a_clear_lead(spark):

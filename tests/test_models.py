@@ -10,7 +10,7 @@ from gradeworks.plans.catalog import QUERIES
 
 FITTED = ["M2_logreg", *[f"M3_boosted_{k}" for k in learners.BOOSTERS], "M4_random_forest", "M5_mlp", "M6_calibrated_gbt",
           "M7_scaled_gbt", "M8_ordinal_cumulative", "M9_stacking", "M10_distilled", "M11_portable_scorer", "M14_fit_score",
-          "M22_batch_score", "X1_global_importance", "X4_deletion_curve", "X5_insertion_curve", "X7_per_grade_top5",
+          "X1_global_importance", "X4_deletion_curve", "X5_insertion_curve", "X7_per_grade_top5",
           "X9_local_attribution"]
 
 
@@ -49,7 +49,7 @@ def test_own_settings(name, spark, sf, calls):
 
 @pytest.mark.parametrize("name", ["M13_param_search", "M17_train_one"])
 def test_searches_are_not_clamped(name, spark, sf, calls):
-    assert not {"trials", "limits"} & set(first_call(calls, spark, sf, name))
+    assert not {"trials", "halving"} & set(first_call(calls, spark, sf, name))
 
 
 @pytest.mark.parametrize("name", ["M18_text_arm", "M21_leak_ablation"])
@@ -85,6 +85,7 @@ def test_all_configs_are_trained_as_tuned(spark, sf, monkeypatch):
 
 def test_tune_searches_every_kind(spark, sf, monkeypatch):
     row = lambda kind, f1: {"kind": kind, "val_macro_f1": f1, "wall_s": 1.0}
+    monkeypatch.setattr(selection, "binned", lambda *a: None)
     monkeypatch.setattr(selection, "fit_score", lambda kind, *a: (None, row(kind, 0.1)))
     monkeypatch.setattr(selection, "param_search", lambda kind, *a: (
         {"of": kind}, [row(kind, 0.2), row(kind, 0.6 if kind == "histgb" else 0.5)]))

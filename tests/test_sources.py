@@ -90,7 +90,12 @@ def test_manifest(spark, tmp_path):
     second = lineage.dataset_row(spark, "raw", "raw", path, "make", created=F.lit("2"))
     rows = lineage.upsert(first, second).collect()
     assert len(rows) == 1 and (rows[0]["rows"], rows[0]["cols"], rows[0]["created"]) == (10, 1, "2")
-    assert rows[0]["bytes"] > 0 and len(rows[0]["sha256"]) == 64
+    import os
+    assert rows[0]["bytes"] == sum(os.path.getsize(f"{path}/{f}") for f in os.listdir(path) if f.endswith(".parquet")) and len(rows[0]["sha256"]) == 64
+    spark.range(10).orderBy(F.desc("id")).coalesce(1).write.parquet(path + "-again")  # other order, other files
+    again = lineage.dataset_row(spark, "raw", "raw", path + "-again", "make", "older", F.lit("3")).first()
+    assert again["sha256"] == rows[0]["sha256"] and again["parent"] == "older"
+    assert lineage.content_hash(spark.range(1, 11)).first()["sha256"] != again["sha256"]
 
 
 def test_latest_run_keeps_all_its_rows(spark):

@@ -73,6 +73,31 @@ def test_suspects_and_missing(labelled):
     assert missing == {"copy": 0.0, "gaps": 0.25}
 
 
+def greedy_tree_hits(rows, depth):
+    """Rows that the Gini tree of (value, class) rows gets right; every cut is tried."""
+    def gini(part):
+        return sum(part.count(k) ** 2 for k in set(part)) / len(part)
+    classes = [k for _, k in rows]
+    values = sorted({v for v, _ in rows})
+    if depth == 0 or len(set(classes)) == 1 or len(values) == 1:
+        return max(classes.count(k) for k in set(classes))
+    tried = [(gini([k for v, k in rows if v <= c]) + gini([k for v, k in rows if v > c]),
+              -abs(len(rows) - 2 * sum(v <= c for v, _ in rows)), -c) for c in values[:-1]]
+    cut = -max(tried)[2]
+    return greedy_tree_hits([r for r in rows if r[0] <= cut], depth - 1) + greedy_tree_hits([r for r in rows if r[0] > cut], depth - 1)
+
+
+@pytest.mark.parametrize("per_range", [20, 10**6])
+def test_single_feature_trees(spark, per_range):
+    rng = np.random.default_rng(4)
+    rows = [(i, int(rng.integers(0, 6)), float(rng.integers(0, 12)), float(rng.random()), 1.0) for i in range(150)]
+    rows = [(i, k, x + k // 2, v, c) for i, k, x, v, c in rows]
+    df = spark.createDataFrame(rows, "pageid long, grade_rank int, x double, v double, flat double")
+    got = dict(profile.single_feature_accuracy(df, ["x", "v", "flat"], per_range=per_range).collect())
+    for at, name in ((2, "x"), (3, "v"), (4, "flat")):
+        assert got[name] == pytest.approx(greedy_tree_hits([(r[at], r[1]) for r in rows], 3) / len(rows))
+
+
 @pytest.mark.parametrize("per_range", [50, 10**6])
 def test_corr_matrix_pairs_complete_rows(labelled, per_range):
     got = {(r["x"], r["y"]): r["spearman"] for r in profile.corr_matrix(labelled, ["copy", "noise", "gaps"], per_range=per_range).collect()}
