@@ -94,7 +94,7 @@ class Tree:
         return self.left[x], self.left[x] + 1
 
     def may_grow(self, x: int, lane: Lane) -> bool:
-        return self.level[x] < lane.depth and (lane.growth == "levels" or self.sums[x][2] >= 2 * lane.min_rows)
+        return self.level[x] < lane.depth and (self.sums[x][2] >= (1 if lane.growth == "levels" else 2 * lane.min_rows))
 
     def route(self, bins: np.ndarray, node: np.ndarray, split: Sequence[int]) -> np.ndarray:
         """Nodes of the rows after ``split`` leaves were split. ``bins`` has a row per feature."""
@@ -119,37 +119,42 @@ class Tree:
         return np.array([-lane.rate * s[0] / (s[1] + lane.l2 * UNIT + 1e-9) if f == _NONE else 0.0 for f, s in zip(self.feature, self.sums, strict=True)])
 
 
-def split_gains(sums: np.ndarray, lane: Lane, features: np.ndarray) -> np.ndarray:
-    """Gain of each split [node, feature, bin] from sums [gradient, curvature, rows][node, feature, bin]."""
+def split_gains(sums: np.ndarray, lane: Lane, starts: np.ndarray, features: np.ndarray) -> np.ndarray:
+    """Gain of each split [node, bin] from sums [gradient, curvature, rows][node, bin]. The bins of a feature stand between
+    two ``starts``; a split sends its bin and those before it to the left."""
     left = np.cumsum(sums, axis=-1)
-    total = left[..., -1:]
-    left = left[..., :-1]
-    right = total - left
+    total = left[..., starts[1] - 1][..., None]
+    if len(starts) > 2:
+        left[..., starts[1]:] -= np.repeat(left[..., starts[1:-1] - 1], np.diff(starts[1:]), axis=-1)
     l2 = lane.l2 * UNIT + 1e-9
-
-    def worth(part):
-        return part[0] * part[0] / (part[1] + l2)
-    gain = (worth(left) + worth(right) - worth(total)) / UNIT
+    gain = left[0] * left[0]
+    gain /= left[1] + l2
+    rest = total[0] - left[0]
+    rest *= rest
+    rest /= total[1] - left[1] + l2
+    gain += rest
+    gain -= total[0] * total[0] / (total[1] + l2)
+    gain /= UNIT
     if lane.growth != "levels":
-        small = np.minimum(left, right)
-        gain[(small[2] < lane.min_rows) | (small[1] < lane.min_weight * UNIT)] = -np.inf
+        gain[(left[2] < lane.min_rows) | (total[2] - left[2] < lane.min_rows)] = -np.inf
+        gain[(left[1] < lane.min_weight * UNIT) | (total[1] - left[1] < lane.min_weight * UNIT)] = -np.inf
+    gain[:, starts[1:] - 1] = -np.inf  # nothing would go right
     if lane.features is not None:
-        gain[:, ~np.isin(features, lane.features)] = -np.inf
+        gain[:, np.repeat(~np.isin(features, lane.features), np.diff(starts))] = -np.inf
     return gain
 
 
-def best_splits(sums: np.ndarray, lane: Lane, features: np.ndarray) -> list[tuple]:
+def best_splits(sums: np.ndarray, lane: Lane, starts: np.ndarray, features: np.ndarray) -> list[tuple]:
     """Per node (gain, feature, cut, left sums); with growth by levels the same split for all nodes."""
-    gain = split_gains(sums, lane, features)
+    gain = split_gains(sums, lane, starts, features)
     if lane.growth == "levels":
         gain = np.broadcast_to(gain.sum(axis=0), gain.shape)
-    flat = gain.reshape(len(gain), -1)
-    at = flat.argmax(axis=1)
-    f, c = np.divmod(at, gain.shape[2])
+    at = gain.argmax(axis=1)
+    f = np.searchsorted(starts, at, side="right") - 1
     out = []
     for x in range(len(gain)):
-        left = sums[:, x, f[x], :c[x] + 1].sum(axis=-1)
-        out.append((float(flat[x, at[x]]), int(features[f[x]]), int(c[x]), tuple(left.tolist())))
+        left = sums[:, x, starts[f[x]]:at[x] + 1].sum(axis=-1)
+        out.append((float(gain[x, at[x]]), int(features[f[x]]), int(at[x] - starts[f[x]]), tuple(left.tolist())))
     return out
 
 
@@ -157,20 +162,21 @@ def best_splits(sums: np.ndarray, lane: Lane, features: np.ndarray) -> list[tupl
 
 @dataclass
 class Block:
-    """Rows of one block: ids, bins by feature, class targets, folds and scores."""
+    """Rows of one block: ids, bins by feature, class targets and folds."""
 
     key: np.ndarray
     bins: np.ndarray
     target: np.ndarray
     folds: np.ndarray
-    size: int  # bins of a feature, at most
+    starts: np.ndarray  # where the bins of each feature begin if all stand in one row
 
     @classmethod
     def of(cls, row: dict) -> Block:
         key = np.frombuffer(row["key"], "int64")
         shape = (-1, len(key))
         return cls(key, np.frombuffer(row["bins"], "uint8").reshape(shape), np.frombuffer(row["target"], "float64").reshape(len(key), -1),
-                   np.frombuffer(row["folds"], "int32").reshape(shape) if row["folds"] else np.empty((0, len(key)), "int32"), row["size"])
+                   np.frombuffer(row["folds"], "int32").reshape(shape) if row["folds"] else np.empty((0, len(key)), "int32"),
+                   np.append(0, np.cumsum(np.frombuffer(row["sizes"], "int32"))))
 
     def weights(self, lane: Lane) -> np.ndarray:
         if lane.held is None:
@@ -199,15 +205,17 @@ class Block:
         return np.rint((p - wanted) * UNIT), np.rint(np.maximum(p * (1 - p), 1e-6) * UNIT)
 
     def sums(self, codes: np.ndarray, rows: np.ndarray, node: np.ndarray, n: int, g: np.ndarray, h: np.ndarray) -> np.ndarray:
-        """Sums [gradient, curvature, rows][node, feature, bin] of ``rows``, which lie in nodes 0 .. n-1."""
-        width = self.bins.shape[0] * self.size
+        """Sums [gradient, curvature, rows][node, bin] of ``rows``, which lie in nodes 0 .. n-1."""
+        width, across = int(self.starts[-1]), self.bins.shape[0]
         at = (codes[rows] + (node * width)[:, None]).ravel()
-        across = self.bins.shape[0]
-        parts = [np.bincount(at, np.repeat(x[rows], across), n * width) for x in (g, h)] + [np.bincount(at, minlength=n * width)]
-        return np.stack(parts).reshape(3, n, across, self.size)
+        out = np.empty((3, n * width))
+        out[0] = np.bincount(at, np.repeat(g[rows], across), n * width)
+        out[1] = np.bincount(at, np.repeat(h[rows], across), n * width)
+        out[2] = np.bincount(at, minlength=n * width)
+        return out.reshape(3, n, width)
 
     def codes(self) -> np.ndarray:
-        return self.bins.T.astype("int64") + np.arange(self.bins.shape[0]) * self.size
+        return self.bins.T.astype("int64") + self.starts[:-1]
 
 
 def softmax(scores: np.ndarray) -> np.ndarray:
@@ -220,12 +228,12 @@ def grown(block: Block, codes: np.ndarray, rows: np.ndarray, g: np.ndarray, h: n
     features = np.arange(block.bins.shape[0])
     tree, node = Tree(), np.zeros(len(block.key), "int64")
     root = block.sums(codes, rows, np.zeros(len(rows), "int64"), 1, g, h)
-    tree.sums[0] = tuple(root[:, 0, 0].sum(axis=-1).tolist())
+    tree.sums[0] = tuple(root[:, 0, :block.starts[1]].sum(axis=-1).tolist())
     held: dict[int, np.ndarray] = {}
 
     def offer(nodes: list[int], sums: np.ndarray) -> None:
         if nodes:
-            for i, (x, b) in enumerate(zip(nodes, best_splits(sums, lane, features), strict=True)):
+            for i, (x, b) in enumerate(zip(nodes, best_splits(sums, lane, block.starts, features), strict=True)):
                 if b[0] > 0:
                     tree.best[x], held[x] = b, sums[:, i]
 
@@ -301,7 +309,7 @@ def _started(block: Block, trees: list[tuple], outputs: int) -> np.ndarray:
     """Scores after some trees."""
     scores = np.zeros((len(block.key), outputs))
     for first in range(0, len(trees), _TREES_AT_ONCE):
-        _add_scores(trees[first:first + _TREES_AT_ONCE], block.bins, block.size, scores)
+        _add_scores(trees[first:first + _TREES_AT_ONCE], block.bins, int(np.diff(block.starts).max()), scores)
     return scores
 
 
@@ -330,7 +338,8 @@ def _partial(lanes: Sequence[Lane], open_: dict[int, list[tuple[Tree, list[int]]
                     place[nodes] = np.arange(len(nodes))
                     rows = np.flatnonzero(active & (place[node] != _NONE))
                     sums = block.sums(codes, rows, place[node[rows]], len(nodes), g[:, k], h[:, k])
-                    out = [(row["lane"], k, f, x, sums[:, i, f].tobytes()) for i, x in enumerate(nodes) for f in range(sums.shape[2])]
+                    out = [(row["lane"], k, f, x, sums[:, i, a:b].tobytes()) for i, x in enumerate(nodes)
+                           for f, (a, b) in enumerate(zip(block.starts[:-1], block.starts[1:], strict=True))]
                     yield _batch(out, _SUMS, [pa.int32()] * 4 + [pa.binary()])
 
     return read
@@ -352,9 +361,9 @@ def _added(lanes: Sequence[Lane]):
     kinds = [pa.int32()] * 3 + [pa.float64(), pa.int32(), pa.int32()] + [pa.float64()] * 6
 
     def settled(key: tuple, nodes: list[int], sums: list[np.ndarray]) -> pa.RecordBatch:
-        together = np.stack(sums, axis=1)[:, :, None]
-        splits = best_splits(together, lanes[key[0]], np.array([key[2]]))
-        totals = together[:, :, 0].sum(axis=-1).T.tolist()
+        together = np.stack(sums, axis=1)
+        splits = best_splits(together, lanes[key[0]], np.array([0, together.shape[2]]), np.array([key[2]]))
+        totals = together.sum(axis=-1).T.tolist()
         return _batch([(*key[:2], x, gain, f, c, *left, *all_) for x, (gain, f, c, left), all_ in zip(nodes, splits, totals, strict=True)], names, kinds)
 
     def read(batches: Batches) -> Batches:
@@ -475,7 +484,7 @@ def binned(df: DataFrame, features: Sequence[str], classes: int, key: str = "pag
     edges = bin_edges(df, features)
     n = df.count()
     n_blocks = max(1, -(-n // block_rows))
-    size = max([2, *(len(e) + 1 for e in edges)])
+    sizes = np.array([len(e) + 1 for e in edges], "int32").tobytes()
     wanted = F.col(target) if target else F.transform(F.sequence(F.lit(0), F.lit(classes - 1)), lambda k: (k == F.col(y)).cast("double"))
     rows = df.select(F.col(key).cast("long").alias("key"), F.array(*[F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in features]).alias("x"),
                      wanted.alias("target"), F.array(*[F.col(c).cast("int") for c in folds]).cast("array<int>").alias("folds"),
@@ -486,11 +495,11 @@ def binned(df: DataFrame, features: Sequence[str], classes: int, key: str = "pag
         x = table.column("x").combine_chunks().flatten().to_numpy().reshape(table.num_rows, -1)
         made = {"block": table.column("block")[0].as_py(), "key": table.column("key").to_numpy().tobytes(), "bins": to_bins(list(x.T), edges).tobytes(),
                 "target": table.column("target").combine_chunks().flatten().to_numpy().tobytes(),
-                "folds": np.ascontiguousarray(table.column("folds").combine_chunks().flatten().to_numpy().reshape(table.num_rows, -1).T).tobytes(), "size": size}
-        kinds = [pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.binary(), pa.int32()]
+                "folds": np.ascontiguousarray(table.column("folds").combine_chunks().flatten().to_numpy().reshape(table.num_rows, -1).T).tobytes(), "sizes": sizes}
+        kinds = [pa.int64()] + [pa.binary()] * 5
         return pa.table({c: pa.array([v], k) for (c, v), k in zip(made.items(), kinds, strict=True)})
 
-    blocks = rows.groupBy("block").applyInArrow(packed, "block long, key binary, bins binary, target binary, folds binary, size int")
+    blocks = rows.groupBy("block").applyInArrow(packed, "block long, key binary, bins binary, target binary, folds binary, sizes binary")
     return Binned(write_table(blocks, "boosting-blocks"), n_blocks, edges, classes)
 
 

@@ -70,10 +70,9 @@ def test_growth_rules(spark, rows):
     assert max((len(t[1]) + 1) // 2 for t in leaves.trees) == 11
     for t in levels.trees:  # one split for all nodes of a level
         nodes = [0]
-        while nodes and t[1][nodes[0]] >= 0:
-            assert len({(t[1][x], t[2][x]) for x in nodes}) == 1
-            nodes = [c for x in nodes for c in (t[3][x], t[3][x] + 1)]
-        assert all(t[1][x] < 0 for x in nodes)
+        while split := [x for x in nodes if t[1][x] >= 0]:  # a node without rows stays a leaf
+            assert len({(t[1][x], t[2][x]) for x in split}) == 1
+            nodes = [c for x in split for c in (t[3][x], t[3][x] + 1)]
 
 
 def test_a_held_fold_and_left_out_features_are_not_read(spark, rows):
