@@ -21,7 +21,9 @@ from __future__ import annotations
 
 import json
 from collections.abc import Callable, Iterator, Sequence
-from dataclasses import asdict, dataclass, field
+from concurrent.futures import Future
+from dataclasses import asdict, dataclass, field, replace
+from threading import Lock
 
 import numpy as np
 import pyarrow as pa
@@ -459,6 +461,8 @@ class Binned:
     n_blocks: int
     edges: list[np.ndarray]
     classes: int
+    known: dict[Lane, Future] = field(default_factory=dict)
+    lock: Lock = field(default_factory=Lock)
 
 
 def bin_edges(df: DataFrame, features: Sequence[str]) -> list[np.ndarray]:
@@ -621,3 +625,21 @@ def train(table: Binned, lanes: Sequence[Lane], start: Sequence[Forest] | None =
     for lane, _, output, *arrays in sorted(rows, key=lambda r: r[:3]):
         trees[lane].append((output, *(np.frombuffer(bytes(a), k) for a, k in zip(arrays, _STORED.values(), strict=True))))
     return [Forest(lane, table.edges, n, t) for lane, n, t in zip(lanes, outputs, trees, strict=True)]
+
+
+def forests(table: Binned, lanes: Sequence[Lane]) -> list[Forest]:
+    """``train`` with a memory: lanes that were grown on this table, or are being grown, are not grown again. A seed only
+    counts where rows are drawn."""
+    lanes = [lane if lane.sample < 1 else replace(lane, seed=0) for lane in lanes]
+    with table.lock:
+        new = [lane for lane in dict.fromkeys(lanes) if lane not in table.known]
+        table.known.update({lane: Future() for lane in new})
+    try:
+        for lane, forest in zip(new, train(table, new) if new else [], strict=True):
+            table.known[lane].set_result(forest)
+    except BaseException as e:
+        for lane in new:
+            if not table.known[lane].done():
+                table.known.pop(lane).set_exception(e)
+        raise
+    return [table.known[lane].result() for lane in lanes]

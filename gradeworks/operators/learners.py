@@ -12,6 +12,7 @@ import random
 from collections.abc import Callable, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field, replace
+from threading import Lock
 from weakref import WeakKeyDictionary
 
 import numpy as np
@@ -147,6 +148,7 @@ SCALED = Lane(rounds=200, rate=0.1, growth="depth", depth=3, l2=0.0)
 ORDINAL = Lane(rounds=300, rate=0.05, growth="leaves", leaves=31, depth=1 << 20, l2=0.0, min_rows=20, thresholds=True)
 CALIBRATED = replace(BOOSTERS["histgb"], rounds=300, depth=6)
 TEACHER = CALIBRATED
+FOLD_SEED = 42  # folds are the same for all seeds of a learner
 _SETTINGS = {"iterations": "rounds", "learning_rate": "rate", "depth": "depth", "leaves": "leaves", "subsample": "sample"}
 
 
@@ -156,18 +158,20 @@ def lane_of(base: Lane, params: dict, seed: int) -> Lane:
 
 
 _binned: WeakKeyDictionary = WeakKeyDictionary()
+_binning = Lock()
 
 
 def binned(train: DataFrame, features: Sequence[str], folds: Sequence[tuple[int, int]] = (), target: str | None = None) -> boosting.Binned:
     """The table of bins of ``train``, made once for all that fit on the same DataFrame. ``folds`` are (number, seed)."""
-    known = _binned.setdefault(train, {})
     key = (tuple(features), tuple(folds), target)
-    if key not in known:
-        df = train
-        for i, (n, seed) in enumerate(folds):
-            df = with_fold(df, n, seed, name=f"_fold{i}")
-        known[key] = boosting.binned(df, features, K, target=target, folds=[f"_fold{i}" for i in range(len(folds))])
-    return known[key]
+    with _binning:
+        known = _binned.setdefault(train, {})
+        if key not in known:
+            df = train
+            for i, (n, seed) in enumerate(folds):
+                df = with_fold(df, n, seed, name=f"_fold{i}")
+            known[key] = boosting.binned(df, features, K, target=target, folds=[f"_fold{i}" for i in range(len(folds))])
+        return known[key]
 
 
 def _inputs(features: Sequence[str]) -> Column:
@@ -184,7 +188,7 @@ def scored_by(features: Sequence[str], made: Callable[[list[np.ndarray]], np.nda
 
 def _boosted(kind: str, train: DataFrame, features: list[str], lane: Lane) -> Fitted:
     """All classes' trees in one model; its scores go through a softmax."""
-    forest = boosting.train(binned(train, features), [lane])[0]
+    forest = boosting.forests(binned(train, features), [lane])[0]
     return Fitted(kind, "trees", features, {"forest": forest, "columns": features})
 
 
@@ -255,7 +259,7 @@ def _scaled_gbt(train, features, params, seed) -> Fitted:
 def _random_forest(train, features, params, seed) -> Fitted:
     est = RandomForestClassifier(numTrees=params.get("trees", 100), maxDepth=min(params.get("depth", 10), 30),
                                  minInstancesPerNode=params.get("min_leaf", 1), seed=seed,
-                                 checkpointInterval=-1)
+                                 checkpointInterval=-1, cacheNodeIds=True)
     return _simple("random_forest", est, train, features, weight=params.get("weight"))
 
 
@@ -288,9 +292,9 @@ def _calibrated(train, features, params, seed) -> Fitted:
     """Per fold: a booster on the other folds, one isotonic curve per grade on the fold. The folds' calibrated
     probabilities are averaged."""
     folds = params.get("folds", 3)
-    table = binned(train, features, [(folds, seed)])
-    forests = boosting.train(table, [replace(lane_of(CALIBRATED, params, seed), held=(0, i)) for i in range(folds)])
-    held = _held_out(with_fold(train, folds, seed), features, folds, forests).select("_fold", "y", F.posexplode("p").alias("k", "v"))
+    table = binned(train, features, [(folds, FOLD_SEED)])
+    forests = boosting.forests(table, [replace(lane_of(CALIBRATED, params, seed), held=(0, i)) for i in range(folds)])
+    held = _held_out(with_fold(train, folds, FOLD_SEED), features, folds, forests).select("_fold", "y", F.posexplode("p").alias("k", "v"))
     points = held.select((F.col("_fold") * K + F.col("k")).alias("curve"), "v", (F.col("y") == F.col("k")).cast("double").alias("t"))
     curves = curves_of(points, "curve", "v", "t")
     return Fitted("calibrated_gbt", "calibrated", features, {
@@ -317,7 +321,7 @@ def _score_calibrated(parts: dict, df: DataFrame) -> DataFrame:
 @register("ordinal_cumulative", lambda r: {"leaves": r.randint(15, 127), "learning_rate": _rate(r, 0.02), "iterations": r.randint(100, 600)})
 def _ordinal(train, features, params, seed) -> Fitted:
     """One output per ``y > k``, recombined into class probabilities."""
-    forest = boosting.train(binned(train, features), [lane_of(ORDINAL, params, seed)])[0]
+    forest = boosting.forests(binned(train, features), [lane_of(ORDINAL, params, seed)])[0]
     return Fitted("ordinal_cumulative", "cumulative", features, {"forest": forest, "columns": features})
 
 
@@ -341,10 +345,10 @@ def _stacking(train, features, params, seed) -> Fitted:
     folds, bases = params.get("folds", 5), params.get("bases", STACK_BASES)
     boosters = [b for b in bases if b in BOOSTERS]
     others = [b for b in bases if b not in BOOSTERS]
-    folded = with_fold(train, folds, seed)
+    folded = with_fold(train, folds, FOLD_SEED)
     lanes = [replace(lane_of(BOOSTERS[b], bases[b], seed), held=None if i == folds else (0, i)) for b in boosters for i in range(folds + 1)]
     with ThreadPoolExecutor(1 + (folds + 1) * len(others)) as pool:
-        grown = pool.submit(lambda: boosting.train(binned(train, features, [(folds, seed)]), lanes) if lanes else [])
+        grown = pool.submit(lambda: boosting.forests(binned(train, features, [(folds, FOLD_SEED)]), lanes))
         rest = {(b, i): pool.submit(fit, b, train if i == folds else folded.filter(F.col("_fold") != i), features, bases[b], seed)
                 for b in others for i in range(folds + 1)}
         forests, models = grown.result(), {k: v.result() for k, v in rest.items()}

@@ -180,9 +180,10 @@ def measured_cost(df: DataFrame, rows: int, group: str) -> tuple[float, float]:
         wall = throughput(df, rows)
     finally:
         sc.setLocalProperty("spark.jobGroup.id", None)
+    sc._jsc.sc().listenerBus().waitUntilEmpty(10_000)  # task metrics arrive a little later
     tracker, store = sc.statusTracker(), sc._jsc.sc().statusStore()
     jobs = [tracker.getJobInfo(j) for j in tracker.getJobIdsForGroup(group)]
-    stages = {s for job in jobs if job for s in job.stageIds}
+    stages = {s for job in jobs if job for s in job.stageIds if tracker.getStageInfo(s)}
     busy = sum(store.lastStageAttempt(s).executorRunTime() for s in stages)
     return wall, busy / 1000 / max(rows, 1) * 1000
 

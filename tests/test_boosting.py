@@ -125,3 +125,20 @@ def test_more_rounds_from_stored_trees(spark, rows, tmp_path, block_rows):
     longer = b.train(table, [lane], [again])[0]
     assert len(longer.trees) == 16
     assert all(np.allclose(s[5], t[5], atol=1e-9) for s, t in zip(whole.trees, longer.trees, strict=True))
+
+
+def test_equal_lanes_are_grown_once(spark, rows, monkeypatch):
+    table = b.binned(rows, COLS, 4, folds=["f0"])
+    grown = []
+    monkeypatch.setattr(b, "train", lambda t, lanes: grown.extend(lanes) or [("forest", lane) for lane in lanes])
+    lane = b.Lane(rounds=1)
+    first = b.forests(table, [lane, b.Lane(rounds=1, seed=7), b.Lane(rounds=1, sample=0.5, seed=7), b.Lane(rounds=1, sample=0.5, seed=8)])
+    assert first[0] == first[1] and first[2] != first[3] and len(grown) == 3
+    assert b.forests(table, [lane]) == first[:1] and len(grown) == 3
+    def broken(t, lanes):
+        raise ValueError("no")
+    monkeypatch.setattr(b, "train", broken)
+    with pytest.raises(ValueError):
+        b.forests(table, [b.Lane(rounds=2)])
+    monkeypatch.setattr(b, "train", lambda t, lanes: ["again"])
+    assert b.forests(table, [b.Lane(rounds=2)]) == ["again"]

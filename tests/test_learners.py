@@ -88,6 +88,13 @@ def test_search_is_seeded(table, monkeypatch):
     assert best == tried[max(range(5), key=lambda i: (full[i]["val_macro_f1"], -i))]
 
 
+def test_costs_of_each_model(spark, table):
+    models = {k: learners.fit(k, table, COLS, SETTINGS.get(k)) for k in ("majority", "xgboost")}
+    cost = {r["config"]: r for r in metrics.model_costs(models, table).collect()}
+    assert set(cost) == set(models) and all(r["infer_s_per_1k"] > 0 for r in cost.values())
+    assert cost["xgboost"]["task_s_per_1k"] > cost["majority"]["task_s_per_1k"] >= 0
+
+
 def test_batch_score_reads_once(table):
     models = {k: learners.fit(k, table, COLS, SETTINGS.get(k)) for k in ("majority", "xgboost", "random_forest", "calibrated_gbt")}
     out = selection.batch_score(models, table)
