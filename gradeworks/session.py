@@ -6,9 +6,11 @@ import tempfile
 import uuid
 from collections.abc import Callable
 
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 _own_dir: dict[str, str] = {}
 
@@ -42,11 +44,27 @@ def shared_dir(spark: SparkSession) -> str:
     return _own_dir.setdefault(spark.sparkContext.applicationId, tempfile.mkdtemp(prefix="gradeworks-"))
 
 
+def setting(spark: SparkSession, key: str) -> str | None:
+    """Value of a setting, its default if it is not set; None if this Spark does not know it."""
+    try:
+        return spark.conf.get(key)
+    except PySparkException:
+        return None
+
+
 def write_table(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet into the shared folder and read it back, which cuts its lineage."""
+    """Write ``df`` as Parquet into the shared folder and read it back, which cuts its lineage. Nothing needs the shuffle
+    files of the write afterwards, so Spark removes them at once instead of when the driver collects its garbage."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = setting(spark, _CLEANUP)
+    if before is not None:  # Spark versions without the setting keep the files a while
+        spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        if before is not None:
+            spark.conf.set(_CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
