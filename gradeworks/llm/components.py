@@ -4,32 +4,37 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gradeworks.llm.lean import lean
 from gradeworks.session import write_table
 
 
-def _contracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The links of one partition as stars around the smallest node of each of its components."""
-    root: dict[int, int] = {}
+def _roots(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
+    """Smallest node reachable from each of the nodes 0 .. n-1 by the links a-b."""
+    root = np.arange(n)
+    while True:
+        x, y = root[a], root[b]
+        if (x == y).all():
+            return root
+        np.minimum.at(root, np.maximum(x, y), np.minimum(x, y))
+        while (root[root] != root).any():
+            root = root[root]
 
-    def find(x: int) -> int:
-        top = x
-        while root.setdefault(top, top) != top:
-            top = root[top]
-        while root[x] != top:
-            root[x], x = top, root[x]
-        return top
 
-    for batch in batches:
-        for a, b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), strict=True):
-            a, b = find(a), find(b)
-            if a != b:
-                root[max(a, b)] = min(a, b)
-    pairs = [(x, top) for x in root if (top := find(x)) != x]
-    yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.int64()) for k in (0, 1)], names=["a", "b"])
+def _contracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The links of one partition as stars around the smallest node of each of its components."""
+    links = [np.stack([batch.column(c).to_numpy() for c in ("a", "b")]) for batch in batches if batch.num_rows]
+    if links:
+        a, b = np.concatenate(links, axis=1)
+        links.clear()
+        nodes, place = np.unique(np.concatenate([a, b]), return_inverse=True)
+        root = _roots(place[:len(a)], place[len(a):], len(nodes))
+        leaf = np.flatnonzero(root != np.arange(len(nodes)))
+        yield pa.RecordBatch.from_arrays([pa.array(nodes[leaf]), pa.array(nodes[root[leaf]])], names=["a", "b"])
 
 
 def components(links: DataFrame, u: str = "u", v: str = "v") -> DataFrame:
@@ -41,7 +46,7 @@ def components(links: DataFrame, u: str = "u", v: str = "v") -> DataFrame:
     cut by written tables. Null ends and loops are dropped; an empty table gives an empty table.
     """
     edges = links.select(F.greatest(u, v).cast("long").alias("a"), F.least(u, v).cast("long").alias("b")).filter("a > b")
-    edges = write_table(edges.mapInArrow(_contracted, "a long, b long").distinct(), "links")
+    edges = write_table(edges.mapInArrow(lean(_contracted), "a long, b long").distinct(), "links")
     while True:
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m"))

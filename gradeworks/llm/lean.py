@@ -4,14 +4,27 @@ from __future__ import annotations
 
 import ctypes
 from collections.abc import Callable, Iterator
+from typing import TYPE_CHECKING
 
 import pyarrow as pa
 
+from gradeworks.session import setting
+
+if TYPE_CHECKING:
+    from pyspark.sql import SparkSession
+
 PIECE_BYTES = 4 << 20
+_BATCH_BYTES, _SPARKS_OWN = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"
 
 Batches = Iterator[pa.RecordBatch]
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Have Spark hand rows to Python in batches of PIECE_BYTES at most, unless the session has a size of its own."""
+    if setting(spark, _BATCH_BYTES) == _SPARKS_OWN:
+        spark.conf.set(_BATCH_BYTES, str(PIECE_BYTES))
+
+
 def pieces(batches: Batches, most: int = PIECE_BYTES) -> Batches:
     """The rows of ``batches`` in slices of about ``most`` bytes, one row at least."""
     for batch in batches:

@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gradeworks.llm.components import components
-from gradeworks.llm.lean import lean
+from gradeworks.llm.lean import lean, small_batches
 from gradeworks.session import write_table
 
 BLOCK = 96
@@ -188,7 +188,8 @@ def _equal_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield pa.RecordBatch.from_arrays(
             [pa.nulls(plain.num_rows, pa.int64()), *(plain.column(c) for c in _ROW)], names=["group", *_ROW])
         packed = batch.filter(batch.column("nodes").is_valid())
-        for bucket, *row in zip(*(packed.column(c).to_pylist() for c in ("bucket", "nodes", "owners", "groups")), strict=True):
+        for at in range(packed.num_rows):  # row by row: what is packed in one row is a few MB
+            bucket, *row = (packed.column(c)[at].as_py() for c in ("bucket", "nodes", "owners", "groups"))
             if bucket != now and rows:
                 yield made(schema, now, rows)
                 rows = []
@@ -340,6 +341,7 @@ def _families(made: DataFrame, percent: int, block: int) -> DataFrame:
 def join_components(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 3, percent: int = 90,
                     block: int = BLOCK, list_block: int = LIST_BLOCK) -> DataFrame:
     """Key, ``n_shingles`` and ``component_id`` (the smallest key reachable by links) of every row."""
+    small_batches(docs.sparkSession)
     kind = docs.schema[key].dataType.simpleString()
     total = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
     buckets = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // BUCKET_BYTES))
@@ -347,7 +349,7 @@ def join_components(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     row = f"key {kind}, body_hash long, n long, high long, low long, sketch binary"
     sent = bodies.mapInArrow(
         lean(_index(width, percent, buckets)), f"bucket long, {row}, nodes binary, owners binary, groups binary")
-    made = write_table(sent.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(
+    made = write_table(sent.repartitionById(buckets, F.col("bucket").cast("int")).sortWithinPartitions("bucket").mapInArrow(
         lean(_equal_groups), f"group long, {row}"), "ngram-index")
     index = made.filter("group is null").select("key", "body_hash", "n", "high", "low")
     classes = index.filter("n > 0").groupBy("high", "low").agg(

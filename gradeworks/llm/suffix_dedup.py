@@ -34,15 +34,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gradeworks.llm.induced import common_runs, suffix_order
-from gradeworks.llm.lean import lean
+from gradeworks.llm.lean import give_back, lean, small_batches
 from gradeworks.session import write_table
 
 LENGTH = 50
 GRAM = 24
-SEGMENT = 1 << 20
+SEGMENT = 1 << 18
 BUCKET_BYTES = 16 << 20
 MANY_RUNS = 64
-_FLUSH = 8 << 20  # bytes of text whose runs are folded and packed at once
+_FLUSH = 4 << 20  # bytes of text whose runs are folded and packed at once
 _GATHER = 1 << 20  # bytes put in suffix order at once
 _ROWS = 20_000  # rows handed on at once
 _LAST = (1 << 63) - 1
@@ -205,6 +205,7 @@ def _sampled(length: int, gram: int, buckets: int):
                 if size >= _FLUSH:
                     yield folded(parts, keys, bodies)
                     size = 0
+                    give_back()
             if parts:
                 yield folded(parts, keys, bodies)
 
@@ -400,11 +401,12 @@ def _cut(length: int, digest: Callable[[bytes], str], carried: list[str]):
 def repeated_ranges(docs: DataFrame, key: str, text: str, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """``key`` (null: the largest long), ``body_hash``, ``start`` and ``windows`` of all ranges of windows
     that also start in a document of smaller key; a place may be named more than once."""
+    small_batches(docs.sparkSession)
     total = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
     buckets = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // BUCKET_BYTES))
     bodies = docs.select(F.col(key).cast("long").alias("key"), _body_hash(text).alias("body_hash"), F.col(text).alias("body"))
     packed = bodies.mapInArrow(lean(_sampled(length, gram, buckets)), _PACKED_TYPES)
-    settled = write_table(packed.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(
+    settled = write_table(packed.repartitionById(buckets, F.col("bucket").cast("int")).sortWithinPartitions("bucket").mapInArrow(
         lean(_settled), _RANGE_TYPES + ", anchor long, many boolean"), "suffix-settled")
     wanted = settled.filter("anchor is not null").groupBy("key", "body_hash").agg(
         F.collect_list(F.struct("start", "windows", "anchor", "many")).alias("found"))
