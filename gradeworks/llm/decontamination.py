@@ -137,11 +137,25 @@ def _expanded(terms: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndar
     return np.arange(len(which)) - np.repeat(np.cumsum(sizes) - sizes, sizes) + start[terms][which], which
 
 
+_CELLS = 1 << 20  # sums of blocks held at once
+
+
 def retrieve(index: Index, passages: np.ndarray, terms: np.ndarray, least_score: float) -> tuple[np.ndarray, ...]:
-    """(passage, item, score) of all scores of at least ``least_score``; input are the terms of passages."""
+    """(passage, item, score) of all scores of at least ``least_score``; input are the terms of passages. As many
+    passages at once as have ``_CELLS`` sums of blocks."""
     n_terms, n_blocks = len(index.terms), -(-len(index.ids) // BLOCK)
     pairs = np.unique(passages * n_terms + terms)
     passages, terms = pairs // n_terms, pairs % n_terms
+    step = max(1, _CELLS // n_blocks)
+    found = [(np.empty(0, "int64"), np.empty(0, "int64"), np.empty(0))]
+    for first in range(0, int(passages[-1]) + 1 if len(passages) else 0, step):
+        some = slice(*np.searchsorted(passages, [first, first + step]))
+        own, item, score = _retrieved(index, passages[some] - first, terms[some], least_score, n_blocks)
+        found.append((own + first, item, score))
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
+
+def _retrieved(index: Index, passages: np.ndarray, terms: np.ndarray, least_score: float, n_blocks: int) -> tuple[np.ndarray, ...]:
     n = int(passages[-1]) + 1 if len(passages) else 0
     bound = np.bincount(passages, weights=index.spread[terms], minlength=n)
     rare = index.rare[terms]

@@ -68,8 +68,10 @@ def test_an_index_in_parts_finds_the_same(tables, monkeypatch):
     assert {(r["doc_id"], r["item_id"]) for r in dc.find_leaks(docs, items).collect()} == whole
 
 
+@pytest.mark.parametrize("cells", [1, 40, 1 << 20])
 @pytest.mark.parametrize("seed", range(8))
-def test_block_maxima_lose_nothing(seed):
+def test_block_maxima_lose_nothing(seed, cells, monkeypatch):
+    monkeypatch.setattr(dc, "_CELLS", cells)
     rng = np.random.default_rng(seed)
     word = lambda n, top: " ".join(f"w{int(x)}" for x in rng.zipf(1.4, n) % top)
     index = dc.build_index([(i, word(int(rng.integers(3, 40)), 200)) for i in range(37)])
@@ -92,3 +94,16 @@ def test_block_maxima_lose_nothing(seed):
 def test_halves():
     assert dc.halves("What is it? It is this.") == ([b"what", b"is", b"it"], [b"it", b"is", b"this"])
     assert dc.halves("one two three") == ([b"one", b"two"], [b"three"]) and dc.halves(None) == ([], [])
+
+
+def test_many_short_items_need_little_memory():
+    """A dense table of all passages and blocks would take a gigabyte and more here."""
+    import tracemalloc
+    items = [(i, f"w{i % 977} w{i % 1009} w{i % 31} " + " ".join(f"u{i * 7 + k}" for k in range(9))) for i in range(20_000)]
+    index = dc.build_index(items)
+    text = " ".join(items[i * 97][1] for i in range(200)) + " " + " ".join(f"w{k % 977}" for k in range(250_000))
+    tracemalloc.start()
+    found = {i for _, i, *_ in dc.leaks_of(index, [text], 5, 0.5, 0.8)}
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert found >= {i * 97 for i in range(200)} and peak < 300 << 20
