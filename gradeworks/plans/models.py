@@ -183,6 +183,29 @@ def learning_curve(spark, sf):
     return tidy(selection.learning_curve(*parts, FEATURES, "random_forest", selection.LEVELS, selection.SEEDS).drop("wall_s"))
 
 
+@query("M20_sample_sizes", twin(f"""SELECT CAST(seed AS BIGINT) AS seed, CAST(level AS BIGINT) AS n_per_grade, CAST((SELECT sum(least(c, level)) FROM (
+    SELECT count(*) AS c FROM splits WHERE split = 'train' GROUP BY grade_rank)) AS BIGINT) AS n_train
+    FROM (SELECT unnest({selection.SEEDS}) AS seed), (SELECT unnest({selection.LEVELS}) AS level)""", "splits"))
+def sample_sizes(spark, sf):
+    """Rows of the nested samples that the learning curve is fitted on."""
+    out = None
+    for seed in selection.SEEDS:
+        placed = selection.nested_sample(part(spark, sf, "train"), seed)
+        each = F.explode(F.array(*[F.lit(n).cast("long") for n in selection.LEVELS])).alias("n_per_grade")
+        one = placed.select("_rn", each).filter(F.col("_rn") <= F.col("n_per_grade")).groupBy("n_per_grade").agg(F.count("*").alias("n_train"))
+        one = one.select(F.lit(seed).cast("long").alias("seed"), "n_per_grade", "n_train")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query("M13_halving")
+def halving(spark, sf):
+    """A booster's search by halving: how far each setting went and how it did there."""
+    _, runs = selection.param_search("xgboost", part(spark, sf, "train"), part(spark, sf, "val"), FEATURES)
+    shares = spark.createDataFrame([(r["params"], r["share"]) for r in runs], "params string, share double")
+    return tidy(selection.runs_frame(spark, runs).drop("wall_s").join(shares, on="params"))
+
+
 @query("M20_curve_bands", """SELECT CAST(label AS BIGINT) AS n_per_grade, count(*) AS seeds, round(avg(CAST(embedding[1] AS DOUBLE)), 6) + 0 AS mean_f1,
     round(stddev_pop(CAST(embedding[1] AS DOUBLE)), 6) AS sd_f1, round(avg(CAST(embedding[2] AS DOUBLE)), 6) + 0 AS mean_val_f1 FROM embeddings GROUP BY label""")
 def curve_bands(spark, sf):
