@@ -142,3 +142,27 @@ def test_equal_lanes_are_grown_once(spark, rows, monkeypatch):
         b.forests(table, [b.Lane(rounds=2)])
     monkeypatch.setattr(b, "train", lambda t, lanes: ["again"])
     assert b.forests(table, [b.Lane(rounds=2)]) == ["again"]
+
+
+def test_scores_of_trees_with_many_leaves():
+    """A complete tree of 512 leaves: its leaf bits take more words than fit one byte's counts."""
+    edges = [np.arange(0.5, 255.0) for _ in range(3)]
+    tree = b.Tree()
+    tree.sums[0] = (0.0, 1.0, 1.0)
+    level = [(0, [0, 0, 0], [256, 256, 256])]
+    for depth in range(9):
+        following = []
+        for x, low, high in level:
+            f = depth % 3
+            cut = (low[f] + high[f]) // 2 - 1
+            tree.best[x] = (1.0, f, cut, (0.0, 1.0, 1.0))
+            a, c = tree.split(x)
+            following += [(a, low, [cut + 1 if i == f else h for i, h in enumerate(high)]),
+                          (c, [cut + 1 if i == f else v for i, v in enumerate(low)], high)]
+        level = following
+    assert tree.n_leaves() == 512
+    value = np.where(np.array(tree.feature) < 0, np.arange(len(tree.feature)) / 7, 0.0)
+    stored = (0, np.array(tree.feature, "int32"), np.array(tree.cut, "int32"), np.array(tree.left, "int32"), np.array(tree.gain), value)
+    columns = [np.random.default_rng(f).integers(0, 255, 3000).astype(float) for f in range(3)]
+    got = b.Forest(b.Lane(), edges, 1, [stored]).scores(columns)[:, 0]
+    assert np.allclose(got, value[tree.placed(b.to_bins(columns, edges))])
