@@ -166,3 +166,23 @@ def test_scores_of_trees_with_many_leaves():
     columns = [np.random.default_rng(f).integers(0, 255, 3000).astype(float) for f in range(3)]
     got = b.Forest(b.Lane(), edges, 1, [stored]).scores(columns)[:, 0]
     assert np.allclose(got, value[tree.placed(b.to_bins(columns, edges))])
+
+
+def test_whole_tables_shared_outputs_and_waves_give_the_same_trees(spark, rows, monkeypatch):
+    """One task per lane, a lane's outputs in several tasks, and sums of blocks, the lanes with different rounds."""
+    lanes = [b.Lane(rounds=4, depth=3, sample=0.8), b.Lane(rounds=2, growth="leaves", leaves=9, depth=99, min_rows=5)]
+    whole = trained(spark, rows, lanes, 200)
+    monkeypatch.setattr(b, "SHARED_ROWS", 1)
+    shared = trained(spark, rows, lanes, 200)
+    monkeypatch.setattr(b, "WHOLE_BLOCKS", 1)
+    waves = trained(spark, rows, lanes, 200)
+    for other in (shared, waves):
+        for p, q in zip(whole, other, strict=True):
+            assert len(p.trees) == len(q.trees) == 4 * p.lane.rounds
+            assert all(s[0] == t[0] and all(np.array_equal(x, y) for x, y in zip(s[1:], t[1:], strict=True)) for s, t in zip(p.trees, q.trees, strict=True))
+
+
+def test_a_table_of_several_blocks_takes_one_job(spark, rows, monkeypatch):
+    """Jobs do not grow with rounds and levels."""
+    monkeypatch.setattr(b, "_by_waves", lambda *a: pytest.fail("a job per wave"))
+    assert len(trained(spark, rows, [b.Lane(rounds=6, depth=2)], 100)[0].trees) == 24
