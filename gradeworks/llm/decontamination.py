@@ -174,7 +174,7 @@ def _retrieved(index: Index, passages: np.ndarray, terms: np.ndarray, least_scor
     return names[high] // len(index.ids), names[high] % len(index.ids), scores[high]
 
 
-_GROUP = 1 << 18  # words searched at once
+_GROUP = 1 << 16  # words searched at once: memory goes by their postings
 
 
 def leaks_of(index: Index, texts: list[str | None], width: int, least_score: float,

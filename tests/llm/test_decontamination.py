@@ -107,3 +107,17 @@ def test_many_short_items_need_little_memory():
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert found >= {i * 97 for i in range(200)} and peak < 300 << 20
+
+
+def test_memory_follows_the_words_searched_at_once():
+    """Items of frequent words have long postings; many documents take no more memory than a few."""
+    import tracemalloc
+    rng = np.random.default_rng(5)
+    vocabulary = np.array([f"w{i}" for i in range(300)])
+    index = dc.build_index([(i, " ".join(rng.choice(vocabulary, 40))) for i in range(200)])
+    texts = [" ".join(rng.choice(vocabulary, 2000)) for _ in range(70)]
+    tracemalloc.start()
+    list(dc.leaks_of(index, texts, 5, 0.5, 0.8))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 400 << 20
