@@ -186,3 +186,35 @@ def test_a_table_of_several_blocks_takes_one_job(spark, rows, monkeypatch):
     """Jobs do not grow with rounds and levels."""
     monkeypatch.setattr(b, "_by_waves", lambda *a: pytest.fail("a job per wave"))
     assert len(trained(spark, rows, [b.Lane(rounds=6, depth=2)], 100)[0].trees) == 24
+
+
+def test_features_of_few_bins_and_equal_features_share_a_column():
+    """Sums are those of a plain count; a column holds several small features, and equal ones are counted once."""
+    rng = np.random.default_rng(5)
+    sizes = [255, 1, 2, 3, 17, 255, 2]
+    bins = np.stack([rng.integers(0, s, 900) for s in sizes]).astype("uint8")
+    bins[5] = bins[0]
+    block = b.Block(np.arange(900), bins, np.zeros((900, 2)), np.empty((0, 900), "int32"), np.append(0, np.cumsum(sizes)))
+    _, groups, same = block.columns
+    assert same == {5: 0} and sorted(f for g in groups for f, _ in g) == [0, 2, 3, 4, 6] and len(groups) == 2
+    rows = np.flatnonzero(rng.random(900) < 0.6)
+    node, g, h = rng.integers(0, 3, len(rows)), np.rint(rng.normal(size=900) * b.UNIT), np.rint(rng.random(900) * b.UNIT / 4)
+    got = block.sums(rows, node, 3, g, h)
+    for f, (start, size) in enumerate(zip(block.starts, sizes)):
+        for x in range(3):
+            for k in range(size):
+                mine = rows[(node == x) & (bins[f, rows] == k)]
+                assert got[:, x, start + k].tolist() == [g[mine].sum(), h[mine].sum(), len(mine)]
+
+
+def test_thresholds_are_dealt_to_tasks_that_do_not_meet(spark, rows, monkeypatch):
+    """Each output of an ordinal lane has a task of its own, also in a small table, and the trees are those of one task."""
+    lane = b.Lane(rounds=3, thresholds=True, sample=0.7)
+    dealt, whole = [], b._whole
+    monkeypatch.setattr(b, "_whole", lambda *a: dealt.append(a[2:]) or whole(*a))
+    apart = trained(spark, rows, [lane], 200)[0]
+    assert dealt == [(3, False)]
+    monkeypatch.setattr(b, "WHOLE_BLOCKS", 1)
+    waves = trained(spark, rows, [lane], 200)[0]
+    assert len(apart.trees) == len(waves.trees) == 9
+    assert all(np.array_equal(s[5], t[5]) for s, t in zip(apart.trees, waves.trees, strict=True))
