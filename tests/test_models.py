@@ -3,6 +3,7 @@
 import inspect
 
 import pytest
+from pyspark.sql import functions as F
 
 from gradeworks.operators import learners, selection, text_models
 from gradeworks.plans import models
@@ -91,3 +92,11 @@ def test_tune_searches_every_kind(spark, sf, monkeypatch):
         {"of": kind}, [row(kind, 0.2), row(kind, 0.6 if kind == "histgb" else 0.5)]))
     settings, best = selection.tune(spark.range(1), None, [])
     assert best == "histgb" and settings["logreg"] == {} and settings["mlp"] == {"of": "mlp"} and len(settings) == 8
+
+
+def test_rows_of_the_learners_are_dealt_out_evenly(spark, sf):
+    """A share for each core, whatever the grades' sizes."""
+    rows = models.part(spark, sf, "train")
+    shares = [r["count"] for r in rows.groupBy(F.spark_partition_id()).count().collect()]
+    cores = spark.sparkContext.defaultParallelism
+    assert len(shares) == cores and max(shares) <= 2 * rows.count() / cores
