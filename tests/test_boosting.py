@@ -1,5 +1,7 @@
 """Boosting on histograms: both ways of adding up give the same trees, splits are the best ones, leaves add up."""
 
+import time
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -218,3 +220,27 @@ def test_thresholds_are_dealt_to_tasks_that_do_not_meet(spark, rows, monkeypatch
     waves = trained(spark, rows, [lane], 200)[0]
     assert len(apart.trees) == len(waves.trees) == 9
     assert all(np.array_equal(s[5], t[5]) for s, t in zip(apart.trees, waves.trees, strict=True))
+
+
+def test_tasks_of_a_lane_meet_by_files_in_far_less_than_a_second(spark, rows, monkeypatch):
+    """Rounds of outputs in several tasks, passed as files; without a common folder Spark's messages give the same trees."""
+    monkeypatch.setattr(b, "SHARED_ROWS", 1)
+    lane = b.Lane(rounds=30, growth="levels", depth=2)
+    start = time.monotonic()
+    by_file = trained(spark, rows, [lane], 1 << 16)[0]
+    assert time.monotonic() - start < 20
+    short = [b.Lane(rounds=3, growth="levels", depth=2), b.Lane(rounds=2, depth=2)]
+    monkeypatch.setattr(b, "local_shared_dir", lambda spark: "")
+    told = trained(spark, rows, short, 1 << 16)
+    assert len(by_file.trees) == 120 and [len(f.trees) for f in told] == [12, 8]
+    for s, t in zip(by_file.trees, told[0].trees):
+        assert s[0] == t[0] and all(np.array_equal(x, y) for x, y in zip(s[1:], t[1:], strict=True))
+
+
+def test_rows_are_placed_by_the_bits_of_the_levels(spark, rows):
+    """With one split per level a row's leaf is read off its bits; the walk from the root says the same."""
+    forest = trained(spark, rows, [RULES["levels"]], 1 << 16)[0]
+    bins = b.to_bins([np.random.default_rng(f).random(500) * 9 for f in range(3)], forest.edges)
+    for _, feature, cut, left, _, _ in forest.trees:
+        tree = b.Tree(feature.tolist(), cut.tolist(), left.tolist())
+        assert tree._levels() and np.array_equal(tree.placed(bins), b._leaves(bins, feature, cut, left))
