@@ -65,3 +65,20 @@ def test_deep_trees_learn_all_rows(spark, table, tmp_path):
 def test_no_rows(table):
     p = learners.fit("random_forest", table.limit(0), COLS, {"trees": 3})
     assert p.parts["forest"].trees == []
+
+
+def test_cuts_sort_values_once(monkeypatch):
+    """Many nodes, weights of any size: class sums of a plain count, without the places that sorting by ``unique`` costs."""
+    monkeypatch.setattr(np, "unique", lambda *a, **b: pytest.fail("sorted by places"))
+    rng = np.random.default_rng(3)
+    nodes, n, k = 500, 2000, 5
+    node, b, y, w = np.append(np.arange(nodes), rng.integers(0, nodes, n - nodes)), rng.integers(0, 255, n), rng.integers(0, k, n), rng.integers(1, 300, n).astype(float)
+    total = np.zeros((nodes, k))
+    np.add.at(total, (node, y), w)
+    top, last, left = bagging._cuts(node * 256 + b, y, w, total, 1)
+    for x in np.flatnonzero(top > -np.inf).tolist():
+        mine = (node == x) & (b <= last[x])
+        sums = np.bincount(y[mine], w[mine], k)
+        rest = total[x] - sums
+        assert left[x].tolist() == sums.tolist()
+        assert top[x] == pytest.approx((sums * sums).sum() / sums.sum() + (rest * rest).sum() / rest.sum())
