@@ -244,3 +244,13 @@ def test_rows_are_placed_by_the_bits_of_the_levels(spark, rows):
     for _, feature, cut, left, _, _ in forest.trees:
         tree = b.Tree(feature.tolist(), cut.tolist(), left.tolist())
         assert tree._levels() and np.array_equal(tree.placed(bins), b._leaves(bins, feature, cut, left))
+
+
+def test_the_dearest_lanes_get_the_tasks_left_over(spark, rows, monkeypatch):
+    """Eight cores: a lane of many rounds and deep trees is dealt to more tasks than a short one, which had as many before."""
+    table = b.binned(rows, COLS, 4, folds=["f0"])
+    long, short = b.Lane(rounds=600, depth=9), b.Lane(rounds=20, depth=2)
+    assert b._shares(table, [short, long, short], [4] * 3, [20, 600, 20]) == [1, 4, 1]
+    assert b._shares(table, [short] * 3, [4] * 3, [20] * 3) == [1, 1, 1]  # not worth a meeting
+    monkeypatch.setattr(b, "SHARED_ROWS", 1)
+    assert b._shares(table, [long] * 9, [4] * 9, [600] * 9) == [1] * 9

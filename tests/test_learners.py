@@ -144,3 +144,14 @@ def test_text_arm(spark):
     scored = model.score(df.filter("split = 'test'")).withColumn("pred", argmax(F.col("p")))
     assert metrics.all_metrics(scored).first()["acc"] > 0.95
     assert text_models.logits_table(scored).columns[-1] == "logit_5"
+
+
+def test_a_logistic_fit_is_shared_by_seeds(spark, monkeypatch):
+    """It draws nothing: a second seed on the same DataFrame gets the same model, other settings and rows do not."""
+    rows = spark.range(200).select(F.col("id").alias("pageid"), (F.col("id") % 3).cast("int").alias("y"), (F.col("id") % 3 + F.rand(seed=1)).alias("a")).persist()
+    fits, made = [], learners._simple
+    monkeypatch.setattr(learners, "_simple", lambda *a, **k: fits.append(a[0]) or made(*a, **k))
+    one, two = (learners.fit("logreg", rows, ["a"], {"max_iter": 5}, seed) for seed in (7, 42))
+    assert one is two and len(fits) == 1
+    assert learners.fit("logreg", rows, ["a"], {"max_iter": 6}) is not one
+    assert learners.fit("logreg", rows.limit(100), ["a"], {"max_iter": 5}) is not one and len(fits) == 3
