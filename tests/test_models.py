@@ -100,3 +100,13 @@ def test_rows_of_the_learners_are_dealt_out_evenly(spark, sf):
     shares = [r["count"] for r in rows.groupBy(F.spark_partition_id()).count().collect()]
     cores = spark.sparkContext.defaultParallelism
     assert len(shares) == cores and max(shares) <= 2 * rows.count() / cores
+
+
+def test_the_text_arm_reads_windows_and_joins_no_text(spark, sf, calls):
+    """Fit and scores share one table of token windows, which are those of the joined texts."""
+    with pytest.raises(Stopped):
+        models._text_model(spark, sf)
+    train = calls[0]["train"]
+    assert text_models.WINDOW in train.columns and "wikitext" not in train.columns
+    joined = text_models.with_window(models._texts(spark, sf), "wikitext").select("pageid", "y", "split", text_models.WINDOW)
+    assert sorted(map(tuple, models._windows(spark, sf).collect())) == sorted(map(tuple, joined.collect()))
