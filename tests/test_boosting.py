@@ -254,3 +254,5 @@ def test_the_dearest_lanes_get_the_tasks_left_over(spark, rows, monkeypatch):
     assert b._shares(table, [short] * 3, [4] * 3, [20] * 3) == [1, 1, 1]  # not worth a meeting
     monkeypatch.setattr(b, "SHARED_ROWS", 1)
     assert b._shares(table, [long] * 9, [4] * 9, [600] * 9) == [1] * 9
+    with b.in_flight(6), b.in_flight(1) as others:  # tasks that must start at once would wait for these
+        assert others == 6 and b._shares(table, [long], [4], [600], others) == [2] and b._shares(table, [long], [4], [600], 7) == [1]
